@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 _MODULES = {
     "op2_ngram_join": "ngram_join",
+    "op5_minimax_shards": "sharding",
+    "op6_byte_bpe": "bpe",
+    "op9_toxicity": "toxicity",
 }
 
 
