@@ -12,6 +12,7 @@ _MODULES = {
     "op5_minimax_shards": "sharding",
     "op6_byte_bpe": "bpe",
     "op9_toxicity": "toxicity",
+    "op10_license_scan": "licenses",
 }
 
 
