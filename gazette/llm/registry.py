@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 _MODULES = {
     "op2_ngram_join": "ngram_join",
+    "op3_chat_format": "chat",
     "op5_minimax_shards": "sharding",
     "op6_byte_bpe": "bpe",
+    "op8_html_main_text": "html",
     "op9_toxicity": "toxicity",
     "op10_license_scan": "licenses",
 }
