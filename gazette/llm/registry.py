@@ -8,8 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 _MODULES = {
+    "op1_decontamination": "decontamination",
     "op2_ngram_join": "ngram_join",
     "op3_chat_format": "chat",
+    "op4_quality_rules": "quality",
     "op5_minimax_shards": "sharding",
     "op6_byte_bpe": "bpe",
     "op8_html_main_text": "html",
