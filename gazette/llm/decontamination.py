@@ -72,11 +72,11 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL = r"""
 WITH words AS (
-  SELECT doc_id AS id, 'd' AS kind, list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[\t-\r]', ' ', 'g'), ' '), x -> x <> '') AS w FROM documents
+  SELECT doc_id AS id, 'd' AS kind, list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[\t-\r]', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM documents
   UNION ALL
-  SELECT item_id, 'i', list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[\t-\r]', ' ', 'g'), ' '), x -> x <> '') FROM benchmark
+  SELECT item_id, 'i', list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[\t-\r]', ' ', 'g'), ' '), lambda x: x <> '') FROM benchmark
 ), runs AS (
-  SELECT DISTINCT id, kind, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), p -> array_to_string(w[p:p + 4], ' ')) ELSE [array_to_string(w, ' ')] END) AS s, len(w) >= 5 AS long
+  SELECT DISTINCT id, kind, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda p: array_to_string(w[p:p + 4], ' ')) ELSE [array_to_string(w, ' ')] END) AS s, len(w) >= 5 AS long
   FROM words WHERE len(w) > 0 AND id IS NOT NULL
 ), sizes AS (SELECT id AS item_id, count(*) AS n_shingles FROM runs WHERE kind = 'i' GROUP BY 1)
 SELECT d.id AS doc_id, z.item_id, z.n_shingles, count(*) AS n_shared, count(*) / z.n_shingles AS containment

@@ -221,18 +221,22 @@ def _link(postings: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     # The original of a group of near copies shares the most of its n-grams with the most others: the first pivot of its lists.
     common = table(postings.groupBy("rep").agg(F.sum("df").alias("common")), "common")
     links = labels = None
+    before = float("inf")
     for turn in range(PIVOT_ROUNDS + 1):
         if labels is None:
             now = postings.join(common, "rep").select("token", "rep", "n", "most", F.col("rep").alias("label"), F.col("common").alias("rank"))
         else:
             now = postings.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("token", "rep", "n", "most", F.coalesce("component", "rep").alias("label"), F.xxhash64("rep", F.lit(turn)).alias("rank"))
+        now = table(now, "labelled")
         # Of two partners, the larger one's side allows for more than its own size: pairs are those of such a one and any other.
         counts = now.groupBy("token", "label").agg(F.count("*").cast("double").alias("c"), F.count_if(F.expr("most >= n")).cast("double").alias("k"))
         counts = counts.groupBy("token").agg((F.sum("c") * F.sum("k") - F.sum(F.col("c") * F.col("k"))).alias("open"))
         left = counts.agg(F.sum("open")).first()[0] or 0
         if left == 0:
+            drop(now)
             break
-        last = left <= 4 * volume or turn == PIVOT_ROUNDS
+        last = left <= 4 * volume or left > before / 2 or turn == PIVOT_ROUNDS
+        before = left
         if last:
             pairs = now.where("most >= n").alias("x").join(now.alias("y"), "token").where("x.label <> y.label").where(size)
         else:
@@ -242,6 +246,7 @@ def _link(postings: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         own = sets.select(F.col("rep"), F.col("tokens"))
         pairs = pairs.join(own.toDF("a", "tokens_a"), "a").join(own.toDF("b", "tokens_b"), "b")
         found = table(pairs.select("a", "b", "tokens_a", "tokens_b").mapInArrow(_overlaps(percent), "a long, b long, overlap long"), "links")
+        drop(now)
         links = found if links is None else links.union(found)
         labels = components(links)
         if last:
