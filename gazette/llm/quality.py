@@ -39,6 +39,12 @@ RATIOS = {
 }
 
 
+def _let(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that is computed once a row: a generator of one row stands between it and what uses it, so the optimizer
+    does not copy its expression into each use."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def statistics(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_distinct and n_digits of each text.
 
@@ -47,18 +53,19 @@ def statistics(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """
     text = F.coalesce(F.col(text_column), F.lit(""))
     has_word = "[^ \\t-\\r]"
-    base = docs.withColumn("_w", F.array_remove(F.split(F.regexp_replace(text, "[\\t-\\r]", " "), " "), "")).withColumn("_l", F.filter(F.split(text, "\n"), lambda x: x.rlike(has_word)))
+    base = _let(docs, "_w", F.array_remove(F.split(F.regexp_replace(text, "[\\t-\\r]", " "), " "), ""))
+    base = _let(base, "_l", F.filter(F.split(text, "\n"), lambda x: x.rlike(has_word)))
     n = F.size("_w")
-    base = base.withColumn("_h", F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(F.col("_w"), i, WINDOW)))))
+    base = _let(base, "_h", F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(F.col("_w"), i, WINDOW)))))
     # Windows in order of their hash; those with an equal neighbour are repeated.
     order = F.sort_array(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    base = base.withColumn("_o", F.when(F.size(F.array_distinct("_h")) < F.size("_h"), order))
+    base = _let(base, "_o", F.when(F.size(F.array_distinct("_h")) < F.size("_h"), order))
     none = F.lit(-1)
     at = F.transform(
         "_o",
         lambda x, k: F.when((F.get(F.col("_o"), k - 1)["h"] == x["h"]) | (F.get(F.col("_o"), k + 1)["h"] == x["h"]), x["i"]).otherwise(none),
     )
-    base = base.withColumn("_p", F.sort_array(F.array_remove(at, -1)))
+    base = _let(base, "_p", F.sort_array(F.array_remove(at, -1)))
     covered = F.aggregate(F.transform("_p", lambda x, k: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col("_p"), k + 1), x + WINDOW) - x)), F.lit(0).cast("long"), lambda a, x: a + x)
     out = {
         "n_words": n.cast("long"),
