@@ -14,6 +14,7 @@ _MODULES = {
     "op4_quality_rules": "quality",
     "op5_minimax_shards": "sharding",
     "op6_byte_bpe": "bpe",
+    "op7_line_dedup": "line_dedup",
     "op8_html_main_text": "html",
     "op9_toxicity": "toxicity",
     "op10_license_scan": "licenses",
