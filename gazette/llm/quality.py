@@ -9,7 +9,7 @@ candidate thresholds. Statistics and verdicts cover all rows.
 
 Cases: a null or empty text has no word and fails the base rule, as any text of fewer than 20 words. Without labels, or with
 one class only, the list is empty and the base rules decide. A repeated id in the labels takes its lowest quality. Repeated
-rows get equal verdicts; other columns stay.
+rows get equal verdicts; other columns stay, but for older ones of the added names.
 """
 
 from __future__ import annotations
@@ -77,7 +77,7 @@ def statistics(docs: DataFrame, text_column: str = "text") -> DataFrame:
         "n_distinct": F.size(F.array_distinct("_w")).cast("long"),
         "n_digits": F.char_length(F.regexp_replace(text, "[^0-9]+", "")).cast("long"),
     }
-    return base.select(*(F.col(c) for c in docs.columns), *(v.alias(k) for k, v in out.items()))
+    return base.select(*(F.col(c) for c in docs.columns if c not in out), *(v.alias(k) for k, v in out.items()))
 
 
 def base_failed() -> Column:
