@@ -42,7 +42,7 @@ def pieces(text: str, limit: int = PIECE_CHARS) -> Iterator[str]:
     while len(text) - at > limit:
         cut = 0
         for back in (200, limit):
-            for m in _SAFE.finditer(text, at + limit - back, at + limit):
+            for m in _SAFE.finditer(text, max(at, at + limit - back), at + limit):
                 cut = m.end()
             if cut:
                 break
