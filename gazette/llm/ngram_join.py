@@ -259,3 +259,21 @@ def _link(postings: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def query(spark, sf_dir: str) -> DataFrame:
     """op2: five-word shingles of ``documents``, linked from a Jaccard similarity of 0.8 on."""
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\t-\r]', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM documents
+), runs AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda p: array_to_string(w[p:p + 4], ' ')) ELSE [array_to_string(w, ' ')] END) AS s FROM words WHERE len(w) > 0
+), sizes AS (SELECT doc_id, count(*) AS n FROM runs GROUP BY 1),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM runs a JOIN runs b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)
+), ends AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(node, seen) AS (SELECT a, a FROM ends UNION SELECT ends.b, reach.seen FROM reach JOIN ends ON ends.a = reach.node),
+low AS (SELECT node, min(seen) AS component FROM reach GROUP BY 1)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component, d.doc_id) AS component_id
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN low ON low.node = d.doc_id
+"""
