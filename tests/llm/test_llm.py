@@ -234,6 +234,18 @@ def test_line_dedup(spark, odd):
     assert all(whole[i]["text"] == t for i, t in odd[0] if i in whole and i is not None)
 
 
+def test_line_dedup_drops_whatever_the_share(spark):
+    """A passage that is most of a short document goes; copies of one document lose nothing to each other."""
+    passage = " ".join("shared" + chr(97 + i % 26) + chr(97 + i // 26) for i in range(60))
+    word = lambda i, k: "own" + chr(97 + i) + chr(97 + k % 26) + chr(97 + k // 26)
+    rows = [(i, passage + "\n" + " ".join(word(i, k) for k in range(20))) for i in range(4)] + [(7, passage)]
+    rows += [(i, "\n".join(" ".join(word(20, 10 * j + k) for k in range(10)) for j in range(20)) + end) for i, end in ((8, ""), (9, ""), (10, "\nlast words of it"))]
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i]["n_dropped_words"] for i in range(4)] == [0, 60, 60, 60] and got[7]["text"] == ""
+    assert all(passage not in got[i]["text"] and word(i, 19) in got[i]["text"] for i in range(1, 4))
+    assert all(got[i]["text"] == t for i, t in rows if i in (8, 9, 10))
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header>Site</header><nav><ul><li><a href=/>Home</a></li></ul></nav>
 <div class="cookie-notice"><p>We use cookies on this site, as all do.</p></div><article><h1>Head &amp; shoulders</h1><p>First <b>par</b>agraph,
 with   words.<p>Second one&nbsp;here.<div class="ad">Buy now.</div><ul><li>item one</li></ul><div id="comments"><p>Nice text, thank you all for it.</p></div></article>
