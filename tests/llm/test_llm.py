@@ -322,6 +322,24 @@ def test_licenses(spark, odd):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_copies_with_boilerplate_end_as_one(spark):
+    """Exact and near copies that hold a passage of an earlier document are one document after the third stage."""
+    import corpus_pipeline as pipe
+
+    word = lambda i, k: "own" + chr(97 + i) + chr(97 + k % 26) + chr(97 + k // 26)
+    lines = lambda i: [" ".join(word(i, 10 * j + k) for k in range(10)) for j in range(12)]
+    passage = lines(20)
+    copy = "\n".join([*lines(1), *passage])
+    near = "\n".join([*lines(1)[:-1], word(25, 0) + lines(1)[-1], *passage])
+    texts = {0: "\n".join([*lines(0), *passage]), 3: copy, 5: copy, 6: near, 9: "\n".join(passage[:3] + lines(2))}
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = docs
+    for name, stage in pipe.STAGES[1:3]:
+        kept = pipe.table(stage(spark, kept, SF), "test")
+    got = {r["doc_id"]: r["text"] for r in kept.collect()}
+    assert set(got) == {0, 3, 9} and got[0] == texts[0] and got[3].strip() == "\n".join(lines(1)) and got[9].strip() == "\n".join(lines(2))
+
+
 def test_pipeline(spark):
     """Each stage against brute force over what the one before it kept."""
     import corpus_pipeline as pipe
