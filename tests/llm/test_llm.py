@@ -246,6 +246,19 @@ def test_line_dedup_drops_whatever_the_share(spark):
     assert all(got[i]["text"] == t for i, t in rows if i in (8, 9, 10))
 
 
+def test_line_dedup_joins_short_units(spark):
+    """A passage of lines and sentences of one to five words goes as a whole where two documents share it."""
+    word = lambda i, k: "own" + chr(97 + i) + chr(97 + k % 26) + chr(97 + k // 26)
+    own = ["\n".join(" ".join(word(i, 12 * j + k) for k in range(12)) for j in range(6)) for i in range(4)]
+    shared = [" ".join(word(20, 5 * j + k) for k in range(1 + j % 5)) for j in range(20)]
+    verse, inline = "\n".join(shared), ". ".join(shared) + "."
+    rows = [(0, f"{own[0]}\n{verse}\n{own[0][::-1]}"), (1, f"{own[1]}\n{verse}\n{own[1][::-1]}"), (2, f"{own[2]}. {inline}"), (3, f"{own[3]}. {inline}"), (4, "Yes.\nNo."), (5, "Yes.\nNo.")]
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i]["text"] for i in (0, 2, 4, 5)] == [rows[i][1] for i in (0, 2, 4, 5)]
+    assert got[1]["text"] == f"{own[1]}\n{own[1][::-1]}" and got[1]["n_dropped_words"] == len(verse.split())
+    assert got[3]["text"].strip() == f"{own[3]}."
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header>Site</header><nav><ul><li><a href=/>Home</a></li></ul></nav>
 <div class="cookie-notice"><p>We use cookies on this site, as all do.</p></div><article><h1>Head &amp; shoulders</h1><p>First <b>par</b>agraph,
 with   words.<p>Second one&nbsp;here.<div class="ad">Buy now.</div><ul><li>item one</li></ul><div id="comments"><p>Nice text, thank you all for it.</p></div></article>
