@@ -109,7 +109,7 @@ def overlay(base: DataFrame, own: DataFrame, keys: list[str], default: str) -> D
     merged = base.alias("b").join(own.alias("o"), keys, "full").select(*keys, F.coalesce("o.value", "b.value").alias("value"))
     country, key = keys
     fall = merged.where(F.col(country) == default).select(key, F.col("value").alias("_d"))
-    grid = merged.select(country).distinct().crossJoin(F.broadcast(fall.limit(10_000)))  # a configuration's keys, not data
+    grid = merged.select(country).distinct().crossJoin(fall)
     return grid.join(merged, keys, "left").select(country, key, F.coalesce("value", "_d").alias("value")).unionByName(merged.join(fall.select(key), key, "left_anti").select(country, key, "value"))
 
 

@@ -37,7 +37,7 @@ def config_for(urls: DataFrame, configs: DataFrame) -> DataFrame:
     parts = F.split(host(F.col("url")), r"\.")
     tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts) - k + 1), "."))
     tried = urls.select("url", F.posexplode(tails).alias("k", "domain"))
-    return tried.join(F.broadcast(configs.limit(100_000)), "domain").groupBy("url").agg(F.min_by("config", "k").alias("config"))
+    return tried.join(configs, "domain").groupBy("url").agg(F.min_by("config", "k").alias("config"))
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -20,3 +20,17 @@ def test_csv(spark, tmp_path):
     (folder / "after.csv").write_text("﻿title,n\n\"a\nb\",1\n", encoding="utf-8")
     assert files.read_csv(spark, str(folder / "after.csv")).collect()[0]["title"] == "a\nb"
     assert [r["run_id"] for r in files.run_files(spark, str(tmp_path / "runs")).collect()] == ["run1"]
+
+
+def test_configurations_have_no_cap(spark):
+    from pyspark.sql import functions as F
+
+    from gazette.operators import store
+
+    base = spark.range(10_050).select(F.lit(0).alias("country"), F.col("id").cast("string").alias("key"), F.lit("d").alias("value"))
+    own = spark.range(10_050).select(F.lit(1).alias("country"), F.col("id").cast("string").alias("key"), F.lit("own").alias("value"))
+    got = {(r[0], r[1]): r[2] for r in store.overlay(base, own, ["country", "key"], 0).groupBy("country", "value").count().select("country", "value", "count").collect()}
+    assert got == {(0, "d"): 10_050, (1, "own"): 10_050}
+    configs = spark.range(100_050).select(F.concat(F.lit("h"), F.col("id"), F.lit(".example")).alias("domain"), F.lit("{}").alias("config"))
+    urls = configs.select(F.concat(F.lit("https://"), F.col("domain"), F.lit("/a")).alias("url"))
+    assert files.config_for(urls, configs).count() == 100_050
