@@ -1,17 +1,22 @@
 """N-gram Jaccard join: a blocked sparse product of the document by n-gram incidence matrix.
 
 The incidence matrix is cut into tiles (a chunk of documents by a range of n-gram fingerprints). A block of columns adds up,
-for each class of equal documents, how many of its n-grams some other class holds as well. A document can only link when
-at least the threshold's share of its n-grams is met elsewhere, so all others leave at once, and with them the work. For
-the rest, the n-grams of the size-derived prefix give posting lists; a pair whose sizes differ too much is dropped, each
-remaining pair's overlap is counted on whole sets.
+for each class of equal documents, how many of its n-grams some other class holds as well; these counts leave packed by ranges
+of classes and are added range by range. A document can only link when at least the threshold's share of its n-grams is met
+elsewhere, so all others leave at once, and with them the work. For the rest, the n-grams of the size-derived prefix give
+posting lists; a pair whose sizes differ too much is dropped, each remaining pair's overlap is counted on whole sets.
 
 Groups of near copies never become all pairs: each posting list is compared with one pivot, what links is contracted, and
-only pairs that still stand in different components are compared afterwards. No link between different components is lost.
+only pairs that still stand in different components are compared afterwards, a long list in tiles of bounded size whose bands of
+sizes can meet. No link between different components is lost.
 
 Cases: null and empty texts, and texts without words, have no n-gram and are their own component. A text of fewer words than
-the n-gram's width is one n-gram. Rows with equal sets (repeated rows as well) link. Tables may be empty; columns other than
-the two named ones are not read. A null id is kept, and stands for itself unless another row has an equal set.
+the n-gram's width is one n-gram. Rows with equal sets (repeated rows as well) link, whatever their ids: rows are linked, not ids,
+so an id with two texts can be in two components. A row with a null id takes part; its component is the smallest id that it
+reaches, null if there is none. Tables may be empty; columns other than the two named ones are not read. A very long text is a
+chunk of its own.
+
+Classes of equal documents are told apart by 128 bits. N-grams, and the classes within a posting list, have 64.
 """
 
 from __future__ import annotations
@@ -28,14 +33,18 @@ from .shared import components, drop, table
 
 #: Entries of the incidence matrix that one column block should hold, and the share (in 256ths) of the fingerprints tiled
 #: (bounds hold for any share; a smaller one shuffles less and prunes less).
-BLOCK_ENTRIES = 4_000_000
+BLOCK_ENTRIES = 2_000_000
 UNIVERSE = 256
-#: Ids that may be broadcast (8 bytes each, checked before); beyond it the join shuffles.
-BROADCAST_IDS = 1_000_000
-#: Rounds of comparing with pivots before all pairs of different components are compared.
+#: Rows of members that one range of classes should hold, and the ranges there are at least.
+RANGE_ROWS = 1_000_000
+MIN_RANGES = 64
+#: Rows of ids and hashes that may be broadcast (32 bytes each, checked before); beyond it the join shuffles.
+BROADCAST_ROWS = 500_000
+#: Rounds of comparing with pivots before all pairs of different components are compared, and rows of a tile's side then.
 PIVOT_ROUNDS = 4
+TILE_ROWS = 1_000
 
-_MEMBER = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("held", pa.int64()), ("cls", pa.int64())])
+_MEMBER = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("held", pa.int64()), ("cls", pa.int64()), ("mark", pa.int64())])
 
 
 def _held(tokens: np.ndarray) -> int:
@@ -47,9 +56,8 @@ def _members(width: int):
         for batch in batches:
             for part in K.chunks(batch):
                 sets = K.shingle_sets(part, width=width)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_held(s) for s in sets], pa.int64()), pa.array([K.set_id(s) if len(s) else None for s in sets], pa.int64())], schema=_MEMBER
-                )
+                columns = [[len(s) for s in sets], [_held(s) for s in sets], [K.set_id(s) if len(s) else None for s in sets], [K.set_mark(s) if len(s) else None for s in sets]]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), *(pa.array(c, pa.int64()) for c in columns)], schema=_MEMBER)
 
     return run
 
@@ -93,8 +101,8 @@ def _tiles(blocks: int, width: int):
     return run
 
 
-def _met(tiles: pa.Table) -> pa.Table:
-    """(cls, met) of one column block."""
+def _block_counts(tiles: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of one column block, with how many of their n-grams some other class holds too."""
     tokens, owners, classes, sums, shared = [], [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
     for chunk in tiles.column("payload").chunks:
         for value in chunk:
@@ -122,32 +130,61 @@ def _met(tiles: pa.Table) -> pa.Table:
             met |= several[np.minimum(np.searchsorted(several, token), len(several) - 1)] == token
         classes.append(owner[met])
         sums.append(np.ones(int(met.sum()), dtype=np.int64))
-    cls, index = np.unique(np.concatenate(classes), return_inverse=True)
-    total = np.bincount(index, weights=np.concatenate(sums), minlength=len(cls)).astype(np.int64)
-    return pa.table({"cls": cls, "met": total})
+    return _add(np.concatenate(classes), np.concatenate(sums))
+
+
+def _add(cls: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    cls, index = np.unique(cls, return_inverse=True)
+    return cls, np.bincount(index, weights=counts, minlength=len(cls)).astype(np.int64)
+
+
+def _met(ranges: int):
+    """Rows (part, payload) of one column block: the counts of each range of classes, packed."""
+
+    def run(tiles: pa.Table) -> pa.Table:
+        cls, met = _block_counts(tiles)
+        part = ((cls.view(K.U64) >> K.U64(32)) * K.U64(ranges)) >> K.U64(32)
+        order = np.argsort(part, kind="stable")
+        part, cls, met = part[order], cls[order], met[order].astype(np.uint32)
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]]) if len(part) else np.zeros(1, np.int64)
+        rows = [(int(part[a]), cls[a:b].tobytes() + met[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "payload": pa.array([r[1] for r in rows], pa.binary())})
+
+    return run
+
+
+def _sum_met(packed: pa.Table) -> pa.Table:
+    """(cls, met) of one range of classes, over all blocks."""
+    raw = [v.as_buffer() for chunk in packed.column("payload").chunks for v in chunk]
+    sizes = [len(r) // 12 for r in raw]
+    cls = np.concatenate([np.frombuffer(r, dtype=np.int64, count=n) for r, n in zip(raw, sizes, strict=True)])
+    met = np.concatenate([np.frombuffer(r, dtype=np.uint32, offset=8 * n) for r, n in zip(raw, sizes, strict=True)])
+    cls, met = _add(cls, met)
+    return pa.table({"cls": cls, "met": met})
 
 
 def _sets(width: int):
-    """(rep, n, tokens) of the wanted representatives; a row whose id is repeated with another text is passed over."""
-    schema = pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary())])
+    """(node, n, tokens) of the wanted classes; a row that shares id and hash with another text is passed over."""
+    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in K.chunks(batch):
-                rows = [(r, len(s), s.tobytes()) for r, c, s in zip(part.column("rep").to_pylist(), part.column("cls").to_pylist(), K.shingle_sets(part, width=width), strict=True) if len(s) and K.set_id(s) == c]
+                wanted = zip(part.column("cls").to_pylist(), part.column("mark").to_pylist(), K.shingle_sets(part, width=width), strict=True)
+                rows = [(c, len(s), s.tobytes()) for c, m, s in wanted if len(s) and K.set_id(s) == c and K.set_mark(s) == m]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(schema.types)], schema=schema)
 
     return run
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("token", pa.int64()), ("rep", pa.int64()), ("n", pa.int64())])
+    schema = pa.schema([("token", pa.int64()), ("node", pa.int64()), ("n", pa.int64())])
     for batch in batches:
         for at in range(0, batch.num_rows, 200):
             part = batch.slice(at, 200)
             tokens = [np.frombuffer(v.as_buffer(), dtype=np.int64) for v in part.column("tokens")]
             sizes = [len(t) for t in tokens]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.repeat(part.column("rep").to_numpy(), sizes)), pa.array(np.repeat(part.column("n").to_numpy(), sizes))], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.repeat(part.column("node").to_numpy(), sizes)), pa.array(np.repeat(part.column("n").to_numpy(), sizes))], schema=schema)
 
 
 def _overlaps(percent: int):
@@ -172,46 +209,62 @@ def _overlaps(percent: int):
 
 
 def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = 80, width: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id of each row: documents link when 100 * intersection >= percent * union of their n-grams.
+    """doc_id, n_shingles, component_id of each row: documents link when 100 * intersection >= percent * union of their n-grams."""
+    return linked_rows(docs, id_column, text_column, percent, width).select("doc_id", "n_shingles", "component_id")
+
 
-    Fingerprints have 64 bits; the overlap of a pair is counted on them.
+def linked_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = 80, width: int = 5) -> DataFrame:
+    """doc_id, text_hash (xxhash64 of the text), n_shingles, component_id and component of each row.
+
+    component: one number for all rows of a component, null for rows without an n-gram.
     """
-    spark = docs.sparkSession
-    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    members = table(texts.mapInArrow(_members(width), "doc_id long, n long, held long, cls long"), "members")
-    total = members.agg(F.sum("n")).first()[0] or 0
+    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(F.col(text_column)).alias("h"), F.col(text_column).alias("text"))
+    members = table(texts.mapInArrow(_members(width), "doc_id long, h long, n long, held long, cls long, mark long"), "members")
+    total, rows = members.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     blocks = max(1, -(-total * UNIVERSE // 256 // BLOCK_ENTRIES))
-    classes = members.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("held").alias("held"))
+    ranges = max(MIN_RANGES, -(-rows // RANGE_ROWS))
+    # The row that stands for a class: the smallest id, one with an id if there is any.
+    rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("rep")
+    classes = members.where("n > 0").groupBy("cls", "mark").agg(rep, F.first("n").alias("n"), F.first("held").alias("held"))
 
     # At most n - ceil(percent * n / 100) n-grams of a linked class are not in the other one, in all and among those tiled.
     bound = F.expr(f"held - (n - (n * {percent} + 99) div 100)")
     tiles = texts.select("text").mapInArrow(_tiles(blocks, width), "block int, payload binary")
-    met = tiles.groupBy("block").applyInArrow(_met, "cls long, met long").groupBy("cls").agg(F.sum("met").alias("met"))
-    close = table(classes.join(met, "cls", "left").where(F.coalesce("met", F.lit(0)) >= bound).where("rep is not null").select("rep", "cls"), "close")
-    wanted = close.withColumnRenamed("rep", "doc_id").withColumn("rep", F.col("doc_id")).select("doc_id", "rep", "cls")
-    if close.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    sets = table(texts.join(wanted, "doc_id").select("rep", "cls", "text").mapInArrow(_sets(width), "rep long, n long, tokens binary"), "sets")
+    met = tiles.groupBy("block").applyInArrow(_met(ranges), "part int, payload binary").groupBy("part").applyInArrow(_sum_met, "cls long, met long")
+    close = classes.join(met, "cls", "left").where(F.coalesce("met", F.lit(0)) >= bound)
+    close = table(close.select(F.col("rep.doc_id").alias("rep_id"), F.col("rep.h").alias("rep_h"), "cls", "mark"), "close")
+    asked = close.count()
+    wanted = F.broadcast(close) if asked <= BROADCAST_ROWS else close
+    own = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("h") == F.col("rep_h")))
+    sets = table(own.select("cls", "mark", "text").mapInArrow(_sets(width), "node long, n long, tokens binary"), "sets")
+    if sets.count() > asked:  # repeated rows
+        repeated, sets = sets, table(sets.dropDuplicates(["node"]), "sets")
+        drop(repeated)
 
     # Posting lists of the prefix: a document's n-grams from the rarest on, those that it alone holds first of all; one more than
     # a partner may lack. If this n-gram is the first one that a pair shares, it shares at most what follows on either side, so
     # the partner has ``most`` n-grams at most.
-    entries = sets.select("rep", "n", "tokens").mapInArrow(_entries, "token long, rep long, n long").repartition("token")
+    entries = sets.select("node", "n", "tokens").mapInArrow(_entries, "token long, node long, n long")
     spread = entries.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    held = entries.join(spread, "token").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
+    held = entries.join(spread, "token").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
     held = held.withColumn("keep", F.expr(f"size(t) - (n * {percent} + 99) div 100 + 1")).where("keep > 0")
-    kept = held.select("rep", "n", F.size("t").alias("met"), F.posexplode(F.expr("slice(t, 1, int(keep))")).alias("pos", "t"))
-    kept = kept.select("rep", "n", F.expr(f"(met - pos) * {100 + percent} div {percent} - n").alias("most"), "t.token", "t.df").repartition("token")
+    kept = held.select("node", "n", F.size("t").alias("met"), F.posexplode(F.expr("slice(t, 1, int(keep))")).alias("pos", "t"))
+    kept = table(kept.select("node", "n", F.expr(f"(met - pos) * {100 + percent} div {percent} - n").alias("most"), "t.token", "t.df"), "prefixes")
     # Of lists with the same classes the first one in that order is enough.
-    lists = kept.groupBy("token").agg(F.count("*").alias("k"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("sign"), F.min("rep").alias("low"), F.first("df").alias("df")).where("k > 1")
+    lists = kept.groupBy("token").agg(F.count("*").alias("k"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sign"), F.min("node").alias("low"), F.first("df").alias("df")).where("k > 1")
     lists = lists.groupBy("k", "sign", "low").agg(F.min(F.struct("df", "token")).alias("first")).select("first.token")
     postings = table(kept.join(lists, "token"), "postings")
-    labels = _link(postings, sets, percent)
-    drop(close, sets, postings)
+    labels = table(_link(postings, sets, percent), "labels")
+    drop(close, sets, kept, postings)
 
-    rep = members.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"))
-    named = rep.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("cls", F.coalesce("component", "rep").alias("component"))
-    return members.join(named, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    known = members.where("n > 0").groupBy("cls", "mark").agg(F.min("doc_id").alias("low"))
+    labels = labels.union(labels.select(F.col("component").alias("node"), "component")).distinct()
+    linked = known.join(labels, F.col("cls") == F.col("node")).select("cls", "component", "low")
+    low = linked.groupBy("component").agg(F.min("low").alias("component_id"))
+    linked = linked.join(low, "component").select("cls", "component", "component_id").distinct()
+    named = known.join(linked, "cls", "left").select("cls", "mark", F.coalesce("component", "cls").alias("component"), F.when(F.col("component").isNull(), F.col("low")).otherwise(F.col("component_id")).alias("component_id"))
+    out = members.join(named, ["cls", "mark"], "left")
+    return out.select("doc_id", F.col("h").alias("text_hash"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "component")
 
 
 def _link(postings: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -219,18 +272,18 @@ def _link(postings: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     size = F.expr(f"x.n * {percent} <= y.n * 100 and y.n * {percent} <= x.n * 100 and y.n <= x.most and x.n <= y.most")
     volume = postings.count()
     # The original of a group of near copies shares the most of its n-grams with the most others: the first pivot of its lists.
-    common = table(postings.groupBy("rep").agg(F.sum("df").alias("common")), "common")
+    common = table(postings.groupBy("node").agg(F.sum("df").alias("common")), "common")
     links = labels = None
     before = float("inf")
     for turn in range(PIVOT_ROUNDS + 1):
         if labels is None:
-            now = postings.join(common, "rep").select("token", "rep", "n", "most", F.col("rep").alias("label"), F.col("common").alias("rank"))
+            now = postings.join(common, "node").select("token", "node", "n", "most", F.col("node").alias("label"), F.col("common").alias("rank"))
         else:
-            now = postings.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("token", "rep", "n", "most", F.coalesce("component", "rep").alias("label"), F.xxhash64("rep", F.lit(turn)).alias("rank"))
+            now = postings.join(labels, "node", "left").select("token", "node", "n", "most", F.coalesce("component", "node").alias("label"), F.xxhash64("node", F.lit(turn)).alias("rank"))
         now = table(now, "labelled")
         # Of two partners, the larger one's side allows for more than its own size: pairs are those of such a one and any other.
         counts = now.groupBy("token", "label").agg(F.count("*").cast("double").alias("c"), F.count_if(F.expr("most >= n")).cast("double").alias("k"))
-        counts = counts.groupBy("token").agg((F.sum("c") * F.sum("k") - F.sum(F.col("c") * F.col("k"))).alias("open"))
+        counts = counts.groupBy("token").agg((F.sum("c") * F.sum("k") - F.sum(F.col("c") * F.col("k"))).alias("open"), F.sum("c").alias("c")).where("open > 0")
         left = counts.agg(F.sum("open")).first()[0] or 0
         if left == 0:
             drop(now)
@@ -238,12 +291,12 @@ def _link(postings: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         last = left <= 4 * volume or left > before / 2 or turn == PIVOT_ROUNDS
         before = left
         if last:
-            pairs = now.where("most >= n").alias("x").join(now.alias("y"), "token").where("x.label <> y.label").where(size)
+            pairs = _tiled_pairs(now, counts.select("token", F.ceil(F.col("c") / TILE_ROWS).cast("int").alias("s")), percent).where("x.label <> y.label").where(size)
         else:
-            pivot = now.groupBy("token").agg(F.max(F.struct("rank", "rep", "n", "most", "label")).alias("p")).select("token", "p.rep", "p.n", "p.most", "p.label")
-            pairs = now.alias("x").join(pivot.alias("y"), "token").where("x.rep <> y.rep and x.label <> y.label").where(size)
-        pairs = pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-        own = sets.select(F.col("rep"), F.col("tokens"))
+            pivot = now.groupBy("token").agg(F.max(F.struct("rank", "node", "n", "most", "label")).alias("p")).select("token", "p.node", "p.n", "p.most", "p.label")
+            pairs = now.alias("x").join(pivot.alias("y"), "token").where("x.node <> y.node and x.label <> y.label").where(size)
+        pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+        own = sets.select("node", "tokens")
         pairs = pairs.join(own.toDF("a", "tokens_a"), "a").join(own.toDF("b", "tokens_b"), "b")
         found = table(pairs.select("a", "b", "tokens_a", "tokens_b").mapInArrow(_overlaps(percent), "a long, b long, overlap long"), "links")
         drop(now)
@@ -251,11 +304,24 @@ def _link(postings: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         labels = components(links)
         if last:
             break
+    drop(common)
     if labels is None:
         return postings.sparkSession.createDataFrame([], "node long, component long")
     return labels
 
 
+def _tiled_pairs(now: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs x, y of rows that share a token. A list of s * TILE_ROWS rows is cut into s * s tiles, each for one band of sizes and
+    the bands beside it; sizes of partners differ by less than a band."""
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.1 / percent))).cast("int")
+    rows = now.join(lists, "token").withColumn("at", F.expr("pmod(xxhash64(node), s)")).withColumn("band", F.when(F.col("s") > 1, band).otherwise(0))
+    every = F.expr("sequence(0, s - 1)")
+    x = rows.where("most >= n").withColumn("i", F.col("at")).withColumn("j", F.explode(every)).alias("x")
+    near = F.when(F.col("s") > 1, F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).otherwise(F.array(F.lit(0)))
+    y = rows.withColumn("j", F.col("at")).withColumn("i", F.explode(every)).withColumn("band", F.explode(near)).alias("y")
+    return x.join(y, ["token", "band", "i", "j"])
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op2: five-word shingles of ``documents``, linked from a Jaccard similarity of 0.8 on."""
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))

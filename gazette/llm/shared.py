@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,25 +22,45 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Folders that ``table`` wrote and nothing has deleted, in order.
+_written: list[str] = []
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """Writes a DataFrame as Parquet to the shared folder and reads it back: lineage ends here and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop(*frames: DataFrame | None) -> None:
     """Deletes tables that ``table`` wrote, once nothing reads them any more."""
     for df in frames:
         if df is None:
             continue
-        spark = df.sparkSession
-        base = shared_dir(spark)
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            if path.toUri().getPath().startswith(spark._jvm.org.apache.hadoop.fs.Path(base).toUri().getPath() + "/"):
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        names = {f.rsplit("/", 2)[1] for f in df.inputFiles()}
+        for folder in [w for w in _written if w.rsplit("/", 1)[1] in names]:
+            _delete(df.sparkSession, folder)
+            _written.remove(folder)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end every table written within: for work whose result has been written elsewhere by then."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        for folder in _written[before:]:
+            _delete(spark, folder)
+        del _written[before:]
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:

@@ -380,3 +380,33 @@ def test_pipeline(spark):
             assert {r["doc_id"]: r["decoded_sha256"] for r in kept} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in texts.items()}
         if len(docs.columns) > 4:
             assert docs.columns == pipe.COLUMNS
+
+
+def test_near_copies_by_row(spark):
+    """Rows are linked, not ids: nothing is lost whose component keeps no row."""
+    import corpus_pipeline as pipe
+
+    rng = np.random.default_rng(8)
+    words = lambda: [str(w) for w in rng.choice(["v%d" % i for i in range(500)], 80)]
+    a, b, c = words(), words(), words()
+    near = " ".join([*b[:-1], "edit"])
+    a, b, c = (" ".join(x) for x in (a, b, c))
+    rows = [(1, a), (5, a), (5, b), (7, near), (9, c), (9, c), (None, c), (None, a + " x"), (11, None), (12, ""), (12, ""), (None, "alone without an id at all")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r["doc_id"] or -1, r["text"] or "") for r in pipe.drop_near_copies(spark, docs, SF).collect())
+    assert got == sorted([(1, a), (5, b), (9, c), (11, ""), (12, ""), (12, ""), (-1, "alone without an id at all")])
+    assert pipe.drop_near_copies(spark, docs.limit(0), SF).count() == 0
+    linked = {(r["doc_id"], r["component_id"]) for r in ngram_join.jaccard_components(docs).collect()}
+    assert {(1, 1), (5, 1), (5, 5), (7, 5), (9, 9), (None, 9), (None, 1), (12, 12), (None, None)} <= linked
+
+
+def test_ngram_join_tiles_of_long_lists(spark, odd):
+    """Posting lists longer than a tile give the same links."""
+    rows, df = odd
+    before, ngram_join.TILE_ROWS = ngram_join.TILE_ROWS, 3
+    rounds, ngram_join.PIVOT_ROUNDS = ngram_join.PIVOT_ROUNDS, 0
+    try:
+        got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(df).collect() if r["doc_id"] is not None)
+    finally:
+        ngram_join.TILE_ROWS, ngram_join.PIVOT_ROUNDS = before, rounds
+    assert got == brute_components(rows)
