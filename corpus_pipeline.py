@@ -6,17 +6,23 @@ input. All but the last return the columns of documents.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazette.llm import bpe, decontamination, line_dedup, ngram_join, toxicity
-from gazette.llm.shared import table
+from gazette.llm.shared import scratch, shared_dir, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model predicts as toxic go; it is fitted to labelled rows of this stage's input."""
+    """Documents that the toxicity model predicts as toxic go; it is fitted to labelled rows of this stage's input.
+
+    Each row is judged by its whole text, repeated rows alike; null and empty texts get the model's intercept, which is no
+    toxic score. Without labelled rows nothing goes. An empty table gives none.
+    """
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score(docs, model, out="_score").where(F.col("_score") < toxicity.THRESHOLD).select(*COLUMNS)
 
@@ -28,20 +34,42 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays; of rows that share an id and are linked, one."""
-    linked = ngram_join.jaccard_components(docs)
-    gone = linked.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each group of linked rows the one with the smallest id stays (ties: the smaller hash of the text; then any one).
+
+    Rows are linked, not ids: of rows that share an id each is judged by its own text. Rows with no word (null, empty) are linked
+    with nothing and all stay; a row without an id stays if nothing that it is linked with has one. An empty table gives none.
+    """
+    linked = table(ngram_join.linked_rows(docs).where("component is not null"), "linked")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    first = linked.groupBy("component").agg(F.count("*").alias("rows"), F.min(order).alias("first")).where("rows > 1").select("component", "first.*").toDF("component", "none", "first_id", "first_hash")
+    joined = linked.join(first, "component").withColumn("stays", F.expr("doc_id <=> first_id and text_hash = first_hash"))
+    own = docs.select(*COLUMNS).withColumn("own_hash", F.xxhash64("text"))
+
+    def same(rows: DataFrame):
+        return own["doc_id"].eqNullSafe(rows["doc_id"]) & (own["own_hash"] == rows["text_hash"])
+
+    gone = joined.where("not stays").select("doc_id", "text_hash").distinct()
+    kept = own.join(gone, same(gone), "left_anti")
+    repeated = table(joined.where("stays").groupBy("doc_id", "text_hash").count().where("count > 1"), "repeated")
+    if repeated.isEmpty():
+        return kept.select(*COLUMNS)
+    once = kept.join(repeated, kept["doc_id"].eqNullSafe(repeated["doc_id"]) & (kept["own_hash"] == repeated["text_hash"]), "left_semi").dropDuplicates(["doc_id", "own_hash"])
+    others = kept.join(repeated, kept["doc_id"].eqNullSafe(repeated["doc_id"]) & (kept["own_hash"] == repeated["text_hash"]), "left_anti")
+    return others.union(once).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark item go."""
+    """Documents that contain a benchmark item go.
+
+    Rows that share an id are one document and go together; rows without an id, with null or empty text, or of an empty
+    benchmark stay. Long texts are searched whole.
+    """
     hits = decontamination.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
     return docs.join(hits, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of what stays."""
+    """Token counts and digests of what stays: one row a row, null texts as empty ones, long texts whole."""
     return bpe.round_trip(docs)
 
 
@@ -58,8 +86,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after the other over ``documents``."""
+    """The stages one after the other over ``documents``. What a stage wrote on its way goes when its result stands."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = table(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        with scratch(spark):
+            out = stage(spark, docs, sf_dir)
+            path = f"{shared_dir(spark)}/stage-{name.replace(' ', '-')}-{uuid.uuid4().hex}"
+            out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
     return docs
