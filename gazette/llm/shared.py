@@ -22,6 +22,14 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """A column name that none of ``columns`` has in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 #: Folders that ``table`` wrote and nothing has deleted, in order.
 _written: list[str] = []
 
