@@ -181,6 +181,15 @@ def test_wildcards(spark):
     assert len(learnt) == 3 and len({r["template"] for r in learnt}) == 1
 
 
+def test_crowded_leaf(spark):
+    """More unlike lines in one leaf than there are seeds: later turns place them."""
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 5))
+    rows = [(i, "all of them " + " ".join(word() for _ in range(9))) for i in range(40)]
+    rows += [(40 + i, rows[i][1].rsplit(" ", 1)[0] + " " + word()) for i in range(0, 40, 5)]
+    assert compare(spark.createDataFrame(rows, "doc_id long, text string"), rows) > 3
+
+
 def test_passages_inside_lines(spark):
     """A passage of over 50 words goes wherever it begins and ends, but for its edges."""
     rng = np.random.default_rng(4)
