@@ -58,7 +58,8 @@ class Plain:
                 if len(run) >= full:
                     self.runs.append((ident(run), i, j))
                     break
-            if len(piece) < full:
+            ends = i == len(self.pieces) - 1 or self.pieces[i + 1][0] != self.pieces[i][0]
+            if len(piece) < full and ends:
                 run = []
                 for j in range(i, -1, -1):
                     run = self.pieces[j][1] + run
