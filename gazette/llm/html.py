@@ -1,15 +1,17 @@
 """Main-text extraction by minimum-cut labelling of a page's blocks.
 
-A page is cut into text blocks. A logistic classifier over each block's text (length, links, punctuation, place) and the hints
-of its markup give two costs, of calling it content and of calling it boilerplate: the capacities of its edges to source and
-sink. Neighbours in the page, and blocks near in the document tree, are tied by smoothness edges. A maximum flow finds the
-cheapest labelling; blocks on the source's side are the main text.
+A page is cut into text blocks. A logistic classifier over each block's text (length, links, punctuation, place) and markup (the
+elements, roles and names around it) gives its log-odds of being content: the capacity of its edge to source or sink. Neighbours in
+the page, and blocks near in the document tree, are tied by smoothness edges, as strong as such neighbours were alike in training.
+A maximum flow finds the cheapest labelling; blocks on the source's side are the main text.
 
 Nodes whose own cost outweighs all their ties take their label first, which changes no minimum cut, and the flow runs over the
-rest. The classifier is trained on the blocks of at most ``SAMPLE_PAGES`` pages whose markup says what they are.
+rest. The classifier starts from prior weights and is trained on the blocks of at most ``SAMPLE_PAGES`` pages whose elements say what
+they are, once as they stand and once with the markup taken away, so that its text features hold where there is none.
 
 Cases: a null, empty or unparsable page, or one without text, gives an empty text. Unclosed and misnested tags close where the
-next fitting end tag or block begins. Repeated rows are extracted one by one; other columns are not read.
+next fitting end tag or block begins; a tag with an unclosed quote ends at its next bracket, one without a bracket at the page's
+end. Very long pages are read whole. Repeated rows are extracted one by one; an empty table gives none; other columns are not read.
 """
 
 from __future__ import annotations
@@ -18,21 +20,20 @@ import re
 from collections import deque
 from collections.abc import Iterator
 from html import unescape
-from math import exp, log1p
+from math import log, log1p
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Pages that the classifier sees at most.
 SAMPLE_PAGES = 400
-#: Cost of going against a markup hint, of a hint of a class or id name, and the bound of the text classifier's say.
-MARKUP, NAMED, SPOKEN = 8.0, 8.0, 2.0
-#: Ties of neighbours: in the same element, in the same section, elsewhere.
-SAME_PARENT, SAME_SECTION, APART = 1.5, 0.8, 0.1
+#: Share of the log-ratio of like to unlike neighbours that their tie has.
+SMOOTH = 0.25
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*+)(?:((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|([^>]*+)(?:>|\Z))",
     re.DOTALL,
 )
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|([^\s=/\"'<>]+)")
@@ -52,53 +53,58 @@ _ROLES = {"navigation": -1, "banner": -1, "contentinfo": -1, "complementary": -1
 
 
 class Block:
-    """One run of text between block tags."""
+    """One run of text between block tags. marks: what its surroundings are (see ``MARKS``)."""
 
-    __slots__ = ("text", "links", "hint", "parent", "section", "heading")
+    __slots__ = ("text", "links", "marks", "parent", "section", "heading")
 
-    def __init__(self, text: str, links: int, hint: float, parent: int, section: int, heading: bool):
-        self.text, self.links, self.hint, self.parent, self.section, self.heading = text, links, hint, parent, section, heading
+    def __init__(self, text: str, links: int, marks: tuple[int, ...], parent: int, section: int, heading: bool):
+        self.text, self.links, self.marks, self.parent, self.section, self.heading = text, links, marks, parent, section, heading
 
 
-def _hint(tag: str, attributes: str, inside: float) -> tuple[float, bool]:
-    """What an element's markup says (over 0: content), and whether it is hidden. inside: what its surroundings say."""
+#: What surrounds a block: an element or role of boilerplate, a name of it, an element or role of content, a name of it.
+MARKS = ("against", "named_against", "for", "named_for")
+
+
+def _marks(tag: str, attributes: str, inside: tuple[int, ...]) -> tuple[tuple[int, ...], bool]:
+    """The marks within an element, and whether it is hidden. inside: the marks around it. A header within content is part of it,
+    and an element of content is no boilerplate for its own name."""
     said = {}
     for m in _ATTRIBUTE.finditer(attributes):
         name = (m[1] or m[5] or "").lower()
         said.setdefault(name, m[2] or m[3] or m[4] or "")
     hidden = "hidden" in said or said.get("aria-hidden", "").lower() == "true" or "display:none" in re.sub(r"\s", "", said.get("style", "").lower())
-    names = {w for k in ("class", "id") for w in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", said.get(k, "")).lower()) if w}
-    role = _ROLES.get(said.get("role", "").lower(), 0)
     if tag in ("html", "body"):
-        return 0.0, hidden
-    if tag == "header" and inside > 0:
         return inside, hidden
-    if tag in _AGAINST or role < 0:
-        return -MARKUP, hidden
-    if names & _NAMES_AGAINST and tag not in _FOR:
-        return -NAMED, hidden
-    if inside < 0:
-        return inside, hidden
-    if tag in _FOR or role > 0 or names & _NAMES_FOR:
-        return MARKUP, hidden
-    return inside, hidden
+    names = {w for k in ("class", "id") for w in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", said.get(k, "")).lower()) if w}
+    role = _ROLES.get(said.get("role", "").lower(), 0)
+    against, named, content, called = inside
+    within = (content or called) and not (against or named)
+    if (tag in _AGAINST and not (tag == "header" and within)) or role < 0:
+        against = 1
+    elif names & _NAMES_AGAINST and tag not in _FOR and not (tag == "header" and within):
+        named = 1
+    elif tag in _FOR or role > 0:
+        content = 1
+    elif names & _NAMES_FOR:
+        called = 1
+    return (against, named, content, called), hidden
 
 
 def blocks(html: str) -> list[Block]:
     """The text blocks of a page in order: markup, scripts, styles and hidden parts are gone, references decoded."""
     found: list[Block] = []
-    stack: list[tuple[str, float, int, int, bool]] = [("", 0.0, 0, 0, False)]  # tag, hint, element, section, dropped
+    stack: list[tuple[str, tuple[int, ...], int, int, bool]] = [("", (0, 0, 0, 0), 0, 0, False)]  # tag, marks, element, section, dropped
     texts: list[str] = []
     links = in_link = serial = 0
 
     def close():
         nonlocal texts, links
         if texts:
-            tag, hint, element, section, dropped = stack[-1]
+            tag, marks, element, section, dropped = stack[-1]
             text = " ".join("".join(texts).split())
             if text and not dropped:
                 parent = stack[-2][2] if tag in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "th", "dd", "dt", "blockquote", "pre") and len(stack) > 1 else element
-                found.append(Block(text, min(links, len(text)), hint, parent, section, tag in ("h1", "h2", "h3", "h4", "h5", "h6")))
+                found.append(Block(text, min(links, len(text)), marks, parent, section, tag in ("h1", "h2", "h3", "h4", "h5", "h6")))
             texts, links = [], 0
 
     at, end = 0, len(html)
@@ -115,7 +121,7 @@ def blocks(html: str) -> list[Block]:
         at = m.end()
         if not m[2]:
             continue
-        tag = m[2].lower()
+        tag, said = m[2].lower(), m[3] if m[3] is not None else m[4]
         if m[1]:
             if tag == "a":
                 in_link = 0
@@ -129,7 +135,7 @@ def blocks(html: str) -> list[Block]:
                     break
             continue
         if tag in _RAW:
-            if tag in ("title", "svg", "math") or not m[3].rstrip().endswith("/"):
+            if tag in ("title", "svg", "math") or not said.rstrip().endswith("/"):
                 over = re.compile(rf"</{re.escape(tag)}[^>]*>", re.IGNORECASE).search(html, at)
                 at = over.end() if over else end
             if tag not in ("svg", "math"):
@@ -154,49 +160,89 @@ def blocks(html: str) -> list[Block]:
         if tag == "body" and any(x[0] == "head" for x in stack):
             del stack[next(k for k, x in enumerate(stack) if x[0] == "head") :]
         _, inside, _, section, dropped = stack[-1]
-        hint, hidden = _hint(tag, m[3], inside)
+        marks, hidden = _marks(tag, said, inside)
         serial += 1
-        if hint != inside or tag in ("section", "article", "main", "aside", "nav", "header", "footer"):
+        if marks != inside or tag in ("section", "article", "main", "aside", "nav", "header", "footer"):
             section = serial
-        stack.append((tag, hint, serial, section, dropped or hidden or tag in _SKIPPED))
+        stack.append((tag, marks, serial, section, dropped or hidden or tag in _SKIPPED))
     close()
     return found
 
 
-def features(found: list[Block]) -> np.ndarray:
-    """What the classifier sees of each block: its text and place, none of its markup."""
+def features(found: list[Block], markup: bool = True) -> np.ndarray:
+    """What the classifier sees of each block: its text and place, and (with ``markup``) what surrounds it."""
     n = len(found)
     rows = []
     for i, b in enumerate(found):
         words = b.text.count(" ") + 1
         near = [found[j].text.count(" ") + 1 for j in (i - 1, i + 1) if 0 <= j < n]
-        rows.append((1.0, log1p(words), min(b.links / len(b.text), 1.0), float(b.text[-1] in ".!?\"'”»…"), i / max(1, n - 1), log1p(sum(near) / max(1, len(near))), float("©" in b.text or "|" in b.text)))
-    return np.array(rows).reshape(-1, 7)
+        own = (1.0, log1p(words), min(b.links / len(b.text), 1.0), float(b.text[-1] in ".!?\"'”»…"), i / max(1, n - 1), log1p(sum(near) / max(1, len(near))), float("©" in b.text or "|" in b.text))
+        rows.append((*own, *(b.marks if markup else (0,) * len(MARKS))))
+    return np.array(rows, dtype=float).reshape(-1, 7 + len(MARKS))
+
 
+#: The classifier's prior weights: longer, linkless, punctuated text is content; elements, roles and names say more than text.
+PRIOR = (-2.0, 0.6, -3.0, 0.8, 0.0, 0.3, -1.0, -14.0, -14.0, 7.0, 7.0)
+#: Ties of neighbours where no page is there to learn from: in the same element, in the same section, elsewhere.
+DEFAULT_TIES = (1.5, 0.8, 0.0)
 
-#: The classifier's weights where no page is there to learn from: longer, linkless, punctuated text is content.
-DEFAULT_WEIGHTS = (-2.0, 0.6, -3.0, 0.8, 0.0, 0.3, -1.0)
 
+class Model:
+    """Weights of the classifier, and the ties of its three kinds of neighbours."""
 
-def train(pages: list[str], l2: float = 1e-3) -> tuple[float, ...]:
-    """Weights of a logistic regression from the blocks of pages whose markup says what they are."""
-    rows, target = [], []
+    __slots__ = ("weights", "ties")
+
+    def __init__(self, weights: tuple[float, ...] = PRIOR, ties: tuple[float, ...] = DEFAULT_TIES):
+        self.weights, self.ties = weights, ties
+
+    def __reduce__(self):
+        return Model, (self.weights, self.ties)
+
+
+def told(b: Block) -> int:
+    """What a block's markup says without doubt: 1 content, -1 boilerplate, 0 nothing."""
+    return -1 if b.marks[0] or b.marks[1] else 1 if b.marks[2] or b.marks[3] else 0
+
+
+def neighbours(found: list[Block]) -> list[tuple[int, int, int]]:
+    """(i, j, kind): blocks that follow each other, and those of one element with others between them."""
+    pairs, last = [], {}
+    for i, b in enumerate(found):
+        if i:
+            a = found[i - 1]
+            pairs.append((i - 1, i, 0 if a.parent == b.parent else 1 if a.section == b.section else 2))
+        if b.parent in last and last[b.parent] != i - 1:
+            pairs.append((last[b.parent], i, 0))
+        last[b.parent] = i
+    return pairs
+
+
+def train(pages: list[str], l2: float = 1e-3) -> Model:
+    """A logistic regression, drawn to its prior, from the blocks whose markup says what they are; ties from their neighbours."""
+    rows, target, like = [], [], [[0, 0] for _ in DEFAULT_TIES]
     for html in pages:
         found = blocks(html)
-        if found and any(b.hint > 0 for b in found) and any(b.hint < 0 for b in found):
-            keep = [i for i, b in enumerate(found) if b.hint]
-            rows.append(features(found)[keep])
-            target += [float(found[i].hint > 0) for i in keep]
+        says = [told(b) for b in found]
+        if 1 not in says or -1 not in says:
+            continue
+        keep = [i for i, t in enumerate(says) if t]
+        for markup in (True, False):
+            rows.append(features(found, markup)[keep])
+            target += [float(says[i] > 0) for i in keep]
+        for i, j, kind in neighbours(found):
+            if says[i] and says[j]:
+                like[kind][says[i] == says[j]] += 1
     if not rows:
-        return DEFAULT_WEIGHTS
+        return Model()
     x, y = np.concatenate(rows), np.array(target)
-    w = np.array(DEFAULT_WEIGHTS)
+    prior = np.array(PRIOR)
+    w = prior.copy()
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (p - y) / len(y) + l2 * w
+        slope = x.T @ (p - y) / len(y) + l2 * (w - prior)
         bend = (x * (p * (1 - p))[:, None]).T @ x / len(y) + (l2 + 1e-6) * np.eye(x.shape[1])
         w = w - np.linalg.solve(bend, slope)
-    return tuple(float(v) for v in w)
+    return Model(tuple(float(v) for v in w), tuple(SMOOTH * max(0.0, log((same + 1) / (other + 1))) for other, same in like))
 
 
 def min_cut(own: list[float], ties: list[tuple[int, int, float]]) -> list[bool]:
@@ -252,34 +298,29 @@ def min_cut(own: list[float], ties: list[tuple[int, int, float]]) -> list[bool]:
     return [bool(x) for x in label]
 
 
-def main_text(html: str, weights: tuple[float, ...] = DEFAULT_WEIGHTS) -> str:
+def label(found: list[Block], model: Model, markup: bool = True) -> tuple[list[bool], list[float]]:
+    """(content or not, log-odds) of each block of a page."""
+    own = (features(found, markup) @ np.array(model.weights)).tolist()
+    return min_cut(own, [(i, j, model.ties[kind]) for i, j, kind in neighbours(found) if model.ties[kind]]), own
+
+
+def main_text(html: str, model: Model | None = None) -> str:
     """The content blocks of a page, joined by one space."""
     found = blocks(html)
     if not found:
         return ""
-    spoken = features(found) @ np.array(weights)
-    own = [b.hint + SPOKEN * (2 / (1 + exp(-max(-30.0, min(30.0, s)))) - 1) for b, s in zip(found, spoken.tolist(), strict=True)]
-    ties, last = [], {}
-    for i, b in enumerate(found):
-        if i:
-            a = found[i - 1]
-            ties.append((i - 1, i, SAME_PARENT if a.parent == b.parent else SAME_SECTION if a.section == b.section else APART))
-        if b.parent in last and last[b.parent] != i - 1:
-            ties.append((last[b.parent], i, SAME_PARENT))
-        last[b.parent] = i
-    return " ".join(b.text for b, keep in zip(found, min_cut(own, ties), strict=True) if keep)
+    return " ".join(b.text for b, keep in zip(found, label(found, model or Model())[0], strict=True) if keep)
 
 
 def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", sample: int = SAMPLE_PAGES) -> DataFrame:
-    """page_id, url, text, n_chars of each row. ``sample`` bounds the pages (smallest hashes of the id) the classifier sees."""
+    """page_id, url, text, n_chars of each row. ``sample`` bounds the pages (smallest hashes of id and page) the classifier sees."""
     rows = pages.select(F.col(id_column).alias("page_id"), F.col(url_column).alias("url"), F.col(html_column).alias("html"))
-    ids = rows.select("page_id").where("page_id is not null").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(sample)
-    seen = rows.join(F.broadcast(ids), "page_id").where("length(html) <= 200000").select("page_id", "html").orderBy("page_id", "html").limit(sample).collect()
-    weights = train([r["html"] for r in seen])
+    seen = rows.where("html is not null").select(F.xxhash64("page_id", "html").alias("h"), "html").orderBy("h").limit(sample).collect()
+    model = train([r["html"] for r in seen])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(h.as_py() or "", weights) for h in batch.column("html")]
+            texts = [main_text(h.as_py() or "", model) for h in batch.column("html")]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
