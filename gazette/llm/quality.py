@@ -9,7 +9,9 @@ candidate thresholds. Statistics and verdicts cover all rows.
 
 Cases: a null or empty text has no word and fails the base rule, as any text of fewer than 20 words. Without labels, or with
 one class only, the list is empty and the base rules decide. A repeated id in the labels takes its lowest quality. Repeated
-rows get equal verdicts; other columns stay, but for older ones of the added names.
+rows get equal verdicts; other columns stay, whatever their names, but for older ones of the added names in any case. Very long
+texts are read whole, as arrays of one row. Ties between conditions go to the first in the order of ratios and cuts. An empty table
+gives none.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import fresh
+
 SAMPLE_ROWS = 20_000
 MAX_RULES = 12
 MAX_CONDITIONS = 4
@@ -49,35 +53,40 @@ def statistics(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_distinct and n_digits of each text.
 
     Words are runs of characters other than ASCII white space. n_repeat_words counts the words that lie in some window of
-    eight words which occurs twice or more in the text. Windows are compared by 64-bit hashes.
+    eight words which occurs twice or more in the text. Windows are compared by 64-bit hashes of their words' hashes.
     """
     text = F.coalesce(F.col(text_column), F.lit(""))
     has_word = "[^ \\t-\\r]"
-    base = _let(docs, "_w", F.array_remove(F.split(F.regexp_replace(text, "[\\t-\\r]", " "), " "), ""))
-    base = _let(base, "_l", F.filter(F.split(text, "\n"), lambda x: x.rlike(has_word)))
-    n = F.size("_w")
-    base = _let(base, "_h", F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(F.col("_w"), i, WINDOW)))))
+    names: dict[str, str] = {}
+    for k in "wlxhop":
+        names[k] = fresh([*docs.columns, *names.values()], f"_{k}")
+    w, l, x, h, o, p = (names[k] for k in "wlxhop")
+    base = _let(docs, w, F.array_remove(F.split(F.regexp_replace(text, "[\\t-\\r]", " "), " "), ""))
+    base = _let(base, l, F.filter(F.split(text, "\n"), lambda y: y.rlike(has_word)))
+    n = F.size(w)
+    base = _let(base, x, F.when(n >= WINDOW, F.transform(w, lambda y: F.xxhash64(y))))
+    base = _let(base, h, F.when(n >= WINDOW, F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*(F.get(F.col(x), i + j) for j in range(WINDOW))))))
     # Windows in order of their hash; those with an equal neighbour are repeated.
-    order = F.sort_array(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    base = _let(base, "_o", F.when(F.size(F.array_distinct("_h")) < F.size("_h"), order))
+    order = F.sort_array(F.transform(h, lambda y, i: F.struct(y.alias("h"), i.alias("i"))))
+    base = _let(base, o, F.when(F.size(F.array_distinct(h)) < F.size(h), order))
     none = F.lit(-1)
     at = F.transform(
-        "_o",
-        lambda x, k: F.when((F.get(F.col("_o"), k - 1)["h"] == x["h"]) | (F.get(F.col("_o"), k + 1)["h"] == x["h"]), x["i"]).otherwise(none),
+        o,
+        lambda y, k: F.when((F.get(F.col(o), k - 1)["h"] == y["h"]) | (F.get(F.col(o), k + 1)["h"] == y["h"]), y["i"]).otherwise(none),
     )
-    base = _let(base, "_p", F.sort_array(F.array_remove(at, -1)))
-    covered = F.aggregate(F.transform("_p", lambda x, k: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col("_p"), k + 1), x + WINDOW) - x)), F.lit(0).cast("long"), lambda a, x: a + x)
+    base = _let(base, p, F.sort_array(F.array_remove(at, -1)))
+    covered = F.aggregate(F.transform(p, lambda y, k: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col(p), k + 1), y + WINDOW) - y)), F.lit(0).cast("long"), lambda a, y: a + y)
     out = {
         "n_words": n.cast("long"),
-        "word_chars": F.char_length(F.array_join("_w", "")).cast("long"),
+        "word_chars": F.char_length(F.array_join(w, "")).cast("long"),
         "n_symbols": F.char_length(F.regexp_replace(text, "[^#*$%&|<>]+", "")).cast("long"),
-        "n_lines": F.size("_l").cast("long"),
-        "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
+        "n_lines": F.size(l).cast("long"),
+        "n_dup_lines": (F.size(l) - F.size(F.array_distinct(l))).cast("long"),
         "n_repeat_words": F.coalesce(covered, F.lit(0).cast("long")),
-        "n_distinct": F.size(F.array_distinct("_w")).cast("long"),
+        "n_distinct": F.size(F.array_distinct(w)).cast("long"),
         "n_digits": F.char_length(F.regexp_replace(text, "[^0-9]+", "")).cast("long"),
     }
-    return base.select(*(F.col(c) for c in docs.columns if c not in out), *(v.alias(k) for k, v in out.items()))
+    return base.select(*(F.col(c) for c in docs.columns if c.lower() not in out), *(v.alias(k) for k, v in out.items()))
 
 
 def base_failed() -> Column:
@@ -165,6 +174,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     # rows is the bound of what is broadcast here, 12 bytes each.
     texts = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("text")).join(F.broadcast(known), "_id")
     names = list(RATIOS)
+    # Columns of the texts themselves are none here: nothing clashes with a ratio's name.
     table = statistics(texts).where(~base_failed()).select("_q", F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(3)).alias("_t"), *(F.expr(f"cast({e} as double)").alias(k) for k, e in RATIOS.items())).persist()
     found = table.agg(*(F.percentile_approx(k, [i / 64 for i in range(1, 64)], 4096).alias(k) for k in names)).first()
     cuts = [sorted(set(found[k] or [])) for k in names]
@@ -184,6 +194,7 @@ def verdict(rules: list[Rule]) -> Column:
 
 def judge(docs: DataFrame, rules: list[Rule], text_column: str = "text") -> DataFrame:
     """Adds the statistics, base_failed, rule and kept."""
+    docs = docs.drop("base_failed", "rule", "kept")
     out = statistics(docs, text_column).withColumn("base_failed", base_failed()).withColumn("rule", F.when(F.col("base_failed"), 0).otherwise(verdict(rules)))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
 
