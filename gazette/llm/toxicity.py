@@ -6,12 +6,16 @@ toxic and on clean rows; voters that still fire together within a class are corr
 regression over word and beginning features is then fitted to the posterior labels. It sees the text only: no label,
 language, source or id is an input of a score.
 
+Copies of one text that carry a wrong label would outvote the rest, so rows that share most of their rarest fingerprints are one
+group, and each of its rows weighs its share of one.
+
 The fit uses at most ``SAMPLE_ROWS`` labelled rows, chosen by a hash of the id among those that may be learnt from; everything
 else runs over all rows. Scoring looks words up in a table of ``FEATURES`` entries that goes along with the function.
 
 Cases: a null or empty text, or one without words, gets the score of the intercept. Without labelled rows, or with one class
 only, every score is that class's share. Repeated rows get equal scores; a repeated id in the labels counts as toxic if any
-of its rows does. Other columns of the texts are not read, and stay.
+of its rows does. Very long texts are read whole, one at a time; ties between tokens go to the smaller fingerprint; an empty table
+gives none. Rows without an id are scored, and never learnt from. Other columns of the texts are not read, and stay.
 """
 
 from __future__ import annotations
@@ -30,8 +34,13 @@ SAMPLE_ROWS = 10_000
 FEATURES = 4_096
 MINED = 256
 THRESHOLD = 0.7
+#: Smallest fingerprints by which labelled rows are compared, and how many of them copies share.
+SKETCH, COPIES_SHARE = 16, 8
+#: How sure the lift of a mined voter is (in standard errors), rows that it fires on at least, and the round of expectation
+#: maximisation, classes being apart by then, that measures which voters go together.
+SURE, LEAST, CORRELATED = 4.0, 5, 8
 #: Lengths in bytes of the word beginnings that count as features.
-BEGINNINGS = (4, 5)
+BEGINNINGS = (4, 5, 6)
 #: A general lexicon of insults and slurs against persons.
 LEXICON = (
     "idiot idiots moron morons stupid dumb dumbass imbecile cretin fool clown loser losers pathetic worthless disgusting trash scum garbage filth vermin pig pigs "
@@ -95,8 +104,8 @@ class Model:
 
 
 def held_out(id_column: str) -> Column:
-    """True for the third of the ids whose labels are never learnt from."""
-    return F.crc32(F.col(id_column).cast("string").cast("binary")) % 3 == 1
+    """True for the third of the ids whose labels are never learnt from; a row without an id is not in it."""
+    return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def _sample(docs: DataFrame, labels: DataFrame, id_column: str, text_column: str, rows: int) -> pa.Table:
@@ -125,18 +134,45 @@ def _sample(docs: DataFrame, labels: DataFrame, id_column: str, text_column: str
     return texts.select("text", "toxic").mapInArrow(run, "toxic int, tokens binary, marks int").toArrow()
 
 
-def _vote_model(votes: np.ndarray, label: np.ndarray, rounds: int = 30) -> np.ndarray:
-    """P(toxic) of each row from the voters (fires or abstains) and the given label, by expectation maximisation."""
-    share = float(np.clip(label.mean(), 0.01, 0.99))
-    p = np.where(label > 0, 0.9, 0.02 * np.ones(len(label)))
+def _row_weights(tokens: list[np.ndarray]) -> np.ndarray:
+    """1 over the number of labelled rows that are copies of each: rows whose sketches of smallest fingerprints mostly agree.
+
+    A row is compared with the first row of each group that shares a fingerprint of its sketch.
+    """
+    group = np.zeros(len(tokens), dtype=np.int64)
+    by_token: dict[int, list[int]] = {}
+    for i, t in enumerate(tokens):
+        sketch = np.sort(K.mix(t.astype(K.U64)))[:SKETCH].tolist()
+        shared: dict[int, int] = {}
+        for x in sketch:
+            for g in by_token.get(x, ()):
+                shared[g] = shared.get(g, 0) + 1
+        best = max(shared, key=lambda g: (shared[g], -g), default=None)
+        if best is not None and shared[best] * SKETCH >= COPIES_SHARE * max(1, len(sketch)):
+            group[i] = best
+        else:
+            group[i] = i
+            for x in sketch:
+                by_token.setdefault(x, []).append(i)
+    return 1.0 / np.bincount(group, minlength=len(tokens))[group]
+
+
+def _vote_model(votes: np.ndarray, label: np.ndarray, weight: np.ndarray, rounds: int = 30) -> np.ndarray:
+    """P(toxic) of each row from the voters (fires or abstains) and the given label, by expectation maximisation over weighted rows."""
+    share = float(np.clip(np.average(label, weights=weight), 0.01, 0.99))
+    # A label that some voter supports is believed at first, one that stands alone much less: where it is wrong, nothing else fires.
+    fired = votes.any(axis=1)
+    alone = 0.3 if (fired & (label > 0)).any() else 0.9
+    p = np.where(label > 0, np.where(fired, 0.9, alone), 0.02)
     power = np.ones(votes.shape[1])
     for turn in range(rounds):
-        pos, neg = p.sum() + 2, (1 - p).sum() + 2
-        fire = np.clip(np.stack([(votes.T @ (1 - p) + 0.1) / neg, (votes.T @ p + 0.1) / pos]), 1e-4, 1 - 1e-4)
-        told = np.clip([((1 - p) @ label + 1) / neg, (p @ label + 1) / pos], 1e-3, 1 - 1e-3)
-        if turn == 2:
+        one, none = weight * p, weight * (1 - p)
+        pos, neg = one.sum() + 2, none.sum() + 2
+        fire = np.clip(np.stack([(votes.T @ none + 0.1) / neg, (votes.T @ one + 0.1) / pos]), 1e-4, 1 - 1e-4)
+        told = np.clip([(none @ label + 1) / neg, (one @ label + 1) / pos], 1e-3, 1 - 1e-3)
+        if turn == CORRELATED:
             # Correlation of voters within each class; a voter in a clique of k correlated ones has 1/k of a vote.
-            rest = votes - np.outer(1 - p, fire[0]) - np.outer(p, fire[1])
+            rest = (votes - np.outer(1 - p, fire[0]) - np.outer(p, fire[1])) * np.sqrt(weight)[:, None]
             cov = rest.T @ rest
             norm = np.sqrt(np.diag(cov)) + 1e-9
             power = 1 / np.maximum(1, (np.abs(cov / np.outer(norm, norm)) > 0.3).sum(0))
@@ -145,21 +181,22 @@ def _vote_model(votes: np.ndarray, label: np.ndarray, rounds: int = 30) -> np.nd
         lose = power * np.log((1 - fire[1]) / (1 - fire[0]))
         odds = odds + votes @ (gain - lose) + lose.sum()
         new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-        share = float(np.clip(new.mean(), 1e-3, 1 - 1e-3))
-        if np.abs(new - p).max() < 1e-4:
+        share = float(np.clip(np.average(new, weights=weight), 1e-3, 1 - 1e-3))
+        if turn > CORRELATED and np.abs(new - p).max() < 1e-4:
             p = new
             break
         p = new
     return p
 
 
-def _logistic(rows: np.ndarray, cols: np.ndarray, target: np.ndarray, width: int, l2: float = 2e-4, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Weights and intercept of a logistic regression on 0/1 features, by Adam over all rows."""
+def _logistic(rows: np.ndarray, cols: np.ndarray, target: np.ndarray, weight: np.ndarray, width: int, l2: float = 2e-4, steps: int = 400) -> tuple[np.ndarray, float]:
+    """Weights and intercept of a logistic regression on 0/1 features of weighted rows, by Adam over all rows."""
     w = np.zeros(width + 1)
     first, second = np.zeros_like(w), np.zeros_like(w)
+    own = weight / weight.sum()
     for t in range(1, steps + 1):
         z = w[-1] + np.bincount(rows, weights=w[cols], minlength=len(target))
-        err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) / len(target)
+        err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) * own
         grad = np.append(np.bincount(cols, weights=err[rows], minlength=width) + l2 * w[:-1], err.sum())
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad * grad
         w -= 0.1 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-9)
@@ -179,15 +216,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     lexicon = _fingerprints(LEXICON)
     known, col = np.unique(np.concatenate([*tokens, lexicon]), return_inverse=True)
     col = col[: len(row)]
-    n1, n0 = label.sum(), (1 - label).sum()
-    k1 = np.bincount(col, weights=label[row], minlength=len(known))
-    k0 = np.bincount(col, minlength=len(known)) - k1
+    weight = _row_weights(tokens)
+    n1, n0 = (weight * label).sum(), (weight * (1 - label)).sum()
+    k1 = np.bincount(col, weights=(weight * label)[row], minlength=len(known))
+    k0 = np.bincount(col, weights=weight[row], minlength=len(known)) - k1
     lift = np.log((k1 + 0.5) / (n1 + 1)) - np.log((k0 + 0.5) / (n0 + 1))
     # How sure a token's lift is: its logarithm against its standard error.
     sure = lift / np.sqrt(1 / (k1 + 0.5) + 1 / (k0 + 0.5))
     rank = np.argsort(-np.abs(sure), kind="stable")
     rank = rank[((k1 + k0)[rank] >= 3) & (np.abs(sure[rank]) > 2.5)][:FEATURES]
-    mined = np.flatnonzero((sure > 3) & (k1 >= 3))
+    mined = np.flatnonzero((sure > SURE) & (k1 >= LEAST))
     mined = mined[np.argsort(-sure[mined], kind="stable")][:MINED]
     listed = np.flatnonzero(np.isin(known, lexicon))
     voters = np.unique(np.concatenate([mined, listed]))
@@ -198,7 +236,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     votes[row[fires], place[col[fires]]] = 1
     marks = sample.column("marks").to_numpy()
     votes[:, -2], votes[:, -1] = marks & 1, marks >> 1
-    truth = _vote_model(votes, label)
+    truth = _vote_model(votes, label, weight)
     place = np.full(len(known), -1)
     chosen = np.sort(np.unique(np.concatenate([rank, voters])))
     place[chosen] = np.arange(len(chosen))
@@ -209,7 +247,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     one, two = np.flatnonzero(words >= 1), np.flatnonzero(words >= 2)
     rows_used = np.concatenate([rows_used, one, two])
     cols_used = np.concatenate([cols_used, np.full(len(one), len(chosen)), np.full(len(two), len(chosen) + 1)])
-    weights, intercept = _logistic(rows_used, cols_used, truth, len(chosen) + 2)
+    weights, intercept = _logistic(rows_used, cols_used, truth, weight, len(chosen) + 2)
     return Model(known[chosen], weights[:-2], intercept, in_lexicon, (float(weights[-2]), float(weights[-1])))
 
 
