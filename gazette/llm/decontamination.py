@@ -8,9 +8,11 @@ negative. Documents that meet a sketch are candidates; for these, the item's shi
 DataFrame operations only. Documents are streamed through a lookup of the sketches, which are broadcast while they number at
 most ``BROADCAST_ROWS`` and joined by a shuffle beyond that; nothing grows with the square of anything.
 
-Cases: null and empty texts have no shingle, contain nothing and are in nothing. A text of fewer words than the shingle is one
-shingle, met only by the same short text. Rows that share an id are one document; rows without an id are not searched. Repeated
-items are one item if they share the id. Empty tables give no row. Other columns are not read.
+Items of fewer words than the shingle are one shingle of their own width, looked for among the runs of that width of all documents.
+
+Cases: null and empty texts have no shingle, contain nothing and are in nothing. Rows that share an id are one document; rows without
+an id are not searched. Repeated items are one item if they share the id. Very long texts are searched whole. Empty tables give no
+row. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import table
+
 #: Rows of sketches or candidates (16 bytes each) that may be broadcast.
 BROADCAST_ROWS = 1_000_000
 _SPACES = "\t\n\x0b\x0c\r"
@@ -30,14 +34,16 @@ def words(text: str) -> Column:
     return F.array_remove(F.split(flat, " "), "")
 
 
-def shingle_rows(df: DataFrame, key: str, width: int) -> DataFrame:
-    """(key, shingle hash h, shingle text s) of every run of ``width`` words; a shorter text's words are one run."""
-    w = df.select(F.col(key).alias("key"), words("text").alias("w")).where("size(w) > 0")
-    long = w.where(F.size("w") >= width).select("key", "w", F.explode(F.sequence(F.lit(0), F.size("w") - width)).alias("p"))
-    parts = [F.col("w")[F.col("p") + j] for j in range(width)]
-    rows = long.select("key", F.xxhash64(*parts).alias("h"), F.concat_ws(" ", *parts).alias("s"))
-    short = w.where(F.size("w") < width).select("key", F.xxhash64("w").alias("h"), F.array_join("w", " ").alias("s"))
-    return rows.union(short)
+def shingle_rows(df: DataFrame, key: str, widths: list[int]) -> DataFrame:
+    """(key, width, shingle hash h, shingle text s) of every run of each of the widths; a text of fewer words has none."""
+    w = df.select(F.col(key).alias("key"), words("text").alias("w"))
+    runs = None
+    for k in widths:
+        at = w.where(F.size("w") >= k).select("key", "w", F.explode(F.sequence(F.lit(0), F.size("w") - k)).alias("p"))
+        parts = [F.get("w", F.col("p") + j) for j in range(k)]
+        rows = at.select("key", F.lit(k).alias("width"), F.xxhash64(*parts).alias("h"), F.concat_ws(" ", *parts).alias("s"))
+        runs = rows if runs is None else runs.union(rows)
+    return runs
 
 
 def _fits(df: DataFrame) -> DataFrame:
@@ -48,18 +54,24 @@ def contaminated(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", t
     """doc_id, item_id, n_shingles (the item's), n_shared, containment: pairs with 100 * n_shared >= percent * n_shingles."""
     texts = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).where("doc_id is not null")
     asked = items.select(F.col(item_column).alias("item_id"), F.col(item_text).alias("text")).where("item_id is not null")
-
-    own = shingle_rows(asked, "item_id", width).distinct().withColumnRenamed("key", "item_id")
+    sized = asked.withColumn("k", F.least(F.lit(width), F.size(words("text"))))
+    # An item's width is its number of words where these are fewer: at most ``width`` values, most often one.
+    widths = sorted(r[0] for r in sized.select("k").where("k > 0").distinct().collect()) or [width]
+    own = None
+    for k in widths:
+        rows = shingle_rows(sized.where(F.col("k") == k), "item_id", [k])
+        own = rows if own is None else own.union(rows)
+    own = table(own.distinct().withColumnRenamed("key", "item_id"), "items")
     sizes = own.groupBy("item_id").agg(F.count("*").alias("n"))
     upper = F.pow(F.lit(2), F.floor(F.log2("n")) + 1).cast("long") - 1  # of the partition
     sketch = own.join(sizes, "item_id").withColumn("k", upper - F.ceil(upper * percent / 100) + 1)
-    sketch = sketch.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy("h", "s"))).where("rank <= k").select("item_id", "h").distinct()
-    found = shingle_rows(texts, "doc_id", width).select("key", "h").join(_fits(sketch), "h").select(F.col("key").alias("doc_id"), "item_id").distinct()
-    found = found.persist()
+    sketch = sketch.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy("h", "s"))).where("rank <= k").select("item_id", "width", "h").distinct()
+    runs = shingle_rows(texts, "doc_id", widths)
+    found = table(runs.select("key", "width", "h").join(_fits(sketch), ["width", "h"]).select(F.col("key").alias("doc_id"), "item_id").distinct(), "found")
 
     candidates = texts.join(_fits(found.select("doc_id").distinct()), "doc_id")
-    lookup = own.join(sizes, "item_id").select("item_id", "h", "s", "n")
-    met = shingle_rows(candidates, "doc_id", width).withColumnRenamed("key", "doc_id").join(_fits(lookup), ["h", "s"]).select("doc_id", "item_id", "n", "s").distinct()
+    lookup = own.join(sizes, "item_id").select("item_id", "width", "h", "s", "n")
+    met = shingle_rows(candidates, "doc_id", widths).withColumnRenamed("key", "doc_id").join(_fits(lookup), ["width", "h", "s"]).select("doc_id", "item_id", "n", "width", "s").distinct()
     pairs = met.groupBy("doc_id", "item_id", F.col("n").alias("n_shingles")).agg(F.count("*").alias("n_shared")).where(F.col("n_shared") * 100 >= F.col("n_shingles") * percent)
     pairs = pairs.join(found, ["doc_id", "item_id"], "left_semi")
     return pairs.select("doc_id", "item_id", "n_shingles", "n_shared", (F.col("n_shared") / F.col("n_shingles")).alias("containment"))
@@ -75,11 +87,12 @@ WITH words AS (
   SELECT doc_id AS id, 'd' AS kind, list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[\t-\r]', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM documents
   UNION ALL
   SELECT item_id, 'i', list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[\t-\r]', ' ', 'g'), ' '), lambda x: x <> '') FROM benchmark
+), widths AS (SELECT DISTINCT least(5, len(w))::INT AS k FROM words WHERE kind = 'i' AND len(w) > 0
 ), runs AS (
-  SELECT DISTINCT id, kind, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda p: array_to_string(w[p:p + 4], ' ')) ELSE [array_to_string(w, ' ')] END) AS s, len(w) >= 5 AS long
-  FROM words WHERE len(w) > 0 AND id IS NOT NULL
+  SELECT DISTINCT id, kind, k, unnest(list_transform(range(1, len(w) - k + 2), lambda p: array_to_string(w[p:p + k - 1], ' '))) AS s
+  FROM words, widths WHERE len(w) >= k AND id IS NOT NULL AND (kind = 'd' OR k = least(5, len(w)))
 ), sizes AS (SELECT id AS item_id, count(*) AS n_shingles FROM runs WHERE kind = 'i' GROUP BY 1)
 SELECT d.id AS doc_id, z.item_id, z.n_shingles, count(*) AS n_shared, count(*) / z.n_shingles AS containment
-FROM runs d JOIN runs i ON d.s = i.s AND d.kind = 'd' AND i.kind = 'i' AND d.long = i.long JOIN sizes z ON z.item_id = i.id
+FROM runs d JOIN runs i ON d.s = i.s AND d.k = i.k AND d.kind = 'd' AND i.kind = 'i' JOIN sizes z ON z.item_id = i.id
 GROUP BY 1, 2, 3 HAVING count(*) * 100 >= z.n_shingles * 80
 """
