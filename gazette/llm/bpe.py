@@ -6,7 +6,8 @@ and what follows is matched without looking back. Texts beyond ``PIECE_CHARS`` a
 stretch; a stretch without one is taken whole. Decoding joins the raw bytes of the tokens, so any text comes back exactly.
 
 Cases: a null text is an empty one and has no token. Strings of special tokens in a text are ordinary text. Lone surrogates
-cannot occur in a Spark string. Repeated rows are encoded one by one; other columns pass through ``encode`` untouched.
+cannot occur in a Spark string. Repeated rows are encoded one by one; an empty table gives none; other columns pass through
+``encode`` untouched.
 """
 
 from __future__ import annotations

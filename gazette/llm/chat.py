@@ -9,7 +9,8 @@ Control strings in texts are escaped by a backslash behind their ``<``, one more
 back removes exactly what was put in. A role's line feeds and backslashes are escaped as in Python.
 
 Cases: null texts and roles are empty ones; a parent that is not there makes its message a root; a null tree id is a tree of
-its own; messages on a cycle reach no root and make an error. A conversation is one value, so it is put together in one task,
+its own; messages on a cycle reach no root and make an error. Turns that tie are ordered by role and text; repeated rows of a table of
+turns are turns of their own. Very long texts are formatted whole. A conversation is one value, so it is put together in one task,
 row by row; trees spread over tasks. Other columns are not read. Empty tables give no row.
 """
 
@@ -80,8 +81,11 @@ def branches(messages: DataFrame, best: int = 1) -> DataFrame:
     known = m.alias("m").join(m.select("tree", F.col("node").alias("up")).alias("p"), _same("m", "p", ("parent", "up")), "left")
     reach = table(known.select("m.tree", "m.node", F.col("p.up").alias("up"), F.lit(1).cast("long").alias("depth"), F.col("m.score").alias("total")), "reach")
     levels = [reach]
+    # A path has no more messages than there are, and its reach doubles: what has not ended by then is a cycle.
+    most = min(MAX_DOUBLINGS, reach.count().bit_length() + 1)
     while levels[-1].where("up is not null").limit(1).count():
-        if len(levels) > MAX_DOUBLINGS:
+        if len(levels) > most:
+            drop(*levels)
             raise ValueError("a message is its own ancestor")
         at = levels[-1]
         on = at.alias("a").join(at.alias("b"), _same("a", "b", ("up", "node")), "left")
