@@ -315,8 +315,11 @@ def main_text(html: str, model: Model | None = None) -> str:
 def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", sample: int = SAMPLE_PAGES) -> DataFrame:
     """page_id, url, text, n_chars of each row. ``sample`` bounds the pages (smallest hashes of id and page) the classifier sees."""
     rows = pages.select(F.col(id_column).alias("page_id"), F.col(url_column).alias("url"), F.col(html_column).alias("html"))
-    seen = rows.where("html is not null").select(F.xxhash64("page_id", "html").alias("h"), "html").orderBy("h").limit(sample).collect()
-    model = train([r["html"] for r in seen])
+    marked = rows.where("html is not null").select(F.xxhash64("page_id", "html").alias("h"), "html")
+    # Only hashes are ordered; then the pages below the last one come, equal ones once.
+    chosen = [r["h"] for r in marked.select("h").distinct().orderBy("h").limit(sample).collect()]
+    seen = marked.where(F.col("h") <= F.lit(max(chosen))).dropDuplicates(["h"]).collect() if chosen else []
+    model = train([r["html"] for r in sorted(seen, key=lambda r: r["h"])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
