@@ -208,15 +208,16 @@ def _overlaps(percent: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = 80, width: int = 5) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = 80, width: int = 5, prune: bool = True) -> DataFrame:
     """doc_id, n_shingles, component_id of each row: documents link when 100 * intersection >= percent * union of their n-grams."""
-    return linked_rows(docs, id_column, text_column, percent, width).select("doc_id", "n_shingles", "component_id")
+    return linked_rows(docs, id_column, text_column, percent, width, prune).select("doc_id", "n_shingles", "component_id")
 
 
-def linked_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = 80, width: int = 5) -> DataFrame:
+def linked_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = 80, width: int = 5, prune: bool = True) -> DataFrame:
     """doc_id, text_hash (xxhash64 of the text), n_shingles, component_id and component of each row.
 
-    component: one number for all rows of a component, null for rows without an n-gram.
+    component: one number for all rows of a component, null for rows without an n-gram. prune: whether the blocked product drops
+    documents that cannot reach the bound before anything else; it changes no result.
     """
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(F.col(text_column)).alias("h"), F.col(text_column).alias("text"))
     members = table(texts.mapInArrow(_members(width), "doc_id long, h long, n long, held long, cls long, mark long"), "members")
@@ -227,11 +228,13 @@ def linked_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("rep")
     classes = members.where("n > 0").groupBy("cls", "mark").agg(rep, F.first("n").alias("n"), F.first("held").alias("held"))
 
-    # At most n - ceil(percent * n / 100) n-grams of a linked class are not in the other one, in all and among those tiled.
-    bound = F.expr(f"held - (n - (n * {percent} + 99) div 100)")
-    tiles = texts.select("text").mapInArrow(_tiles(blocks, width), "block int, payload binary")
-    met = tiles.groupBy("block").applyInArrow(_met(ranges), "part int, payload binary").groupBy("part").applyInArrow(_sum_met, "cls long, met long")
-    close = classes.join(met, "cls", "left").where(F.coalesce("met", F.lit(0)) >= bound)
+    close = classes
+    if prune:
+        # At most n - ceil(percent * n / 100) n-grams of a linked class are not in the other one, in all and among those tiled.
+        bound = F.expr(f"held - (n - (n * {percent} + 99) div 100)")
+        tiles = texts.select("text").mapInArrow(_tiles(blocks, width), "block int, payload binary")
+        met = tiles.groupBy("block").applyInArrow(_met(ranges), "part int, payload binary").groupBy("part").applyInArrow(_sum_met, "cls long, met long")
+        close = classes.join(met, "cls", "left").where(F.coalesce("met", F.lit(0)) >= bound)
     close = table(close.select(F.col("rep.doc_id").alias("rep_id"), F.col("rep.h").alias("rep_h"), "cls", "mark"), "close")
     asked = close.count()
     wanted = F.broadcast(close) if asked <= BROADCAST_ROWS else close
