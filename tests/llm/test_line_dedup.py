@@ -38,18 +38,15 @@ class Plain:
         self.lines = [WORD.findall(x) for x in lower(text).split("\n")]
         self.pieces, self.runs = [], []
         for k, line in enumerate(self.lines):
-            sentence = []
+            sentence, piece = [], []
             for j, w in enumerate(line):
                 sentence.append(w)
                 if w[-1] in ".!?" or j == len(line) - 1:
-                    piece = []
-                    for w in sentence:
+                    for i, w in enumerate(sentence):
                         piece.append(w)
-                        if len(sentence) > 16 and (word_print(w) >> 20) % 8 == 0:
+                        if (len(sentence) > 16 and (word_print(w) >> 20) % 8 == 0) or (i == len(sentence) - 1 and ((word_print(w) >> 20) % 2 == 0 or j == len(line) - 1)):
                             self.pieces.append((k, piece))
                             piece = []
-                    if piece:
-                        self.pieces.append((k, piece))
                     sentence = []
         for i, (_, piece) in enumerate(self.pieces):
             run = []
@@ -81,7 +78,7 @@ def tree(lines):
     leaves = defaultdict(dict)
     for u, words in lines.items():
         masked = tuple("<*>" if FIELD.search(w) else w for w in words)
-        if len(words) >= 8 and 4 * masked.count("<*>") <= len(words):
+        if 8 <= len(words) <= 32 and 4 * masked.count("<*>") <= len(words):
             leaves[len(words), masked[:3]][line_print(" ".join(words))] = masked
     found = {}
     for leaf, rest in leaves.items():

@@ -448,3 +448,21 @@ def test_ngram_join_tiles_of_long_lists(spark, odd):
     finally:
         ngram_join.TILE_ROWS, ngram_join.PIVOT_ROUNDS = before, rounds
     assert got == brute_components(rows)
+
+
+def test_components_by_stars_and_by_one_task(spark, monkeypatch):
+    from gazette.llm import shared
+
+    rng = np.random.default_rng(2)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(400 + k, 401 + k) for k in range(50)] + [(500, 600 + k) for k in range(50)]
+    links = spark.createDataFrame(edges, "a long, b long")
+    few = {r["node"]: r["component"] for r in shared.components(links).collect()}
+    monkeypatch.setattr(shared, "FEW_EDGES", 0)
+    many = {r["node"]: r["component"] for r in shared.components(links).collect()}
+    assert few == many and few[450] == 400 and few[649] == 500 and 400 not in few
+    assert shared.components(links.limit(0)).count() == 0
+
+
+def test_ngram_join_without_pruning(spark, docs):
+    a, b = (sorted((r["doc_id"], r["component_id"]) for r in ngram_join.jaccard_components(docs, prune=p).collect()) for p in (True, False))
+    assert a == b
