@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import lexicon as L
+
 #: Dimension and keywords, the first dimension with a keyword in the text wins.
 NPS_DIMENSION_RULES = [
     ("Post-purchase service", ["refund", "return", "返品", "返金", "cancel", "cancellation", "解約", "aftersales", "アフター", "customer service", "サポート"]),
@@ -19,25 +21,19 @@ NPS_DIMENSION_RULES = [
     ("Product feature", ["feature", "function", "app", "search", "payment", "checkout", "membership", "review", "rating", "ui", "ux", "security", "機能", "アプリ", "検索", "決済", "レビュー"]),
 ]
 
-#: Groups of trend terms in the order in which they decide, with category and impact.
+#: Groups of trend terms in the order in which they decide, with category and impact.
 TREND_GROUPS = [
-    ("regulatory_risk", "Negative", ["regulation", "regulatory", "investigation", "probe", "illegal", "compliance", "privacy", "data", "counterfeit", "unsafe", "pfas", "eu", "commission", "authority", "antitrust", "indagine", "inchiesta", "illegale", "dati", "sicurezza", "contraffazione", "sostanze", "autorità", "commissione europea", "accusa", "accuse"]),
-    ("competitive_landscape", "Mixed", ["competitor", "competition", "versus", "vs", "ranking", "rankings", "comparison", "benchmark", "concorrente", "concorrenza", "classifica", "confronto", "comparazione"]),
-    ("market_adoption", "Positive", ["penetration", "adoption", "1 in", "one in", "consumers use", "consumer use", "survey", "study", "report", "data", "stats", "adozione", "penetrazione", "consumatori", "rapporto", "ricerca", "studio", "dati"]),
-    ("platform_ecosystem", "Positive", ["seller", "merchant", "marketplace", "logistics", "delivery", "shipping", "payment", "checkout", "creator", "creators", "shop", "business tools", "platform tools", "ecosystem", "venditori", "logistica", "spedizioni", "pagamenti", "strumenti", "ecosistema"]),
-    ("market_adoption", "Positive", ["market share", "e-commerce", "ecommerce", "social commerce", "growth", "grows", "market", "trend", "index", "mercato", "crescita", "tendenza", "quota"]),
-    ("brand_performance", "Positive", ["sales", "revenue", "gmv", "decline", "loss", "profit", "expands", "expansion", "vendite", "ricavi", "fatturato", "calo", "espansione"]),
-    ("consumer_behavior", "Neutral", ["consumer behavior", "shoppers", "consumer", "customers", "usage", "users", "gen z", "comportamento", "clienti", "utenti", "acquisti", "shopping"]),
+    ("regulatory_risk", "Negative", L.TREND_REGULATORY),
+    ("competitive_landscape", "Mixed", L.TREND_COMPETITIVE),
+    ("market_adoption", "Positive", L.TREND_MARKET_FIRST),
+    ("platform_ecosystem", "Positive", L.TREND_ECOSYSTEM),
+    ("market_adoption", "Positive", L.TREND_MARKET),
+    ("brand_performance", "Positive", L.TREND_PERFORMANCE),
+    ("consumer_behavior", "Neutral", L.TREND_CONSUMER),
 ]
 #: Terms that keep a trend's impact neutral.
 DOWNTURN_TERMS = ["decline", "loss", "calo", "rischio", "risk"]
 
-#: Launches and the goods they are about; goods at a price; promotions of a whole site.
-LAUNCH_TERMS = ["launch", "launches", "launched", "release", "released", "introduce", "introduced", "introduces", "debut", "debuts", "unveil", "unveils", "new product", "new item", "推出", "发布", "上市", "上新", "発売", "新発売", "新商品", "新产品", "新作"]
-PRODUCT_TERMS = ["product", "item", "sku", "collection", "collaboration", "capsule", "phone", "smartphone", "bag", "shoe", "shoes", "cosmetic", "cosmetics", "beauty", "lipstick", "snack", "toy", "model", "series", "merch", "merchandise", "单品", "商品", "款式", "系列", "联名", "新品"]
-DEAL_TERMS = ["deal", "deals", "sale", "on sale", "discount", "coupon", "special price", "flash sale", "price drop", "markdown", "cheap", "cheaper", "lowest price", "good deal", "bargain", "promo", "promotion", "offer", "limited offer"]
-SITEWIDE_TERMS = ["sitewide", "all users", "all products", "across the site", "platform-wide", "shopping event", "membership day", "prime day", "black friday", "cyber monday", "double 11", "double 12", "11.11", "12.12", "coupon campaign", "point campaign", "points up", "cashback event", "festival campaign"]
-
 #: Names of hints, their terms (met as plain substrings) and the question ids they stand for.
 QUESTION_HINTS = [
     (["B5_18"], ["payment method", "payment methods", "pay in cash", "cash payment", "cash payments", "cash", "contanti", "pagamento", "pagamenti", "pagare", "metodo di pagamento", "metodi di pagamento", "contrassegno", "checkout", "支付", "付款"]),

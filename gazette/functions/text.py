@@ -67,6 +67,25 @@ def event_tokens(c: Column) -> Column:
     return F.array_distinct(F.filter(F.split(title_key(c), " "), lambda t: (F.char_length(t) >= 3) & ~t.isin(EVENT_STOP_WORDS)))
 
 
+#: Kinds of events with the wordings that give them away.
+EVENT_PHRASES = {
+    "cash_payment": ["cash payment", "cash payments", "pagamenti in contanti", "pagamento in contanti", "paga in contanti", "contanti", "现金支付"],
+    "payment_points": ["punti vendita", "punti fisici", "sales points", "physical points", "payment points", "实体点", "销售点", "支付点", "付款点"],
+    "promotion_event": ["prime day", "black friday", "cyber monday", "spring sale", "offerte di primavera", "促销", "折扣", "优惠"],
+    "investigation_or_penalty": ["investigation", "indagine", "fine", "penalty", "sanzione", "调查", "罚款", "处罚"],
+}
+
+
+def event_phrases(c: Column) -> Column:
+    """Kinds of events of which a wording is a substring of the text as compared."""
+
+    def kinds(key: Column) -> Column:
+        return F.array_compact(F.array(*(F.when(any_of([key.contains(p) for p in phrases]), F.lit(name)) for name, phrases in EVENT_PHRASES.items())))
+
+    # Inside the function the text as compared is a variable, computed once.
+    return F.element_at(F.transform(F.array(title_key(c)), kinds), 1)
+
+
 def number_tokens(c: Column) -> Column:
     """Numbers of three digits or more, without their separators; years are none."""
     found = F.transform(F.regexp_extract_all(clean(c), F.lit(r"(\d[\d., ]*\d|\d)"), F.lit(1)), lambda x: F.regexp_replace(x, r"[^0-9]", ""))
@@ -147,6 +166,15 @@ def sentence_cut(c: Column, limit: int = 420) -> Column:
     return F.when(F.char_length(text) <= limit, text).when(F.char_length(ended) > limit // 2, ended).otherwise(F.concat(F.rtrim(head), F.lit("…")))
 
 
+def merged(*parts: Column) -> Column:
+    """Texts as one: blanks go, and each that an earlier one holds."""
+    out = F.lit("")
+    for c in parts:
+        own = clean(c)
+        out = F.when((own == "") | out.contains(own), out).when(out == "", own).otherwise(F.concat(out, F.lit(" "), own))
+    return out
+
+
 def keyword_blocks(c: Column) -> Column:
     """``(a) (b)`` lines as blocks: a line of nothing but parenthesised groups is as many blocks, any other line is one."""
     lines = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\r?\n"), clean), lambda x: x != "")
