@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
-from .dedup import exact_key
+from .dedup import _col
 
 
 def longest(c: str) -> Column:
@@ -56,20 +56,38 @@ def facets(articles: DataFrame) -> DataFrame:
 
 
 def selected(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """The rows with a ticked id."""
-    return rows.join(ids.select(key).distinct(), key, "left_semi")
+    """The rows with a ticked id; an error where none is ticked or none of the ticked ones is there."""
+    ticked = ids.select(key).where(F.col(key).isNotNull()).distinct()
+    if ticked.isEmpty():
+        raise ValueError("no article is ticked")
+    out = rows.join(ticked, key, "left_semi")
+    if out.isEmpty():
+        raise ValueError("none of the ticked articles is in this source")
+    return out
+
+
+def export_score(df: DataFrame) -> Column:
+    """How much a row says: has a summary, dimensions, a source; length of summary and title."""
+
+    def filled(c: str) -> Column:
+        return (F.coalesce(F.col(c).cast("string"), F.lit("")) != "").cast("int") if c in df.columns else F.lit(0)
+
+    length = lambda c: F.char_length(F.coalesce(F.col(c), F.lit("")))
+    return F.struct(filled("summary").alias("a"), filled("survey_dimensions").alias("b"), filled("source_name").alias("c"), length("summary").alias("d"), length("title").alias("e"), (-F.col("pos")).alias("f"))
 
 
 def star_export(stars: DataFrame, rows: DataFrame) -> DataFrame:
-    """Every star with its best row over all runs (fullest summary, then title; ties: the first one), or with none."""
-    score = F.struct(F.char_length(F.coalesce("summary", F.lit(""))), F.char_length(F.coalesce("title", F.lit(""))), -F.col("pos"))
-    best = rows.groupBy("article_id").agg(F.max_by(F.struct("pos", "title", "platform"), score).alias("b"))
+    """Every star with its best row over all runs (by score; ties: the first one), or with none."""
+    best = rows.groupBy("article_id").agg(F.max_by(F.struct("pos", "title", "platform"), export_score(rows)).alias("b"))
     return stars.join(best, "article_id", "left").select("article_id", F.col("b.pos").alias("pos"), F.col("b.title").alias("title"), F.col("b.platform").alias("platform"))
 
 
 def identity(df: DataFrame) -> Column:
-    """What an article is known by across stages."""
-    return exact_key(df)
+    """What an article is known by across stages: its URL in lower case, else platform, day and title as compared."""
+    url = F.lower(_col(df, "verification_final_url", "article_url"))
+    title = text.title_key(_col(df, "title", "title_translated"))
+    rest = F.concat(F.lit("text:"), F.concat_ws("|", F.lower(_col(df, "platform_label", "platform")), F.left(_col(df, "published_at"), F.lit(10)), title))
+    return F.when(url != "", F.concat(F.lit("url:"), url)).otherwise(rest)
 
 
 def survivors(stage: DataFrame, later: DataFrame, key: str) -> DataFrame:

@@ -1,16 +1,20 @@
-"""Article deduplication: exact keys, same-day titles, and clusters of similar reports."""
+"""Article deduplication: exact keys, same-day titles, and clusters of reports of one event."""
 
 from __future__ import annotations
 
 import difflib
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, text, urls
+from .stored import stored
 
 MIN_TITLE = 12
 WINDOW_DAYS = 14
+#: Long texts: no phase of the deduplication moves them.
+LONG = ("summary", "summary_translated", "body_excerpt")
 UNIONS = ("side", "source_platform", "source_url", "source_final_url", "source_site", "survey_dimensions", "survey_question_ids", "survey_indicator_examples", "survey_ai_reason_raw", "survey_ai_reason_translated")
 
 
@@ -34,7 +38,7 @@ def exact_key(df: DataFrame) -> Column:
     title = text.dedupe_title(_col(df, "title_translated", "title"))
     source = F.coalesce(F.nullif(F.lower(_col(df, "source_site")), F.lit("")), urls.canonical(_col(df, "source_url", "source_final_url")))
     whole = (platform != "") & (day != "") & (title != "")
-    rest = F.concat_ws("\x1f", platform, day, title, source, F.when(whole, "").otherwise(F.left(_col(df, "summary_translated", "summary"), F.lit(120))))
+    rest = F.concat_ws("\x1f", platform, day, title, source, F.when(whole, "").otherwise(F.left(_col(df, "summary", "summary_translated"), F.lit(120))))
     return F.when(url != "", F.concat(F.lit("url\x1f"), url)).when(whole, F.concat(F.lit("fallback\x1f"), rest)).otherwise(F.concat(F.lit("weak\x1f"), rest))
 
 
@@ -45,46 +49,105 @@ def cluster_key(df: DataFrame) -> Column:
     return F.when((platform != "") & (day != "") & (F.char_length(title) >= MIN_TITLE), F.concat_ws("\x1f", platform, day, title))
 
 
-def merge(df: DataFrame, key: str) -> DataFrame:
+def _narrow(articles: DataFrame) -> DataFrame:
+    """All but the long texts, with their lengths, the row they are to be fetched from, and the exact key."""
+    short = [c for c in articles.columns if c not in LONG and c != "pos"]
+    return articles.select("pos", *short, F.col("pos").alias("_rep"), F.char_length(_col(articles, "summary_translated", "summary")).alias("_ls"), F.lit(1).cast("long").alias("group_size"), exact_key(articles).alias("_key"))
+
+
+def merge(df: DataFrame, key: str = "_key") -> DataFrame:
     """One row for each key: the fullest member (ties: the first one) with texts and brands united in input order.
 
-    ``pos`` becomes the smallest one, ``group_size`` the number of rows merged.
+    ``pos`` becomes the smallest one, ``group_size`` the number of rows merged. Only groups of several rows unite anything, and each
+    of their distinct values once: a key that a third of all rows share is combined on the map side.
     """
-    rank = F.struct(F.char_length(_col(df, "summary_translated", "summary")).alias("a"), F.char_length(_col(df, "title_translated", "title")).alias("b"), _col(df, "published_at").alias("c"), (-F.col("pos")).alias("d"))
+    rank = F.struct("_ls", F.char_length(_col(df, "title_translated", "title")).alias("b"), _col(df, "published_at").alias("c"), (-F.col("pos")).alias("d"))
     kept = [c for c in df.columns if c not in (key, "pos", "group_size")]
     unions = [c for c in UNIONS if c in kept]
-    sizes = F.sum("group_size") if "group_size" in df.columns else F.count("*")
-    aggregates = [F.max_by(F.struct(*kept), rank).alias("_best"), F.min("pos").alias("_pos"), sizes.alias("_size")]
-    aggregates += [F.sort_array(F.collect_list(F.struct("pos", F.col(c).alias("v")))).alias(f"_{c}") for c in unions]
-    has_brands = "matched_brands" in kept
-    if has_brands:
-        aggregates.append(F.sort_array(F.collect_list(F.struct("pos", F.col("matched_brands").alias("v")))).alias("_brands"))
-    grouped = df.groupBy(key).agg(*aggregates)
+    best = df.groupBy(key).agg(F.max_by(F.struct(*kept), rank).alias("_best"), F.min("pos").alias("pos"), F.sum("group_size").alias("group_size"), F.count("*").alias("_n"))
     out = {c: F.col(f"_best.{c}") for c in kept}
-    out |= {c: text.union_text(F.transform(f"_{c}", lambda s: s["v"])) for c in unions}
-    if has_brands:
-        lists = F.flatten(F.filter(F.transform("_brands", lambda s: s["v"]), lambda v: v.isNotNull()))
-        out["matched_brands"] = F.array_distinct(F.filter(F.transform(lists, text.clean), lambda x: x != ""))
-        for c in ("platform_label", "platform"):
-            if c in kept:
-                out[c] = F.when(F.size(out["matched_brands"]) > 0, text.brand_list(out["matched_brands"])).otherwise(out[c])
-    return grouped.select(F.col("_pos").alias("pos"), *(v.alias(c) for c, v in out.items()), F.col("_size").alias("group_size"))
+    values = [F.array(F.struct(F.lit(c).alias("name"), text.clean(F.col(c)).alias("value"), F.lit(0).alias("i"))) for c in unions]
+    if "matched_brands" in kept:
+        own = F.coalesce(F.col("matched_brands"), F.array().cast("array<string>"))
+        values.append(F.transform(own, lambda x, i: F.struct(F.lit("matched_brands").alias("name"), text.clean(x).alias("value"), i.alias("i"))))
+    grouped = best
+    if values:
+        several = df.join(best.where("_n > 1").select(key), key).select(key, "pos", F.explode(F.concat(*values)).alias("x")).select(key, "pos", "x.*").where("value <> ''")
+        once = several.groupBy(key, "name", "value").agg(F.min(F.struct("pos", "i")).alias("at"))
+        united = once.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("name", "at", "value"))).alias("_all"))
+        grouped = best.join(united, key, "left")
+
+        def found(c: str) -> Column:
+            return F.transform(F.filter(F.coalesce("_all", F.array().cast(united.schema["_all"].dataType)), lambda x: x["name"] == c), lambda x: x["value"])
+
+        for c in unions:
+            out[c] = F.when(F.col("_n") > 1, F.array_join(found(c), " | ")).otherwise(text.clean(F.col(f"_best.{c}")))
+        if "matched_brands" in kept:
+            alone = F.array_distinct(F.filter(F.transform(F.coalesce(F.col("_best.matched_brands"), F.array().cast("array<string>")), text.clean), lambda x: x != ""))
+            out["matched_brands"] = F.when(F.col("_n") > 1, found("matched_brands")).otherwise(alone)
+            for c in ("platform_label", "platform"):
+                if c in kept:
+                    out[c] = F.when(F.size(out["matched_brands"]) > 0, text.brand_list(out["matched_brands"])).otherwise(out[c])
+    return grouped.select("pos", *(v.alias(c) for c, v in out.items()), "group_size", F.col("_n").alias("_merged"))
+
+
+def _phases(articles: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows with their exact key, one row a key with its second key, one row a second key; without the long texts."""
+    keyed = stored(_narrow(articles))
+    first = merge(keyed).drop("_merged")
+    first = stored(first.withColumn("_key", F.coalesce(cluster_key(first), F.concat(F.lit("row\x1f"), F.col("pos").cast("string")))))
+    return keyed, first, merge(first)
 
 
 def initial_dedupe(articles: DataFrame) -> DataFrame:
-    """Two phases: equal keys merge, then equal titles of one platform and day. Rows without a second key pass through."""
-    first = merge(articles.withColumn("_key", exact_key(articles)), "_key")
-    second = first.withColumn("_key", F.coalesce(cluster_key(first), F.concat(F.lit("row\x1f"), F.col("pos").cast("string"))))
-    return merge(second, "_key")
+    """Two phases: equal keys merge, then equal titles of one platform and day. Rows without a second key pass through.
+
+    The phases see keys, lengths and short fields only; the long texts of the rows that stay are fetched by one join.
+    """
+    merged = _phases(articles)[2].drop("_ls", "_merged")
+    long = [c for c in LONG if c in articles.columns]
+    texts = articles.select(F.col("pos").alias("_rep"), *long)
+    out = merged.join(texts, "_rep") if long else merged
+    return out.select("pos", *(c for c in articles.columns if c != "pos"), "group_size")
+
+
+def _removed(keyed: DataFrame, first: DataFrame) -> DataFrame:
+    """reason and size of every group of several rows."""
+    kinds = F.split_part("_key", F.lit("\x1f"), F.lit(1))
+    reason = F.when(kinds == "url", "url_duplicate").when(kinds == "fallback", "same_source_title_duplicate").otherwise("weak_key_duplicate")
+    one = keyed.groupBy("_key").agg(F.count("*").alias("n"), F.min("pos").alias("pos")).where("n > 1").select(reason.alias("reason"), "n", "pos", F.lit(1).alias("phase"), "_key")
+    two = first.where(~F.col("_key").startswith("row\x1f")).groupBy("_key").agg(F.count("*").alias("n"), F.min("pos").alias("pos")).where("n > 1")
+    return one.union(two.select(F.lit("same_day_exact_title_duplicate").alias("reason"), "n", "pos", F.lit(2).alias("phase"), "_key"))
 
 
 def dedupe_stats(articles: DataFrame) -> DataFrame:
     """reason, groups, removed: what each phase and kind of key merges away."""
-    keyed = articles.withColumn("_key", exact_key(articles))
-    groups = keyed.groupBy("_key").agg(F.count("*").alias("n")).where("n > 1").select(F.concat(F.split_part("_key", F.lit("\x1f"), F.lit(1)), F.lit("_duplicate")).alias("reason"), "n")
-    first = merge(keyed, "_key").drop("group_size")
-    later = first.withColumn("_key", cluster_key(first)).where("_key is not null").groupBy("_key").agg(F.count("*").alias("n")).where("n > 1").select(F.lit("same_day_exact_title_duplicate").alias("reason"), "n")
-    return groups.union(later).groupBy("reason").agg(F.count("*").alias("groups"), F.sum(F.col("n") - 1).alias("removed"))
+    keyed, first, _ = _phases(articles)
+    return _removed(keyed, first).groupBy("reason").agg(F.count("*").alias("groups"), F.sum(F.col("n") - 1).alias("removed"))
+
+
+def dedupe_summary(articles: DataFrame) -> DataFrame:
+    """One row: input_count, missing_url_count, group_count, output_count, removed_count."""
+    keyed, first, _ = _phases(articles)
+    rows = keyed.agg(F.count("*").alias("input_count"), F.count_if(_col(keyed, "article_url") == "").alias("missing_url_count"))
+    groups = keyed.groupBy("_key").count().agg(F.count("*").alias("group_count"))
+    left = first.groupBy("_key").count().agg(F.count("*").alias("output_count"))
+    out = rows.join(groups, F.lit(True)).join(left, F.lit(True))  # three rows of one number each
+    return out.withColumn("removed_count", F.col("input_count") - F.col("output_count"))
+
+
+def removed_samples(articles: DataFrame, samples: int = 30, members: int = 5) -> DataFrame:
+    """reason, group_size and the first members' titles, URLs, sites and dates of the first groups of a report (its feature)."""
+    keyed, first, _ = _phases(articles)
+    some = _removed(keyed, first).orderBy("phase", "pos").limit(samples)
+    fields = {"titles": _col(keyed, "title", "title_translated"), "article_urls": _col(keyed, "article_url"), "source_sites": _col(keyed, "source_site"), "published_at": _col(keyed, "published_at")}
+
+    def rows(df: DataFrame, phase: int) -> DataFrame:
+        ranked = df.join(F.broadcast(some.where(F.col("phase") == phase).select("_key")), "_key").withColumn("_i", F.row_number().over(Window.partitionBy("_key").orderBy("pos"))).where(F.col("_i") <= members)
+        lists = ranked.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("_i", *(v.alias(k) for k, v in fields.items())))).alias("m"))
+        return some.where(F.col("phase") == phase).join(lists, "_key").select("phase", "pos", "reason", F.col("n").alias("group_size"), *(F.col(f"m.{k}").alias(k) for k in fields))
+
+    return rows(keyed, 1).union(rows(first, 2)).orderBy("phase", "pos").drop("phase", "pos")
 
 
 def keep_first(df: DataFrame, *keys: str, blank_passes: bool = False) -> DataFrame:
@@ -96,60 +159,194 @@ def keep_first(df: DataFrame, *keys: str, blank_passes: bool = False) -> DataFra
     return df.withColumn("_n", F.row_number().over(window)).where("_n = 1").drop("_n")
 
 
+def _rarest(rows: DataFrame, tokens: str, keep: Column) -> DataFrame:
+    """(pos, brand, day, token): of each row's tokens the ``keep`` ones that the fewest rows of its brand hold."""
+    long = rows.select("pos", "brand", "day", keep.cast("int").alias("keep"), F.explode(tokens).alias("token"))
+    seen = long.groupBy("brand", "token").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = long.join(seen, ["brand", "token"]).withColumn("_i", F.row_number().over(Window.partitionBy("pos", "brand").orderBy("df", "token")))
+    held = long.groupBy("pos", "brand").agg(F.count("*").alias("held"))
+    # Tokens that no other row holds come first of all and take part in no pair: they use up places of the prefix.
+    left = ranked.groupBy("pos", "brand").agg(F.count("*").alias("shared"))
+    out = ranked.join(held.join(left, ["pos", "brand"]), ["pos", "brand"])
+    return out.where(F.col("_i") <= F.col("keep") - (F.col("held") - F.col("shared"))).select("pos", "brand", "day", "token")
+
+
+def _near(keys: DataFrame) -> DataFrame:
+    """(a, b): rows that share brand and token within the date window, blocked by spans of that many days."""
+    span = F.floor(F.datediff("day", F.lit("1970-01-01").cast("date")) / WINDOW_DAYS)
+    a = keys.withColumn("span", span).select(F.col("pos").alias("a"), "brand", F.col("day").alias("day_a"), "token", "span")
+    b = keys.withColumn("span", F.explode(F.array(span - 1, span, span + 1))).select(F.col("pos").alias("b"), "brand", F.col("day").alias("day_b"), "token", "span")
+    pairs = a.join(b, ["brand", "token", "span"]).where(F.col("a") < F.col("b")).where(F.abs(F.datediff("day_a", "day_b")) <= WINDOW_DAYS)
+    return pairs.select("a", "b").distinct()
+
+
 def token_candidates(articles: DataFrame, jaccard: float = 0.82) -> DataFrame:
     """(a, b, jaccard) of articles of one platform within the date window whose titles share enough of their tokens.
 
-    Blocked on platform and token: only rarely shared pairs are made, and a hot block is split by its token.
+    Of a title's tokens, from the rarest of its platform on, as many are keys as a partner may lack, and one: partners share one.
     """
     rows = articles.select("pos", F.lower(text.clean(F.col("platform"))).alias("brand"), F.col("published_date").alias("day"), text.title_tokens(F.col("title")).alias("tokens")).where("brand <> '' and size(tokens) > 0")
-    # Of sorted tokens the first |t| - ceil(j |t|) + 1: partners share one of them.
-    prefix = F.slice(F.sort_array("tokens"), 1, (F.size("tokens") - F.ceil(F.size("tokens") * jaccard) + 1).cast("int"))
-    keys = rows.withColumn("token", F.explode(prefix))
-    a, b = keys.alias("a"), keys.alias("b")
-    pairs = a.join(b, (F.col("a.brand") == F.col("b.brand")) & (F.col("a.token") == F.col("b.token")) & (F.col("a.pos") < F.col("b.pos")) & (F.abs(F.datediff("a.day", "b.day")) <= WINDOW_DAYS))
-    share = F.size(F.array_intersect("a.tokens", "b.tokens")) / F.size(F.array_union("a.tokens", "b.tokens"))
-    return pairs.select(F.col("a.pos").alias("a"), F.col("b.pos").alias("b"), share.alias("jaccard")).where(F.col("jaccard") >= jaccard).distinct()
+    pairs = _near(_rarest(rows, "tokens", F.size("tokens") - F.ceil(F.size("tokens") * jaccard) + 1))
+    a, b = rows.select(F.col("pos").alias("a"), F.col("tokens").alias("x")), rows.select(F.col("pos").alias("b"), F.col("tokens").alias("y"))
+    share = F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y"))
+    return pairs.join(a, "a").join(b, "b").select("a", "b", share.alias("jaccard")).where(F.col("jaccard") >= jaccard)
+
 
+def ratio(left: Column, right: Column, least: float = 0.0) -> Column:
+    """Ratcliff-Obershelp similarity, left and right in this order (it is not symmetric); there is no built-in for it.
 
-def ratio(left: Column, right: Column) -> Column:
-    """Ratcliff-Obershelp similarity, left and right in this order (it is not symmetric); there is no built-in for it."""
+    Below ``least`` it may be any smaller value: what two bounds rule out is not compared.
+    """
 
     @F.pandas_udf("double")
     def run(a, b):
-        return a.combine(b, lambda x, y: difflib.SequenceMatcher(None, x or "", y or "").ratio())
+        def one(x, y):
+            m = difflib.SequenceMatcher(None, x or "", y or "")
+            return m.ratio() if m.real_quick_ratio() >= least and m.quick_ratio() >= least else 0.0
+
+        return a.combine(b, one)
 
     return run(left, right)
 
 
-def similar_titles(pairs: DataFrame, left: str, right: str) -> Column:
-    """Whether two titles report the same thing: equal or contained keys, a close ratio, or mostly the same tokens."""
-    a, b = text.title_key(F.col(left)), text.title_key(F.col(right))
+def similar_titles(pairs: DataFrame, left: str, right: str) -> DataFrame:
+    """The pairs whose two titles report the same thing: equal or contained keys, a close ratio, or mostly the same tokens.
+
+    Only pairs that no cheaper rule decides are compared letter by letter.
+    """
     p, q = text.title_key(text.without_source(F.col(left))), text.title_key(text.without_source(F.col(right)))
-    p1, q1 = F.coalesce(F.nullif(p, F.lit("")), a), F.coalesce(F.nullif(q, F.lit("")), b)
-    shorter, shorter_p = F.least(F.char_length(a), F.char_length(b)), F.least(F.char_length(p), F.char_length(q))
-    equal = (a == b) | ((p != "") & (p == q))
-    inside = ((shorter >= 18) & (a.contains(b) | b.contains(a))) | ((shorter_p >= 16) & (p.contains(q) | q.contains(p)))
-    s, t = text.title_tokens(F.col(left)), text.title_tokens(F.col(right))
-    share = F.size(F.array_intersect(s, t)) / F.greatest(F.size(F.array_union(s, t)), F.lit(1))
-    # A ratio is at most twice the shorter length over both; below the smallest threshold nothing has to be compared.
-    bound = 2.0 * shorter / F.greatest(F.char_length(a) + F.char_length(b), F.lit(1))
-    whole = F.when(bound >= 0.74, ratio(a, b)).otherwise(0.0)
-    main = ratio(p1, q1)
-    best = F.greatest(whole, main)
-    fuzzy = F.when((F.size(s) == 0) | (F.size(t) == 0), best >= 0.82).otherwise((best >= 0.86) | (main >= 0.76) | ((best >= 0.74) & (share >= 0.55)) | (share >= 0.82))
-    return (a != "") & (b != "") & (equal | inside | fuzzy)
+    rows = pairs
+    for name, value in (("_a", text.title_key(F.col(left))), ("_b", text.title_key(F.col(right))), ("_p", p), ("_q", q), ("_s", text.title_tokens(F.col(left))), ("_t", text.title_tokens(F.col(right)))):
+        rows = text.let(rows, name, value)
+    shorter, shorter_p = F.least(F.char_length("_a"), F.char_length("_b")), F.least(F.char_length("_p"), F.char_length("_q"))
+    equal = (F.col("_a") == F.col("_b")) | ((F.col("_p") != "") & (F.col("_p") == F.col("_q")))
+    inside = ((shorter >= 18) & (F.contains("_a", "_b") | F.contains("_b", "_a"))) | ((shorter_p >= 16) & (F.contains("_p", "_q") | F.contains("_q", "_p")))
+    rows = text.let(rows.where("_a <> '' and _b <> ''"), "_j", F.size(F.array_intersect("_s", "_t")) / F.greatest(F.size(F.array_union("_s", "_t")), F.lit(1)))
+    rows = text.let(rows, "_easy", equal | inside | (F.col("_j") >= 0.82))
+    rest = rows.where("not _easy").withColumn("_p", F.coalesce(F.nullif("_p", F.lit("")), "_a")).withColumn("_q", F.coalesce(F.nullif("_q", F.lit("")), "_b"))
+    main = rest.withColumn("_main", ratio(F.col("_p"), F.col("_q"), 0.74))
+    sure = main.where("_main >= 0.76 and size(_s) > 0 and size(_t) > 0 or _main >= 0.82")
+    open_pairs = main.where("not (_main >= 0.76 and size(_s) > 0 and size(_t) > 0 or _main >= 0.82)").where("_a <> _p or _b <> _q or (_main >= 0.74 and _j >= 0.55)")
+    best = F.greatest(F.when((F.col("_a") == F.col("_p")) & (F.col("_b") == F.col("_q")), F.col("_main")).otherwise(F.col("_whole")), F.col("_main"))
+    fuzzy = open_pairs.withColumn("_whole", ratio(F.col("_a"), F.col("_b"), 0.74)).withColumn("_best", best).where("case when size(_s) = 0 or size(_t) = 0 then _best >= 0.82 else _best >= 0.86 or (_best >= 0.74 and _j >= 0.55) end")
+    names = pairs.columns
+    return rows.where("_easy").select(*names).union(sure.select(*names)).union(fuzzy.select(*names))
+
+
+def event_rows(df: DataFrame) -> DataFrame:
+    """pos, brands, day, titles and the text of the event that each article reports; rows without a brand or a day go."""
+    keys = [F.lower(text.clean(F.col(c))) for c in ("platform", "platform_label", "source_platform") if c in df.columns]
+    every = F.array(*keys)
+    if "matched_brands" in df.columns:
+        every = F.concat(every, F.transform(F.coalesce(F.col("matched_brands"), F.array().cast("array<string>")), lambda x: F.lower(text.clean(x))))
+    translated, own = _col(df, "title_translated"), _col(df, "title")
+    parts = F.array(_col(df, "title_translated", "title"), own, _col(df, "summary_translated", "summary"), _col(df, "summary"))
+    rows = df.select("pos", F.array_distinct(F.filter(every, lambda x: x != "")).alias("brands"), F.try_to_date(dates.day_key(_col(df, "published_at"))).alias("day"), translated.alias("translated"), own.alias("title"), parts.alias("_parts"))
+    rows = text.let(rows.where("size(brands) > 0 and day is not null"), "event", F.array_join(F.filter("_parts", lambda x: x != ""), " ")).drop("_parts")
+    rows = text.let(rows, "main", F.coalesce(F.nullif(F.col("translated"), F.lit("")), F.col("title")))
+    return rows.select("*", text.title_tokens(F.col("main")).alias("title_tokens"), text.event_tokens(F.col("event")).alias("event_tokens"), text.number_tokens(F.col("event")).alias("numbers"), text.event_phrases(F.col("event")).alias("phrases"))
+
+
+def event_candidates(rows: DataFrame) -> DataFrame:
+    """(a, b) of rows of one brand within the date window that may report one event.
+
+    Keys are numbers, all title tokens but the commonest, and the rarest event tokens: every rule that asks for shared numbers or
+    tokens finds its pairs. Texts that resemble each other letter by letter only, without such a token, are not paired.
+    """
+    each = rows.select("pos", "day", "title_tokens", "event_tokens", "numbers", F.explode("brands").alias("brand"))
+    numbers = each.select("pos", "brand", "day", F.explode("numbers").alias("token"))
+    titles = _rarest(each.where("size(title_tokens) > 0"), "title_tokens", F.greatest(F.lit(1), F.size("title_tokens") - 1))
+    events = _rarest(each.where("size(event_tokens) > 0"), "event_tokens", F.size("event_tokens") - F.ceil(F.size("event_tokens") * 0.48) + 1)
+    marked = numbers.withColumn("token", F.concat(F.lit("#"), "token")).union(titles.withColumn("token", F.concat(F.lit("t"), "token"))).union(events.withColumn("token", F.concat(F.lit("e"), "token")))
+    return _near(marked)
+
+
+def _sides(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    fields = [c for c in rows.columns if c != "pos"]
+    left = rows.select(F.col("pos").alias("a"), F.struct(*fields).alias("l"))
+    right = rows.select(F.col("pos").alias("b"), F.struct(*fields).alias("r"))
+    return pairs.join(left, "a").join(right, "b")
+
+
+def _shared(c: str) -> Column:
+    return F.size(F.array_intersect(f"l.{c}", f"r.{c}"))
+
+
+def same_markers() -> Column:
+    """Of a pair l, r: a number in common, and a kind of event or four tokens."""
+    return (_shared("numbers") > 0) & ((_shared("phrases") > 0) | (_shared("event_tokens") >= 4))
+
+
+def marker_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b) of rows that share a brand within the date window, a number, and a kind of event or four tokens."""
+    each = rows.select("pos", "day", F.explode("brands").alias("brand"), F.col("numbers")).select("pos", "day", "brand", F.explode("numbers").alias("token"))
+    return _sides(_near(each), rows).where(same_markers()).select("a", "b")
+
+
+def similar_events(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(a, b) of the pairs that report one event: similar titles in any wording, the same markers, or similar texts.
+
+    From the cheapest rule on, each sees only the pairs that none before it has decided.
+    """
+    sides = _sides(pairs, rows)
+    common, title_common = _shared("event_tokens"), _shared("title_tokens")
+    share = common / F.greatest(F.size(F.array_union("l.event_tokens", "r.event_tokens")), F.lit(1))
+    cheap = same_markers() | ((title_common >= 3) & (common >= 4)) | ((title_common >= 2) & (common >= 5)) | ((share >= 0.68) & (common >= 6))
+    judged = stored(text.let(text.let(sides, "_share", share), "_cheap", cheap))
+    found = judged.where("_cheap").select("a", "b")
+    rest = judged.where("not _cheap")
+    wordings = F.filter(F.array_distinct(F.flatten(F.transform(F.array("l.main", "l.translated", "l.title"), lambda x: F.transform(F.array("r.main", "r.translated", "r.title"), lambda y: F.struct(x.alias("x"), y.alias("y")))))), lambda w: (w["x"] != "") & (w["y"] != ""))
+    titles = rest.select("a", "b", F.explode(wordings).alias("w")).select("a", "b", "w.x", "w.y")
+    alike = stored(similar_titles(titles, "x", "y").select("a", "b").distinct())
+    rest = rest.join(alike, ["a", "b"], "left_anti")
+    blank = (F.size("l.event_tokens") == 0) | (F.size("r.event_tokens") == 0)
+    # A ratio is at most twice the shorter length over both: most pairs end here. Similar texts ask for .84, .88, or .8 and a share.
+    rest = text.let(text.let(rest.select("a", "b", "_share", blank.alias("_blank"), "l", "r"), "_x", text.title_key(F.col("l.event"))), "_y", text.title_key(F.col("r.event")))
+    bound = 2.0 * F.least(F.char_length("_x"), F.char_length("_y")) / F.greatest(F.char_length("_x") + F.char_length("_y"), F.lit(1))
+    rest = rest.where("_x <> '' and _y <> ''").where(bound >= F.when(F.col("_blank"), 0.84).when(F.col("_share") >= 0.48, 0.8).otherwise(0.88))
+    close = rest.withColumn("_close", ratio(F.col("_x"), F.col("_y"), 0.8)).where("(_blank and _close >= 0.84) or (not _blank and (_close >= 0.88 or (_close >= 0.8 and _share >= 0.48)))")
+    return found.union(alike).union(close.select("a", "b"))
+
+
+def event_clusters(articles: DataFrame) -> DataFrame:
+    """(node, cluster): articles of one brand within the date window that report one event, joined into clusters."""
+    rows = stored(event_rows(articles))
+    return components(similar_events(event_candidates(rows), rows))
+
+
+def scored_dedupe(articles: DataFrame, clusters: DataFrame, scorer: Callable[[list[dict]], set[int] | None]) -> DataFrame:
+    """Articles without those that a scorer drops from their cluster; a failing or silent scorer drops none.
+
+    scorer: the members of one cluster ({"pos", "title", "published_at", "summary"}) -> the pos to keep. Clusters span a brand's
+    two weeks, a few rows each; they are scored in the executors.
+    """
+    texts = articles.select("pos", "title", "published_at", "summary")
+    members = texts.join(clusters, F.col("pos") == F.col("node")).select("cluster", *texts.columns)
+
+    def run(frame):
+        rows = frame.sort_values("pos").drop(columns="cluster").to_dict("records")
+        known = {r["pos"] for r in rows}
+        try:
+            keep = {int(k) for k in scorer(rows) or ()} & known
+        except Exception:  # noqa: BLE001  a scorer is foreign code; its cluster stays whole
+            keep = set()
+        return frame[["pos"]][~frame["pos"].isin(keep or known)]
+
+    gone = members.groupBy("cluster").applyInPandas(run, "pos long")
+    return articles.join(gone, "pos", "left_anti")
 
 
 def components(links: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, cluster): the smallest node that each one reaches over links (a, b); labels spread until none changes."""
-    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().persist()
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("cluster")).checkpoint()
+    both = stored(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("cluster")))
     for _ in range(rounds):
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("cluster").alias("low"))
         new = labels.join(near, F.col("node") == F.col("a")).select("node", F.least("cluster", "low").alias("cluster"))
         # Jump to the label of the label: path lengths halve.
         hop = new.select(F.col("node").alias("cluster"), F.col("cluster").alias("root"))
-        new = new.join(hop, "cluster", "left").select("node", F.coalesce("root", "cluster").alias("cluster")).checkpoint()
+        new = new.join(hop, "cluster", "left").select("node", F.coalesce("root", "cluster").alias("cluster"))
+        new = stored(new)
         changed = new.join(labels.withColumnRenamed("cluster", "old"), "node").where("cluster <> old").limit(1).count()
         labels = new
         if not changed:

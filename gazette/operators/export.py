@@ -2,40 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import classify, dates, terms, text
-
-#: Kinds of sources by words of their name, official before community before media.
-NEWS_TYPES = [("Official", ["official", "newsroom", "press"]), ("Community", ["forum", "reddit", "community", "blog"])]
-#: Names of a sentiment, and its sign.
-SENTIMENTS = {"positive": "Positive", "negative": "Negative", "neutral": "Neutral", "mixed": "Neutral", "正向": "Positive", "负向": "Negative", "中性": "Neutral"}
-SIGNS = {"Positive": "↑", "Negative": "↓", "Neutral": "→"}
-
-
-def news_type(c: Column) -> Column:
-    low = F.lower(F.coalesce(c, F.lit("")))
-    return classify.first_match([(terms.contains_any(low, words), name) for name, words in NEWS_TYPES], "Media")
-
-
-def sentiment(c: Column) -> Column:
-    return text.enum(c, SENTIMENTS, "Neutral")
-
-
-def sign(c: Column) -> Column:
-    return classify.first_match([(c == k, v) for k, v in SIGNS.items()], "→")
-
-
-def briefing(rows: DataFrame, today: str) -> DataFrame:
-    """The columns of a briefing: rows(pos, platform, title, summary, source_site, article_url, published_date, sentiment)."""
-    day = F.col("published_date")
-    dimension = F.coalesce(classify.nps_dimension(F.concat_ws(" ", "title", "summary")), F.lit(""))
-    return rows.select(
-        "pos", dates.week_label(day, F.lit(today).cast("date")).alias("tracking_week"), dates.slash_date(day).alias("publish_date"), F.col("platform"), news_type(F.col("source_site")).alias("news_type"),
-        text.truncate(F.col("title"), 120, True).alias("title"), text.truncate(F.col("summary"), 400, True).alias("summary"), dimension.alias("dimension"), sentiment(F.col("sentiment")).alias("sentiment"), sign(sentiment(F.col("sentiment"))).alias("direction"), F.col("article_url"),
-    )
-
+from ..functions import terms, text
 
 def summary_order(rows: DataFrame, label: str, ts: str) -> DataFrame:
     """Adds rank columns and sorts: industry first, then the fixed platform order, newest first."""
@@ -43,8 +13,12 @@ def summary_order(rows: DataFrame, label: str, ts: str) -> DataFrame:
     return rows.withColumn("industry", F.when(F.col(label).isin("EU行业", "行业"), 0).otherwise(1)).withColumn("place", F.when(place == 0, len(terms.PLATFORM_ORDER)).otherwise(place - 1).cast("int")).orderBy("industry", "place", F.desc_nulls_last(ts), "pos")
 
 
-def tags(c: Column, rules: dict[str, list[str]], limit: int = 4) -> Column:
-    return F.slice(terms.labels(c, rules), 1, limit)
+def header_union(*frames: DataFrame) -> DataFrame:
+    """Tables as one whose columns are all of theirs, in the order in which they first come."""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -53,10 +27,56 @@ def write_csv(df: DataFrame, path: str) -> None:
     flat.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
+def write_bom_csv(df: DataFrame, path: str) -> None:
+    """One CSV file that begins with a byte order mark, for a spreadsheet: a report's table, written partition by partition.
+
+    An empty table gives an empty file.
+    """
+    spark = df.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    quoted = lambda values: (",".join('"' + ("" if v is None else " | ".join(map(str, v)) if isinstance(v, list) else str(v)).replace('"', '""') + '"' for v in values) + "\r\n").encode()
+    for i, row in enumerate(df.toLocalIterator()):
+        if not i:
+            stream.write(b"\xef\xbb\xbf" + quoted(df.columns))
+        stream.write(quoted(row))
+    stream.close()
+
+
 def write_json(df: DataFrame, path: str) -> None:
+    """JSON lines, one file a task."""
     df.write.mode("overwrite").json(path)
 
 
+def write_json_array(df: DataFrame, path: str) -> None:
+    """One file with an array of all rows, indented, as a report hands it on; rows come partition by partition."""
+    import json
+
+    spark = df.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    stream.write(b"[")
+    for i, row in enumerate(df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).toLocalIterator()):
+        stream.write((("," if i else "") + "\n" + json.dumps(json.loads(row[0]), ensure_ascii=False, indent=2)).encode())
+    stream.write(b"\n]\n")
+    stream.close()
+
+
+def replace_table(df: DataFrame, path: str) -> None:
+    """A small table (registry, cache, configuration) written as a whole beside the old one and then put in its place."""
+    import uuid
+
+    spark = df.sparkSession
+    new = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    df.write.parquet(new)
+    files = spark._jvm.org.apache.hadoop.fs
+    source, target = files.Path(new), files.Path(path)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.delete(target, True)
+    if not system.rename(source, target):
+        raise OSError(f"{new} could not take the place of {path}")
+
+
 def write_grouped(df: DataFrame, path: str, *keys: str) -> None:
     """One folder for each value of the keys, named by its slug."""
     out = df.withColumns({f"{k}_slug": text.slug(F.col(k)) for k in keys})

@@ -38,16 +38,58 @@ def replace_runs(target: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def manual_identity(run: Column, url: Column, platform: Column, day: Column, title: Column, source: Column) -> Column:
-    """The id of a manual row: run and lower-cased URL, or run, platform, date, title and source where there is no URL."""
+    """The id of a manual row: of run and URL, or of run, platform, date, title and source where there is no URL; any case."""
     link = F.lower(text.clean(url))
-    return F.sha1(F.when(link != "", F.concat_ws("|", run, link)).otherwise(F.concat_ws("|", run, *(text.clean(c) for c in (platform, day, title, source)))).cast("binary"))
+    by_url = F.concat_ws("|", text.clean(run), F.lit("url"), link)
+    by_text = F.lower(F.concat_ws("|", *(text.clean(c) for c in (run, platform, day, title, source))))
+    return F.concat(F.lit("manual_"), F.sha1(F.when(link != "", by_url).otherwise(by_text).cast("binary")))
+
+
+def stage_name(c: Column) -> Column:
+    """``before`` or, for anything else, ``after``."""
+    return F.when(c == "before", "before").otherwise("after")
+
+
+def load_articles(articles: DataFrame, run: str, stage: str, schema: str) -> DataFrame:
+    """A run's rows of one stage in their order: articles(run_id, stage, row_index, raw_json); rows that are no object go."""
+    wanted = "before" if stage == "before" else "after"
+    rows = articles.where((F.col("run_id") == run) & (F.col("stage") == wanted)).where(F.ltrim("raw_json").startswith("{"))
+    return rows.select("row_index", F.from_json("raw_json", schema).alias("a")).where("a is not null").orderBy("row_index").select("row_index", "a.*")
+
+
+def load_manual(manual: DataFrame, run: str, stage: str, schema: str, include_disabled: bool = False) -> DataFrame:
+    """A run's manual rows, oldest update first: manual(manual_article_id, run_id, stage, enabled, updated_at, raw_json)."""
+    wanted = "before" if stage == "before" else "after"
+    rows = manual.where((F.col("run_id") == text.clean(F.lit(run))) & (F.col("stage") == wanted))
+    rows = rows if include_disabled else rows.where("enabled")
+    out = rows.select("manual_article_id", "enabled", "updated_at", F.from_json("raw_json", schema).alias("a")).orderBy("updated_at", "manual_article_id")
+    return out.select("a.*", F.lit(True).alias("manual_added"), "manual_article_id", F.col("enabled").alias("manual_enabled"))
+
+
+def checked_manual(forms: DataFrame) -> DataFrame:
+    """Forms of manual rows with ``error``: empty where all is there, else what is missing first.
+
+    forms: article_source (``db:<run>:after``), title, article_url, platform_label, published_at; run_id is added.
+    """
+    source = source_reference(F.trim("article_source"))
+    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    error = (
+        F.when(source.isNull(), "source").when(source["stage"] != "after", "stage").when(blank("title") & blank("article_url"), "title_or_url")
+        .when(blank("platform_label"), "platform").when(blank("published_at"), "date").otherwise("")
+    )
+    return forms.withColumn("run_id", source["run_id"]).withColumn("error", error)
+
+
+def write_runs(rows: DataFrame, path: str) -> None:
+    """Saves runs to a table partitioned by run and stage: what comes in replaces those partitions, so saving twice changes nothing."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id", "stage").parquet(path)
 
 
 def set_enabled(manual: DataFrame, ids: DataFrame, enabled: bool) -> DataFrame:
     """Soft deletion: the flag of the given ids changes, nothing is removed."""
     hit = ids.select("manual_article_id").distinct().withColumn("_hit", F.lit(True))
     out = manual.join(hit, "manual_article_id", "left")
-    return out.withColumn("enabled", F.when("_hit", F.lit(enabled)).otherwise(F.col("enabled"))).select(*manual.columns)
+    return out.withColumn("enabled", F.when(F.col("_hit"), F.lit(enabled)).otherwise(F.col("enabled"))).select(*manual.columns)
 
 
 def set_stars(stars: DataFrame, changes: DataFrame) -> DataFrame:
