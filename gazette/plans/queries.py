@@ -9,10 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import classify, dates, terms, text, urls
-from ..operators import browse, dedup, export, funnel, progress, store, survey, tasks
+from ..functions import classify, context, dates, lexicon, terms, text, urls
+from ..operators import briefing, browse, dedup, enrich, export, funnel, labels, messages, progress, store, summary, survey, tasks
+from ..operators.stored import stored
 from ..sources import pages as page_source
 from ..sources.tables import articles, table
+from . import run as run_plan
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -150,7 +152,7 @@ def initial_dedupe(spark, sf):
     return dedup.initial_dedupe(articles(spark, sf)).select("pos", F.col("group_size").cast("long").alias("group_size"), "title", "platform", "published_at")
 
 
-@query(f"""WITH {_ARTICLES},{_STRIP},{_KEYS}, a AS (SELECT CASE WHEN k LIKE 'f%' THEN 'fallback_duplicate' ELSE 'weak_duplicate' END AS reason, n FROM g1 WHERE n > 1),
+@query(f"""WITH {_ARTICLES},{_STRIP},{_KEYS}, a AS (SELECT CASE WHEN k LIKE 'f%' THEN 'same_source_title_duplicate' ELSE 'weak_key_duplicate' END AS reason, n FROM g1 WHERE n > 1),
 b AS (SELECT 'same_day_exact_title_duplicate' AS reason, count(*) AS n FROM p2 WHERE k2 NOT LIKE 'row%' GROUP BY k2 HAVING count(*) > 1)
 SELECT reason, count(*) AS groups, sum(n - 1)::BIGINT AS removed FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1""")
 def dedupe_stats(spark, sf):
@@ -170,26 +172,41 @@ def dup_candidates(spark, sf):
 reach(node, seen) AS (SELECT a, a FROM l UNION SELECT l.b, reach.seen FROM reach JOIN l ON l.a = reach.node)
 SELECT node, min(seen) AS cluster FROM reach GROUP BY 1""")
 def dup_clusters(spark, sf):
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a shared folder")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
     return dedup.components(dedup.token_candidates(articles(spark, sf))).select("node", "cluster")
 
 
+@query(f"WITH {_ARTICLES},{_STRIP},{_KEYS} SELECT (SELECT count(*) FROM articles) AS input_count, (SELECT count(*) FROM articles) AS missing_url_count, (SELECT count(*) FROM g1) AS group_count, (SELECT count(DISTINCT k2) FROM p2) AS output_count, (SELECT count(*) FROM articles) - (SELECT count(DISTINCT k2) FROM p2) AS removed_count")
+def dedupe_summary(spark, sf):
+    return dedup.dedupe_summary(articles(spark, sf))
+
+
+_NUMBERS = rf"list_distinct(list_filter(list_transform(regexp_extract_all({{c}}, '\d[\d., ]*\d|\d'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')), lambda x: length(x) >= 3 AND NOT regexp_full_match(x, '(19|20)\d\d')))"
+_PHRASES = "list_filter([" + ", ".join(f"CASE WHEN {' OR '.join(f'contains(k, {p!r})' for p in phrases)} THEN '{n}' END" for n, phrases in text.EVENT_PHRASES.items()) + "], lambda x: x IS NOT NULL)"
+
+
+@query(f"""WITH {_ARTICLES}, e AS (SELECT pos, lower(platform) AS brand, published_date AS day, trim({_clean('title')} || ' ' || {_clean('title')} || ' ' || {_clean('summary')}) AS t FROM articles WHERE trim(platform) <> ''),
+k AS (SELECT *, {_key(_clean('t'))} AS k FROM e), f AS (SELECT pos, brand, day, {_NUMBERS.format(c=_clean('t'))} AS numbers, {_PHRASES} AS phrases, list_distinct(list_filter(string_split(k, ' '), lambda x: length(x) >= 3 AND x NOT IN ('news', 'report', 'update', 'media'))) AS tokens FROM k)
+SELECT a.pos AS a, b.pos AS b FROM f a JOIN f b ON a.brand = b.brand AND a.pos < b.pos AND abs(date_diff('day', a.day, b.day)) <= 14 WHERE len(list_intersect(a.numbers, b.numbers)) > 0 AND (len(list_intersect(a.phrases, b.phrases)) > 0 OR len(list_intersect(a.tokens, b.tokens)) >= 4)""")
+def event_markers(spark, sf):
+    return dedup.marker_pairs(stored(dedup.event_rows(articles(spark, sf))))
+
+
+@query()
+def event_clusters(spark, sf):
+    return dedup.event_clusters(articles(spark, sf))
+
+
 # --- classification ---
 
 
 def _ors(column: str, words: list[str]) -> str:
-    return "(" + " OR ".join(f"contains({column}, '{w.lower()}')" for w in words) + ")"
+    return "(" + " OR ".join("contains({}, '{}')".format(column, w.lower().replace("'", "''")) for w in words) + ")"
 
 
 def _bound(column: str, words: list[str]) -> str:
     import re
 
-    ascii_words = [re.escape(w) for w in words if w.isascii()]
+    ascii_words = [re.escape(w).replace("'", "''") for w in words if w.isascii()]
     parts = [f"regexp_matches({column}, '(?i)(^|[^A-Za-z0-9])({'|'.join(ascii_words)})([^A-Za-z0-9]|$)')"] if ascii_words else []
     return "(" + " OR ".join(parts + [f"contains({column}, '{w}')" for w in words if not w.isascii()]) + ")"
 
@@ -228,12 +245,79 @@ def brand_tagging(spark, sf):
     return articles(spark, sf).select("pos", F.explode(terms.labels(c, _BRANDS)).alias("brand")).groupBy("brand").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
 
 
-@query(f"""WITH {_HAY} SELECT CASE WHEN {_bound('hay', ['des', 'les'])} AND NOT {_bound('hay', ['the'])} THEN 'foreign_market'
- WHEN {_bound('hay', terms.LAUNCH_TERMS)} AND {_bound('hay', terms.PRODUCT_TERMS)} AND NOT {_bound('hay', terms.SITEWIDE_TERMS)} THEN 'minor_launch'
- WHEN {_bound('title', terms.DEAL_TERMS)} AND {_bound('hay', terms.PRODUCT_TERMS)} AND NOT {_bound('hay', terms.SITEWIDE_TERMS)} THEN 'single_product' ELSE '' END AS reason, count(*) AS n FROM h GROUP BY 1""")
+_TITLE_SIGNS = "(regexp_matches(ct, '[“\"「『][^”\"」』]{2,80}[”\"」』]') OR regexp_matches(ct, '\\b[A-Za-z]{1,8}[- ]?[A-Za-z0-9]{1,16}\\d[A-Za-z0-9\\-]*\\b') OR regexp_matches(ct, '\\b[A-Z]{2,}[A-Za-z0-9\\-]{1,}\\b'))"
+#: Documents with words of trade put in, so that every rule is met.
+_SAID = ["", "New phone launched", "Sale: phone for less", "Policy on returns", "Trade in greece only", "Report on market share", "Instagram Shopping checkout", "Temu and Shein in the European Union", "celebrity gossip and photos", "TikTok Shop sellers", "Prime day deals sitewide", "baseball match"]
+_TRADE = f"{_ARTICLES}, t AS (SELECT pos, [{', '.join(repr(x) for x in _SAID)}][1 + pos % {len(_SAID)}] || ' ' || title AS title, summary FROM articles), h AS (SELECT pos, {_clean('title')} AS ct, trim(concat_ws(' ', {_clean('title')}, {_clean('summary')})) AS hay FROM t)"
+
+
+def _trade(spark, sf):
+    rows = articles(spark, sf)
+    said = F.element_at(F.array(*map(F.lit, _SAID)), (F.col("pos") % len(_SAID) + 1).cast("int"))
+    return rows.withColumn("title", F.concat(said, F.lit(" "), "title")).drop("article_url")
+
+
+@query(f"""WITH {_TRADE}, s AS (SELECT *, {_bound('hay', lexicon.PRODUCTS)} AS goods, {_bound('hay', lexicon.SINGLE_CATEGORIES)} AS kinds, {_bound('hay', lexicon.MATERIAL_IMPACT)} AS material, {_TITLE_SIGNS} AS one FROM h)
+SELECT pos, CASE WHEN {_bound('hay', lexicon.FOREIGN_MARKETS)} AND NOT {_bound('hay', ['der', 'und'])} THEN 'foreign_market'
+ WHEN {_bound('hay', lexicon.LAUNCHES)} AND goods AND NOT material AND NOT {_bound('hay', lexicon.PROMO_SIGNALS)} THEN 'minor_launch'
+ WHEN {_bound('hay', lexicon.SINGLE_PROMOS)} AND NOT {_bound('hay', lexicon.BROAD_PROMOS)} AND NOT (material AND NOT (goods OR kinds)) AND goods::INT + kinds::INT + one::INT >= 2 THEN 'single_product' ELSE '' END AS reason,
+ {_ors('lower(hay)', lexicon.PLATFORM_LEVEL)} AS platform_level, {_bound('hay', lexicon.MATERIAL_IMPACT + lexicon.PROMO_SIGNALS)} AS direct FROM s""")
 def hard_filter(spark, sf):
-    r = classify.hard_filter_reason(F.col("title"), F.concat_ws(" ", "title", "summary"), ["des", "les"], ["the"])
-    return articles(spark, sf).groupBy(r.alias("reason")).agg(F.count("*").alias("n"))
+    rows = text.let(_trade(spark, sf), "hay", context.relevance_text(_trade(spark, sf)))
+    c = F.col("hay")
+    return rows.select("pos", context.hard_filter(c, F.col("title"), ["der", "und"]).alias("reason"), context.platform_level(c).alias("platform_level"), context.direct_impact(c).alias("direct"))
+
+
+_SHOPS = "CASE WHEN {} THEN 'strong' WHEN {} THEN 'weak' ELSE '' END".format(_bound("hay", lexicon.SHOP_STRONG), _bound("hay", lexicon.SHOP_WEAK))
+
+
+@query(f"""WITH {_TRADE}, s AS (SELECT *, {_SHOPS} AS strength, {_bound('hay', lexicon.MATERIAL_IMPACT + lexicon.TRADE_CONTEXT)} AS trade, {_bound('hay', ['Temu'])} AS temu, {_bound('hay', lexicon.UNION_IMPACT)} AS uni FROM h)
+SELECT pos, strength, trade, {_bound('hay', lexicon.NOISY_TOPICS)} AND NOT trade AS noise, {_bound('lower(hay)', [t.lower() for t in lexicon.PROMO_SIGNALS])} AS promo, {_bound('lower(hay)', [t.lower() for t in lexicon.REPORT_SIGNALS])} AS report,
+ CASE WHEN hay = '' THEN 'instagram_commerce_context_missing' WHEN {_ors('lower(hay)', lexicon.SHOP_ENTERTAINMENT)} THEN 'instagram_entertainment_noise' WHEN {_ors('lower(hay)', lexicon.SHOP_ACCOUNTS)} AND strength = '' THEN 'instagram_account_or_influencer_noise' ELSE 'instagram_commerce_context_missing' END AS skip_reason,
+ CASE WHEN pos % 3 = 0 AND temu AND uni AND {_bound('hay', lexicon.MULTI_PLATFORM)} THEN 'multi_platform_regulatory_or_market_event' WHEN pos % 3 = 0 AND temu AND uni THEN 'TEMU EU/Europe/global platform impact signal'
+ WHEN pos % 3 = 1 AND {_bound('hay', ['TikTok Shop', 'TikTok'])} AND {_bound('hay', lexicon.VIDEO_SHOP)} THEN 'TTS/TikTok Shop platform ecosystem or social commerce signal'
+ WHEN pos % 3 = 2 AND {_bound('hay', ['Instagram', 'Meta'])} AND strength <> '' THEN 'IG/Meta indirect commerce or creator economy signal' ELSE '' END AS entry FROM s""")
+def platform_contexts(spark, sf):
+    rows = text.let(_trade(spark, sf), "hay", context.matched_text(_trade(spark, sf)))
+    c = F.col("hay")
+    label = classify.first_match([(F.col("pos") % 3 == 0, "TEMU"), (F.col("pos") % 3 == 1, "TTS")], "IG")
+    return rows.select(
+        "pos", context.shop_strength(c).alias("strength"), context.in_trade_context(c).alias("trade"), context.only_noise(c).alias("noise"), context.looks_like_promo(c).alias("promo"), context.looks_like_report(c).alias("report"),
+        context.shop_skip_reason(c).alias("skip_reason"), context.broad_entry_reason(c, label, ["Temu"], ["TikTok Shop", "TikTok"]).alias("entry"),
+    )
+
+
+_EXCLUDED = " ".join(f"WHEN {_ors('low', w)} THEN '{n}'" for n, w in context.EXCLUSIONS) + " WHEN confidence = 'low' THEN 'low_confidence_or_weak_link' " + " ".join(f"WHEN {_ors('low', w)} THEN '{n}'" for n, w in context.EXCLUSIONS_LAST)
+
+
+@query(f"""WITH {_TRADE}, r AS (SELECT pos, lower(hay || ' ' || CASE pos % 5 WHEN 0 THEN 'not about the target' WHEN 1 THEN 'b2b financing' ELSE '' END) AS low, CASE pos % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' ELSE 'low' END AS confidence FROM h)
+SELECT pos, confidence, CASE {_EXCLUDED} ELSE 'weak_nps_link' END AS category FROM r""")
+def exclusion_category(spark, sf):
+    rows = _trade(spark, sf)
+    reason = classify.first_match([(F.col("pos") % 5 == 0, "not  about the target"), (F.col("pos") % 5 == 1, "b2b financing")], "")
+    given = classify.first_match([(F.col("pos") % 4 == 0, "Weak"), (F.col("pos") % 4 == 1, "possible"), (F.col("pos") % 4 == 2, " HIGH ")], "?")
+    confidence = context.confidence_name(given, "low")
+    return rows.select("pos", confidence.alias("confidence"), context.exclusion_category(context.relevance_text(rows), reason, confidence).alias("category"))
+
+
+_TREND_NAMES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in context.TREND_LABELS.items())
+_LOW_TREND = "CASE " + " ".join(f"WHEN {_bound('low', w)} THEN '{n}'" for n, _, w in terms.TREND_GROUPS) + " ELSE '' END"
+
+
+@query(f"""WITH {_TRADE}, i AS (SELECT pos, lower(hay) AS low FROM h), c AS (SELECT pos, low, {_LOW_TREND} AS found, {_bound('low', [t.lower() for t in lexicon.REPORT_SIGNALS])} AS report, {_bound('low', terms.DOWNTURN_TERMS)} AS down FROM i),
+n AS (SELECT *, CASE WHEN low = '' THEN '' WHEN found = '' AND report THEN 'other' ELSE found END AS inferred FROM c),
+g AS (SELECT *, CASE inferred WHEN 'regulatory_risk' THEN 'Negative' WHEN 'competitive_landscape' THEN 'Mixed' WHEN 'consumer_behavior' THEN 'Neutral' WHEN 'other' THEN 'Neutral' WHEN '' THEN 'Neutral' ELSE CASE WHEN down THEN 'Neutral' ELSE 'Positive' END END AS impact FROM n)
+SELECT pos, CASE WHEN pos % 7 = 0 OR inferred <> '' THEN 'true' ELSE '' END AS industry_trend_flag, CASE WHEN pos % 7 = 0 THEN 'regulatory_risk' WHEN inferred <> '' THEN inferred ELSE '' END AS industry_trend_category,
+ CASE WHEN pos % 7 = 0 THEN 'Mixed' ELSE impact END AS industry_trend_impact,
+ CASE WHEN inferred <> '' THEN '新闻涉及' || CASE inferred {_TREND_NAMES} END || '，可能影响消费者对该平台或品牌的整体认知。' WHEN pos % 7 = 0 THEN '{context.TREND_REASON}' ELSE '' END AS industry_trend_reason FROM g""")
+def trend_fields(spark, sf):
+    """Flag, category, impact and reason; every seventh row has its own flag, category and impact."""
+    rows = _trade(spark, sf)
+    own = F.col("pos") % 7 == 0
+    rows = rows.withColumn("industry_trend_flag", F.when(own, " Yes ").otherwise("")).withColumn("industry_trend_category", F.when(own, "Compliance").otherwise("")).withColumn("industry_trend_impact", F.when(own, "both").otherwise(""))
+    c = context.relevance_text(rows)
+    out = context.with_trend(rows, c, context.looks_like_report(c))
+    return out.select("pos", "industry_trend_flag", "industry_trend_category", "industry_trend_impact", "industry_trend_reason")
 
 
 _LOOKUP = {"Price": ["the", "of"], "Logistics": ["der", "zu"], "Content": ["les"]}
@@ -282,8 +366,8 @@ def ai_filter_stub(spark, sf):
 
 @query("SELECT doc_id, CASE WHEN toxic = 1 THEN 'Negative' WHEN quality = 1 THEN 'Positive' ELSE 'Neutral' END AS sentiment, CASE WHEN toxic = 1 THEN '↓' WHEN quality = 1 THEN '↑' ELSE '→' END AS sign FROM labels")
 def sentiment_stub(spark, sf):
-    raw = F.when(F.col("toxic") == 1, "NEGATIVE ").when(F.col("quality") == 1, "正向").otherwise("so-so")
-    return table(spark, sf, "labels").select("doc_id", export.sentiment(raw).alias("sentiment"), export.sign(export.sentiment(raw)).alias("sign"))
+    raw = F.when(F.col("toxic") == 1, "NEGATIVE ").when(F.col("quality") == 1, "Favorable").otherwise("so-so")
+    return table(spark, sf, "labels").select("doc_id", context.sentiment_name(raw).alias("sentiment"), briefing.direction_sign(F.when(context.sentiment_name(raw) == "Positive", "Up").when(context.sentiment_name(raw) == "Negative", "Down")).alias("sign"))
 
 
 # --- funnel ---
@@ -384,7 +468,7 @@ def star_changes(spark, sf):
     return store.set_stars(stars, toxic).select(F.col("article_id").alias("doc_id"))
 
 
-@query("SELECT c_custkey, sha1(CASE WHEN c_custkey % 2 = 0 THEN concat_ws('|', 'run' || c_nationkey, 'http://x/' || lower(c_name)) ELSE concat_ws('|', 'run' || c_nationkey, c_mktsegment, '', c_name, '') END) AS id FROM customer")
+@query("SELECT c_custkey, 'manual_' || sha1(CASE WHEN c_custkey % 2 = 0 THEN concat_ws('|', 'run' || c_nationkey, 'url', 'http://x/' || lower(c_name)) ELSE lower(concat_ws('|', 'run' || c_nationkey, c_mktsegment, '', c_name, '')) END) AS id FROM customer")
 def manual_identity(spark, sf):
     url = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("http://X/"), F.col("c_name"))).otherwise("")
     blank = F.lit("")
@@ -478,11 +562,56 @@ def resolve_platforms(spark, sf):
 # --- reports ---
 
 
-@query(f"""WITH {_HAY} SELECT pos, isoyear(published_date) || ' W' || lpad(weekofyear(published_date)::VARCHAR, 2, '0') AS tracking_week, month(published_date) || '/' || day(published_date) || '/' || year(published_date) AS publish_date,
- coalesce({_NPS}, '') AS dimension, CASE WHEN length({_clean('title')}) > 120 THEN left({_clean('title')}, 119) || '…' ELSE {_clean('title')} END AS title FROM h""")
+_CELL = "CASE WHEN length({c}) > {n} THEN rtrim(left({c}, {n} - 1)) || '…' ELSE {c} END"
+
+
+def _cell(c: str, n: int) -> str:
+    return _CELL.replace("{c}", c).replace("{n}", str(n))
+
+
+_SEGMENT = "CASE " + " ".join(f"WHEN {_ors('seg', w)} THEN '{n.format('意大利')}'" for n, w in briefing.SEGMENTS) + f" ELSE '{briefing.PLAIN_SEGMENT.format('意大利')}' END"
+_METRIC = "CASE " + " ".join(f"WHEN {_ors('lower(dims)', w)} THEN '{n}'" for n, w in briefing.METRICS) + " ELSE 'Trust' END"
+
+
+@query(f"""WITH {_ARTICLES}, r AS (SELECT pos, platform, published_date AS d, title, summary, CASE pos % 4 WHEN 0 THEN 'Price | Content' WHEN 1 THEN 'Logistics' WHEN 2 THEN 'Variety' ELSE '' END AS dims, CASE pos % 3 WHEN 0 THEN 'Daily press' WHEN 1 THEN 'Forum of readers' ELSE '' END AS src,
+ CASE pos % 5 WHEN 0 THEN 'bad' WHEN 1 THEN 'UP' ELSE 'so' END AS feel, CASE WHEN pos % 6 = 0 THEN 'true' ELSE '' END AS flag, CASE WHEN pos % 12 = 0 THEN 'good' ELSE 'risk' END AS impact, 'https://www.H' || (pos % 9) || '.example/a?' || pos AS url FROM articles),
+ k AS (SELECT *, {_clean('title')} AS ct, {_clean('summary')} AS cs, lower(concat_ws(' ', platform, title, '', '', summary, dims, '', '', '', '')) AS seg, lower(concat_ws(' ', src, '', url, '')) AS kind, CASE impact WHEN 'good' THEN 'Positive' ELSE 'Negative' END AS imp FROM r),
+ m AS (SELECT *, {_METRIC} AS metric, CASE WHEN flag = 'true' AND imp = 'Positive' THEN 'Up' WHEN flag = 'true' THEN 'Down' ELSE 'Neutral' END AS dir FROM k)
+SELECT pos::VARCHAR AS article_id, isoyear(d) || ' W' || lpad(weekofyear(d)::VARCHAR, 2, '0') AS "Tracking Week", 'IT' AS "Source Country", platform AS "Platform", CASE dir WHEN 'Up' THEN '↑' WHEN 'Down' THEN '↓' ELSE '→' END AS "NPS Overall Change", {_SEGMENT} AS "Key User Segment Affected", dims AS "NPS Dimension", {_cell('ct', 500)} AS "News Title / Event",
+ CASE WHEN {_ors('kind', briefing.OFFICIAL)} THEN 'Official' WHEN {_ors('kind', briefing.COMMUNITY)} THEN 'Community' ELSE 'Media' END AS "News Type (Media / Official / Community)", CASE WHEN src <> '' THEN src ELSE 'H' || (pos % 9) || '.example' END AS "Source Name", month(d) || '/' || day(d) || '/' || year(d) AS "Publish Date", url AS "News URL",
+ CASE WHEN cs <> '' THEN {_cell('cs', 600)} ELSE {_cell('ct', 400)} END AS "Core Summary", CASE feel WHEN 'bad' THEN 'Negative' WHEN 'UP' THEN 'Positive' ELSE 'Neutral' END AS "Sentiment (Positive / Neutral / Negative)", 'Both' AS "Affected Side (Buyer / Seller / Both)", dir AS "Impact Direction on NPS (Up / Down / Neutral)",
+ metric AS "Impacted NPS Metric (Price / Trust / Fulfillment / Content / Assortment)", 'Medium' AS "Impact Level (High / Medium / Low)", 'Immediate' AS "Short-term or Lagged Effect", '可能影响' || metric || '相关分项，并传导至总体 NPS。' AS "Quant Linkage Hypothesis",
+ CASE WHEN flag = 'true' THEN '行业趋势标记：该新闻涉及品牌或平台整体层面的行业趋势。' ELSE 'AI生成失败，需人工复核' END AS "Analyst Note", 'Y' AS "Include in Client Readout (Y/N)", 'Y' AS "Follow-up Needed (Y/N)" FROM m""")
 def briefing_columns(spark, sf):
-    a = articles(spark, sf).withColumn("sentiment", F.lit(""))
-    return export.briefing(a, "2024-02-01").select("pos", "tracking_week", "publish_date", "dimension", "title")
+    """All 22 columns of the briefing table."""
+    pos = F.col("pos")
+    pick = lambda n, *v: F.element_at(F.array(*map(F.lit, v)), (pos % n + 1).cast("int"))
+    rows = articles(spark, sf).drop("article_url").withColumns({
+        "platform_label": F.col("platform"), "survey_dimensions": pick(4, "Price | Content", "Logistics", "Variety", ""), "source_name": pick(3, "Daily press", "Forum of readers", ""), "briefing_sentiment": pick(5, "bad", "UP", "so", "so", "so"),
+        "industry_trend_flag": F.when(pos % 6 == 0, "true").otherwise(""), "industry_trend_impact": F.when(pos % 12 == 0, "good").otherwise("risk"), "article_url": F.concat(F.lit("https://www.H"), pos % 9, F.lit(".example/a?"), pos),
+    })
+    return briefing.briefing_table(rows, "意大利", "it", "2024-02-01")
+
+
+_TAGS = "list_filter([" + ", ".join(f"CASE WHEN {_ors('low', w)} THEN '{t}' END" for t, w in summary.TAG_RULES) + "], lambda x: x IS NOT NULL)"
+
+
+@query(f"""WITH {_TRADE}, r AS (SELECT pos, lower(title || ' ' || coalesce(summary, '') || ' Price | Content') AS low, lower(concat_ws(' ', title, '', '', coalesce(summary, ''), '', '', '')) AS scope, CASE pos % 5 WHEN 0 THEN 'yes' ELSE '' END AS flag, CASE pos % 4 WHEN 0 THEN 'amazon' WHEN 1 THEN 'TikTok Shop' WHEN 2 THEN '' ELSE 'Own shop' END AS label, {_clean('title')} AS ct FROM (SELECT pos, title, summary FROM t)),
+ t2 AS (SELECT *, {_TAGS} AS tags FROM (SELECT pos, regexp_replace(lower(concat_ws(' ', low, '', '')), 'x^', '') AS low, scope, flag, label, ct FROM r))
+SELECT pos, array_to_string(list_slice(CASE WHEN flag = 'yes' THEN list_prepend('行业发展', tags) WHEN len(tags) = 0 THEN ['Price'] ELSE tags END, 1, 4), '|') AS tags,
+ CASE WHEN flag = 'yes' AND {_ors('scope', summary.SCOPE)} THEN 'EU行业' WHEN flag = 'yes' OR label = '' THEN '行业' WHEN label = 'amazon' THEN 'AMZ' WHEN label = 'TikTok Shop' THEN 'TTS' ELSE label END AS platform,
+ CASE WHEN length(c) <= 50 THEN c ELSE regexp_replace(left(c, 50), '[，、；;：: ]+$', '') || '…' END AS claim FROM (SELECT *, regexp_replace(trim(left(ct, 200)), '^[。？！?；; ]+|[。？！?；; ]+$', '', 'g') AS c FROM t2)""")
+def summary_tags(spark, sf):
+    pos = F.col("pos")
+    rows = _trade(spark, sf).withColumns({"survey_dimensions": F.lit("Price | Content"), "industry_trend_flag": F.when(pos % 5 == 0, "yes").otherwise(""), "platform_label": F.element_at(F.array(*map(F.lit, ("amazon", "TikTok Shop", "", "Own shop"))), (pos % 4 + 1).cast("int"))})
+    return rows.select("pos", F.array_join(summary.inferred_tags(rows), "|").alias("tags"), summary.platform_name(rows).alias("platform"), summary.claim(F.col("title")).alias("claim"))
+
+
+@query()
+def summary_sheet(spark, sf):
+    """The twelve columns of the summary sheet."""
+    rows = _trade(spark, sf).withColumns({"survey_dimensions": F.lit("Price | Content"), "platform_label": F.col("platform"), "article_url": F.concat(F.lit("https://a.example/"), "pos"), "source_name": F.lit("Daily")})
+    return summary.summary_rows(rows, summary.summary_items(rows, "意大利"))
 
 
 @query("SELECT n_nationkey, CASE WHEN label = '行业' THEN 0 ELSE 1 END AS industry, coalesce(list_position(['EU行业', '行业', 'AMZ', 'Shein', 'Temu', 'TTS', 'eBay', 'IG'], label) - 1, 8)::INT AS place FROM (SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN '行业' WHEN 1 THEN 'Temu' WHEN 2 THEN 'IG' ELSE n_name END AS label FROM nation)")
@@ -515,17 +644,8 @@ def page_feeds(spark, sf):
     return page_source.feed_urls(table(spark, sf, "pages"))
 
 
-@query("SELECT doc_id AS pos, substr(text, 1, 60) AS title, CAST(DATE '2024-01-01' + CAST(doc_id % 28 AS INT) AS VARCHAR) AS day FROM documents WHERE doc_id % 28 BETWEEN 4 AND 13 AND NOT regexp_matches(substr(text, 1, 60), '[<>&\\s]{2}|[&<>]|^\\s|\\s$|[\\n\\t]') ")
-def feed_parse(spark, sf):
-    d = table(spark, sf, "documents").where(~F.substring("text", 1, 60).rlike(r"[<>&\s]{2}|[&<>]|^\s|\s$|[\n\t]"))
-    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 28).cast("int"))
-    xml = F.concat(F.lit("<rss><channel><item><title>"), F.substring("text", 1, 60), F.lit("</title><link>http://x.example/"), F.col("doc_id"), F.lit("</link><pubDate>"), F.date_format(day, "dd MMM yyyy"), F.lit(" 08:00:00 +0000</pubDate></item></channel></rss>"))
-    items = page_source.feed_items(d.select(F.col("doc_id").cast("string").alias("feed_url"), xml.alias("xml")), "2024-01-05", "2024-01-14")
-    return items.select(F.col("feed_url").cast("long").alias("pos"), "title", F.col("published_ts").cast("date").cast("string").alias("day"))
-
-
 @query(f"SELECT doc_id AS pos, {_clean('text')} AS title, CAST(DATE '2024-01-01' + CAST(doc_id % 28 AS INT) AS VARCHAR) AS day FROM documents WHERE doc_id % 28 BETWEEN 4 AND 13")
-def feed_parse_whole(spark, sf):
+def feed_parse(spark, sf):
     """Every document's whole text as an item's title: escaped for even ids, as CDATA for odd ones."""
     d = table(spark, sf, "documents")
     t = F.coalesce("text", F.lit(""))
@@ -619,3 +739,312 @@ def stream_first_events(spark, sf):
     from ..streaming import news
 
     return news.drained(spark, sf, "events", lambda s: news.first_of_key(s, ["user_id", "event_type"], "ts", "60 days")).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+# --- sources' states ---
+
+_NOTES = ["", "SSLError at handshake", "Connection to a.example timed out", "Read timed out", "proxy refused", "TooManyRedirects", "please login", "HTTP 403", "adapter failed: x", "no selector", "odd"]
+_NOTE_SQL = "[" + ", ".join(repr(n) for n in _NOTES) + f"][1 + event_id % {len(_NOTES)}]"
+_ERROR = """CASE WHEN low = '' THEN 'unknown' WHEN contains(low, 'sslerror') OR contains(low, 'certificate verify failed') OR contains(low, 'self-signed certificate') THEN 'ssl_cert_verification'
+ WHEN contains(low, 'connecttimeout') OR (contains(low, 'connection to ') AND contains(low, 'timed out')) THEN 'connect_timeout' WHEN contains(low, 'readtimeout') OR contains(low, 'read timed out') THEN 'read_timeout' WHEN contains(low, 'proxy') THEN 'proxy_error'
+ WHEN contains(low, 'toomanyredirects') OR contains(low, 'too many redirects') THEN 'too_many_redirects' WHEN contains(low, 'login') OR contains(low, 'signin') OR contains(low, '登录') THEN 'login_required' WHEN contains(low, '403') OR contains(low, 'forbidden') OR contains(low, 'blocked') THEN 'blocked'
+ WHEN contains(low, 'adapter failed') THEN 'adapter_failed' WHEN contains(low, 'parse') OR contains(low, 'selector') THEN 'parse_failure' ELSE 'other_network_or_parser_error' END"""
+
+
+def _results(spark, sf):
+    e = table(spark, sf, "events")
+    k = F.col("event_id")
+    return e.select(
+        "event_id", F.when(k % 2 == 0, "error").otherwise("public").alias("status"), F.element_at(F.array(*map(F.lit, _NOTES)), (k % len(_NOTES) + 1).cast("int")).alias("note"), F.element_at(F.array(*map(F.lit, ("", "http_404", "http_200", "HTTP_503"))), (k % 4 + 1).cast("int")).alias("endpoint"),
+        (k % 7 == 0).cast("int").alias("recent"), (k % 3).alias("selectors"), (k % 5).alias("dated"), (k % 4).alias("candidates"), (k % 6).alias("matched"),
+    )
+
+
+@query(f"WITH r AS (SELECT lower({_NOTE_SQL}) AS low FROM events WHERE event_id % 2 = 0) SELECT {_ERROR} AS category, count(*) AS n FROM r GROUP BY 1")
+def error_histogram(spark, sf):
+    return enrich.error_histogram(_results(spark, sf))
+
+
+@query(f"""WITH r AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'error' ELSE 'public' END AS status, lower({_NOTE_SQL}) AS low, lower(['', 'http_404', 'http_200', 'HTTP_503'][1 + event_id % 4]) AS code FROM events),
+z AS (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN '' WHEN contains(low, 'login') THEN 'access_limited' WHEN contains(low, '403') THEN 'blocked_or_anti_bot' WHEN status = 'error' THEN {_ERROR} WHEN code LIKE 'http\\_4%' ESCAPE '\\' OR code LIKE 'http\\_5%' ESCAPE '\\' THEN 'search_endpoint_invalid'
+ WHEN event_id % 3 <= 0 AND code LIKE 'http\\_2%' ESCAPE '\\' THEN 'selector_no_match' WHEN event_id % 3 > 0 AND event_id % 5 <= 0 THEN 'date_not_parsed' WHEN event_id % 4 <= 0 THEN 'no_recent_candidates' WHEN event_id % 6 <= 0 THEN 'no_brand_match' ELSE 'no_recent_brand_articles' END AS reason FROM r)
+SELECT event_id, reason, CASE WHEN reason = '' THEN 'keep' WHEN reason IN ('access_limited', 'blocked_or_anti_bot', 'client_side_rendering') THEN 'skip_deep_crawl_or_disable' WHEN reason IN ('no_recent_candidates', 'no_recent_brand_articles', 'no_brand_match', 'selector_no_match', 'date_not_parsed') THEN 'use_shallow_crawl_for_short_window'
+ WHEN reason = 'search_endpoint_invalid' THEN 'fix_or_replace_source_adapter' WHEN reason IN ('connect_timeout', 'read_timeout', 'proxy_error') THEN 'retry_later_or_check_network' ELSE 'review_source_adapter' END AS recommendation FROM z""")
+def zero_yield(spark, sf):
+    r = _results(spark, sf)
+    reason = classify.zero_yield_reason(*(F.col(c) for c in ("status", "note", "endpoint", "recent", "selectors", "dated", "candidates", "matched")))
+    return r.select("event_id", reason.alias("reason")).select("event_id", "reason", classify.source_recommendation(F.col("reason")).alias("recommendation"))
+
+
+@query("""WITH p AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN NULL WHEN 1 THEN 404 ELSE 200 END AS code, lower(CASE page_id % 6 WHEN 2 THEN 'https://a.example/SignIn' WHEN 3 THEN 'https://seller.shein.com/x' ELSE url END) AS u, lower(html || CASE WHEN page_id % 6 = 3 THEN 'Login' WHEN page_id % 6 = 4 THEN ' 523 Error' ELSE '' END) AS t FROM pages)
+SELECT page_id, CASE WHEN code IS NULL THEN 'error' WHEN code >= 400 THEN 'http_error' WHEN contains(t, '523 error') OR (contains(t, 'error occurred') AND contains(u, 'qoo10')) THEN 'blocked' WHEN contains(u, 'login') OR contains(u, 'signin') OR contains(u, 'sign-in') OR contains(u, 'auth') THEN 'login_required'
+ WHEN contains(u, 'seller.shein.com') AND (contains(t, 'login') OR contains(t, 'signin')) THEN 'login_required' WHEN contains(t, 'type="password"') OR contains(t, 'seller central') OR contains(t, 'seller center') OR contains(t, 'returnurl=') THEN 'login_required' ELSE 'public' END AS status FROM p""")
+def source_status(spark, sf):
+    k = F.col("page_id") % 6
+    p = table(spark, sf, "pages")
+    code = F.when(k == 0, None).when(k == 1, 404).otherwise(200)
+    final = F.when(k == 2, "https://a.example/SignIn").when(k == 3, "https://seller.shein.com/x").otherwise("")
+    body = F.concat("html", F.when(k == 3, "Login").when(k == 4, " 523 Error").otherwise(""))
+    return p.select("page_id", classify.source_status(F.col("url"), code, final, body)["status"].alias("status"))
+
+
+@query("""SELECT s_suppkey, CASE WHEN s_suppkey % 11 = 0 THEN 'high' WHEN s_suppkey % 7 = 0 OR s_suppkey % 3 = 0 THEN 'low' WHEN s_suppkey % 5 = 0 THEN 'medium' WHEN s_suppkey % 4 = 0 THEN 'high' WHEN s_suppkey % 2 = 0 THEN 'medium' WHEN s_suppkey % 13 = 0 THEN 'high' ELSE 'medium' END AS risk, CASE WHEN s_nationkey % 2 = 0 THEN 'JP' ELSE 'Global' END AS country FROM supplier""")
+def capability_risk(spark, sf):
+    k = F.col("s_suppkey")
+    risk = classify.capability_risk(
+        F.when(k % 11 == 0, "Blocked").otherwise("public"), F.when(k % 13 == 0, "Forbidden").otherwise(""), F.when(k % 2 == 0, "SSL broken").otherwise(""), k % 7 == 0, F.when(k % 3 == 0, 2).otherwise(0), F.lit(0), F.when(k % 5 == 0, 1).otherwise(0), F.when(k % 4 == 0, 1).otherwise(0), F.lit(200)
+    )
+    url = F.when(F.col("s_nationkey") % 2 == 0, "https://A.example/JA-JP/").otherwise("https://a.example/")
+    return table(spark, sf, "supplier").select("s_suppkey", risk.alias("risk"), classify.guess_country(url).alias("country"))
+
+
+@query("""WITH f AS (SELECT o_orderkey, ['before.csv', 'after.json', 'articles_before_filter_1.csv', 'sources.csv', 'articles_1.csv', 'x.csv'][1 + o_orderkey % 6] AS name, ['translated', 'raw_untranslated', ''][1 + o_orderkey % 3] AS b, ['before_filter', 'after_ai_filter'][1 + o_orderkey % 2] AS t FROM orders),
+l AS (SELECT *, CASE WHEN name = 'before.csv' THEN CASE WHEN b = 'raw_untranslated' THEN '原文未翻译' WHEN b = 'translated' THEN '已翻译' WHEN t = 'after_ai_filter' THEN '原文未翻译' ELSE '已翻译' END WHEN name = 'after.json' THEN '已翻译' ELSE '' END AS tr FROM f)
+SELECT o_orderkey, tr, CASE WHEN name IN ('before.csv', 'articles_before_filter_1.csv') THEN '筛选前' || CASE WHEN tr <> '' THEN '/' || tr ELSE '' END WHEN name = 'after.json' THEN '筛选后' || CASE WHEN tr <> '' THEN '/' || tr ELSE '' END WHEN name = 'sources.csv' THEN '来源结果' WHEN name LIKE 'articles%' THEN '兼容结果' ELSE '新闻数据' END AS label FROM l""")
+def dataset_labels(spark, sf):
+    k = F.col("o_orderkey")
+    pick = lambda *v: F.element_at(F.array(*map(F.lit, v)), (k % len(v) + 1).cast("int"))
+    name = pick("before.csv", "after.json", "articles_before_filter_1.csv", "sources.csv", "articles_1.csv", "x.csv")
+    rows = table(spark, sf, "orders").select("o_orderkey", name.alias("name"), classify.translation_label(name, pick("translated", "raw_untranslated", ""), F.lit(""), pick("before_filter", "after_ai_filter")).alias("tr"))
+    return rows.select("o_orderkey", "tr", classify.dataset_label(F.col("name"), F.col("tr")).alias("label"))
+
+
+@query(rf"""WITH {_ARTICLES}, r AS (SELECT pos, {_clean('title')} AS a, CASE pos % 4 WHEN 0 THEN '' WHEN 1 THEN {_clean('title')} WHEN 2 THEN '新闻' ELSE 'other' END AS b FROM articles) SELECT count(*) FILTER (a <> '' AND NOT regexp_matches(a, '[\x{{4E00}}-\x{{9FFF}}]') AND (b = '' OR a = b OR NOT regexp_matches(b, '[\x{{4E00}}-\x{{9FFF}}]'))) AS failed, count(*) FILTER (a <> '' AND (b = '' OR a = b)) AS failed_it FROM r""")
+def failed_translations(spark, sf):
+    k = F.col("pos") % 4
+    b = F.when(k == 0, "").when(k == 1, F.col("title")).when(k == 2, "新闻").otherwise("other")
+    return articles(spark, sf).agg(F.count_if(classify.translation_failed(F.col("title"), b)).alias("failed"), F.count_if(classify.translation_failed(F.col("title"), b, "it")).alias("failed_it"))
+
+
+# --- identities, stores, labels ---
+
+
+@query(f"WITH {_ARTICLES} SELECT pos, CASE WHEN pos % 3 = 0 THEN 'url:https://a.example/' || pos ELSE 'text:' || lower(platform) || '|' || published_date || '|' || {_key(_clean('title'))} END AS id FROM articles")
+def article_identity(spark, sf):
+    rows = articles(spark, sf).withColumn("article_url", F.when(F.col("pos") % 3 == 0, F.concat(F.lit("https://A.example/"), "pos")).otherwise(""))
+    return rows.select("pos", browse.identity(rows).alias("id"))
+
+
+def _stored(spark, sf):
+    l = table(spark, sf, "lineitem")
+    payload = F.when(F.col("l_linenumber") % 6 == 0, "[1]").otherwise(F.to_json(F.struct(F.col("l_orderkey").alias("k"), F.concat(F.lit("t"), "l_linenumber").alias("title"))))
+    return l.select((F.col("l_orderkey") % 10).cast("string").alias("run_id"), F.when(F.col("l_returnflag") == "N", "before").otherwise("after").alias("stage"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_index"), payload.alias("raw_json"))
+
+
+@query("SELECT l_orderkey * 10 + l_linenumber AS row_index, l_orderkey AS k, 't' || l_linenumber AS title FROM lineitem WHERE l_orderkey % 10 = 3 AND l_returnflag <> 'N' AND l_linenumber % 6 <> 0")
+def stored_articles(spark, sf):
+    return store.load_articles(_stored(spark, sf), "3", "anything", "k long, title string")
+
+
+@query("""WITH r AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'run_20240105_0810' || lpad((o_orderkey % 60)::VARCHAR, 2, '0') || '_range_20240101_20240104' ELSE 'r' || o_orderkey END AS run_id, CASE WHEN o_orderkey % 2 = 0 THEN 'Italy' ELSE '' END AS country, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') END AS made, o_orderkey % 7 AS n, o_orderdate, CASE WHEN o_orderkey % 4 = 0 THEN '2024-02-01' ELSE '' END AS s FROM orders),
+k AS (SELECT * FROM r WHERE n > 0), newest AS (SELECT run_id FROM k ORDER BY o_orderdate DESC, run_id DESC LIMIT 1)
+SELECT 'db:' || run_id || ':after' AS value, concat_ws('｜', CASE WHEN run_id = (SELECT run_id FROM newest) THEN '最近一次抓取' WHEN o_orderkey % 3 = 0 THEN '2024-01-05 08:10 抓取' WHEN made <> '' THEN strftime(o_orderdate, '%Y-%m-%d %H:%M') || ' 抓取' ELSE '历史结果' END, nullif(country, ''),
+ CASE WHEN o_orderkey % 3 = 0 THEN CASE WHEN s <> '' THEN s ELSE '2024-01-01' END || ' 至 2024-01-04' ELSE '时间范围未知' END, n || '条') AS label FROM k""")
+def run_labels(spark, sf):
+    k = F.col("o_orderkey")
+    name = F.when(k % 3 == 0, F.concat(F.lit("run_20240105_0810"), F.lpad((k % 60).cast("string"), 2, "0"), F.lit("_range_20240101_20240104"))).otherwise(F.concat(F.lit("r"), k))
+    runs = table(spark, sf, "orders").select(name.alias("run_id"), F.when(k % 2 == 0, "Italy").otherwise("").alias("country_label"), F.when(k % 5 == 0, "").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")).alias("generated_at"), F.when(k % 4 == 0, "2024-02-01").otherwise("").alias("range_start"), F.lit("").alias("range_end"), (k % 7).alias("after_count"), F.col("o_orderdate").alias("updated_at"))
+    return labels.run_sources(runs)
+
+
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'TikTok Shop | ' || p_brand WHEN 1 THEN p_brand || '、Instagram ,x' ELSE trim(p_name) END AS label FROM part")
+def display_labels(spark, sf):
+    k = F.col("p_partkey") % 3
+    raw = F.when(k == 0, F.concat(F.lit(" tts | "), "p_brand")).when(k == 1, F.concat("p_brand", F.lit("、IG ,x"))).otherwise(F.col("p_name"))
+    return table(spark, sf, "part").select("p_partkey", labels.display_label(raw, {"tts": "TikTok Shop", "ig": "Instagram"}).alias("label"))
+
+
+@query("""WITH t AS (SELECT p_partkey AS id, unnest(CASE p_partkey % 3 WHEN 0 THEN [struct_pack(pos := 0, label := 'fees', block := '(' || p_brand || ')'), struct_pack(pos := 1, label := 'related_2', block := p_type)] WHEN 1 THEN [struct_pack(pos := 0, label := 'related_1', block := '(a)'), struct_pack(pos := 1, label := 'related_2', block := '(b)')] ELSE [struct_pack(pos := 0, label := 'l_1', block := '(a)'), struct_pack(pos := 1, label := 'l_2', block := '(' || p_brand || ')')] END) AS b FROM part)
+SELECT id, b.pos AS pos, b.label AS label, b.block AS block FROM t""")
+def search_blocks(spark, sf):
+    k = F.col("p_partkey") % 3
+    raw = F.when(k == 0, F.concat(F.lit("fees = ("), "p_brand", F.lit(")\n"), "p_type")).when(k == 1, "(a) (b)\n(a)").otherwise(F.concat(F.lit("l: (a) ("), "p_brand", F.lit(")")))
+    return labels.search_blocks(table(spark, sf, "part").select(F.col("p_partkey").alias("id"), raw.alias("text")), "related", split=True)
+
+
+@query("""WITH p AS (SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN 'TTS' WHEN 1 THEN 'IG' ELSE n_name END AS platform, CASE n_nationkey % 4 WHEN 0 THEN ['TTS', 'TT Shop'] WHEN 1 THEN ['IG', 'Instagram Shop'] ELSE [n_name || ' x', 'q', 'q'] END AS a FROM nation WHERE n_nationkey < 2 OR n_nationkey % 4 > 1)
+SELECT platform, len(list_distinct(a))::INT AS alias_count, n_nationkey % 4 <> 0 AS has_full_name, n_nationkey % 4 = 0 AS abbreviation_only, CASE WHEN n_nationkey % 4 = 0 THEN '品牌别名未展开到全称，可能影响搜索入池。|品牌别名似乎只包含缩写，建议补充平台全称。' ELSE '' END AS warnings FROM p""")
+def alias_warnings(spark, sf):
+    k = F.col("n_nationkey") % 4
+    n = table(spark, sf, "nation").where("n_nationkey < 2 or n_nationkey % 4 > 1")
+    name = F.when(k == 0, "TTS").when(k == 1, "IG").otherwise(F.col("n_name"))
+    own = F.when(k == 0, F.array(F.lit("TTS"), F.lit("TT Shop"))).when(k == 1, F.array(F.lit("IG"), F.lit("Instagram Shop"))).otherwise(F.array(F.concat("n_name", F.lit(" x")), F.lit("q"), F.lit("q")))
+    out = enrich.alias_summary(n.select(name.alias("platform"), F.posexplode(own).alias("pos", "alias")))
+    return out.select("platform", "alias_count", "has_full_name", "abbreviation_only", F.array_join("warnings", "|").alias("warnings"))
+
+
+# --- diagnostics and fill ---
+
+
+def _queries(spark, sf):
+    e = table(spark, sf, "events")
+    k = F.col("event_id")
+    return e.select(F.element_at(F.array(*map(F.lit, ("TEMU", "TTS", "IG", "AMZ"))), (k % 4 + 1).cast("int")).alias("platform"), F.element_at(F.array(*map(F.lit, ("market", "platform_broad_eu_global", "platform_broad_short"))), (k % 3 + 1).cast("int")).alias("strategy"), (k % 10).alias("feed_count"), (k % 5).alias("kept_count"), (k % 2).alias("entry_count"), "event_id", "event_type", "user_id")
+
+
+_BROAD = """q AS (SELECT event_id, event_type, user_id, ['TEMU', 'TTS', 'IG', 'AMZ'][1 + event_id % 4] AS platform, event_id % 3 AS st, event_id % 10 AS f, event_id % 5 AS k, event_id % 2 AS e FROM events),
+s AS (SELECT platform, coalesce(sum(f) FILTER (st = 0), 0)::BIGINT AS target_market_feed_count, coalesce(sum(k) FILTER (st = 0), 0)::BIGINT AS target_market_kept_count, coalesce(sum(f) FILTER (st > 0), 0)::BIGINT AS broad_feed_count, coalesce(sum(k) FILTER (st > 0), 0)::BIGINT AS broad_kept_count,
+ coalesce(sum(f) FILTER (st = 2), 0)::BIGINT AS broad_short_feed_count, coalesce(sum(k) FILTER (st = 2), 0)::BIGINT AS broad_short_kept_count, coalesce(sum(e) FILTER (st > 0), 0)::BIGINT AS broad_entry_count FROM q WHERE platform <> 'AMZ' GROUP BY 1),
+x AS (SELECT DISTINCT event_id, unnest(['TEMU', platform]) AS platform FROM q WHERE event_id % 9 = 0), y AS (SELECT platform, count(*) AS broad_entry_before_filter_count, count(*) FILTER (event_id % 2 = 0) AS broad_entry_ai_kept_count, count(*) FILTER (event_id % 4 = 0) AS broad_entry_final_count, count(*) FILTER (event_id % 2 <> 0) AS broad_entry_ai_excluded_count,
+ count(*) FILTER (event_id % 5 = 0) AS multi_platform_event_kept_count FROM x WHERE platform <> 'AMZ' GROUP BY 1), bro AS (SELECT * FROM s FULL JOIN y USING (platform))"""
+
+
+def _broad(spark, sf):
+    q = _queries(spark, sf)
+    k = F.col("event_id")
+    entered = q.where("event_id % 9 = 0").select(F.array(F.lit("TEMU"), "platform").alias("platforms"), F.when(k % 5 == 0, funnel.SEVERAL_PLATFORMS).otherwise("x").alias("reason"), (k % 2 == 0).alias("in_survey"), (k % 4 == 0).alias("in_final"))
+    return funnel.broad_entry_summary(q, entered)
+
+
+@query(f"WITH {_BROAD} SELECT * FROM bro")
+def broad_entry_summary(spark, sf):
+    return _broad(spark, sf)
+
+
+@query(f"""WITH {_BROAD}, {_FUNNEL}, t AS (SELECT CASE brand WHEN 'brand1' THEN 'TTS' ELSE brand END AS platform, sum(raw_count)::BIGINT AS raw_count, sum(initial_dedupe_count)::BIGINT AS initial_dedupe_count, sum(survey_filter_count)::BIGINT AS survey_filter_count, sum(final_count)::BIGINT AS final_count FROM f GROUP BY 1),
+g AS (SELECT platform, count(*) AS tasks, sum(q.f)::BIGINT AS feeds, sum(k)::BIGINT AS kept FROM q GROUP BY 1), r AS (SELECT platform, event_type || user_id % 3 AS reason, count(*) AS n FROM q GROUP BY 1, 2), top AS (SELECT *, row_number() OVER (PARTITION BY platform ORDER BY n DESC, reason) AS i FROM r), l AS (SELECT platform, string_agg(reason || '=' || n, ',' ORDER BY i) AS top_skipped FROM top WHERE i <= 6 GROUP BY 1)
+SELECT a.platform, tasks AS search_task_count, feeds AS search_feed_count, kept AS entry_kept_count, coalesce(raw_count, 0) AS raw_count, coalesce(initial_dedupe_count, 0) AS initial_dedupe_count, coalesce(survey_filter_count, 0) AS survey_filter_count, coalesce(final_count, 0) AS final_count, top_skipped,
+ CASE WHEN o.broad_entry_before_filter_count > 0 THEN o.broad_entry_before_filter_count ELSE o.broad_entry_count END AS broad_entry_before_filter_count, o.broad_entry_ai_kept_count, o.broad_entry_final_count FROM (VALUES ('TTS'), ('IG')) a(platform) LEFT JOIN t USING (platform) LEFT JOIN g USING (platform) LEFT JOIN l USING (platform) LEFT JOIN bro o USING (platform)""")
+def low_volume_diagnostics(spark, sf):
+    q = _queries(spark, sf)
+    brands = _selection(spark)
+    totals = funnel.brand_totals(funnel.stage_funnel(_events(spark, sf), brands, "2024-01-01", "2024-01-31"), brands).drop("diagnosis").withColumn("brand", F.when(F.col("brand") == "brand1", "TTS").otherwise(F.col("brand")))
+    engines = q.groupBy("platform").agg(F.count("*").alias("task_count"), F.sum("feed_count").alias("feed_count"), F.sum("kept_count").alias("kept_count")).withColumn("engine", F.lit("google"))
+    skipped = q.groupBy("platform", F.concat("event_type", (F.col("user_id") % 3).cast("string")).alias("reason")).agg(F.count("*").alias("n"))
+    out = funnel.low_volume_diagnostics(totals, engines, skipped, _broad(spark, sf))
+    return out.withColumn("top_skipped", F.array_join(F.transform("top_skipped", lambda x: F.concat(x["reason"], F.lit("="), x["n"].cast("string"))), ","))
+
+
+@query()
+def greedy_fill(spark, sf):
+    """The multi-brand quota fill; sequential, so it has no SQL (tests compare it with a loop)."""
+    rows = articles(spark, sf).select("pos", F.col("published_date").alias("day"), F.array("platform", "lang").alias("brands"), F.concat("published_at", F.lit("T"), F.lpad((F.col("pos") % 24).cast("string"), 2, "0")).alias("stamp"))
+    return funnel.greedy_fill(rows.where("pos % 3 <> 0"), rows.where("pos % 3 = 0").select("day", "brands"))
+
+
+# --- survey enrichment and requests ---
+
+_BOOK = [(0, "Price", "B3_1", "price?", "价格?"), (1, "Product feature", "B5_18", "payment?", ""), (2, "Logistics", "B5_4", "", "订单?")]
+
+
+def _book(spark):
+    return spark.createDataFrame(_BOOK, "pos long, dimension string, question_id string, prompt_en string, prompt_zh string")
+
+
+@query(f"""WITH {_ARTICLES}, m AS (SELECT pos, title, CASE pos % 3 WHEN 0 THEN [] WHEN 1 THEN ['Content'] ELSE ['Logistics'] END AS d, CASE pos % 4 WHEN 0 THEN ['B3_1', 'B5_18'] WHEN 1 THEN ['B5_4'] WHEN 2 THEN [] ELSE ['X9_9'] END AS q FROM articles),
+n AS (SELECT pos, title, q, CASE WHEN len(d) = 0 THEN CASE pos % 4 WHEN 0 THEN ['Price', 'Product feature'] WHEN 1 THEN ['Logistics'] ELSE [] END ELSE d END AS d FROM m),
+w AS (SELECT *, CASE WHEN list_contains(d, 'Price') OR list_contains(q, 'B3_1') THEN '新闻涉及平台价格、折扣或促销机制，可能影响消费者对价格竞争力和优惠吸引力的评价。' WHEN list_contains(q, 'B5_18') OR list_contains(q, 'B5_4') THEN '新闻涉及平台功能、支付方式、会员权益或使用流程，可能影响消费者对平台便利性和功能吸引力的评价。'
+ WHEN list_contains(d, 'Logistics') THEN '新闻涉及配送、履约或收货体验，可能影响消费者对平台物流效率和稳定性的评价。' WHEN list_contains(d, 'Content') THEN '新闻涉及平台内容展示、导购或互动体验，可能影响消费者对平台内容吸引力的评价。' WHEN {_clean('title')} <> '' THEN '新闻内容与命中的问卷指标相关，可能影响消费者对平台体验和整体评价的判断。' ELSE '' END AS why FROM n)
+SELECT pos, array_to_string(d, ' | ') AS survey_dimensions, array_to_string(q, ' | ') AS survey_question_ids, CASE WHEN len(q) > 0 THEN len(q) ELSE len(d) END::INT AS survey_indicator_count, why AS survey_ai_reason,
+ array_to_string(list_slice(list_concat(list_concat(list_filter(list_transform(q, lambda x: CASE x WHEN 'B3_1' THEN 'B3_1: 价格?' WHEN 'B5_18' THEN 'B5_18: payment?' WHEN 'B5_4' THEN 'B5_4: 订单?' END), lambda x: x IS NOT NULL), CASE WHEN why <> '' THEN [why] ELSE [] END),
+  list_filter(list_transform(d, lambda x: CASE x WHEN 'Price' THEN '{survey.TEMPLATES['Price']}' WHEN 'Content' THEN '{survey.TEMPLATES['Content']}' WHEN 'Logistics' THEN '{survey.TEMPLATES['Logistics']}' WHEN 'Product feature' THEN '{survey.TEMPLATES['Product feature']}' END), lambda x: x IS NOT NULL)), 1, 4), ' | ') AS survey_indicator_examples FROM w""")
+def survey_enrichment(spark, sf):
+    k = F.col("pos")
+    none = F.array().cast("array<string>")
+    d = F.when(k % 3 == 0, none).when(k % 3 == 1, F.array(F.lit(" Content"))).otherwise(F.array(F.lit("Logistics"), F.lit("Logistics ")))
+    q = F.when(k % 4 == 0, F.array(F.lit("b3_1"), F.lit("B5_18"))).when(k % 4 == 1, F.array(F.lit("b5_4 "))).when(k % 4 == 2, none).otherwise(F.array(F.lit("X9_9")))
+    out = survey.enrich(articles(spark, sf).select("pos", "title", d.alias("dimensions"), q.alias("question_ids")), _book(spark), "ai")
+    return out.select("pos", "survey_dimensions", "survey_question_ids", "survey_indicator_count", "survey_ai_reason", "survey_indicator_examples")
+
+
+@query("SELECT doc_id // 1 AS pos, CASE doc_id % 4 WHEN 0 THEN 'Price' WHEN 1 THEN 'Product feature|Logistics' WHEN 2 THEN '' ELSE 'Logistics' END AS dims, CASE doc_id % 2 WHEN 0 THEN 'B3_1' ELSE 'B5_4|B5_18' END AS ids FROM documents")
+def answer_lookup(spark, sf):
+    """Dimensions and ids of a scorer's answers as the questionnaire writes them."""
+    k = F.col("pos")
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("pos"))
+    d = F.when(k % 4 == 0, F.array(F.lit("PRICE"))).when(k % 4 == 1, F.array(F.lit("feature"), F.lit("logistics "))).when(k % 4 == 2, F.array(F.lit("?"))).otherwise(F.array(F.lit("Logistics quality")))
+    q = F.when(k % 2 == 0, F.array(F.lit("b3_1"), F.lit("zz"))).otherwise(F.array(F.lit("B5_4"), F.lit("b5_18"), F.lit("b5_4")))
+    out = survey.normalise_ids(survey.matched_dimensions(rows.select("pos", d.alias("dims"), q.alias("ids")), "dims", _book(spark)), "ids", _book(spark))
+    return out.select("pos", F.array_join("dims", "|").alias("dims"), F.array_join("ids", "|").alias("ids"))
+
+
+@query("WITH r AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 8 AS batch FROM documents) SELECT batch, count(*) AS n, min(doc_id)::VARCHAR AS first_id, 2 AS messages FROM r GROUP BY 1")
+def request_batches(spark, sf):
+    out = messages.batch_messages(articles(spark, sf), "survey", "You judge news.", "judge", ["be strict"], {"decisions": []}, [{"question_id": "B3_1"}], parts=8)
+    parsed = F.from_json("messages", "array<struct<role:string,content:string>>")
+    return out.select("batch", "n", F.get_json_object(parsed[1]["content"], "$.articles[0].article_id").alias("first_id"), F.size(parsed).alias("messages"))
+
+
+# --- small functions ---
+
+
+@query("SELECT o_orderkey, greatest(1, ceil(o_totalprice / 1000))::INT AS days, o_totalprice > 100000 AND o_totalprice < 200000 AS inside, printf('%02d', floor(o_totalprice / 3600)::BIGINT) || ':' || lpad((floor(o_totalprice % 3600 / 60)::BIGINT)::VARCHAR, 2, '0') || ':' || lpad((floor(o_totalprice)::BIGINT % 60)::VARCHAR, 2, '0') AS clock FROM orders")
+def time_labels(spark, sf):
+    o = table(spark, sf, "orders")
+    start = F.lit("2024-01-01").cast("timestamp")
+    end = F.timestamp_micros((F.unix_micros(start) + F.ceil(F.col("o_totalprice") / 1000) * 86_400_000_000 - 1_000_000).cast("long"))
+    at = F.timestamp_seconds(F.floor(F.col("o_totalprice")))
+    return o.select("o_orderkey", dates.window_days(start, end).alias("days"), dates.in_range(at, F.timestamp_seconds(F.lit(100_000)), F.timestamp_seconds(F.lit(199_999))).alias("inside"), dates.seconds_label(F.col("o_totalprice")).alias("clock"))
+
+
+@query("SELECT c_custkey, greatest(30, round(CASE WHEN c_nationkey % 2 = 0 THEN c_custkey::DOUBLE * 0.7::DOUBLE + 10::DOUBLE * (1 - 0.7::DOUBLE) ELSE 10 END)) AS seconds, 'it_buyer_20240102_030405_20240101-20240131' AS folder, c_custkey % 2 = 0 OR c_custkey % 3 = 0 AS hit FROM customer")
+def run_estimates(spark, sf):
+    k = F.col("c_custkey")
+    c = table(spark, sf, "customer")
+    seconds = progress.blend(F.when(F.col("c_nationkey") % 2 == 0, k.cast("double")), F.lit(10.0), 0.7, 30.0)
+    folder = enrich.run_folder(F.lit("IT"), F.lit("Buyer"), F.lit("2024-01-02 03:04:05").cast("timestamp"), F.lit("2024-01-01").cast("date"), F.lit("2024-01-31").cast("date"))
+    said = F.when(k % 2 == 0, "").when(k % 3 == 0, "the Shop").otherwise("workshop")
+    return c.select("c_custkey", seconds.alias("seconds"), folder.alias("folder"), terms.matches_search_terms(said, ["shop"]).alias("hit"))
+
+
+@query("SELECT n_name AS platform, concat_ws('|', n_name, r_name, n_name || ' Italia', n_name || ' IT') AS terms FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_name <> r_name")
+def platform_terms(spark, sf):
+    n = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).where("n_name <> r_name")
+    suffixes = spark.createDataFrame([(0, "Italia"), (1, "IT")], "pos int, suffix string")
+    return tasks.platform_terms(n.select(F.col("n_name").alias("platform"), F.array("n_name", "r_name", "n_name").alias("aliases")), suffixes).withColumn("terms", F.array_join("terms", "|"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'r' || c_nationkey END AS run, c_custkey % 4 = 0 AS id_like, 'a|b' AS parts, c_custkey % 5 <> 0 AS enabled FROM customer WHERE c_custkey % 7 <> 0""")
+def store_flags(spark, sf):
+    k = F.col("c_custkey")
+    c = table(spark, sf, "customer").withColumn("manual_article_id", k).withColumn("enabled", F.lit(True))
+    off = store.set_enabled(c, c.where("c_custkey % 5 = 0").select("manual_article_id"), False)
+    kept = browse.survivors(off, c.where("c_custkey % 7 <> 0"), "c_custkey")
+    reference = F.when(k % 3 == 0, F.concat(F.lit("db:r"), "c_nationkey", F.lit(":after"))).otherwise("x.csv")
+    asked = F.when(k % 4 == 0, "B5_1（key）").otherwise("price")
+    return kept.select("c_custkey", store.source_reference(reference)["run_id"].alias("run"), text.is_question_id(asked).alias("id_like"), F.array_join(text.split_list(F.lit("a; b|a\n")), "|").alias("parts"), "enabled")
+
+
+@query("SELECT c_custkey AS article_id FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 10 = 1")
+def migrate_once(spark, sf):
+    """A migration that is not marked yet adds what is missing; one that is marked adds nothing."""
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("article_id"))
+    done = spark.createDataFrame([("old",)], "name string")
+    first = store.migrate_once(c.where("article_id % 2 = 0"), c.where("article_id % 10 in (0, 1)"), done, "new")
+    return store.migrate_once(first, c, done, "old")
+
+
+@query()
+def whole_run(spark, sf):
+    """Collected articles to the briefing table, in one chain."""
+    rows = _trade(spark, sf).withColumns({"platform_label": F.col("platform"), "article_url": F.lit("")})
+    out = run_plan.run(rows, _book(spark), {"Price": ["sale", "deals"], "Product feature": ["checkout", "Shopping"]}, {"Price": ["B5_18"], "Product feature": ["B5_18", "B5_3"]}, ["der", "und"], "意大利", "it", "2024-02-01")
+    return out["briefing"]
+
+
+@query("SELECT platform, count(DISTINCT title) AS n FROM (SELECT event_type AS platform, 'user ' || user_id AS title FROM events) GROUP BY 1")
+def stream_deduplicated(spark, sf):
+    """The streaming deduplication by exact key, driven to its end: every key once."""
+    from ..streaming import news
+
+    def rows(s):
+        t = F.col("ts").cast("timestamp")
+        return news.deduplicated(s.select(F.col("event_type").alias("platform"), F.concat(F.lit("user "), "user_id").alias("title"), F.lit("2024-01-01").alias("published_at"), F.lit("s").alias("source_site"), F.lit("").alias("article_url"), t.alias("published_ts")))
+
+    return news.drained(spark, sf, "events", rows).groupBy("platform").agg(F.count("*").alias("n"))
+
+
+@query("WITH e AS (SELECT event_type AS brand, date_trunc('week', ts)::DATE AS week_start, ts FROM events) SELECT brand, week_start, count(*) AS n FROM e WHERE week_start + INTERVAL 7 DAY <= (SELECT max(ts) FROM events) GROUP BY 1, 2")
+def stream_weekly_counts(spark, sf):
+    """Weeks that the stream's watermark has closed."""
+    from ..streaming import news
+
+    return news.drained(spark, sf, "events", lambda s: news.weekly_counts(s.select(F.col("event_type").alias("platform"), F.col("ts").cast("timestamp").alias("published_ts")), "0 seconds"))
+
+
+@query("SELECT user_id, event_type, count(*) AS n, max(ts) AS last_ts FROM events GROUP BY 1, 2")
+def stream_stage_totals(spark, sf):
+    """Totals of a progress stream as its last update has them."""
+    from ..streaming import news
+
+    return news.totals_table(spark, sf, "events")

@@ -28,6 +28,6 @@ def test_refresh_and_errors(spark):
     new = spark.createDataFrame([("b", 3), ("c", 4)], "k string, v int")
     assert {r["k"]: r["v"] for r in enrich.refresh(old, new, "k").collect()} == {"a": 1, "b": 3, "c": 4}
     notes = spark.createDataFrame([("error", "Read timed out"), ("error", "HTTP 403"), ("ok", "timeout"), ("error", None)], "status string, note string")
-    assert {r["category"]: r["n"] for r in enrich.error_histogram(notes).collect()} == {"timeout": 1, "blocked": 1, "other": 1}
-    aliases = spark.createDataFrame([("Shop", "shop", 0), ("Shop", "sh", 1), ("Big", "bg", 0)], "platform string, alias string, pos int")
-    assert {r["platform"]: (r["n_aliases"], r["has_full_name"], r["only_short"]) for r in enrich.alias_summary(aliases).collect()} == {"Shop": (2, True, False), "Big": (1, False, True)}
+    assert {r["category"]: r["n"] for r in enrich.error_histogram(notes).collect()} == {"read_timeout": 1, "blocked": 1, "unknown": 1}
+    aliases = spark.createDataFrame([("Shop", "shop", 0), ("Shop", "sh", 1), ("TTS", "tts", 0)], "platform string, alias string, pos int")
+    assert {r["platform"]: (r["alias_count"], r["has_full_name"], r["abbreviation_only"], len(r["warnings"])) for r in enrich.alias_summary(aliases).collect()} == {"Shop": (2, True, False, 0), "TTS": (1, False, True, 2)}
