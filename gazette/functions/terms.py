@@ -61,25 +61,37 @@ def boundary_pattern(terms: list[str]) -> str | None:
 
 
 def matches_any(c: Column, terms: list[str]) -> Column:
-    """ASCII terms stand between boundaries in any case; all others are substrings as they are written."""
+    """ASCII terms stand between boundaries in any case; all others are substrings as they are written.
+
+    The pattern is asked only of texts that hold one of the terms at all, which a plain search tells much faster. Inside the
+    function the text is a variable: however costly an expression it is, it is computed once.
+    """
+    pattern = boundary_pattern(terms)
     text = F.coalesce(c, F.lit(""))
+
+    def test(s: Column) -> Column:
+        out = _holds(s["low"], [t for t in terms if t.isascii()]) & s["text"].rlike(pattern) if pattern else F.lit(False)
+        for t in terms:
+            if not t.isascii():
+                out = out | s["text"].contains(t)
+        return out
+
+    whole = F.transform(F.array(text), lambda t: F.struct(t.alias("text"), F.lower(t).alias("low")))
+    return F.exists(whole, test)
+
+
+def _holds(low: Column, terms: list[str]) -> Column:
+    found = sorted({t.lower() for t in terms}, key=len)
+    own = [t for i, t in enumerate(found) if not any(s in t for s in found[:i])]
     out = F.lit(False)
-    if pattern := boundary_pattern(terms):
-        out = text.rlike(pattern)
-    for t in terms:
-        if not t.isascii():
-            out = out | text.contains(t)
+    for t in own:
+        out = out | low.contains(t)
     return out
 
 
 def contains_any(c: Column, terms: list[str]) -> Column:
     """Plain substrings of a text that is in lower case already; terms that contain another one add nothing."""
-    low = sorted({t.lower() for t in terms}, key=len)
-    own = [t for i, t in enumerate(low) if not any(s in t for s in low[:i])]
-    out = F.lit(False)
-    for t in own:
-        out = out | F.coalesce(c.contains(t), F.lit(False))
-    return out
+    return F.exists(F.array(F.coalesce(c, F.lit(""))), lambda t: _holds(t, terms))
 
 
 def matches_search_terms(c: Column, terms: list[str]) -> Column:

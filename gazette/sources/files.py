@@ -46,7 +46,22 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return df.toDF(*(c.lstrip("﻿") for c in df.columns))
 
 
-def run_files(spark: SparkSession, folder: str, limit: int = 50) -> DataFrame:
-    """path, run_id, modified of the CSV files of run folders, newest first."""
+def run_files(spark: SparkSession, folder: str, limit: int | None = None) -> DataFrame:
+    """path, run_id, modified of the CSV files of run folders, newest first; a listing may ask for the first ``limit`` of them."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(folder).select("path", "modificationTime")
-    return files.select("path", F.element_at(F.split("path", "/"), -2).alias("run_id"), F.col("modificationTime").alias("modified")).orderBy(F.desc("modified"), "path").limit(limit)
+    out = files.select("path", F.element_at(F.split("path", "/"), -2).alias("run_id"), F.col("modificationTime").alias("modified")).orderBy(F.desc("modified"), "path")
+    return out if limit is None else out.limit(limit)
+
+
+def csv_row_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """path, n: the rows of each CSV file of run folders, without its header; quoted line feeds are part of their row."""
+    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
+    counts = reader.schema("first string").option("enforceSchema", True).csv(folder).groupBy(F.input_file_name().alias("path")).agg(F.count("*").alias("n"))
+    every = run_files(spark, folder).select(F.regexp_replace("path", "^file:/+", "file:///").alias("path"))
+    return every.join(counts.withColumn("path", F.regexp_replace("path", "^file:/+", "file:///")), "path", "left").select("path", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def run_metadata(spark: SparkSession, folder: str, name: str = "metadata.json") -> DataFrame:
+    """run_id, metadata (JSON) of run folders that hold such a file beside their rows."""
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).text(folder, wholetext=True)
+    return raw.select(F.element_at(F.split(F.input_file_name(), "/"), -2).alias("run_id"), F.col("value").alias("metadata")).where(F.ltrim("metadata").startswith("{"))

@@ -20,6 +20,13 @@ def test_csv(spark, tmp_path):
     (folder / "after.csv").write_text("﻿title,n\n\"a\nb\",1\n", encoding="utf-8")
     assert files.read_csv(spark, str(folder / "after.csv")).collect()[0]["title"] == "a\nb"
     assert [r["run_id"] for r in files.run_files(spark, str(tmp_path / "runs")).collect()] == ["run1"]
+    (folder / "before.csv").write_text("title,n\n", encoding="utf-8")
+    (folder / "metadata.json").write_text('{"a": 1}')
+    assert {r["path"].rsplit("/", 1)[1]: r["n"] for r in files.csv_row_counts(spark, str(tmp_path / "runs")).collect()} == {"after.csv": 1, "before.csv": 0}
+    assert [(r["run_id"], r["metadata"]) for r in files.run_metadata(spark, str(tmp_path / "runs")).collect()] == [("run1", '{"a": 1}')]
+    for k in range(60):
+        (folder / f"f{k}.csv").write_text("a\n1\n")
+    assert files.run_files(spark, str(tmp_path / "runs")).count() == 62 and files.run_files(spark, str(tmp_path / "runs"), 5).count() == 5
 
 
 def test_configurations_have_no_cap(spark):
