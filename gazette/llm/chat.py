@@ -88,8 +88,10 @@ def branches(messages: DataFrame, best: int = 1) -> DataFrame:
             drop(*levels)
             raise ValueError("a message is its own ancestor")
         at = levels[-1]
-        on = at.alias("a").join(at.alias("b"), _same("a", "b", ("up", "node")), "left")
-        levels.append(table(on.select("a.tree", "a.node", F.col("b.up").alias("up"), (F.col("a.depth") + F.coalesce("b.depth", F.lit(0))).alias("depth"), (F.col("a.total") + F.coalesce("b.total", F.lit(0.0))).alias("total")), "reach"))
+        # Only messages that have not met their root yet move on.
+        on = at.where("up is not null").alias("a").join(at.alias("b"), _same("a", "b", ("up", "node")), "left")
+        moved = on.select("a.tree", "a.node", F.col("b.up").alias("up"), (F.col("a.depth") + F.coalesce("b.depth", F.lit(0))).alias("depth"), (F.col("a.total") + F.coalesce("b.total", F.lit(0.0))).alias("total"))
+        levels.append(table(moved.union(at.where("up is null").select(*moved.columns)), "reach"))
     parents = levels[0].where("up is not null").select("tree", F.col("up").alias("node")).distinct()
     leaves = levels[-1].alias("l").join(parents.alias("p"), _same("l", "p", ("node", "node")), "left_anti").select("tree", F.col("node").alias("leaf"), "depth", F.col("total").alias("score"))
     if best == 1:
