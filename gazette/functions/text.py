@@ -146,12 +146,6 @@ def star_key(*columns: Column) -> Column:
     return F.sha1(F.concat_ws("||", *(F.trim(F.coalesce(c, F.lit(""))) for c in columns)).cast("binary"))
 
 
-def enum(c: Column, allowed: dict[str, str], default: str) -> Column:
-    """A value brought to one of the allowed ones by its lower-cased form."""
-    pairs = [x for k, v in allowed.items() for x in (F.lit(k), F.lit(v))]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), F.lower(clean(c))), F.lit(default))
-
-
 def or_block(terms: Column) -> Column:
     """Search terms as ``(a OR "b c")``; terms with a space are quoted."""
     quoted = F.transform(F.array_distinct(F.filter(F.transform(terms, clean), lambda x: x != "")), lambda x: F.when(x.contains(" "), F.concat(F.lit('"'), x, F.lit('"'))).otherwise(x))

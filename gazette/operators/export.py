@@ -81,8 +81,3 @@ def write_grouped(df: DataFrame, path: str, *keys: str) -> None:
     """One folder for each value of the keys, named by its slug."""
     out = df.withColumns({f"{k}_slug": text.slug(F.col(k)) for k in keys})
     out.write.mode("overwrite").partitionBy(*(f"{k}_slug" for k in keys)).parquet(path)
-
-
-def summary_lines(rows: DataFrame) -> DataFrame:
-    """Lines of a text summary: ``date platform: title (source)``."""
-    return rows.select("pos", F.format_string("%s %s: %s (%s)", F.col("published_at"), F.col("platform"), text.truncate(F.col("title"), 50), F.col("source_site")).alias("line"))

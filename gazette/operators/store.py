@@ -45,11 +45,6 @@ def manual_identity(run: Column, url: Column, platform: Column, day: Column, tit
     return F.concat(F.lit("manual_"), F.sha1(F.when(link != "", by_url).otherwise(by_text).cast("binary")))
 
 
-def stage_name(c: Column) -> Column:
-    """``before`` or, for anything else, ``after``."""
-    return F.when(c == "before", "before").otherwise("after")
-
-
 def load_articles(articles: DataFrame, run: str, stage: str, schema: str) -> DataFrame:
     """A run's rows of one stage in their order: articles(run_id, stage, row_index, raw_json); rows that are no object go."""
     wanted = "before" if stage == "before" else "after"

@@ -153,6 +153,8 @@ def test_context_rules(spark):
     assert f(lambda c: context.shop_strength(c, True), "il negozio Instagram") == "strong"
     assert f(lambda c: context.foreign_only(c, ["italy"]), "news from Greece") and not f(lambda c: context.foreign_only(c, ["italy"]), "news from Greece and Italy")
     assert f(context.single_coverage, "Sony WH-1000XM5 review") and not f(context.single_coverage, "fees rise for all")
+    assert [f(text.mostly_chinese, t) for t in ("平台政策", "平台 policy of all shops", "プラットフォーム政策", "")] == [True, False, False, False]
+    assert one(spark, context.hard_filter_wording(F.col("x"), "意大利市场", "意大利消费者"), x="foreign_market").startswith("新闻主要针对非意大利市场") and f(lambda c: context.hard_filter_wording(c, "a", "b"), "") == ""
     assert one(spark, context.exclusion_category(F.col("a"), F.col("b"), F.col("c")), a="a note", b="", c="low") == "low_confidence_or_weak_link"
     df = spark.createDataFrame([(1, "media", ["A"], "a coupon"), (2, "media", [], "a coupon"), (3, "media", ["A"], "baseball"), (4, "buyer", [], "x"), (5, "buyer", ["B"], "x")], "pos int, side string, m array<string>, t string")
     kept, brands = context.keeps_article(F.col("side"), F.col("m"), F.col("t"), F.lit("Own"))
@@ -163,7 +165,7 @@ def test_context_rules(spark):
 # --- reports ---
 
 
-def test_briefing_answers(spark):
+def test_briefing_answers(spark, tmp_path):
     rows = [("1", "Prime deals", "words", "Price", "AMZ", "2024-01-03T08:00:00"), ("2", "x", "", "", "AMZ", "soon")]
     df = spark.createDataFrame(rows, "article_id string, title string, summary string, survey_dimensions string, platform_label string, published_at string")
     answers = spark.createDataFrame([("1", "意大利 Prime 会员", "up", "maybe", "N"), ("2", "users", "sideways", "Content", "")], ["article_id", "Key User Segment Affected", "Impact Direction on NPS (Up / Down / Neutral)", "Impacted NPS Metric (Price / Trust / Fulfillment / Content / Assortment)", "Include in Client Readout (Y/N)"])
@@ -171,6 +173,8 @@ def test_briefing_answers(spark):
     assert out["1"].__fields__[1:] == briefing.HEADERS
     assert [out["1"][h] for h in ("Key User Segment Affected", "NPS Overall Change", "Impacted NPS Metric (Price / Trust / Fulfillment / Content / Assortment)", "Include in Client Readout (Y/N)", "Tracking Week", "Publish Date")] == ["意大利 Prime 会员", "↑", "Price", "N", "2024 W01", "1/3/2024"]
     assert [out["2"][h] for h in ("Key User Segment Affected", "NPS Overall Change", "Impacted NPS Metric (Price / Trust / Fulfillment / Content / Assortment)", "Core Summary", "Publish Date", "Tracking Week")] == ["意大利平台买家", "→", "Content", "x", "soon", "2024 W05"]
+    briefing.write_briefing(briefing.briefing_table(df, "意大利", "it", "2024-02-01"), str(tmp_path / "table"))
+    assert spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "table")).columns == briefing.HEADERS
     for value, wanted in (("", True), ("用户", True), ("意大利用户", True), ("buyers", True), ("意大利平台卖家", False)):
         assert one(spark, briefing.empty_segment(F.col("x"), "意大利"), x=value) is wanted
 
@@ -316,6 +320,8 @@ def test_report_sinks(spark, tmp_path):
     assert (tmp_path / "b.csv").read_bytes() == b""
     export.write_json_array(df.orderBy("pos"), str(tmp_path / "a.json"))
     assert json.loads((tmp_path / "a.json").read_text()) == [{"pos": 1, "title": 'a "b"', "tags": None}, {"pos": 2, "title": None, "tags": ["x", "y"]}]
+    export.write_json(df, str(tmp_path / "lines"))
+    assert spark.read.json(str(tmp_path / "lines")).count() == 2
     for frame in (df, df.limit(1)):
         export.replace_table(frame, str(tmp_path / "t"))
     assert spark.read.parquet(str(tmp_path / "t")).count() == 1
