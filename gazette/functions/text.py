@@ -17,6 +17,11 @@ KANA = r"[\x{3040}-\x{30FF}]"
 EVENT_STOP_WORDS = ["news", "report", "update", "media"]
 
 
+def once(c: Column, f) -> Column:
+    """f(c) with c computed once, however often f uses it: inside the function it is a variable."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
 def clean(c: Column) -> Column:
     """White space collapsed to one space and trimmed; null becomes empty."""
     return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), SPACE, " "))
@@ -24,7 +29,7 @@ def clean(c: Column) -> Column:
 
 def present(c: Column) -> Column:
     """The cleaned text, or null where nothing is left."""
-    return F.nullif(clean(c), F.lit(""))
+    return once(clean(c), lambda t: F.nullif(t, F.lit("")))
 
 
 def first_present(*columns: Column) -> Column:
@@ -32,10 +37,9 @@ def first_present(*columns: Column) -> Column:
 
 
 def truncate(c: Column, limit: int, ellipsis: bool = False) -> Column:
-    text = clean(c)
     if ellipsis:
-        return F.when(F.char_length(text) > limit, F.concat(F.left(text, F.lit(limit - 1)), F.lit("…"))).otherwise(text)
-    return F.left(text, F.lit(limit))
+        return once(clean(c), lambda t: F.when(F.char_length(t) > limit, F.concat(F.left(t, F.lit(limit - 1)), F.lit("…"))).otherwise(t))
+    return F.left(clean(c), F.lit(limit))
 
 
 def title_key(c: Column) -> Column:
@@ -45,9 +49,10 @@ def title_key(c: Column) -> Column:
 
 def without_source(c: Column) -> Column:
     """A title without the name of its source at the end."""
-    text = clean(c)
-    cut = F.trim(F.regexp_replace(text, r" (?:-|\||–|—) [^-–—|]{2,80}$", ""))
-    text = F.when(cut == "", text).otherwise(cut)
+    def cut(t: Column) -> Column:
+        return once(F.trim(F.regexp_replace(t, r" (?:-|\||–|—) [^-–—|]{2,80}$", "")), lambda x: F.when(x == "", t).otherwise(x))
+
+    text = once(clean(c), cut)
     text = F.trim(F.regexp_replace(text, r" ?[（(][^（）()]{2,40}[）)] ?$", ""))
     text = F.trim(F.regexp_replace(text, r"(?s) [|｜] .*$", ""))
     text = F.trim(F.regexp_replace(text, r"(?s) [-–—] .*$", ""))
@@ -56,7 +61,7 @@ def without_source(c: Column) -> Column:
 
 def dedupe_title(c: Column) -> Column:
     """The key of a title without its source, or of the whole title where that leaves nothing."""
-    return title_key(F.coalesce(F.nullif(without_source(c), F.lit("")), c))
+    return title_key(once(without_source(c), lambda t: F.when(t == "", c).otherwise(t)))
 
 
 def title_tokens(c: Column) -> Column:
@@ -154,10 +159,13 @@ def or_block(terms: Column) -> Column:
 
 def sentence_cut(c: Column, limit: int = 420) -> Column:
     """A summary of at most ``limit`` characters, ended at its last sentence break if that lies past the half."""
-    text = clean(c)
-    head = F.left(text, F.lit(limit))
-    ended = F.regexp_extract(head, r"(?s)^(.*[.!?。！？])", 1)
-    return F.when(F.char_length(text) <= limit, text).when(F.char_length(ended) > limit // 2, ended).otherwise(F.concat(F.rtrim(head), F.lit("…")))
+
+    def cut(t: Column) -> Column:
+        head = F.left(t, F.lit(limit))
+        ended = F.regexp_extract(head, r"(?s)^(.*[.!?。！？])", 1)
+        return F.when(F.char_length(t) <= limit, t).when(F.char_length(ended) > limit // 2, ended).otherwise(F.concat(F.rtrim(head), F.lit("…")))
+
+    return once(clean(c), cut)
 
 
 def merged(*parts: Column) -> Column:

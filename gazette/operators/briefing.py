@@ -61,8 +61,7 @@ def joined(df: DataFrame, names: tuple[str, ...] | list[str]) -> Column:
 
 def cell(c: Column, limit: int) -> Column:
     """A cell's text, cut to ``limit`` characters with an ellipsis as its last one."""
-    t = text.clean(c)
-    return F.when(F.char_length(t) > limit, F.concat(F.rtrim(F.left(t, F.lit(limit - 1))), F.lit("…"))).otherwise(t)
+    return text.once(text.clean(c), lambda t: F.when(F.char_length(t) > limit, F.concat(F.rtrim(F.left(t, F.lit(limit - 1))), F.lit("…"))).otherwise(t))
 
 
 def news_type(df: DataFrame) -> Column:
@@ -82,8 +81,11 @@ def direction_sign(c: Column) -> Column:
 
 def segment(df: DataFrame, country: str) -> Column:
     """The group of users that an article concerns: the first one with a token in its text."""
-    low = joined(df, SEGMENT_FIELDS)
-    return first_match([(terms.contains_any(low, words), name.format(country)) for name, words in SEGMENTS], PLAIN_SEGMENT.format(country))
+
+    def first(low: Column) -> Column:
+        return first_match([(terms.contains_any(low, words), name.format(country)) for name, words in SEGMENTS], PLAIN_SEGMENT.format(country))
+
+    return text.once(joined(df, SEGMENT_FIELDS), first)
 
 
 def empty_segment(c: Column, country: str) -> Column:
@@ -136,7 +138,7 @@ def briefing_table(df: DataFrame, country: str, code: str, today: str, answers:
         "Publish Date": F.when(day.isNotNull(), dates.slash_date(day)).otherwise(F.trim(column(df, "published_at"))),
         "News URL": link,
         "Key User Segment Affected": segment(df, country),
-        "Core Summary": F.when(summary != "", summary).otherwise(headline),
+        "Core Summary": text.once(summary, lambda t: F.when(t != "", t).otherwise(headline)),
         "Sentiment (Positive / Neutral / Negative)": context.sentiment_name(column(df, "briefing_sentiment")),
         "Affected Side (Buyer / Seller / Both)": F.lit("Both"),
         "Impact Direction on NPS (Up / Down / Neutral)": direction,

@@ -37,16 +37,21 @@ def exact_key(df: DataFrame) -> Column:
     platform, day = text.brand_list(brands(df)), dates.day_key(_col(df, "published_at"))
     title = text.dedupe_title(_col(df, "title_translated", "title"))
     source = F.coalesce(F.nullif(F.lower(_col(df, "source_site")), F.lit("")), urls.canonical(_col(df, "source_url", "source_final_url")))
-    whole = (platform != "") & (day != "") & (title != "")
-    rest = F.concat_ws("\x1f", platform, day, title, source, F.when(whole, "").otherwise(F.left(_col(df, "summary", "summary_translated"), F.lit(120))))
-    return F.when(url != "", F.concat(F.lit("url\x1f"), url)).when(whole, F.concat(F.lit("fallback\x1f"), rest)).otherwise(F.concat(F.lit("weak\x1f"), rest))
+
+    def key(s: Column) -> Column:
+        whole = (s["platform"] != "") & (s["day"] != "") & (s["title"] != "")
+        rest = F.concat_ws("\x1f", s["platform"], s["day"], s["title"], s["source"], F.when(whole, "").otherwise(F.left(_col(df, "summary", "summary_translated"), F.lit(120))))
+        return F.when(s["url"] != "", F.concat(F.lit("url\x1f"), s["url"])).when(whole, F.concat(F.lit("fallback\x1f"), rest)).otherwise(F.concat(F.lit("weak\x1f"), rest))
+
+    return text.once(F.struct(url.alias("url"), platform.alias("platform"), day.alias("day"), title.alias("title"), source.alias("source")), key)
 
 
 def cluster_key(df: DataFrame) -> Column:
     """platform, day and title; null where a part is missing or the title too short to tell."""
     platform, day = text.brand_list(brands(df)), dates.day_key(_col(df, "published_at"))
     title = text.dedupe_title(_col(df, "title_translated", "title"))
-    return F.when((platform != "") & (day != "") & (F.char_length(title) >= MIN_TITLE), F.concat_ws("\x1f", platform, day, title))
+    parts = F.struct(platform.alias("platform"), day.alias("day"), title.alias("title"))
+    return text.once(parts, lambda s: F.when((s["platform"] != "") & (s["day"] != "") & (F.char_length(s["title"]) >= MIN_TITLE), F.concat_ws("\x1f", s["platform"], s["day"], s["title"])))
 
 
 def _narrow(articles: DataFrame) -> DataFrame:
