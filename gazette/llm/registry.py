@@ -18,6 +18,7 @@ _MODULES = {
     "op8_html_main_text": "html",
     "op9_toxicity": "toxicity",
     "op10_license_scan": "licenses",
+    "op11_quality_gam": "gam",
     "op12_source_divergence": "divergence",
     "op13_periodic_runs": "periodic",
 }
