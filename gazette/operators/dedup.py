@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, text, urls
+from . import similar
 from .stored import stored
 
 MIN_TITLE = 12
@@ -164,15 +165,16 @@ def keep_first(df: DataFrame, *keys: str, blank_passes: bool = False) -> DataFra
     return df.withColumn("_n", F.row_number().over(window)).where("_n = 1").drop("_n")
 
 
-def _rarest(rows: DataFrame, tokens: str, keep: Column) -> DataFrame:
-    """(pos, brand, day, token): of each row's tokens the ``keep`` ones that the fewest rows of its brand hold."""
-    long = rows.select("pos", "brand", "day", keep.cast("int").alias("keep"), F.explode(tokens).alias("token"))
+def _rarest(rows: DataFrame, tokens: str, keep: Column, unit: str = "pos") -> DataFrame:
+    """(pos, brand, day, token): of each unit's tokens the ``keep`` ones that the fewest units of its brand hold."""
+    by = list(dict.fromkeys(["pos", "brand", unit]))
+    long = rows.select(*by, "day", keep.cast("int").alias("keep"), F.explode(tokens).alias("token"))
     seen = long.groupBy("brand", "token").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = long.join(seen, ["brand", "token"]).withColumn("_i", F.row_number().over(Window.partitionBy("pos", "brand").orderBy("df", "token")))
-    held = long.groupBy("pos", "brand").agg(F.count("*").alias("held"))
-    # Tokens that no other row holds come first of all and take part in no pair: they use up places of the prefix.
-    left = ranked.groupBy("pos", "brand").agg(F.count("*").alias("shared"))
-    out = ranked.join(held.join(left, ["pos", "brand"]), ["pos", "brand"])
+    ranked = long.join(seen, ["brand", "token"]).withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy("df", "token")))
+    held = long.groupBy(*by).agg(F.count("*").alias("held"))
+    # Tokens that no other unit holds come first of all and take part in no pair: they use up places of the prefix.
+    left = ranked.groupBy(*by).agg(F.count("*").alias("shared"))
+    out = ranked.join(held.join(left, by), by)
     return out.where(F.col("_i") <= F.col("keep") - (F.col("held") - F.col("shared"))).select("pos", "brand", "day", "token")
 
 
@@ -249,25 +251,48 @@ def event_rows(df: DataFrame) -> DataFrame:
     rows = df.select("pos", F.array_distinct(F.filter(every, lambda x: x != "")).alias("brands"), F.try_to_date(dates.day_key(_col(df, "published_at"))).alias("day"), translated.alias("translated"), own.alias("title"), parts.alias("_parts"))
     rows = text.let(rows.where("size(brands) > 0 and day is not null"), "event", F.array_join(F.filter("_parts", lambda x: x != ""), " ")).drop("_parts")
     rows = text.let(rows, "main", F.coalesce(F.nullif(F.col("translated"), F.lit("")), F.col("title")))
-    return rows.select("*", text.title_tokens(F.col("main")).alias("title_tokens"), text.event_tokens(F.col("event")).alias("event_tokens"), text.number_tokens(F.col("event")).alias("numbers"), text.event_phrases(F.col("event")).alias("phrases"))
+    rows = text.let(rows, "event_key", text.title_key(F.col("event")))
+    return rows.select("*", F.char_length("event_key").alias("event_size"), text.title_tokens(F.col("main")).alias("title_tokens"), text.event_tokens(F.col("event")).alias("event_tokens"), text.number_tokens(F.col("event")).alias("numbers"), text.event_phrases(F.col("event")).alias("phrases"))
 
 
-def event_candidates(rows: DataFrame) -> DataFrame:
-    """(a, b) of rows of one brand within the date window that may report one event.
+#: Rows of a brand that share a number; beyond it the number alone is no key any more.
+COMMON_NUMBER = 50
 
-    Keys are numbers, all title tokens but the commonest, and the rarest event tokens: every rule that asks for shared numbers or
-    tokens finds its pairs. Texts that resemble each other letter by letter only, without such a token, are not paired.
+
+def _marker_keys(each: DataFrame, phrases: bool = True) -> DataFrame:
+    """(pos, brand, day, token): rows that share a number, and a kind of event or four tokens, share a key.
+
+    A number that many rows of a brand share is a key together with each kind of event (with ``phrases``) and with each token but the
+    row's three commonest ones: of four tokens that two rows share one is among these.
+    """
+    numbers = each.select("pos", "brand", "day", "phrases", F.explode("numbers").alias("number"))
+    seen = numbers.groupBy("brand", "number").agg(F.count("*").alias("n")).where("n > 1")
+    found = numbers.join(seen, ["brand", "number"])
+    few, many = found.where(F.col("n") <= COMMON_NUMBER), found.where(F.col("n") > COMMON_NUMBER)
+    tokens = _rarest(each.where("size(event_tokens) > 3"), "event_tokens", F.size("event_tokens") - 3)
+    both = many.join(tokens.select("pos", "brand", F.col("token").alias("other")), ["pos", "brand"])
+    out = few.select("pos", "brand", "day", F.concat(F.lit("#"), "number").alias("token")).union(both.select("pos", "brand", "day", F.concat_ws("#", F.lit(""), "number", "other")))
+    return out.union(many.select("pos", "brand", "day", F.explode(F.transform("phrases", lambda p: F.concat_ws("#", F.lit("!"), "number", p))))) if phrases else out
+
+
+def event_candidates(rows: DataFrame, phrases: bool = True) -> DataFrame:
+    """(a, b) of rows of one brand within the date window that share numbers or tokens as a rule on these asks for.
+
+    Keys are numbers, all title tokens but the commonest (of either wording), and the rarest event tokens. Rows whose texts
+    resemble each other letter by letter only are found by ``letter_links``. Without ``phrases`` a common number and a kind of
+    event are no key: ``event_clusters`` chains these.
     """
-    each = rows.select("pos", "day", "title_tokens", "event_tokens", "numbers", F.explode("brands").alias("brand"))
-    numbers = each.select("pos", "brand", "day", F.explode("numbers").alias("token"))
-    titles = _rarest(each.where("size(title_tokens) > 0"), "title_tokens", F.greatest(F.lit(1), F.size("title_tokens") - 1))
+    each = rows.select("pos", "day", "main", "title", "title_tokens", "event_tokens", "numbers", "phrases", F.explode("brands").alias("brand"))
+    wordings = F.when((F.col("title") != "") & (F.col("title") != F.col("main")), F.array("title_tokens", text.title_tokens(F.col("title")))).otherwise(F.array("title_tokens"))
+    sets = each.select("pos", "brand", "day", F.posexplode(wordings).alias("i", "tokens")).withColumn("unit", F.col("pos") * 2 + F.col("i"))
+    titles = _rarest(sets.where("size(tokens) > 0"), "tokens", F.greatest(F.lit(1), F.size("tokens") - 1), "unit")
     events = _rarest(each.where("size(event_tokens) > 0"), "event_tokens", F.size("event_tokens") - F.ceil(F.size("event_tokens") * 0.48) + 1)
-    marked = numbers.withColumn("token", F.concat(F.lit("#"), "token")).union(titles.withColumn("token", F.concat(F.lit("t"), "token"))).union(events.withColumn("token", F.concat(F.lit("e"), "token")))
+    marked = _marker_keys(each, phrases).union(titles.withColumn("token", F.concat(F.lit("t"), "token"))).union(events.withColumn("token", F.concat(F.lit("e"), "token")))
     return _near(marked)
 
 
-def _sides(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    fields = [c for c in rows.columns if c != "pos"]
+def _sides(pairs: DataFrame, rows: DataFrame, *fields: str) -> DataFrame:
+    """The pairs with those fields of both rows as structs l and r: what a rule compares, and no more."""
     left = rows.select(F.col("pos").alias("a"), F.struct(*fields).alias("l"))
     right = rows.select(F.col("pos").alias("b"), F.struct(*fields).alias("r"))
     return pairs.join(left, "a").join(right, "b")
@@ -284,39 +309,90 @@ def same_markers() -> Column:
 
 def marker_pairs(rows: DataFrame) -> DataFrame:
     """(a, b) of rows that share a brand within the date window, a number, and a kind of event or four tokens."""
-    each = rows.select("pos", "day", F.explode("brands").alias("brand"), F.col("numbers")).select("pos", "day", "brand", F.explode("numbers").alias("token"))
-    return _sides(_near(each), rows).where(same_markers()).select("a", "b")
+    each = rows.select("pos", "day", "event_tokens", "numbers", "phrases", F.explode("brands").alias("brand"))
+    return _sides(_near(_marker_keys(each)), rows, "numbers", "phrases", "event_tokens").where(same_markers()).select("a", "b")
 
 
-def similar_events(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+def similar_events(pairs: DataFrame, rows: DataFrame, letters: bool = True) -> DataFrame:
     """(a, b) of the pairs that report one event: similar titles in any wording, the same markers, or similar texts.
 
-    From the cheapest rule on, each sees only the pairs that none before it has decided.
+    From the cheapest rule on, each sees only the pairs that none before it has decided, and fetches the texts it compares then.
+    Without ``letters`` pairs that resemble each other by their letters alone may be missing: ``letter_links`` finds these.
     """
-    sides = _sides(pairs, rows)
+    sides = _sides(pairs, rows, "numbers", "phrases", "event_tokens", "title_tokens", "event_size")
     common, title_common = _shared("event_tokens"), _shared("title_tokens")
     share = common / F.greatest(F.size(F.array_union("l.event_tokens", "r.event_tokens")), F.lit(1))
     cheap = same_markers() | ((title_common >= 3) & (common >= 4)) | ((title_common >= 2) & (common >= 5)) | ((share >= 0.68) & (common >= 6))
-    judged = stored(text.let(text.let(sides, "_share", share), "_cheap", cheap))
+    blank = (F.size("l.event_tokens") == 0) | (F.size("r.event_tokens") == 0)
+    # A ratio is at most twice the shorter length over both: most pairs end here. Similar texts ask for .84, .88, or .8 and a share.
+    small, both = F.least("l.event_size", "r.event_size"), F.col("l.event_size") + F.col("r.event_size")
+    judged = text.let(text.let(sides, "_share", share), "_cheap", cheap).select("a", "b", "_share", "_cheap", blank.alias("_blank"), (2.0 * small / F.greatest(both, F.lit(1))).alias("_bound"), small.alias("_small"))
+    judged = stored(judged)
     found = judged.where("_cheap").select("a", "b")
     rest = judged.where("not _cheap")
+    titled = _sides(rest.select("a", "b"), rows, "main", "translated", "title")
     wordings = F.filter(F.array_distinct(F.flatten(F.transform(F.array("l.main", "l.translated", "l.title"), lambda x: F.transform(F.array("r.main", "r.translated", "r.title"), lambda y: F.struct(x.alias("x"), y.alias("y")))))), lambda w: (w["x"] != "") & (w["y"] != ""))
-    titles = rest.select("a", "b", F.explode(wordings).alias("w")).select("a", "b", "w.x", "w.y")
+    titles = titled.select("a", "b", F.explode(wordings).alias("w")).select("a", "b", "w.x", "w.y")
+    if not letters:
+        titles = text.let(text.let(titles, "_s", text.title_tokens(F.col("x"))), "_t", text.title_tokens(F.col("y")))
+        titles = titles.where(F.size(F.array_intersect("_s", "_t")) >= 0.55 * F.size(F.array_union("_s", "_t"))).select("a", "b", "x", "y")
     alike = stored(similar_titles(titles, "x", "y").select("a", "b").distinct())
-    rest = rest.join(alike, ["a", "b"], "left_anti")
-    blank = (F.size("l.event_tokens") == 0) | (F.size("r.event_tokens") == 0)
-    # A ratio is at most twice the shorter length over both: most pairs end here. Similar texts ask for .84, .88, or .8 and a share.
-    rest = text.let(text.let(rest.select("a", "b", "_share", blank.alias("_blank"), "l", "r"), "_x", text.title_key(F.col("l.event"))), "_y", text.title_key(F.col("r.event")))
-    bound = 2.0 * F.least(F.char_length("_x"), F.char_length("_y")) / F.greatest(F.char_length("_x") + F.char_length("_y"), F.lit(1))
-    rest = rest.where("_x <> '' and _y <> ''").where(bound >= F.when(F.col("_blank"), 0.84).when(F.col("_share") >= 0.48, 0.8).otherwise(0.88))
-    close = rest.withColumn("_close", ratio(F.col("_x"), F.col("_y"), 0.8)).where("(_blank and _close >= 0.84) or (not _blank and (_close >= 0.88 or (_close >= 0.8 and _share >= 0.48)))")
+    rest = rest.join(alike, ["a", "b"], "left_anti").where("_small > 0").where(F.col("_bound") >= F.when(F.col("_blank"), 0.84).when(F.col("_share") >= 0.48, 0.8).otherwise(0.88))
+    if not letters:
+        rest = rest.where("not _blank and _share >= 0.48")
+    close = _sides(rest, rows, "event_key").withColumn("_close", ratio(F.col("l.event_key"), F.col("r.event_key"), 0.8)).where("(_blank and _close >= 0.84) or (not _blank and (_close >= 0.88 or (_close >= 0.8 and _share >= 0.48)))")
     return found.union(alike).union(close.select("a", "b"))
 
 
+def letter_links(rows: DataFrame) -> DataFrame:
+    """(a, b): links that join, by way of each other, all rows of one brand within the date window whose titles or texts are equal,
+    contain each other or resemble each other letter by letter, whatever tokens they share.
+
+    Each distinct string of a brand is compared once. Rows of one string are chained by their days, and two strings that are
+    alike are linked by one row of each day: many copies make as many links as there are copies.
+    """
+    each = rows.select("pos", "day", "translated", "title", "event_key", (F.size("event_tokens") == 0).alias("blank"), F.explode("brands").alias("group"))
+    worded = each.select("pos", "day", "group", F.explode(F.array_distinct(F.filter(F.array("translated", "title"), lambda x: x != ""))).alias("w"))
+    worded = text.let(text.let(worded, "whole", text.title_key(F.col("w"))), "primary", text.title_key(text.without_source(F.col("w"))))
+    worded = text.let(worded.where("whole <> ''"), "bare", F.size(text.title_tokens(F.col("w"))) == 0)
+    roles = F.array(
+        F.struct(F.lit("whole").alias("role"), F.col("whole").alias("s"), F.lit(True).alias("own")),
+        F.struct(F.lit("primary").alias("role"), F.coalesce(F.nullif("primary", F.lit("")), "whole").alias("s"), (F.col("primary") != "").alias("own")),
+    )
+    entries = worded.select("pos", "day", "group", "bare", F.explode(roles).alias("e")).select("pos", "day", "group", "bare", "e.*")
+    entries = entries.union(each.where("event_key <> ''").select("pos", "day", "group", F.col("blank").alias("bare"), F.lit("event").alias("role"), F.col("event_key").alias("s"), F.lit(True).alias("own")))
+    entries = stored(entries.withColumn("event", F.col("role") == "event"))
+    strings = entries.groupBy("event", "group", "s").agg(F.min("day").alias("first"), F.max("day").alias("last"))
+    strings = stored(strings.withColumn("id", F.monotonically_increasing_id()))
+    keys = stored(entries.join(strings.select("event", "group", "s", "id"), ["event", "group", "s"]).select("id", "role", "bare", "own", "day", "pos"))
+    titles, events = (strings.where(F.col("event") == which).select("id", "group", "first", "last", "s") for which in (False, True))
+    days = keys.groupBy("id", "role", "bare", "own", "day").agg(F.min("pos").alias("low"), F.max("pos").alias("high"))
+    found = similar.alike(titles, 0.76).union(similar.alike(events, 0.84)).withColumn("inside", F.lit(False))
+    held = similar.inside(titles).join(titles.select(F.col("id").alias("x"), F.char_length("s").alias("n")), "x").select("x", "y", F.when(F.col("n") >= 18, 1.0).otherwise(0.0).alias("xy"), F.lit(1.0).alias("yx"), F.lit(True).alias("inside"))
+    pairs = stored(found.union(held))
+
+    def end(side: str, *names: str) -> DataFrame:
+        return days.select(F.col("id").alias(side), "role", *(F.col(c).alias(f"{side}_{c}") for c in ("bare", "own", "day", "low", "high")))
+
+    met = pairs.join(end("x"), "x").join(end("y"), ["y", "role"]).where(F.abs(F.datediff("x_day", "y_day")) <= WINDOW_DAYS)
+    bare = F.col("x_bare") | F.col("y_bare")
+    least = F.when(F.col("role") == "event", F.when(bare, 0.84).otherwise(0.88)).when(bare, 0.82).when(F.col("role") == "primary", 0.76).otherwise(0.86)
+    # A string in another counts for whole titles of 18 letters on, and for titles without their source of 16 on.
+    within = F.when(F.col("role") == "primary", F.col("x_own") & F.col("y_own")).otherwise((F.col("role") == "whole") & (F.col("xy") == 1.0))
+
+    def linked(a: str, b: str, value: str) -> DataFrame:
+        fits = F.when(F.col("inside"), within).otherwise(F.col(value) >= least)
+        return met.where(fits & (F.col(f"{a}_low") < F.col(f"{b}_high"))).select(F.col(f"{a}_low").alias("a"), F.col(f"{b}_high").alias("b"))
+
+    return similar.chained(keys.select("id", "role", "day", "pos").distinct(), "id", "role").union(linked("x", "y", "xy")).union(linked("y", "x", "yx")).distinct()
+
+
 def event_clusters(articles: DataFrame) -> DataFrame:
     """(node, cluster): articles of one brand within the date window that report one event, joined into clusters."""
     rows = stored(event_rows(articles))
-    return components(similar_events(event_candidates(rows), rows))
+    each = rows.select("pos", "day", F.explode("brands").alias("brand"), "numbers", "phrases").select("pos", "day", "brand", F.explode("numbers").alias("number"), "phrases")
+    marked = similar.chained(each.select("pos", "day", "brand", "number", F.explode("phrases").alias("phrase")), "brand", "number", "phrase")
+    return components(similar_events(event_candidates(rows, phrases=False), rows, letters=False).union(letter_links(rows)).union(marked))
 
 
 def scored_dedupe(articles: DataFrame, clusters: DataFrame, scorer: Callable[[list[dict]], set[int] | None]) -> DataFrame:

@@ -11,9 +11,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from gazette.functions import classify, context, lexicon, text
-from gazette.operators import briefing, browse, dedup, enrich, export, funnel, labels, messages, store, summary, survey
+from gazette.operators import briefing, browse, dedup, enrich, export, funnel, labels, messages, similar, store, summary, survey
 from gazette.plans import run as run_plan
-from gazette.sources import adapters, dom, pages, sheets
+from gazette.sources import adapters, dom, pages, sheets, tables
 
 
 def one(spark, column, **values):
@@ -374,3 +374,95 @@ def test_question_reasons(spark):
     got = [r[0] for r in df.orderBy("pos").select(survey.fallback_reason(F.col("d"), F.col("q"), F.col("title"))).collect()]
     assert got == [survey.REASONS[1][3], survey.REASONS[3][3], "", survey.PLAIN_REASON]
     assert one(spark, classify.capability_risk(F.lit("public"), F.lit(""), F.lit("read timeout"), F.lit(False), F.lit(0), F.lit(0), F.lit(0), F.lit(0), F.lit(200)), x=1) == "medium"
+
+
+def test_event_clusters_against_all_pairs(spark):
+    """Wordings without a word in common, contained titles, Han titles, blank texts, many copies: as by all pairs."""
+    rng = np.random.default_rng(8)
+    han = "平台商家费用上涨投诉调查罚款促销配送退款隐私政策门店市场"
+    rows = [(t, b) for _, t, b in event_rows()]
+    rows += [("platformraisescommissionforsellers", ""), ("platformraisedcommissionsforseller", "x"), ("the platformraisescommissionforsellers today", "y"), ("a b c d e", ""), ("a b c d f", ""), ("...", "")]
+    for _ in range(40):
+        base = list(rng.choice(list(han), rng.integers(8, 24)))
+        rows.append(("".join(base), ""))
+        base[rng.integers(len(base))] = "新"
+        rows.append(("".join(base), rng.choice(["", "正文"])))
+    for _ in range(10):
+        word = "".join(rng.choice(list("abcdefghij"), 30))
+        rows += [(word, "one"), (word[2:], "two"), (word[:24] + "zz", "three")]
+    rows += [("Same headline in all papers", "")] * 12 + [("Same headlines in all papers", "")] * 9
+    rows += [(f"Report {k}", "fine of 120,000 euro") for k in range(6)]
+    rows = [(i, t, b) for i, (t, b) in enumerate(rows)]
+    days = ["2024-%02d-%02d" % (1 + i % 2, 1 + (i * 11) % 28) for i in range(len(rows))]
+    df = spark.createDataFrame([(i, "Shop", t, b, d) for (i, t, b), d in zip(rows, days, strict=True)], "pos long, platform string, title string, summary string, published_at string")
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    day = [np.datetime64(d) for d in days]
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        if abs((day[a] - day[b]).astype(int)) <= 14 and same_event(rows[a][1:], rows[b][1:]):
+            x, y = sorted((find(a), find(b)))
+            parent[y] = x
+    groups = [find(i) for i in range(len(rows))]
+    want = {i: g for i, g in enumerate(groups) if groups.count(g) > 1}
+    got = {r["node"]: r["cluster"] for r in dedup.event_clusters(df).collect()}
+    assert got == want and len(set(want.values())) > 20
+
+
+def test_close_pairs_lose_none():
+    """The bounds of the similarity join against all ratios, for strings of a few letters and of sentences."""
+    rng = np.random.default_rng(1)
+    words = ["seller", "fees", "rise", "market", "in", "of", "delivery", "late"]
+    strings = ["".join(rng.choice(list("abc"), rng.integers(1, 20))) for _ in range(70)] + [" ".join(rng.choice(words, rng.integers(1, 9))) for _ in range(70)] + ["市" * k for k in (1, 3, 300)]
+    for least in (0.5, 0.76, 0.88):
+        got = {(i, j) for i, j, _, _ in similar.close_pairs(strings, strings, least)}
+        want = {(i, j) for i, a in enumerate(strings) for j, b in enumerate(strings) if max(difflib.SequenceMatcher(None, a, b).ratio(), difflib.SequenceMatcher(None, b, a).ratio()) >= least}
+        assert got == want
+
+
+def test_event_clusters_of_the_smallest_table(spark):
+    """The registered query against all pairs of its articles: keys and tokens as the engine has them, rules by loops."""
+    articles = tables.articles(spark, "/root/testdata/sf0.001")
+    title = F.col("title")
+    keyed = dedup.event_rows(articles).join(articles.select("pos", text.title_key(title).alias("whole"), text.title_key(text.without_source(title)).alias("primary"), text.title_tokens(title).alias("tokens")), "pos")
+    rows = sorted(keyed.collect(), key=lambda r: r["pos"])
+
+    def ratio(a, b):
+        return difflib.SequenceMatcher(None, a, b).ratio()
+
+    def alike(a, b):
+        if not set(a["brands"]) & set(b["brands"]) or abs((a["day"] - b["day"]).days) > 14:
+            return False
+        common, titles = set(a["event_tokens"]) & set(b["event_tokens"]), set(a["title_tokens"]) & set(b["title_tokens"])
+        if set(a["numbers"]) & set(b["numbers"]) and (set(a["phrases"]) & set(b["phrases"]) or len(common) >= 4):
+            return True
+        union = set(a["event_tokens"]) | set(b["event_tokens"])
+        share = len(common) / max(1, len(union))
+        if (len(titles) >= 3 and len(common) >= 4) or (len(titles) >= 2 and len(common) >= 5) or (share >= 0.68 and len(common) >= 6):
+            return True
+        x, y, p, q = a["whole"], b["whole"], a["primary"], b["primary"]
+        if x and y:
+            s, t = set(a["tokens"]), set(b["tokens"])
+            if x == y or (p and p == q) or (min(len(x), len(y)) >= 18 and (x in y or y in x)) or (p and q and min(len(p), len(q)) >= 16 and (p in q or q in p)):
+                return True
+            main = ratio(p or x, q or y)
+            best, jaccard = max(main, ratio(x, y)), len(s & t) / max(1, len(s | t))
+            if best >= 0.82 if not s or not t else best >= 0.86 or main >= 0.76 or (best >= 0.74 and jaccard >= 0.55) or jaccard >= 0.82:
+                return True
+        x, y = a["event_key"], b["event_key"]
+        if not x or not y:
+            return False
+        close = ratio(x, y)
+        return close >= 0.84 if not a["event_tokens"] or not b["event_tokens"] else close >= 0.88 or (close >= 0.8 and share >= 0.48)
+
+    low = {r["pos"]: r["pos"] for r in rows}
+    for a, b in itertools.combinations(rows, 2):
+        if alike(a, b) and low[a["pos"]] != low[b["pos"]]:
+            x, y = sorted((low[a["pos"]], low[b["pos"]]))
+            low = {k: x if v == y else v for k, v in low.items()}
+    sizes = Counter(low.values())
+    assert {r["node"]: r["cluster"] for r in dedup.event_clusters(articles).collect()} == {k: v for k, v in low.items() if sizes[v] > 1}
