@@ -43,8 +43,8 @@ def truncate(c: Column, limit: int, ellipsis: bool = False) -> Column:
 
 
 def title_key(c: Column) -> Column:
-    """A title as compared: lower case, separators and foreign signs as spaces, only digits, a-z, Han and kana left."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(clean(c)), SEPARATORS, " "), NOT_TITLE, " "))
+    """A title as compared: lower case, only digits, a-z, Han and kana left, each run of separators, signs and white space as one space."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), NOT_TITLE, " "))
 
 
 def without_source(c: Column) -> Column:
@@ -69,7 +69,12 @@ def title_tokens(c: Column) -> Column:
 
 
 def event_tokens(c: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(title_key(c), " "), lambda t: (F.char_length(t) >= 3) & ~t.isin(EVENT_STOP_WORDS)))
+    return key_event_tokens(title_key(c))
+
+
+def key_event_tokens(key: Column) -> Column:
+    """Event tokens of a text as compared."""
+    return F.array_distinct(F.filter(F.split(key, " "), lambda t: (F.char_length(t) >= 3) & ~t.isin(EVENT_STOP_WORDS)))
 
 
 #: Kinds of events with the wordings that give them away.
@@ -83,12 +88,11 @@ EVENT_PHRASES = {
 
 def event_phrases(c: Column) -> Column:
     """Kinds of events of which a wording is a substring of the text as compared."""
+    return once(title_key(c), key_event_phrases)
 
-    def kinds(key: Column) -> Column:
-        return F.array_compact(F.array(*(F.when(any_of([key.contains(p) for p in phrases]), F.lit(name)) for name, phrases in EVENT_PHRASES.items())))
 
-    # Inside the function the text as compared is a variable, computed once.
-    return F.element_at(F.transform(F.array(title_key(c)), kinds), 1)
+def key_event_phrases(key: Column) -> Column:
+    return F.array_compact(F.array(*(F.when(any_of([key.contains(p) for p in phrases]), F.lit(name)) for name, phrases in EVENT_PHRASES.items())))
 
 
 def number_tokens(c: Column) -> Column:

@@ -252,7 +252,7 @@ def event_rows(df: DataFrame) -> DataFrame:
     rows = text.let(rows.where("size(brands) > 0 and day is not null"), "event", F.array_join(F.filter("_parts", lambda x: x != ""), " ")).drop("_parts")
     rows = text.let(rows, "main", F.coalesce(F.nullif(F.col("translated"), F.lit("")), F.col("title")))
     rows = text.let(rows, "event_key", text.title_key(F.col("event")))
-    return rows.select("*", F.char_length("event_key").alias("event_size"), text.title_tokens(F.col("main")).alias("title_tokens"), text.event_tokens(F.col("event")).alias("event_tokens"), text.number_tokens(F.col("event")).alias("numbers"), text.event_phrases(F.col("event")).alias("phrases"))
+    return rows.select("*", F.char_length("event_key").alias("event_size"), text.title_tokens(F.col("main")).alias("title_tokens"), text.key_event_tokens(F.col("event_key")).alias("event_tokens"), text.number_tokens(F.col("event")).alias("numbers"), text.key_event_phrases(F.col("event_key")).alias("phrases"))
 
 
 #: Rows of a brand that share a number; beyond it the number alone is no key any more.

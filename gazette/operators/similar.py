@@ -22,6 +22,8 @@ WINDOW_DAYS = 14
 BLOCK = 256
 #: Counters of a string's letters and of its pairs of letters; pairs that share a counter make a bound wider, never too narrow.
 LETTERS, PAIRS = 64, 256
+#: How many times wider than the bound on the lengths a class of lengths is.
+COARSE = 4
 #: Letters of a piece by which strings that contain one another meet.
 PIECE = 16
 
@@ -85,7 +87,8 @@ def alike(strings: DataFrame, least: float) -> DataFrame:
     strings: (id, group, first, last, s) with distinct ids and the days between which a string occurs. Empty strings resemble none.
     A group of any size is cut into tiles of two blocks; what is emitted are the pairs found.
     """
-    step = -math.log(least / (2 - least)) * 1.001
+    # Lengths of one class may be further apart than need be, so that small groups make few tiles.
+    step = -COARSE * math.log(least / (2 - least))
     span = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01").cast("date")) / WINDOW_DAYS)
     rows = strings.where("s <> ''").withColumn("size", F.floor(F.log(F.char_length("s").cast("double")) / step)).withColumn("span", F.explode(F.sequence(span(F.col("first")), span(F.col("last")))))
     unit = ["group", "size", "span"]
@@ -115,7 +118,9 @@ def alike(strings: DataFrame, least: float) -> DataFrame:
                 found[min(x, y), max(x, y)] = (there, back) if x < y else (back, there)
         return pa.table({"x": pa.array([k[0] for k in found], pa.int64()), "y": pa.array([k[1] for k in found], pa.int64()), "xy": pa.array([v[0] for v in found.values()], pa.float64()), "yx": pa.array([v[1] for v in found.values()], pa.float64())})
 
-    return side(False).union(side(True)).groupBy(*tile).applyInArrow(run, "x long, y long, xy double, yx double").distinct()
+    # Tiles take far longer than their bytes tell: as many partitions as a shuffle has, and none joined into one.
+    parts = int(strings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return side(False).union(side(True)).repartition(parts, *tile).groupBy(*tile).applyInArrow(run, "x long, y long, xy double, yx double").distinct()
 
 
 def inside(strings: DataFrame) -> DataFrame:
