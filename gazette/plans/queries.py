@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import classify, context, dates, lexicon, terms, text, urls
 from ..operators import briefing, browse, dedup, enrich, export, funnel, labels, messages, progress, store, summary, survey, tasks
 from ..operators.stored import stored
+from ..sources import feeds as feed_source
 from ..sources import pages as page_source
 from ..sources.tables import articles, table
 from . import run as run_plan
@@ -644,19 +645,24 @@ def page_feeds(spark, sf):
     return page_source.feed_urls(table(spark, sf, "pages"))
 
 
-@query(f"SELECT doc_id AS pos, {_clean('text')} AS title, CAST(DATE '2024-01-01' + CAST(doc_id % 28 AS INT) AS VARCHAR) AS day FROM documents WHERE doc_id % 28 BETWEEN 4 AND 13")
+@query(f"SELECT doc_id AS pos, {_clean('text')} AS title, CAST(DATE '2024-01-01' + CAST(doc_id % 28 AS INT) AS VARCHAR) AS day FROM documents WHERE doc_id % 28 BETWEEN 4 AND 13 AND doc_id % 11 <> 5")
 def feed_parse(spark, sf):
-    """Every document's whole text as an item's title: escaped for even ids, as CDATA for odd ones."""
+    """Every document's whole text as an item's title: escaped for even ids (with numeric references in half of them), as CDATA for
+    odd ones. One feed in eleven breaks off, and has no item."""
     d = table(spark, sf, "documents")
     t = F.coalesce("text", F.lit(""))
     escaped = t
     for sign, reference in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         escaped = F.replace(escaped, F.lit(sign), F.lit(reference))
+    numbered = escaped
+    for sign, reference in (("e", "&#101;"), ("n", "&#x6E;"), ("é", "&#233;")):
+        numbered = F.replace(numbered, F.lit(sign), F.lit(reference))
     section = F.concat(F.lit("<![CDATA["), F.replace(t, F.lit("]]>"), F.lit("]]]]><![CDATA[>")), F.lit("]]>"))
-    title = F.when(F.col("doc_id") % 2 == 0, escaped).otherwise(section)
+    title = F.when(F.col("doc_id") % 4 == 0, numbered).when(F.col("doc_id") % 2 == 0, escaped).otherwise(section)
     day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 28).cast("int"))
-    xml = F.concat(F.lit("<rss><channel><item><title>"), title, F.lit("</title><link>http://x.example/"), F.col("doc_id"), F.lit("</link><pubDate>"), F.date_format(day, "dd MMM yyyy"), F.lit(" 08:00:00 +0000</pubDate></item></channel></rss>"))
-    items = page_source.feed_items(d.select(F.col("doc_id").cast("string").alias("feed_url"), xml.alias("xml")), "2024-01-05", "2024-01-14")
+    end = F.when(F.col("doc_id") % 11 == 5, "</item>").otherwise("</item></channel></rss>")
+    xml = F.concat(F.lit("<rss><channel><item><title>"), title, F.lit("</title><link>http://x.example/"), F.col("doc_id"), F.lit("</link><pubDate>"), F.date_format(day, "dd MMM yyyy"), F.lit(" 08:00:00 +0000</pubDate>"), end)
+    items = feed_source.feed_items(d.select(F.col("doc_id").cast("string").alias("feed_url"), xml.alias("xml")), "2024-01-05", "2024-01-14")
     return items.select(F.col("feed_url").cast("long").alias("pos"), "title", F.col("published_ts").cast("date").cast("string").alias("day"))
 
 

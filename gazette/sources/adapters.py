@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import context, dates, terms, text, urls
+from . import feeds as feeds_of
 from . import pages as P
 from .dom import parse
 
@@ -160,7 +161,7 @@ def site_searches(asked: list[str], domains: list[str], country: dict[str, str],
 
 def site_search_articles(searches: DataFrame, feeds: DataFrame, fetched: DataFrame, start: str, end: str, source_discovery: str = "site_search") -> DataFrame:
     """Articles that the stored feeds (feed_url, xml) of site searches name, on the wanted hosts or behind an engine's link."""
-    items = P.feed_items(feeds, start, end).join(searches.select(F.col("url").alias("feed_url"), "term", "domain", "place").distinct(), "feed_url")
+    items = feeds_of.feed_items(feeds, start, end).join(searches.select(F.col("url").alias("feed_url"), "term", "domain", "place").distinct(), "feed_url")
     behind = urls.in_domain(F.col("article_url"), *ENGINE_HOSTS)
     wanted = items.where(behind | (urls.host(F.col("article_url")) == F.lower("domain")))
     said = F.lower(F.concat_ws(" ", "title", "summary"))

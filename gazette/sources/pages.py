@@ -152,33 +152,6 @@ def feed_urls(pages: DataFrame, limit: int = 6) -> DataFrame:
     return once.withColumn("rank", F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))).where(F.col("rank") <= limit)
 
 
-def feed_items(feeds: DataFrame, start: str, end: str) -> DataFrame:
-    """Items of stored RSS and Atom documents (feed_url, xml) within a range of days, each URL once; bad XML has none."""
-    from ..functions import dates
-
-    item = r"(?s)<(?:item|entry)[ >].*?</(?:item|entry)>"
-    raw = feeds.select("feed_url", F.posexplode(F.regexp_extract_all("xml", F.lit(f"({item})"), F.lit(1))).alias("pos", "x"))
-
-    def inner(name: str) -> Column:
-        found = F.regexp_extract("x", rf"(?s)<(?:{name})(?:\s[^>]*)?>(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?</(?:{name})>", 1)
-        return _signs(found)
-
-    link = F.coalesce(F.nullif(text.clean(inner("link")), F.lit("")), F.regexp_extract("x", r"<link[^>]*href=\"([^\"]+)\"", 1))
-    named = F.transform(F.regexp_extract_all("x", F.lit(r"(?s)<category(?:\s[^>]*)?>(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?</category>"), F.lit(1)), lambda c: text.clean(_signs(c)))
-    termed = F.transform(F.regexp_extract_all("x", F.lit(r'<category[^>]*\sterm="([^"]*)"'), F.lit(1)), lambda c: text.clean(_signs(c)))
-    categories = F.array_distinct(F.filter(F.concat(named, termed), lambda c: c != ""))
-    rows = raw.select("feed_url", "pos", categories.alias("categories"), text.clean(inner("title")).alias("title"), link.alias("article_url"), dates.parse(inner("pubDate|published|updated")).alias("published_ts"), text.clean(F.regexp_replace(inner("description|summary"), "<[^>]*>", " ")).alias("summary"))
-    rows = rows.where(F.col("published_ts").between(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp") + F.expr("interval 1 day") - F.expr("interval 1 second"))).where("article_url <> ''")
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy("article_url").orderBy("feed_url", "pos"))).where("_n = 1").drop("_n")
-
-
-def _signs(c: Column) -> Column:
-    """Character references of XML as the signs they stand for; the ampersand's last, so nothing is decoded twice."""
-    for reference, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(reference), F.lit(sign))
-    return c
-
-
 def hydrate(hits: DataFrame, pages: DataFrame, start: str, end: str) -> DataFrame:
     """Search hits (article_url, title, published_at, summary, category, tags, source_discovery, allow_search_only) with what their
     page says (page_articles). A hit without a page stays where ``allow_search_only`` and its own date allow it.

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from gazette.functions import classify, context, lexicon, text
 from gazette.operators import briefing, browse, dedup, enrich, export, funnel, labels, messages, similar, store, summary, survey
 from gazette.plans import run as run_plan
-from gazette.sources import adapters, dom, pages, sheets, tables
+from gazette.sources import adapters, dom, feeds, pages, sheets, tables
 
 
 def one(spark, column, **values):
@@ -232,8 +232,8 @@ def test_page_metadata(spark):
 
 
 def test_feed_categories(spark):
-    xml = "<rss><item><title>A</title><link>u</link><pubDate>Tue, 02 Jan 2024 08:00:00 +0000</pubDate><category>x &amp; y</category><category><![CDATA[z]]></category></item></rss>"
-    out = pages.feed_items(spark.createDataFrame([("f", xml)], "feed_url string, xml string"), "2024-01-01", "2024-01-03").collect()
+    xml = "<rss><channel><item><title>A</title><link>u</link><pubDate>Tue, 02 Jan 2024 08:00:00 +0000</pubDate><category>x &amp; y</category><category><![CDATA[z]]></category></item></channel></rss>"
+    out = feeds.feed_items(spark.createDataFrame([("f", xml)], "feed_url string, xml string"), "2024-01-01", "2024-01-03").collect()
     assert out[0]["categories"] == ["x & y", "z"]
 
 
@@ -266,7 +266,7 @@ def test_listing_search_and_dispatch(spark):
     searches = adapters.site_searches(["Fees up", "x"], ["a.example"], country, spark, most=1)
     assert sorted(r["url"] for r in searches.collect()) == ["https://news.google.com/rss/search?q=Fees%20up%20site%3Aa.example&hl=it&gl=IT&ceid=IT:it", "https://www.bing.com/news/search?q=Fees%20up%20site%3Aa.example&format=rss&mkt=it-IT"]
     item = "<item><title>{}</title><link>{}</link><pubDate>Tue, 02 Jan 2024 08:00:00 +0000</pubDate></item>"
-    xml = "<rss>" + item.format("Fees up now", "https://a.example/7") + item.format("Fees up", "https://c.example/8") + item.format("Fees up", "https://news.google.com/z") + item.format("Other", "https://a.example/9") + "</rss>"
+    xml = "<rss><channel>" + item.format("Fees up now", "https://a.example/7") + item.format("Fees up", "https://c.example/8") + item.format("Fees up", "https://news.google.com/z") + item.format("Other", "https://a.example/9") + "</channel></rss>"
     feeds = searches.select(F.col("url").alias("feed_url"), F.lit(xml).alias("xml"))
     assert sorted(r["article_url"] for r in adapters.site_search_articles(searches, feeds, fetched, "2024-01-01", "2024-01-05").collect()) == ["https://a.example/7", "https://news.google.com/z"]
     sources = spark.createDataFrame([("https://www.shop.example/x", "buyer"), ("https://news.s.example/", "media"), ("https://q.example/", "media")], "source_url string, side string")

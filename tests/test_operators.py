@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from gazette.functions import classify, context, dates, terms, text, urls
 from gazette.operators import dedup, export, funnel, progress, store, survey, tasks
-from gazette.sources import pages
+from gazette.sources import feeds, pages
 
 
 def one(spark, column, **values):
@@ -127,8 +127,8 @@ def test_pages(spark):
     got = {r["page_id"]: r for r in pages.page_articles(df).collect()}
     assert got[1]["title"] == "T" and got[1]["published_at"] == "2024-01-02" and got[1]["body_excerpt"] == "Body & soul of a story long enough" and got[2]["title"] == ""
     assert [r["href"] for r in pages.candidate_links(df).collect()] == ["https://a.example/news/2024/01/a-long-story-title"]
-    feed = spark.createDataFrame([("f", "<rss><item><title><![CDATA[A & B]]></title><link>https://a.example/1</link><pubDate>Tue, 02 Jan 2024 08:00:00 +0000</pubDate></item><item><title>old</title><link>x</link><pubDate>Mon, 02 Jan 2023 08:00:00 +0000</pubDate></item></rss>"), ("g", "<rss")], "feed_url string, xml string")
-    assert [(r["title"], r["article_url"]) for r in pages.feed_items(feed, "2024-01-01", "2024-01-05").collect()] == [("A & B", "https://a.example/1")]
+    feed = spark.createDataFrame([("f", "<rss><channel><item><title><![CDATA[A & B]]></title><link>https://a.example/1</link><pubDate>Tue, 02 Jan 2024 08:00:00 +0000</pubDate></item><item><title>old</title><link>x</link><pubDate>Mon, 02 Jan 2023 08:00:00 +0000</pubDate></item></channel></rss>"), ("g", "<rss")], "feed_url string, xml string")
+    assert [(r["title"], r["article_url"]) for r in feeds.feed_items(feed, "2024-01-01", "2024-01-05").collect()] == [("A & B", "https://a.example/1")]
 
 
 def test_sinks(spark, tmp_path):
