@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import classify, context, dates, lexicon, terms, text, urls
-from ..operators import briefing, browse, dedup, enrich, export, funnel, labels, messages, progress, store, summary, survey, tasks
+from ..operators import briefing, browse, dedup, enrich, export, funnel, jobs, labels, messages, progress, store, summary, survey, tasks
 from ..operators.stored import stored
 from ..sources import feeds as feed_source
 from ..sources import pages as page_source
@@ -534,6 +534,67 @@ def timing_history(spark, sf):
     return progress.last_of_each(table(spark, sf, "events"), "event_type", "ts", "event_id").select("event_type", "event_id")
 
 
+#: Users' events as the updates of their jobs: the kind of event is the stage, its number gives sites and units.
+_PLAN = jobs.Plan((("crawl_site", 40_000), ("promo_search", 30_000), ("translation", 20_000), ("survey_filter", 25_000), ("finalize_output", 9_000), ("done", 1)))
+_STAGES = {"view": "crawl_site", "click": "promo_search", "signup": "translation", "purchase": "survey_filter", "error": "elsewhere"}
+_NAMED = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _STAGES.items()) + " END"
+_SECONDS = "CASE stage " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in _PLAN.stages) + " ELSE 1 END"
+_AFTER = "CASE stage " + " ".join(f"WHEN '{k}' THEN {sum(_PLAN.seconds(n) for n in _PLAN.names[i + 1 :])}" for i, k in enumerate(_PLAN.names)) + f" ELSE {sum(_PLAN.seconds(n) for n in _PLAN.names[1:])} END"
+_BEFORE = "CASE stage " + " ".join(f"WHEN '{k}' THEN {sum(_PLAN.seconds(n) for n in _PLAN.names[:i])}" for i, k in enumerate(_PLAN.names)) + " END"
+_WHOLE = sum(_PLAN.seconds(n) for n in _PLAN.names)
+_JOBS_SQL = f"""WITH RECURSIVE u AS (
+ SELECT user_id::VARCHAR AS job, event_id AS seq, epoch_us(ts) AS micros, coalesce({_NAMED}, '') AS stage, 20 AS total, event_id % 21 AS done, event_id % 3 AS active,
+  CASE WHEN event_id % 4 > 0 THEN event_id % 9 ELSE 0 END AS units, CASE WHEN event_id % 4 > 0 THEN 8 ELSE 0 END AS all_units, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+n AS (SELECT *, sum(new) OVER (PARTITION BY job ORDER BY i) AS run FROM (SELECT *, CASE WHEN lag(stage) OVER (PARTITION BY job ORDER BY i) = stage THEN 0 ELSE 1 END AS new FROM u)),
+x AS (SELECT *, (micros - min(micros) OVER (PARTITION BY job, run)) // 1000000 AS spent, (micros - min(micros) OVER (PARTITION BY job)) // 1000000 AS elapsed, {_SECONDS} AS expected, {_AFTER} AS later, {_BEFORE} AS earlier,
+ concat_ws('||', stage, done, total, units, all_units) AS signature FROM n),
+m AS (SELECT *, greatest(0, expected - spent)::DOUBLE AS rest, greatest(0, total - done) AS sites, all_units - units AS left_units, spent::DOUBLE AS s, expected::DOUBLE AS e FROM x),
+p AS (SELECT *, CASE WHEN stage = 'crawl_site' THEN CASE WHEN done > 0 AND spent > 0 THEN least(s / done * sites, e * (sites / total) * 1.25::DOUBLE) ELSE e * (sites / total) END
+ ELSE least(s / nullif(units, 0) * left_units, e * (left_units / nullif(all_units, 0)) * CASE stage WHEN 'promo_search' THEN 1.1::DOUBLE ELSE 1.2::DOUBLE END) END AS pace FROM m),
+q AS (SELECT *, (CASE WHEN stage = 'crawl_site' AND sites = 0 THEN 0
+ WHEN stage = 'crawl_site' THEN greatest(1, round_even((rest * 0.6::DOUBLE + pace * 0.4::DOUBLE) * CASE WHEN active > 0 THEN 0.92::DOUBLE ELSE 1::DOUBLE END, 0))
+ WHEN stage IN ('promo_search', 'translation', 'survey_filter') AND units > 0 AND all_units >= units THEN greatest(1, round_even(rest * CASE stage WHEN 'promo_search' THEN 0.3::DOUBLE ELSE 0.65::DOUBLE END + pace * (1 - CASE stage WHEN 'promo_search' THEN 0.3::DOUBLE ELSE 0.65::DOUBLE END), 0))
+ ELSE greatest(1, rest) END)::BIGINT AS stage_remaining FROM p),
+r AS (SELECT *, stage_remaining + later AS fresh FROM q),
+walk AS (SELECT job, i, micros, signature, fresh AS remaining FROM r WHERE i = 1
+ UNION ALL SELECT r.job, r.i, r.micros, r.signature, least(r.fresh, greatest(0, w.remaining - (r.micros - w.micros) // 1000000) + CASE WHEN r.signature = w.signature THEN 0 ELSE 3 END) FROM walk w JOIN r ON r.job = w.job AND r.i = w.i + 1),
+t AS (SELECT r.*, w.remaining, greatest(elapsed + 1, elapsed + w.remaining, least({_WHOLE}, elapsed + w.remaining + 1)) AS estimate FROM r JOIN walk w USING (job, i))
+SELECT job, seq, stage, spent AS stage_seconds, stage_remaining, remaining, signature, elapsed > {_WHOLE} AND estimate > elapsed AS overdue,
+ max(least(99, greatest(2, round_even(CASE WHEN earlier IS NOT NULL THEN (earlier + expected - greatest(0, least(expected, stage_remaining)))::DOUBLE / {_WHOLE} * 100 ELSE elapsed::DOUBLE / estimate * 100 END, 0)))) OVER (PARTITION BY job ORDER BY i)::BIGINT AS percent FROM t"""
+
+
+def _job_updates(events: DataFrame) -> DataFrame:
+    k = F.col("event_id")
+    return events.select(
+        F.col("user_id").cast("string").alias("job"), F.col("ts").cast("timestamp").alias("ts"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), k.alias("seq"), classify.first_match([(F.col("event_type") == a, b) for a, b in _STAGES.items()], "").alias("stage"),
+        F.lit(20).cast("long").alias("total_sites"), (k % 21).alias("completed_sites"), (k % 3).alias("active_sites"), F.when(k % 4 > 0, F.concat((k % 9).cast("string"), F.lit("/8 units"))).alias("message"),
+    )
+
+
+_JOB_COLUMNS = ("job", "seq", "stage", "stage_seconds", "stage_remaining", "remaining", "signature", "overdue", "percent")
+
+
+@query(_JOBS_SQL)
+def job_status(spark, sf):
+    return jobs.status(_job_updates(table(spark, sf, "events")), _PLAN).select(*_JOB_COLUMNS)
+
+
+@query(_JOBS_SQL)
+def job_status_stream(spark, sf):
+    """The same of a stream, with each job's state in the state store."""
+    from ..streaming import jobs as job_stream
+    from ..streaming import news
+
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, job_stream.STORE)
+    try:
+        found = news.drained(spark, sf, "events", lambda events: job_stream.status(_job_updates(events), _PLAN))
+    finally:
+        spark.conf.set(key, before)
+    return found.where("kind = 'update'").select(*_JOB_COLUMNS)
+
+
 # --- tasks ---
 
 
