@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import terms, text
 
+
 def summary_order(rows: DataFrame, label: str, ts: str) -> DataFrame:
     """Adds rank columns and sorts: industry first, then the fixed platform order, newest first."""
     place = F.array_position(F.array(*map(F.lit, terms.PLATFORM_ORDER)), F.col(label))
@@ -27,20 +28,41 @@ def write_csv(df: DataFrame, path: str) -> None:
     flat.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
+def _joined(df: DataFrame, line: Column, ending: str, path: str, head: bytes, tail: bytes, cut: int = 0) -> None:
+    """One file of all rows as text: tasks write them in parts, which the file system's streams then put behind one another in the
+    driver's JVM, a buffer at a time. ``cut`` bytes at the end of the last row go; without rows there is no head and no tail.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    parts = f"{path}.{uuid.uuid4().hex}"
+    df.select(line.alias("value")).write.option("lineSep", ending).text(parts)
+    folder, target = jvm.org.apache.hadoop.fs.Path(parts), jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(conf)
+    found = sorted((s.getPath().getName(), s.getLen(), s.getPath()) for s in system.listStatus(folder) if s.getPath().getName().startswith("part-") and s.getLen())
+    out = system.create(target, True)
+    out.write(head if found else b"")
+    for i, (_, size, part) in enumerate(found):
+        stream = system.open(part)
+        if i == len(found) - 1 and cut:
+            stream = jvm.org.apache.commons.io.input.BoundedInputStream(stream, size - cut)
+        jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, conf, False)
+        stream.close()
+    out.write(tail if found else b"")
+    out.close()
+    system.delete(folder, True)
+
+
 def write_bom_csv(df: DataFrame, path: str) -> None:
-    """One CSV file that begins with a byte order mark, for a spreadsheet: a report's table, written partition by partition.
+    """One CSV file that begins with a byte order mark, for a spreadsheet: a header and every value in quotes, lists joined by `` | ``.
 
-    An empty table gives an empty file.
+    Rows keep the order of the table's partitions. An empty table gives an empty file.
     """
-    spark = df.sparkSession
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
-    quoted = lambda values: (",".join('"' + ("" if v is None else " | ".join(map(str, v)) if isinstance(v, list) else str(v)).replace('"', '""') + '"' for v in values) + "\r\n").encode()
-    for i, row in enumerate(df.toLocalIterator()):
-        if not i:
-            stream.write(b"\xef\xbb\xbf" + quoted(df.columns))
-        stream.write(quoted(row))
-    stream.close()
+    text_of = lambda c, t: F.array_join(c, " | ", "None") if t.startswith("array") else F.col(c).cast("string")
+    quoted = [F.concat(F.lit('"'), F.replace(F.coalesce(text_of(c, t), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')) for c, t in df.dtypes]
+    head = ",".join('"' + c.replace('"', '""') + '"' for c in df.columns)
+    _joined(df, F.concat_ws(",", *quoted), "\r\n", path, b"\xef\xbb\xbf" + f"{head}\r\n".encode(), b"")
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -49,32 +71,17 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def write_json_array(df: DataFrame, path: str) -> None:
-    """One file with an array of all rows, indented, as a report hands it on; rows come partition by partition."""
+    """One file with an array of all rows, indented, as a report hands it on; rows keep the order of the table's partitions."""
     import json
 
-    spark = df.sparkSession
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
-    stream.write(b"[")
-    for i, row in enumerate(df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).toLocalIterator()):
-        stream.write((("," if i else "") + "\n" + json.dumps(json.loads(row[0]), ensure_ascii=False, indent=2)).encode())
-    stream.write(b"\n]\n")
-    stream.close()
-
+    @F.pandas_udf("string")
+    def indented(rows):
+        return rows.map(lambda r: "\n".join("  " + x for x in json.dumps(json.loads(r), ensure_ascii=False, indent=2).split("\n")))
 
-def replace_table(df: DataFrame, path: str) -> None:
-    """A small table (registry, cache, configuration) written as a whole beside the old one and then put in its place."""
-    import uuid
-
-    spark = df.sparkSession
-    new = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
-    df.write.parquet(new)
-    files = spark._jvm.org.apache.hadoop.fs
-    source, target = files.Path(new), files.Path(path)
-    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    system.delete(target, True)
-    if not system.rename(source, target):
-        raise OSError(f"{new} could not take the place of {path}")
+    if df.isEmpty():
+        _joined(df.sparkSession.createDataFrame([("[]",)], "value string"), F.col("value"), "\n", path, b"", b"")
+        return
+    _joined(df, indented(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})), ",\n", path, b"[\n", b"\n]\n", cut=2)
 
 
 def write_grouped(df: DataFrame, path: str, *keys: str) -> None:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
+from . import versions
 
 
 def list_runs(runs: DataFrame, articles: DataFrame, manual: DataFrame, country: str | None = None, limit: int | None = None) -> DataFrame:
@@ -75,9 +76,15 @@ def checked_manual(forms: DataFrame) -> DataFrame:
     return forms.withColumn("run_id", source["run_id"]).withColumn("error", error)
 
 
-def write_runs(rows: DataFrame, path: str) -> None:
-    """Saves runs to a table partitioned by run and stage: what comes in replaces those partitions, so saving twice changes nothing."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id", "stage").parquet(path)
+def save_runs(rows: DataFrame, path: str, runs: list[str] | None = None) -> int:
+    """Saves runs to a store of versions: each run's stages are replaced by what comes in, so saving twice changes nothing, a reader
+    sees all of it or nothing, and of two writers at once neither loses a row. ``runs`` are those whose stages may be empty now."""
+    return versions.save(rows, path, ("run_id", "stage"), [(r, s) for r in runs or () for s in ("before", "after")])
+
+
+def saved_runs(spark: SparkSession, path: str, runs: list[str] | None = None) -> DataFrame:
+    """The rows of the store as it is now, of some runs or of all; what is saved later does not change them."""
+    return versions.read(spark, path, keep=None if runs is None else lambda key: key[0] in set(runs))
 
 
 def set_enabled(manual: DataFrame, ids: DataFrame, enabled: bool) -> DataFrame:

@@ -322,13 +322,14 @@ def test_report_sinks(spark, tmp_path):
     assert json.loads((tmp_path / "a.json").read_text()) == [{"pos": 1, "title": 'a "b"', "tags": None}, {"pos": 2, "title": None, "tags": ["x", "y"]}]
     export.write_json(df, str(tmp_path / "lines"))
     assert spark.read.json(str(tmp_path / "lines")).count() == 2
-    for frame in (df, df.limit(1)):
-        export.replace_table(frame, str(tmp_path / "t"))
-    assert spark.read.parquet(str(tmp_path / "t")).count() == 1
-    runs = spark.createDataFrame([("r1", "before", 1), ("r1", "after", 2), ("r2", "after", 3)], "run_id string, stage string, row_index int")
-    store.write_runs(runs, str(tmp_path / "runs"))
-    store.write_runs(runs.where("run_id = 'r1'").limit(1), str(tmp_path / "runs"))
-    assert spark.read.parquet(str(tmp_path / "runs")).count() == 3
+    export.write_json_array(df.limit(0), str(tmp_path / "none.json"))
+    assert json.loads((tmp_path / "none.json").read_text()) == []
+    many = spark.range(0, 5000, 1, 7).selectExpr("id", "array(id, id + 1) as l", "concat('é', id) as t")
+    export.write_json_array(many, str(tmp_path / "many.json"))
+    assert json.loads((tmp_path / "many.json").read_text()) == [{"id": i, "l": [i, i + 1], "t": f"é{i}"} for i in range(5000)]
+    export.write_bom_csv(many, str(tmp_path / "many.csv"))
+    assert (tmp_path / "many.csv").read_text(encoding="utf-8-sig").splitlines()[1::1000] == [f'"{i}","{i} | {i + 1}","é{i}"' for i in range(0, 5000, 1000)]
+    assert not [x for x in tmp_path.iterdir() if x.name.count(".") > 1 and not x.name.endswith(".crc")]
 
 
 def test_manual_rows(spark):
