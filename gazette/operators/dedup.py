@@ -55,7 +55,7 @@ def cluster_key(df: DataFrame) -> Column:
     return text.once(parts, lambda s: F.when((s["platform"] != "") & (s["day"] != "") & (F.char_length(s["title"]) >= MIN_TITLE), F.concat_ws("\x1f", s["platform"], s["day"], s["title"])))
 
 
-def _narrow(articles: DataFrame) -> DataFrame:
+def narrow(articles: DataFrame) -> DataFrame:
     """All but the long texts, with their lengths, the row they are to be fetched from, and the exact key."""
     short = [c for c in articles.columns if c not in LONG and c != "pos"]
     return articles.select("pos", *short, F.col("pos").alias("_rep"), F.char_length(_col(articles, "summary_translated", "summary")).alias("_ls"), F.lit(1).cast("long").alias("group_size"), exact_key(articles).alias("_key"))
@@ -99,7 +99,7 @@ def merge(df: DataFrame, key: str = "_key") -> DataFrame:
 
 def _phases(articles: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows with their exact key, one row a key with its second key, one row a second key; without the long texts."""
-    keyed = stored(_narrow(articles))
+    keyed = stored(narrow(articles))
     first = merge(keyed).drop("_merged")
     first = stored(first.withColumn("_key", F.coalesce(cluster_key(first), F.concat(F.lit("row\x1f"), F.col("pos").cast("string")))))
     return keyed, first, merge(first)

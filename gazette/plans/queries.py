@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import classify, context, dates, lexicon, terms, text, urls
-from ..operators import briefing, browse, dedup, enrich, export, funnel, jobs, labels, messages, progress, store, summary, survey, tasks
-from ..operators.stored import stored
+from ..operators import arrivals, briefing, browse, dedup, enrich, export, funnel, jobs, labels, messages, progress, store, summary, survey, tasks
+from ..operators.stored import shared_dir, stored
 from ..sources import feeds as feed_source
 from ..sources import pages as page_source
 from ..sources.tables import articles, table
@@ -153,6 +153,18 @@ def initial_dedupe(spark, sf):
     return dedup.initial_dedupe(articles(spark, sf)).select("pos", F.col("group_size").cast("long").alias("group_size"), "title", "platform", "published_at")
 
 
+@query(SQL["initial_dedupe"])
+def dedupe_increments(spark, sf):
+    """The same by three increments, each merged into a new store of groups."""
+    import uuid
+
+    path = f"{shared_dir(spark)}/arrivals-{uuid.uuid4().hex}"
+    every = articles(spark, sf)
+    for k in (1, 2, 0):
+        arrivals.add(every.where(F.col("pos") % 3 == k), path)
+    return arrivals.result(spark, path).select("pos", F.col("group_size").cast("long").alias("group_size"), "title", "platform", "published_at")
+
+
 @query(f"""WITH {_ARTICLES},{_STRIP},{_KEYS}, a AS (SELECT CASE WHEN k LIKE 'f%' THEN 'same_source_title_duplicate' ELSE 'weak_key_duplicate' END AS reason, n FROM g1 WHERE n > 1),
 b AS (SELECT 'same_day_exact_title_duplicate' AS reason, count(*) AS n FROM p2 WHERE k2 NOT LIKE 'row%' GROUP BY k2 HAVING count(*) > 1)
 SELECT reason, count(*) AS groups, sum(n - 1)::BIGINT AS removed FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1""")
