@@ -1,7 +1,8 @@
 """Line deduplication against a plain Python version of its template tree, runs and copy groups."""
 
+import itertools
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -84,10 +85,20 @@ def tree(lines):
     for leaf, rest in leaves.items():
         if len(rest) < 2:
             continue
-        for _ in range(2):
+        agree = lambda a, b: np.mean([x == y for x, y in zip(a, b, strict=True)]) >= 0.75
+        number = 8
+        while True:
+            # A line without any block in common has no partner: it neither is a seed nor takes part.
+            blocks = {k: {(j, tuple(masked[i] for i in places)) for j, places in enumerate(np.array_split(np.arange(3, len(masked)), len(masked) // 4 + 1))} for k, masked in rest.items()}
+            held = Counter(x for own in blocks.values() for x in own)
+            assert not any(agree(a, b) and not blocks[j] & blocks[k] for (j, a), (k, b) in itertools.combinations(rest.items(), 2))
+            rest = {k: v for k, v in rest.items() if any(held[x] > 1 for x in blocks[k])}
+            if not rest:
+                break
             slots = {}
             for k in sorted(rest):
-                slots.setdefault(k % 8, k)
+                slots.setdefault(k % number, k)
+            number = min(2 * number, 32)
             seeds = []
             for k in sorted(slots.values()):
                 if not any(np.mean([x == y for x, y in zip(rest[k], rest[s], strict=True)]) >= 0.75 for s in seeds):
@@ -180,7 +191,7 @@ def test_wildcards(spark):
 
 
 def test_crowded_leaf(spark):
-    """More unlike lines in one leaf than there are seeds: later turns place them."""
+    """More unlike lines in one leaf than there are seeds."""
     rng = np.random.default_rng(6)
     word = lambda: "".join(rng.choice(list("abcdefghij"), 5))
     rows = [(i, "all of them " + " ".join(word() for _ in range(9))) for i in range(40)]
@@ -188,6 +199,32 @@ def test_crowded_leaf(spark):
     assert compare(spark.createDataFrame(rows, "doc_id long, text string"), rows) > 3
 
 
+def test_every_template_of_a_leaf(spark):
+    """Forty templates of two documents each in one leaf, among many unlike lines: all are learnt, and their second lines go."""
+    rng = np.random.default_rng(7)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 5))
+    lines = ["all of them " + " ".join(word() for _ in range(9)) for _ in range(40)]
+    rows = [*enumerate(lines), *((100 + i, x.rsplit(" ", 1)[0] + " " + word()) for i, x in enumerate(lines)), *((200 + i, "all of them " + " ".join(word() for _ in range(9))) for i in range(100))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert compare(df, rows) == 40
+
+
+def test_near_copies_lose_nothing_to_each_other(spark):
+    """Documents of 50 to 110 words with one word edited: whatever share of their pieces still recurs, they are copies, and stay so."""
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdefghijklm"), 6))
+    rows = []
+    for i in range(200):
+        words = [word() + ("." if rng.random() < 0.1 else "") for _ in range(rng.integers(50, 111))]
+        edited = list(words)
+        edited[int(rng.integers(len(words)))] = "edited"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(edited))]
+    alike = {i for i, _, c in brute_components(rows) if c != i}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(df).collect()}
+    assert len(alike) > 150 and all(got[i]["n_dropped"] == 0 and got[i - 1]["n_dropped"] == 0 for i in alike)
+
+
 def test_passages_inside_lines(spark):
     """A passage of over 50 words goes wherever it begins and ends, but for its edges."""
     rng = np.random.default_rng(4)
