@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import classify, context, dates, lexicon, terms, text, urls
-from ..operators import arrivals, briefing, browse, dedup, enrich, export, funnel, jobs, labels, messages, progress, store, summary, survey, tasks
+from ..operators import arrivals, briefing, browse, dedup, enrich, export, funnel, jobs, labels, messages, progress, scorer, store, summary, survey, tasks
 from ..operators.stored import shared_dir, stored
 from ..sources import feeds as feed_source
 from ..sources import pages as page_source
@@ -546,6 +546,25 @@ def timing_history(spark, sf):
     return progress.last_of_each(table(spark, sf, "events"), "event_type", "ts", "event_id").select("event_type", "event_id")
 
 
+def _offline_scorer(request: str) -> str:
+    """Decides by the length of a title: what a model would be asked, without one."""
+    import json
+
+    found = json.loads(json.loads(request)[1]["content"])["articles"]
+    return json.dumps({"decisions": [{"article_id": a["article_id"], "relevant": len(a["title"]) % 2 == 0, "reason": a["platform"], "confidence": "high"} for a in found]})
+
+
+@query(f"WITH {_ARTICLES} SELECT pos, length({_clean('title')}) % 2 = 0 AS relevant, {_clean('platform')} AS reason, 'high' AS confidence FROM articles")
+def scored_decisions(spark, sf):
+    """Requests about all articles, asked twice over one store of answers: the second time half of them are new."""
+    import uuid
+
+    path = f"{shared_dir(spark)}/answers-{uuid.uuid4().hex}"
+    batches = stored(messages.batch_messages(articles(spark, sf), "survey", "system", "task"))
+    scorer.decisions(batches.where("batch % 2 = 0"), _offline_scorer, store=path)
+    return scorer.decisions(batches, _offline_scorer, store=path).select("pos", "relevant", "reason", "confidence")
+
+
 #: Users' events as the updates of their jobs: the kind of event is the stage, its number gives sites and units.
 _PLAN = jobs.Plan((("crawl_site", 40_000), ("promo_search", 30_000), ("translation", 20_000), ("survey_filter", 25_000), ("finalize_output", 9_000), ("done", 1)))
 _STAGES = {"view": "crawl_site", "click": "promo_search", "signup": "translation", "purchase": "survey_filter", "error": "elsewhere"}
