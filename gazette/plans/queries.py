@@ -14,7 +14,7 @@ from ..operators import arrivals, briefing, browse, dedup, enrich, export, funne
 from ..operators.stored import shared_dir, stored
 from ..sources import feeds as feed_source
 from ..sources import pages as page_source
-from ..sources.tables import articles, table
+from ..sources.tables import articles, linked_articles, table
 from . import run as run_plan
 
 QUERIES: dict = {}
@@ -116,11 +116,18 @@ def sentence_cut(spark, sf):
 # --- URLs ---
 
 _URL = r"'^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]+)([^?#]*)(?:\?([^#]*))?(?:#.*)?$'"
-_CANON = rf"""canon AS (SELECT page_id, url, html, CASE WHEN NOT regexp_matches(url, {_URL}) THEN rtrim(url, '/') ELSE
+
+
+def _canon(rows: str) -> str:
+    """canon: the rows with their URL as compared."""
+    return rf"""canon AS (SELECT *, CASE WHEN NOT regexp_matches(url, {_URL}) THEN rtrim(url, '/') ELSE
  lower(regexp_extract(url, {_URL}, 1)) || '://' || lower(regexp_extract(url, {_URL}, 2)) ||
  CASE WHEN regexp_extract(url, {_URL}, 3) IN ('', '/') THEN '/' ELSE rtrim(regexp_extract(url, {_URL}, 3), '/') END ||
  coalesce('?' || nullif(array_to_string(list_sort(list_transform(list_filter(string_split(regexp_extract(url, {_URL}, 4), '&'),
-  lambda x: x <> '' AND NOT starts_with(lower(x), 'utm_') AND lower(split_part(x, '=', 1)) NOT IN ('fbclid', 'gclid', 'yclid', 'mc_cid', 'mc_eid')), lambda x: CASE WHEN contains(x, '=') THEN x ELSE x || '=' END)), '&'), ''), '') END AS canonical FROM pages)"""
+  lambda x: x <> '' AND NOT starts_with(lower(x), 'utm_') AND lower(split_part(x, '=', 1)) NOT IN ('fbclid', 'gclid', 'yclid', 'mc_cid', 'mc_eid')), lambda x: CASE WHEN contains(x, '=') THEN x ELSE x || '=' END)), '&'), ''), '') END AS canonical FROM {rows})"""
+
+
+_CANON = _canon("pages")
 
 
 @query(f"WITH {_CANON} SELECT page_id, canonical FROM canon")
@@ -141,8 +148,10 @@ def keep_first_url(spark, sf):
 
 # --- deduplication ---
 
-_KEYS = """p1 AS (SELECT *, CASE WHEN nt <> '' AND platform <> '' THEN concat_ws(chr(31), 'f', platform, published_date, nt, lower(platform)) ELSE concat_ws(chr(31), 'w', platform, published_date, nt, lower(platform), left({s}, 120)) END AS k,
- length({s}) AS ls, length({t}) AS lt FROM keyed),
+_LINKS = """linked AS (SELECT pos, split_part(url, '#', 1) || CASE WHEN contains(split_part(url, '#', 1), '?') THEN '&' ELSE '?' END || 'utm_medium=m' || pos % 4 || '&fbclid=' || pos || CASE WHEN pos % 4 = 0 THEN '#x' ELSE '' END AS url
+ FROM articles JOIN pages ON page_id = (pos // 2) % (SELECT count(*) FROM pages) WHERE pos % 3 <> 0), """ + _canon("linked")
+_KEYS = _LINKS + """, p1 AS (SELECT *, CASE WHEN coalesce(canonical, '') <> '' THEN concat_ws(chr(31), 'u', canonical) WHEN nt <> '' AND platform <> '' THEN concat_ws(chr(31), 'f', platform, published_date, nt, lower(platform)) ELSE concat_ws(chr(31), 'w', platform, published_date, nt, lower(platform), left({s}, 120)) END AS k,
+ length({s}) AS ls, length({t}) AS lt FROM keyed LEFT JOIN canon USING (pos)),
 g1 AS (SELECT k, arg_max(pos, struct_pack(a := ls, b := lt, c := published_date, d := -pos)) AS rep, min(pos) AS pos, count(*) AS n FROM p1 GROUP BY k),
 r1 AS (SELECT g1.pos, g1.n, g1.k, p1.platform, p1.published_date, p1.nt, p1.title, p1.ls, p1.lt FROM g1 JOIN p1 ON p1.pos = g1.rep),
 p2 AS (SELECT *, CASE WHEN length(nt) >= 12 AND platform <> '' THEN concat_ws(chr(31), platform, published_date, nt) ELSE 'row' || pos END AS k2 FROM r1)""".format(s=_clean("summary"), t=_clean("title"))
@@ -150,7 +159,7 @@ p2 AS (SELECT *, CASE WHEN length(nt) >= 12 AND platform <> '' THEN concat_ws(ch
 
 @query(f"WITH {_ARTICLES},{_STRIP},{_KEYS} SELECT min(pos) AS pos, sum(n)::BIGINT AS group_size, arg_max(title, struct_pack(a := ls, b := lt, c := published_date, d := -pos)) AS title, any_value(platform) AS platform, any_value(published_date)::VARCHAR AS published_at FROM p2 GROUP BY k2")
 def initial_dedupe(spark, sf):
-    return dedup.initial_dedupe(articles(spark, sf)).select("pos", F.col("group_size").cast("long").alias("group_size"), "title", "platform", "published_at")
+    return dedup.initial_dedupe(linked_articles(spark, sf)).select("pos", F.col("group_size").cast("long").alias("group_size"), "title", "platform", "published_at")
 
 
 @query(SQL["initial_dedupe"])
@@ -159,17 +168,17 @@ def dedupe_increments(spark, sf):
     import uuid
 
     path = f"{shared_dir(spark)}/arrivals-{uuid.uuid4().hex}"
-    every = articles(spark, sf)
+    every = linked_articles(spark, sf)
     for k in (1, 2, 0):
         arrivals.add(every.where(F.col("pos") % 3 == k), path)
     return arrivals.result(spark, path).select("pos", F.col("group_size").cast("long").alias("group_size"), "title", "platform", "published_at")
 
 
-@query(f"""WITH {_ARTICLES},{_STRIP},{_KEYS}, a AS (SELECT CASE WHEN k LIKE 'f%' THEN 'same_source_title_duplicate' ELSE 'weak_key_duplicate' END AS reason, n FROM g1 WHERE n > 1),
+@query(f"""WITH {_ARTICLES},{_STRIP},{_KEYS}, a AS (SELECT CASE WHEN k LIKE 'u%' THEN 'url_duplicate' WHEN k LIKE 'f%' THEN 'same_source_title_duplicate' ELSE 'weak_key_duplicate' END AS reason, n FROM g1 WHERE n > 1),
 b AS (SELECT 'same_day_exact_title_duplicate' AS reason, count(*) AS n FROM p2 WHERE k2 NOT LIKE 'row%' GROUP BY k2 HAVING count(*) > 1)
 SELECT reason, count(*) AS groups, sum(n - 1)::BIGINT AS removed FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1""")
 def dedupe_stats(spark, sf):
-    return dedup.dedupe_stats(articles(spark, sf))
+    return dedup.dedupe_stats(linked_articles(spark, sf))
 
 
 _CAND = f"""t AS (SELECT pos, lower(platform) AS brand, published_date AS day, list_distinct(list_filter(string_split({_key(_clean('title'))}, ' '), lambda x: length(x) >= 2)) AS w FROM articles),
@@ -188,9 +197,9 @@ def dup_clusters(spark, sf):
     return dedup.components(dedup.token_candidates(articles(spark, sf))).select("node", "cluster")
 
 
-@query(f"WITH {_ARTICLES},{_STRIP},{_KEYS} SELECT (SELECT count(*) FROM articles) AS input_count, (SELECT count(*) FROM articles) AS missing_url_count, (SELECT count(*) FROM g1) AS group_count, (SELECT count(DISTINCT k2) FROM p2) AS output_count, (SELECT count(*) FROM articles) - (SELECT count(DISTINCT k2) FROM p2) AS removed_count")
+@query(f"WITH {_ARTICLES},{_STRIP},{_KEYS} SELECT (SELECT count(*) FROM articles) AS input_count, (SELECT count(*) FROM articles) - (SELECT count(*) FROM linked) AS missing_url_count, (SELECT count(*) FROM g1) AS group_count, (SELECT count(DISTINCT k2) FROM p2) AS output_count, (SELECT count(*) FROM articles) - (SELECT count(DISTINCT k2) FROM p2) AS removed_count")
 def dedupe_summary(spark, sf):
-    return dedup.dedupe_summary(articles(spark, sf))
+    return dedup.dedupe_summary(linked_articles(spark, sf))
 
 
 _NUMBERS = rf"list_distinct(list_filter(list_transform(regexp_extract_all({{c}}, '\d[\d., ]*\d|\d'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')), lambda x: length(x) >= 3 AND NOT regexp_full_match(x, '(19|20)\d\d')))"
