@@ -17,7 +17,7 @@ end. Very long pages are read whole. Repeated rows are extracted one by one; an
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from html import unescape
 from math import log, log1p
@@ -39,6 +39,9 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|([^\s=/\"'<>]+)")
 _RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "math", "object", "canvas", "audio", "video", "xmp", "noembed", "noframes"}
 _SKIPPED = {"head", "select", "button", "datalist", "option"}
+#: Elements within which others end on their own, and elements that the next one of their kind ends.
+_ENCLOSING = {"ul", "ol", "dl", "table", "div", "section", "article", "body", "blockquote"}
+_ENDED = {"li", "dt", "dd", "tr", "td", "th", "option"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr img input".split())
 _AGAINST = {"nav", "footer", "aside", "form", "menu", "dialog", "header", "fieldset"}
@@ -96,6 +99,18 @@ def blocks(html: str) -> list[Block]:
     stack: list[tuple[str, tuple[int, ...], int, int, bool]] = [("", (0, 0, 0, 0), 0, 0, False)]  # tag, marks, element, section, dropped
     texts: list[str] = []
     links = in_link = serial = 0
+    # How many of each tag are open, and how many since each enclosing block began: no start or end tag walks a stack in vain.
+    opened: Counter[str] = Counter()
+    scopes: list[Counter[str]] = [Counter()]
+
+    def cut(k: int) -> None:
+        for entry in reversed(stack[k:]):
+            opened[entry[0]] -= 1
+            if entry[0] in _ENCLOSING:
+                scopes.pop()
+            else:
+                scopes[-1][entry[0]] -= 1
+        del stack[k:]
 
     def close():
         nonlocal texts, links
@@ -128,11 +143,9 @@ def blocks(html: str) -> list[Block]:
             if tag in _INLINE:
                 continue
             close()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    in_link = 0
-                    break
+            if opened[tag]:
+                cut(next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag))
+                in_link = 0
             continue
         if tag in _RAW:
             if tag in ("title", "svg", "math") or not said.rstrip().endswith("/"):
@@ -150,21 +163,21 @@ def blocks(html: str) -> list[Block]:
         close()
         if tag in _VOID:
             continue
-        for k in range(len(stack) - 1, 0, -1):  # elements that this one ends
-            open_tag = stack[k][0]
-            if open_tag == "p" or open_tag == tag and tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
-                del stack[k:]
-                break
-            if open_tag in ("ul", "ol", "dl", "table", "div", "section", "article", "body", "blockquote"):
-                break
-        if tag == "body" and any(x[0] == "head" for x in stack):
-            del stack[next(k for k, x in enumerate(stack) if x[0] == "head") :]
+        if scopes[-1]["p"] or tag in _ENDED and scopes[-1][tag]:  # an element that this one ends
+            cut(next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == "p" or stack[k][0] == tag and tag in _ENDED))
+        if tag == "body" and opened["head"]:
+            cut(next(k for k, x in enumerate(stack) if x[0] == "head"))
         _, inside, _, section, dropped = stack[-1]
         marks, hidden = _marks(tag, said, inside)
         serial += 1
         if marks != inside or tag in ("section", "article", "main", "aside", "nav", "header", "footer"):
             section = serial
         stack.append((tag, marks, serial, section, dropped or hidden or tag in _SKIPPED))
+        opened[tag] += 1
+        if tag in _ENCLOSING:
+            scopes.append(Counter())
+        else:
+            scopes[-1][tag] += 1
     close()
     return found
 

@@ -2,6 +2,7 @@
 
 import math
 import re
+import time
 from collections import defaultdict
 from html import unescape
 
@@ -58,6 +59,11 @@ def test_long_pages_and_broken_tags(spark):
     assert len(page) > 900_000 and got == {1: text, 2: ""}
     assert text.count("A paragraph") == 20_000
     assert html.main_text("<article><p title='x>One two three four five six.</p><p>Seven eight nine ten.</p></article>").endswith("Seven eight nine ten.")
+    # Deep nests take time in proportion, open and closed, of elements known and unknown.
+    for nest in ("<x-a>" * 100_000 + "<p>One two three four.</p>" + "</x-a>" * 100_000, "<div>" * 50_000 + "</span-x>" * 50_000, "<x><y>" * 40_000 + "</z>" * 40_000, "<body>" * 40_000):
+        began = time.time()
+        html.blocks(nest)
+        assert time.time() - began < 10
     for bad in ('<a "' * 20_000, "<a" * 50_000, '<a href="x>' * 10_000, "<!--" * 10_000):
         assert html.main_text(bad) == "" or len(html.main_text(bad)) <= len(bad)
 
