@@ -80,6 +80,29 @@ def alias_summary(aliases: DataFrame, terms: int = 12) -> DataFrame:
     return grouped.select("platform", F.size("a").alias("alias_count"), full.alias("has_full_name"), short.alias("abbreviation_only"), F.slice("a", 1, terms).alias("representative_terms"), warnings.alias("warnings"))
 
 
+def summary_fallback(rows: DataFrame, pages: DataFrame, translated: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Rows (article_url, published_at, title, summary) whose blank summary is their page's, where one is stored.
+
+    pages: url, published_at, title, summary, body_excerpt (``pages.page_articles``), each URL looked up once. A page counts if it is
+    dated within a day of its row, where both have a date, and if page or row has a title. ``translated`` adds ``summary_translated``
+    to what was found (``scorer.translations``, say); where that is blank the summary stays as it is.
+    """
+    from ..functions import dates
+
+    known = pages.where(F.trim("url") != "").groupBy(F.trim("url").alias("_url")).agg(F.min(F.struct(*(F.coalesce(c, F.lit("")).alias(c) for c in ("published_at", "title", "summary", "body_excerpt")))).alias("_page"))
+    blank = text.clean(F.col("summary")) == ""
+    out = rows.withColumn("_asked", F.when(blank, F.trim("article_url"))).join(known, F.col("_asked") == F.col("_url"), "left")
+    own, theirs = dates.parse(F.col("published_at")), dates.parse(F.col("_page.published_at"))
+    near = F.coalesce(F.abs(F.unix_timestamp(theirs) - F.unix_timestamp(own)) <= 86400, F.lit(True))
+    titled = text.first_present(F.col("_page.title"), F.col("title")) != ""
+    found = F.when(blank & near & titled, text.merged(F.col("_page.summary"), F.lit(""), F.col("_page.body_excerpt")))
+    out = text.let(out, "_found", F.coalesce(found, F.lit("")))
+    if translated is not None:
+        texts = translated(out.where("_found <> ''").select(F.col("_found").alias("summary")).distinct()).select(F.col("summary").alias("_t"), "summary_translated")
+        out = out.join(texts.withColumnRenamed("summary_translated", "_to"), F.col("_found") == F.col("_t"), "left").withColumn("_found", F.coalesce(F.nullif(text.clean(F.col("_to")), F.lit("")), "_found"))
+    return out.select(*(F.when(blank, F.col("_found")).otherwise(F.col(c)).alias(c) if c == "summary" else F.col(c) for c in rows.columns))
+
+
 def body_context(rows: DataFrame, pages: DataFrame) -> DataFrame:
     """Rows (article_url) with their page's text: article_body_excerpt, article_body_fetch_status and resolved_article_url.
 

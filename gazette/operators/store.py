@@ -139,6 +139,34 @@ def change_sources(registry: DataFrame, changes: DataFrame) -> DataFrame:
     )
 
 
+#: Columns of a run's sources that a card shows, by the name they get, and how they are read.
+LAST_YIELD = {
+    "last_source_status": ("status", "text"), "last_recent_article_count": ("recent_article_count", "count"), "last_candidate_count": ("candidate_count", "count"), "last_matched_brand_count": ("matched_brand_count", "count"),
+    "last_elapsed_seconds": ("elapsed_seconds", "number"), "last_recent_yield": ("recent_yield", "text"), "last_zero_yield_reason": ("zero_yield_reason", "text"), "last_source_recommendation": ("source_recommendation", "text"),
+    "last_search_endpoint_status": ("search_endpoint_status", "text"), "last_selector_match_count": ("selector_match_count", "count"), "last_parsed_date_count": ("parsed_date_count", "count"),
+}
+
+
+def latest_yield(runs: DataFrame, sources: DataFrame, newest: int = 12) -> DataFrame:
+    """url (as compared), last_run_id and what the newest run that has any source says of each: the first of the ``newest`` runs
+    (run_id, updated_at) with a row in ``sources`` (run_id, row_index, source_url and its texts). Of a URL's rows the last one counts;
+    what is no number is 0; a column that is not there is empty."""
+    ranked = runs.select("run_id", F.struct(F.col("updated_at").alias("t"), F.col("run_id").alias("r")).alias("_age")).orderBy(F.desc("_age")).limit(newest)
+    # ``newest`` rows are broadcast.
+    rows = sources.where(F.trim("source_url") != "").join(F.broadcast(ranked), "run_id")
+    first = rows.agg(F.max("_age").alias("_first"))
+    own = rows.join(F.broadcast(first), F.col("_age") == F.col("_first"))
+
+    def read(column: str, kind: str) -> Column:
+        value = F.trim(F.coalesce(F.col(column).cast("string"), F.lit(""))) if column in sources.columns else F.lit("")
+        number = F.coalesce(value.try_cast("double"), F.lit(0.0))
+        return {"text": value, "number": number, "count": F.when(F.isnan(number) | (F.abs(number) > 1e18), 0).otherwise(number.cast("long"))}[kind]
+
+    fields = F.struct("row_index", F.col("run_id").alias("last_run_id"), *(read(c, kind).alias(name) for name, (c, kind) in LAST_YIELD.items()))
+    last = own.groupBy(urls.canonical(F.col("source_url")).alias("url")).agg(F.max_by(fields, "row_index").alias("l"))
+    return last.select("url", "l.last_run_id", *(F.col(f"l.{name}") for name in LAST_YIELD))
+
+
 def source_cards(registry: DataFrame, capabilities: DataFrame, yields: DataFrame) -> DataFrame:
     """Registry with each source's capabilities and last yield by canonical URL; what is unknown gets defaults."""
     r = registry.withColumn("_k", urls.canonical(F.col("source_url")))

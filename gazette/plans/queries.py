@@ -574,6 +574,22 @@ def scored_decisions(spark, sf):
     return scorer.decisions(batches, _offline_scorer, store=path).select("pos", "relevant", "reason", "confidence")
 
 
+@query("""WITH r AS (SELECT o_orderkey AS run_id, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey DESC) AS age FROM orders), n AS (SELECT * FROM r WHERE age <= 12),
+s AS (SELECT l_orderkey AS run_id, l_linenumber, 'https://s' || l_suppkey % 3 || '.example/' AS url, l_linestatus, l_quantity FROM lineitem WHERE l_orderkey % 4 = 0), m AS (SELECT s.*, age FROM s JOIN n USING (run_id)),
+k AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY l_linenumber DESC) AS i FROM m WHERE age = (SELECT min(age) FROM m))
+SELECT url, run_id AS last_run_id, l_linestatus AS last_source_status, CASE WHEN l_linenumber % 2 = 0 THEN 0 ELSE floor(l_quantity)::BIGINT END AS last_recent_article_count, l_quantity::DOUBLE AS last_elapsed_seconds FROM k WHERE i = 1""")
+def latest_yield(spark, sf):
+    """Of the twelve newest orders only some have sources: the newest of these tells each source's last yield."""
+    o, l = table(spark, sf, "orders"), table(spark, sf, "lineitem")
+    runs = o.select(F.col("o_orderkey").alias("run_id"), F.col("o_orderdate").alias("updated_at"))
+    number = F.col("l_quantity").cast("string")
+    sources = l.select(
+        F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("row_index"), F.when(F.col("l_orderkey") % 4 == 0, F.concat(F.lit("HTTPS://s"), F.col("l_suppkey") % 3, F.lit(".example/?utm_source=x"))).otherwise(" ").alias("source_url"),
+        F.col("l_linestatus").alias("status"), F.when(F.col("l_linenumber") % 2 == 0, "none").otherwise(number).alias("recent_article_count"), number.alias("elapsed_seconds"),
+    )
+    return store.latest_yield(runs, sources).select("url", "last_run_id", "last_source_status", "last_recent_article_count", "last_elapsed_seconds")
+
+
 #: Users' events as the updates of their jobs: the kind of event is the stage, its number gives sites and units.
 _PLAN = jobs.Plan((("crawl_site", 40_000), ("promo_search", 30_000), ("translation", 20_000), ("survey_filter", 25_000), ("finalize_output", 9_000), ("done", 1)))
 _STAGES = {"view": "crawl_site", "click": "promo_search", "signup": "translation", "purchase": "survey_filter", "error": "elsewhere"}
