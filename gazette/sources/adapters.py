@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import context, dates, terms, text, urls
+from ..functions import classify, context, dates, terms, text, urls
 from . import feeds as feeds_of
 from . import pages as P
 from .dom import parse
@@ -209,3 +209,63 @@ def with_search(articles: DataFrame, task: dict[str, str], country: str) -> Data
         F.when(some, F.col("_own")).otherwise(F.array(F.lit(task["platform"]))).alias("matched_brands"), F.lit(task["type"]).alias("search_task_type"), F.lit(task.get("dimension", "")).alias("search_focus_dimension"), F.lit(task["label"]).alias("search_query_label"),
         F.lit(task.get("strategy", "")).alias("search_query_strategy"), F.lit(task["query"]).alias("search_query"), F.lit(country).alias("country_code"),
     )
+
+
+#: Strategies of searches whose hits need a context of their market.
+BROAD = ("platform_broad_eu_global", "platform_broad_short")
+
+
+def judged_hits(hits: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Hits of search tasks with kept, skipped (the reason; empty where kept), allowed (reasons to keep what a rule alone would
+    not), matched_brands and broad_entry_reason as they are admitted.
+
+    hits: task_id, pos, article_url, met (its page or its own date is in range), matched_brands, broad_reason (what its text says of a
+    broad market), report_like, commerce (strong, weak or empty) and no_commerce_reason, of its own text each. tasks: task_id,
+    task_type, platform_label, query_strategy, broad_allowed, needs_commerce, a row each. A task's first hit of a URL is judged, and
+    is known from then on, admitted or not; the order of tasks plays no part. A task without hits has none here.
+    """
+    said = lambda c: text.clean(F.col(c))
+    none = F.array().cast("array<string>")
+    t = tasks.select("task_id", *(F.col(c).alias(f"_{c}") for c in ("task_type", "platform_label", "query_strategy", "broad_allowed", "needs_commerce")))
+    rows = hits.join(t, "task_id")
+    url = said("article_url")
+    # One pass: a row number over the task's URL stands for the set of URLs seen.
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("task_id", url).orderBy("pos")))
+    broad = said("_query_strategy").isin(*BROAD)
+    needs, report = F.coalesce("_needs_commerce", F.lit(False)), F.coalesce("_task_type", F.lit("")) == "report_ranking"
+    reason = F.when(broad | (F.coalesce("_broad_allowed", F.lit(False)) & needs), said("broad_reason")).otherwise("")
+    rows = text.let(rows, "_broad", F.struct(reason.alias("reason"), broad.alias("asked")))
+    own = F.coalesce("matched_brands", none)
+    named = F.array_contains(own, F.col("_platform_label"))
+    has = F.col("_broad.reason") != ""
+    strength = F.when(said("commerce") != "", said("commerce")).when(has, "weak").otherwise("")
+    skipped = classify.first_match(
+        [
+            ((url == "") | (F.col("_n") > 1), "duplicate_or_empty_url"), (~F.coalesce("met", F.lit(False)), "no_metadata_or_out_of_range"),
+            (report & ((F.size(own) == 0) | ~F.coalesce("report_like", F.lit(False))), "report_not_matched"), (~report & ~F.coalesce(named, F.lit(False)) & ~has, "platform_not_matched"),
+        ],
+        "",
+    )
+    skipped = F.when(skipped != "", skipped).when(~report & needs & (strength == ""), said("no_commerce_reason")).when(~report & F.col("_broad.asked") & ~has, "broad_entry_context_not_matched").otherwise("")
+    rows = text.let(rows, "_skipped", skipped)
+    past = ~report & ~F.col("_skipped").isin("duplicate_or_empty_url", "no_metadata_or_out_of_range", "platform_not_matched")
+    forced = past & ~F.coalesce(named, F.lit(False)) & has
+    # What a rule allowed is told even where a later one turned the hit down.
+    allowed = F.array_compact(F.array(F.when(forced, "broad_entry_platform_context_allowed"), F.when(past & needs & (strength == "weak"), "instagram_weak_commerce_allowed")))
+    kept = F.col("_skipped") == ""
+    out = {"kept": kept, "skipped": F.col("_skipped"), "allowed": allowed, "matched_brands": F.when(forced, F.array("_platform_label")).otherwise(own), "broad_entry_reason": F.when(kept, F.col("_broad.reason")).otherwise("")}
+    return rows.select(*(c for c in hits.columns if c not in out), *(v.alias(k) for k, v in out.items()))
+
+
+def search_diagnostics(judged: DataFrame, tasks: DataFrame) -> DataFrame:
+    """The tasks with feed_count, kept_count, broad_entry_count and the counts of each reason, of ``judged_hits``; zeros and empty
+    maps for a task without hits."""
+    each = judged.groupBy("task_id").agg(F.count("*").alias("feed_count"), F.count_if("kept").alias("kept_count"), F.count_if((F.col("broad_entry_reason") != "") & F.col("kept")).alias("broad_entry_count"))
+    told = judged.select("task_id", F.explode(F.concat(F.when(F.col("skipped") != "", F.array(F.struct(F.lit("s").alias("kind"), F.col("skipped").alias("reason")))).otherwise(F.array().cast("array<struct<kind:string,reason:string>>")), F.transform("allowed", lambda r: F.struct(F.lit("a").alias("kind"), r.alias("reason"))))).alias("r"))
+    counted = told.groupBy("task_id", "r.kind", "r.reason").agg(F.count("*").alias("n"))
+    # A few reasons a task.
+    maps = counted.groupBy("task_id").agg(*(F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("kind") == k, F.struct("reason", "n"))))).alias(name) for k, name in (("s", "skipped_reason_count"), ("a", "allowed_reason_count"))))
+    empty = F.create_map().cast("map<string,bigint>")
+    out = tasks.join(each, "task_id", "left").join(maps, "task_id", "left")
+    zeros = {c: F.coalesce(c, F.lit(0).cast("long")) for c in ("feed_count", "kept_count", "broad_entry_count")} | {c: F.coalesce(c, empty) for c in ("skipped_reason_count", "allowed_reason_count")}
+    return out.select(*tasks.columns, *(v.alias(k) for k, v in zeros.items()))
