@@ -417,9 +417,43 @@ def scored_dedupe(articles: DataFrame, clusters: DataFrame, scorer: Callable[[li
     return articles.join(gone, "pos", "left_anti")
 
 
+#: Links (16 bytes each, counted before) that one task may join; beyond it labels spread by rounds of joins, with the same result.
+FEW_LINKS = 500_000
+
+
+def _joined(frames):
+    """(node, cluster) of all links of one task."""
+    import pandas as pd
+
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := above.get(x, x)) != x:
+            above[x] = x = above.get(y, y)
+        return x
+
+    for frame in frames:
+        for a, b in zip(frame["a"].tolist(), frame["b"].tolist(), strict=True):
+            low, high = sorted((top(a), top(b)))
+            above.setdefault(low, low)
+            above[high] = low
+            above.setdefault(a, low)
+            above.setdefault(b, low)
+    nodes = list(above)
+    yield pd.DataFrame({"node": nodes, "cluster": [top(x) for x in nodes]}, dtype="int64")
+
+
 def components(links: DataFrame, rounds: int = 40) -> DataFrame:
-    """(node, cluster): the smallest node that each one reaches over links (a, b); labels spread until none changes."""
-    both = stored(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    """(node, cluster): the smallest node that each one reaches over links (a, b) of longs. A few links are joined by one task;
+    with many, labels spread until none changes."""
+    once = stored(links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).distinct())
+    if once.count() <= FEW_LINKS:
+        return once.coalesce(1).mapInPandas(_joined, "node long, cluster long")
+    return _spread(once, rounds)
+
+
+def _spread(links: DataFrame, rounds: int) -> DataFrame:
+    both = stored(links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("cluster")))
     for _ in range(rounds):
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("cluster").alias("low"))

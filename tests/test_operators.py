@@ -1,5 +1,6 @@
 """Operator semantics on rows of our own."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from gazette.functions import classify, context, dates, terms, text, urls
@@ -45,9 +46,18 @@ def test_fuzzy_titles(spark):
     assert [r[0] for r in dedup.similar_titles(pairs, "a", "b").collect()] == ["Platform raises commission for all sellers"]
 
 
-def test_components(spark):
-    links = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (10, 11), (5, 4)], "a long, b long")
-    assert {r["node"]: r["cluster"] for r in dedup.components(links).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 10: 10, 11: 10}
+def test_components(spark, monkeypatch):
+    """By one task and by rounds alike: chains, stars, repeated links and loops."""
+    rng = np.random.default_rng(2)
+    rows = [(1, 2), (2, 3), (3, 4), (10, 11), (5, 4), (5, 4), (7, 7), *((100 + i, 101 + i) for i in range(30)), *((500, 500 + i) for i in range(1, 20)), *((int(a), int(b)) for a, b in rng.integers(1000, 1060, (40, 2)))]
+    low = {x: x for r in rows for x in r}
+    for a, b in rows * 60:
+        low[a] = low[b] = min(low[a], low[b])
+    links = spark.createDataFrame(rows, "a long, b long")
+    for few in (dedup.FEW_LINKS, 0):
+        monkeypatch.setattr(dedup, "FEW_LINKS", few)
+        assert {r["node"]: r["cluster"] for r in dedup.components(links).collect()} == low
+        assert dedup.components(links.limit(0)).count() == 0
 
 
 def test_text(spark):
