@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, urls
 from .dedup import _col
+from .stored import stored
 
 
 def longest(c: str) -> Column:
@@ -99,11 +100,16 @@ def lost(stage: DataFrame, later: DataFrame, key: str) -> DataFrame:
 
 
 def batches(rows: DataFrame, size: int, order: str = "pos", parts: int = 64) -> DataFrame:
-    """Adds batch and slot: numbers rows in order without one task seeing them all, then cuts every ``size`` rows."""
-    ranged = rows.repartitionByRange(parts, order).withColumn("_p", F.spark_partition_id())
-    window = Window.partitionBy("_p").orderBy(order)
-    local = ranged.withColumn("_i", F.row_number().over(window) - 1)
+    """Adds batch and slot: numbers rows in order without one task seeing them all, then cuts every ``size`` rows.
+
+    The ranges are drawn by a sample of the keys, which may fall out differently each time it is drawn: their first keys (``parts`` at
+    most) are written down once, and say for every reader which range a row is in. Rows move once.
+    """
+    drawn = rows.select(F.col(order).alias("_key")).repartitionByRange(parts, "_key").withColumn("_p", F.spark_partition_id())
+    first = stored(drawn.groupBy("_p").agg(F.min("_key").alias("_key")).agg(F.sort_array(F.collect_list("_key")).alias("_first")))
+    ranged = rows.join(F.broadcast(first)).withColumn("_p", F.size(F.filter("_first", lambda x: x <= F.col(order)))).drop("_first")
+    local = ranged.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(order)) - 1)
     sizes = ranged.groupBy("_p").agg(F.count("*").alias("n"))
-    begin = sizes.withColumn("_b", F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))).select("_p", F.coalesce("_b", F.lit(0)).alias("_b"))  # ``parts`` rows at most
+    begin = sizes.withColumn("_b", F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))).select("_p", F.coalesce("_b", F.lit(0)).alias("_b"))  # ``parts`` rows and one at most
     at = F.col("_b") + F.col("_i")
     return local.join(F.broadcast(begin), "_p").withColumn("batch", F.floor(at / size)).withColumn("slot", F.pmod(at, F.lit(size))).drop("_p", "_i", "_b")
