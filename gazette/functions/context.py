@@ -19,17 +19,22 @@ NETWORKS = ["Instagram", "Meta"]
 
 def _fields(df: DataFrame, names: tuple[str, ...]) -> list[Column]:
     kinds = dict(df.dtypes)
-    return [text.clean(F.array_join(n, " ") if kinds[n].startswith("array") else F.col(n).cast("string")) for n in names if n in kinds]
+    return [text.clean_long(F.array_join(n, " ") if kinds[n].startswith("array") else F.col(n).cast("string")) for n in names if n in kinds]
+
+
+def _joined(df: DataFrame, names: tuple[str, ...]) -> Column:
+    """The fields, each clean, as one text; empty ones leave no space."""
+    return F.array_join(F.filter(F.array(*_fields(df, names), F.lit("")), lambda x: x != ""), " ")
 
 
 def matched_text(df: DataFrame) -> Column:
     """Title, summary, category, tags, excerpt and URL as one text; columns that are not there count as empty."""
-    return text.clean(F.concat_ws(" ", *_fields(df, MATCHED_FIELDS)))
+    return _joined(df, MATCHED_FIELDS)
 
 
 def relevance_text(df: DataFrame) -> Column:
     """Title and summary as they are and translated, category and excerpt as one text."""
-    return text.clean(F.concat_ws(" ", *_fields(df, RELEVANCE_FIELDS)))
+    return _joined(df, RELEVANCE_FIELDS)
 
 
 def in_trade_context(c: Column) -> Column:
@@ -65,7 +70,7 @@ def single_coverage(title: Column) -> Column:
     """A title that quotes a name, or holds a model number or a word in capitals."""
     t = text.clean(title)
     quoted = t.rlike(r"[“\"「『][^”\"」』]{2,80}[”\"」』]")
-    return quoted | t.rlike(r"\b[A-Za-z]{1,8}[- ]?[A-Za-z0-9]{1,16}\d[A-Za-z0-9\-]*\b") | t.rlike(r"\b[A-Z]{2,}[A-Za-z0-9\-]{1,}\b")
+    return quoted | t.rlike(rf"{text.EDGE}[A-Za-z]{{1,8}}[- ]?[A-Za-z0-9]{{1,16}}[0-9][A-Za-z0-9\-]*{text.EDGE}") | t.rlike(rf"{text.EDGE}[A-Z]{{2,}}[A-Za-z0-9\-]{{1,}}{text.EDGE}")
 
 
 def single_promo(c: Column, title: Column) -> Column:

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,41 +61,39 @@ PLATFORM_ORDER = ["EU行业", "行业", "AMZ", "Shein", "Temu", "TTS", "eBay", "
 def boundary_pattern(terms: list[str]) -> str | None:
     """One pattern for all ASCII terms: any case, no letter or digit beside them."""
     ascii_terms = sorted((t for t in terms if t.isascii()), key=len, reverse=True)
-    return rf"(?i)(?<![A-Za-z0-9])(?:{'|'.join(re.escape(t).replace('/', chr(47)) for t in ascii_terms)})(?![A-Za-z0-9])" if ascii_terms else None
+    return rf"(?i:(?:^|[^A-Za-z0-9])(?:{'|'.join(map(re.escape, ascii_terms))})(?:[^A-Za-z0-9]|$))" if ascii_terms else None
 
 
-def matches_any(c: Column, terms: list[str]) -> Column:
-    """ASCII terms stand between boundaries in any case; all others are substrings as they are written.
+@lru_cache(maxsize=None)
+def _finder(pattern: str, application: str | None):
+    """Whether a text holds the pattern, by an engine (Arrow's) that reads a text once however many alternatives there are; the JVM's
+    tries each of them at each place. One function for each pattern, so that equal conditions are asked once."""
+    from pyspark.sql.pandas.functions import arrow_udf
 
-    The pattern is asked only of texts that hold one of the terms at all, which a plain search tells much faster. Inside the
-    function the text is a variable: however costly an expression it is, it is computed once.
-    """
-    pattern = boundary_pattern(terms)
-    text = F.coalesce(c, F.lit(""))
+    @arrow_udf("boolean")
+    def found(texts: pa.Array) -> pa.Array:
+        return pc.match_substring_regex(texts, pattern)
 
-    def test(s: Column) -> Column:
-        out = _holds(s["low"], [t for t in terms if t.isascii()]) & s["text"].rlike(pattern) if pattern else F.lit(False)
-        for t in terms:
-            if not t.isascii():
-                out = out | s["text"].contains(t)
-        return out
+    return found
 
-    whole = F.transform(F.array(text), lambda t: F.struct(t.alias("text"), F.lower(t).alias("low")))
-    return F.exists(whole, test)
 
+def _holds(c: Column, pattern: str) -> Column:
+    context = SparkContext._active_spark_context
+    return _finder(pattern, context.applicationId if context else None)(F.coalesce(c, F.lit("")))
 
-def _holds(low: Column, terms: list[str]) -> Column:
-    found = sorted({t.lower() for t in terms}, key=len)
-    own = [t for i, t in enumerate(found) if not any(s in t for s in found[:i])]
-    out = F.lit(False)
-    for t in own:
-        out = out | low.contains(t)
-    return out
+
+def matches_any(c: Column, terms: list[str]) -> Column:
+    """ASCII terms stand between boundaries in any case; all others are substrings as they are written."""
+    bounded = boundary_pattern(terms)
+    parts = ([bounded] if bounded else []) + [re.escape(t) for t in terms if not t.isascii()]
+    return _holds(c, "|".join(parts)) if parts else F.lit(False)
 
 
 def contains_any(c: Column, terms: list[str]) -> Column:
     """Plain substrings of a text that is in lower case already; terms that contain another one add nothing."""
-    return F.exists(F.array(F.coalesce(c, F.lit(""))), lambda t: _holds(t, terms))
+    found = sorted({t.lower() for t in terms}, key=len)
+    own = [t for i, t in enumerate(found) if not any(s in t for s in found[:i])]
+    return _holds(c, "|".join(map(re.escape, own))) if own else F.lit(False)
 
 
 def matches_search_terms(c: Column, terms: list[str]) -> Column:
