@@ -211,15 +211,25 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     if not len(label) or label.min() == label.max():
         share = float(np.clip(label.mean(), 0.02, 0.98)) if len(label) else 0.02
         return Model(none, np.zeros(0), float(np.log(share / (1 - share))), np.zeros(0, dtype=bool))
+    marks = sample.column("marks").to_numpy()
     tokens = [np.frombuffer(v.as_buffer(), dtype=np.uint32) for v in sample.column("tokens")]
-    row = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
-    lexicon = _fingerprints(LEXICON)
-    known, col = np.unique(np.concatenate([*tokens, lexicon]), return_inverse=True)
-    col = col[: len(row)]
+    size = np.array([len(t) for t in tokens])
     weight = _row_weights(tokens)
+    lexicon = _fingerprints(LEXICON)
+    # Millions of tokens: what stands for each is 32 bits wide, a part of the rows is looked up at a time, and what is done with goes.
+    known = np.unique(np.concatenate([*tokens, lexicon]))
+    col = np.empty(size.sum(), dtype=np.int32)
+    k1, k = np.zeros(len(known)), np.zeros(len(known))
+    ends = np.cumsum(size)
+    for i, (t, end) in enumerate(zip(tokens, ends, strict=True)):
+        own = np.searchsorted(known, t)
+        col[end - len(t) : end] = own
+        k1[own] += weight[i] * label[i]
+        k[own] += weight[i]
+    del tokens, sample
+    row = np.repeat(np.arange(len(size), dtype=np.int32), size)
     n1, n0 = (weight * label).sum(), (weight * (1 - label)).sum()
-    k1 = np.bincount(col, weights=(weight * label)[row], minlength=len(known))
-    k0 = np.bincount(col, weights=weight[row], minlength=len(known)) - k1
+    k0 = k - k1
     lift = np.log((k1 + 0.5) / (n1 + 1)) - np.log((k0 + 0.5) / (n0 + 1))
     # How sure a token's lift is: its logarithm against its standard error.
     sure = lift / np.sqrt(1 / (k1 + 0.5) + 1 / (k0 + 0.5))
@@ -229,24 +239,26 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     mined = mined[np.argsort(-sure[mined], kind="stable")][:MINED]
     listed = np.flatnonzero(np.isin(known, lexicon))
     voters = np.unique(np.concatenate([mined, listed]))
-    place = np.full(len(known), -1)
+    place = np.full(len(known), -1, dtype=np.int32)
     place[voters] = np.arange(len(voters))
     votes = np.zeros((len(label), len(voters) + 2))
     fires = place[col] >= 0
     votes[row[fires], place[col[fires]]] = 1
-    marks = sample.column("marks").to_numpy()
+    del fires
     votes[:, -2], votes[:, -1] = marks & 1, marks >> 1
     truth = _vote_model(votes, label, weight)
-    place = np.full(len(known), -1)
+    del votes
+    place = np.full(len(known), -1, dtype=np.int32)
     chosen = np.sort(np.unique(np.concatenate([rank, voters])))
     place[chosen] = np.arange(len(chosen))
     used = place[col] >= 0
     rows_used, cols_used = row[used], place[col[used]]
+    del row, col, used
     in_lexicon = np.isin(known[chosen], lexicon)
     words = np.bincount(rows_used[in_lexicon[cols_used]], minlength=len(label))
     one, two = np.flatnonzero(words >= 1), np.flatnonzero(words >= 2)
-    rows_used = np.concatenate([rows_used, one, two])
-    cols_used = np.concatenate([cols_used, np.full(len(one), len(chosen)), np.full(len(two), len(chosen) + 1)])
+    rows_used = np.concatenate([rows_used, one, two]).astype(np.intp)
+    cols_used = np.concatenate([cols_used, np.full(len(one), len(chosen)), np.full(len(two), len(chosen) + 1)]).astype(np.intp)
     weights, intercept = _logistic(rows_used, cols_used, truth, weight, len(chosen) + 2)
     return Model(known[chosen], weights[:-2], intercept, in_lexicon, (float(weights[-2]), float(weights[-1])))
 
