@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import urljoin
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +34,20 @@ DESCRIPTIONS = ['meta[property="og:description"]', 'meta[name="description"]', '
 BODIES = ["article", "main", '[class*="article"]', '[class*="content"]']
 #: Characters from which a paragraph counts as one of the body, and the most tags of a page.
 PARAGRAPH, MOST_TAGS = 30, 12
+#: Pages whose markup and rows a task holds as Python objects at once.
+FEW = 16
+_TEXTS = pa.list_(pa.string())
+_ARTICLE = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("title", pa.string()), ("published_at", pa.string()), ("summary", pa.string()), ("category", pa.string()), ("tags", _TEXTS), ("body_excerpt", pa.string())])
+_LINK = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("pos", pa.int64()), ("href", pa.string()), ("anchor", pa.string()), ("feed", pa.bool_())])
+
+
+def _few(batches: Iterator[pa.RecordBatch], schema: pa.Schema, rows: Callable[[int, str | None, str | None], list[tuple]]) -> Iterator[pa.RecordBatch]:
+    """The rows made of (page_id, url, html), a few pages at a time: a batch stays as it came, its strings and results do not pile up."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, FEW):
+            part = batch.slice(at, FEW)
+            out = [r for page in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True) for r in rows(*page)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
 def _linked_dates(root: Node) -> list[str]:
@@ -90,40 +104,33 @@ def page_articles(pages: DataFrame, excerpt: int | None = None) -> DataFrame:
     characters (the body of a report, say); by default nothing is cut.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for page_id, url, html in zip(frame.page_id, frame.url, frame.html, strict=True):
-                root = parse(html)
-                dates = [v for selector, attr in DATES if (n := root.first(selector)) and (v := n.attrs.get(attr, "").strip())] + _linked_dates(root)
-                crumb = root.first(BREADCRUMB)
-                body = " ".join(_body(root))[:excerpt].strip()
-                said = _content(root, DESCRIPTIONS)[:excerpt].strip()
-                whole = said if body in said else body if said in body else f"{said} {body}"
-                rows.append((page_id, url, _content(root, TITLES) or _heading(root), dates[0] if dates else "", whole[:excerpt].strip(), _content(root, SECTIONS) or (crumb.text() if crumb else ""), _tags(root), body))
-            yield pd.DataFrame(rows, columns=["page_id", "url", "title", "published_at", "summary", "category", "tags", "body_excerpt"])
+    def rows(page_id: int, url: str | None, html: str | None) -> list[tuple]:
+        root = parse(html)
+        dates = [v for selector, attr in DATES if (n := root.first(selector)) and (v := n.attrs.get(attr, "").strip())] + _linked_dates(root)
+        crumb = root.first(BREADCRUMB)
+        body = " ".join(_body(root))[:excerpt].strip()
+        said = _content(root, DESCRIPTIONS)[:excerpt].strip()
+        whole = said if body in said else body if said in body else f"{said} {body}"
+        return [(page_id, url, _content(root, TITLES) or _heading(root), dates[0] if dates else "", whole[:excerpt].strip(), _content(root, SECTIONS) or (crumb.text() if crumb else ""), _tags(root), body)]
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, url string, title string, published_at string, summary string, category string, tags array<string>, body_excerpt string")
+    return pages.select("page_id", "url", "html").mapInArrow(lambda batches: _few(batches, _ARTICLE, rows), "page_id long, url string, title string, published_at string, summary string, category string, tags array<string>, body_excerpt string")
 
 
 def page_links(pages: DataFrame) -> DataFrame:
     """page_id, url, pos, href, anchor of all links, and feed (linked as one), made absolute."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for page_id, url, html in zip(frame.page_id, frame.url, frame.html, strict=True):
-                root = parse(html)
-                feeds = [n for n in root.select("link[href]") if "alternate" in n.attrs.get("rel", "").lower().split() and n.attrs.get("type", "").strip().lower() in FEED_TYPES]
-                for pos, (node, feed) in enumerate([*((n, True) for n in feeds), *((n, False) for n in root.select("a[href]"))]):
-                    try:
-                        href = urljoin(url or "", node.attrs["href"].strip())
-                    except ValueError:
-                        continue
-                    rows.append((page_id, url, pos, href, "" if feed else node.text(), feed))
-            yield pd.DataFrame(rows, columns=["page_id", "url", "pos", "href", "anchor", "feed"])
-
-    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, url string, pos long, href string, anchor string, feed boolean")
+    def rows(page_id: int, url: str | None, html: str | None) -> list[tuple]:
+        root, out = parse(html), []
+        feeds = [n for n in root.select("link[href]") if "alternate" in n.attrs.get("rel", "").lower().split() and n.attrs.get("type", "").strip().lower() in FEED_TYPES]
+        for pos, (node, feed) in enumerate([*((n, True) for n in feeds), *((n, False) for n in root.select("a[href]"))]):
+            try:
+                href = urljoin(url or "", node.attrs["href"].strip())
+            except ValueError:
+                continue
+            out.append((page_id, url, pos, href, "" if feed else node.text(), feed))
+        return out
+
+    return pages.select("page_id", "url", "html").mapInArrow(lambda batches: _few(batches, _LINK, rows), "page_id long, url string, pos long, href string, anchor string, feed boolean")
 
 
 def link_score(url: Column, href: Column, anchor: Column) -> Column:
