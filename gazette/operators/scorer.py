@@ -96,42 +96,51 @@ def _asked(requests: DataFrame, scorer: Callable[[str], str], calls: Calls) -> D
     return requests.repartition(max(1, calls.at_once // calls.in_task)).mapInPandas(run, ANSWERS)
 
 
-def ask(requests: DataFrame, scorer: Callable[[str], str], calls: Calls = Calls(), store: str | None = None, name: str = "") -> DataFrame:
-    """(request, answer, error, tries) of each distinct request (a column of that name; null ones are not asked).
-
-    With a ``store`` answers of a scorer of this ``name`` are taken from there, and new ones are saved there wave by wave: a run that
-    breaks off loses a wave at most. Failures are not saved: the next run asks again. Tries are 0 for an answer that was there.
-    A task that is lost asks its own requests of the wave again.
-    """
+def _answered(requests: DataFrame, scorer: Callable[[str], str], calls: Calls, store: str | None, name: str) -> DataFrame:
+    """(digest, answer, error, tries) of each distinct digest of (digest, request). A request is moved only where it is asked."""
     spark = requests.sparkSession
-    once = requests.where("request is not null").select("request").distinct().withColumn("digest", digest(F.col("request"), name))
     if store is None:
-        found = stored(_asked(once, scorer, calls))
-        return once.join(found, "digest").drop("digest")
-    once = stored(once)
+        return stored(_asked(requests.dropDuplicates(["digest"]), scorer, calls))
     known = versions.read(spark, store) if versions.version(spark, store).number else spark.createDataFrame([], f"{ANSWERS}, _step string")
     known = known.select("digest", "answer", F.lit(None).cast("string").alias("error"), F.lit(0).alias("tries"))
-    missing = once.join(known.select("digest"), "digest", "left_anti")
-    waves = -(-missing.count() // calls.wave)
-    missing = stored(missing.withColumn("wave", F.pmod(F.xxhash64("digest"), F.lit(max(1, waves))).cast("int")))
+    digests = stored(requests.select("digest").distinct())
+    missing = requests.join(known.select("digest"), "digest", "left_anti").dropDuplicates(["digest"])
+    count = digests.join(known.select("digest"), "digest", "left_anti").count()
+    waves = -(-count // calls.wave)
+    # What several waves read is kept for them.
+    if waves > 1:
+        missing = stored(missing.withColumn("wave", F.pmod(F.xxhash64("digest"), F.lit(waves)).cast("int")))
     new = []
     for k in range(waves):
-        answers = stored(_asked(missing.where(F.col("wave") == k).drop("wave"), scorer, calls))
+        part = missing.where(F.col("wave") == k).drop("wave") if waves > 1 else missing
+        answers = stored(_asked(part.select("digest", "request"), scorer, calls))
         new.append(answers)
         step = f"{versions.version(spark, store).number + 1}-{k}-{random.getrandbits(64):016x}"
         versions.save(answers.where("answer is not null").withColumn("_step", F.lit(step)), store, ("_step",))
-    every = known.join(once.select("digest"), "digest", "left_semi")
+    every = known.join(digests, "digest", "left_semi")
     for answers in new:
         every = every.union(answers)
-    return once.join(every, "digest").drop("digest")
+    return every
+
+
+def ask(requests: DataFrame, scorer: Callable[[str], str], calls: Calls = Calls(), store: str | None = None, name: str = "") -> DataFrame:
+    """(request, answer, error, tries) of each distinct request (a column of that name; null ones are not asked).
+
+    With a ``store`` answers of a scorer of this ``name`` are taken from there, and new ones are saved there wave by wave: a run that
+    breaks off loses a wave at most. Failures are not saved: the next run asks again. Tries are 0 for an answer that was there.
+    A task that is lost asks its own requests of the wave again.
+    """
+    keyed = requests.where("request is not null").select("request").withColumn("digest", digest(F.col("request"), name))
+    return keyed.dropDuplicates(["digest"]).join(_answered(keyed, scorer, calls, store, name), "digest").select("request", "answer", "error", "tries")
 
 
 def decisions(batches: DataFrame, scorer: Callable[[str], str], calls: Calls = Calls(), store: str | None = None, name: str = "survey") -> DataFrame:
     """Decisions about the articles of ``messages.batch_messages`` (batch, n, messages); a batch that has no answer has none."""
     from . import messages
 
-    answers = ask(batches.select(F.col("messages").alias("request")), scorer, calls, store, name)
-    return messages.decisions(batches.join(answers, F.col("messages") == F.col("request")).where("answer is not null").select("batch", F.col("answer").alias("payload")))
+    keyed = batches.where("messages is not null").select("batch", F.col("messages").alias("request"), digest(F.col("messages"), name).alias("digest"))
+    answers = _answered(keyed.select("digest", "request"), scorer, calls, store, name)
+    return messages.decisions(keyed.select("batch", "digest").join(answers, "digest").where("answer is not null").select("batch", F.col("answer").alias("payload")))
 
 
 def translations(rows: DataFrame, columns: list[str], translator: Callable[[str], str], calls: Calls = Calls(), store: str | None = None, name: str = "translation", suffix: str = "_translated") -> DataFrame:
