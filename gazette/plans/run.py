@@ -27,8 +27,9 @@ def run(
     initial = stored(dedup.initial_dedupe(raw).drop("group_size"))
     hay = text.let(initial, "_said", context.relevance_text(initial))
     reason = context.hard_filter(F.col("_said"), F.col("title"), home)
-    gone = classify.applies_hard_filter(F.col("_reason"), context.platform_level(F.col("_said")), mode)
-    judged = stored(text.let(text.let(hay, "_reason", reason), "_hard", gone))
+    gone = classify.applies_hard_filter(F.col("_reason"), F.col("_level"), mode)
+    # What is said of a row is stored with it: the fill asks it again.
+    judged = stored(text.let(text.let(text.let(hay, "_level", context.platform_level(F.col("_said"))), "_reason", reason), "_hard", gone))
     open_rows = judged.where("not _hard")
     matched = survey.keyword_filter(open_rows, F.col("_said"), lookup, questions)
     method, extra = "keyword", {}
@@ -46,7 +47,7 @@ def run(
     else:
         kept = survey.enrich(matched.select(*initial.columns, "dimensions", "question_ids"), indicators, method, **extra)
     if mode == "balanced":
-        kept = _filled(kept, initial, indicators, lookup, questions)
+        kept = _filled(stored(kept), judged, initial.columns, indicators, lookup, questions)
     kept = stored(context.with_trend(kept, context.relevance_text(kept), context.looks_like_report(context.matched_text(kept))))
     final = kept
     if cluster_scorer is not None:
@@ -65,13 +66,13 @@ def brands(df: DataFrame) -> Column:
     return F.array_distinct(F.filter(F.transform(F.concat(own, parts), text.clean), lambda x: x != ""))
 
 
-def _filled(kept: DataFrame, source: DataFrame, indicators: DataFrame, lookup: dict[str, list[str]], questions: dict[str, list[str]]) -> DataFrame:
-    """The kept rows, and in thin weeks of a brand more of the source's that speak of a platform and match the questionnaire."""
+def _filled(kept: DataFrame, judged: DataFrame, columns: list[str], indicators: DataFrame, lookup: dict[str, list[str]], questions: dict[str, list[str]]) -> DataFrame:
+    """The kept rows, and in thin weeks of a brand more of the judged ones that speak of a platform and match the questionnaire."""
     known = kept.select(identity(kept).alias("_id")).distinct()
-    rows = text.let(source, "_said", context.relevance_text(source)).withColumn("_id", identity(source))
-    rows = rows.join(known, "_id", "left_anti").drop("_id").where(context.platform_level(F.col("_said")))
+    rows = judged.where("_level").withColumn("_id", identity(judged)).join(known, "_id", "left_anti")
     fit = survey.keyword_filter(rows, F.col("_said"), lookup, questions)
+    fit = stored(fit.select(*columns, "dimensions", "question_ids"))
     candidates = fit.select("pos", F.to_date("published_at").alias("day"), brands(fit).alias("brands"), F.coalesce("published_at", F.lit("")).alias("stamp"))
     chosen = funnel.greedy_fill(candidates, kept.select(F.to_date("published_at").alias("day"), brands(kept).alias("brands")))
-    more = survey.enrich(fit.join(chosen, "pos", "left_semi").select(*source.columns, "dimensions", "question_ids"), indicators, "low_volume_fill", F.lit(survey.FILL_REASON), F.lit("medium"), fill=True)
+    more = survey.enrich(fit.join(chosen, "pos", "left_semi"), indicators, "low_volume_fill", F.lit(survey.FILL_REASON), F.lit("medium"), fill=True)
     return kept.unionByName(more)
