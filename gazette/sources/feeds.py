@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from datetime import UTC, date, datetime
 from email.utils import parsedate_to_datetime
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
@@ -20,6 +20,10 @@ from ..functions import dates, text
 ATOM = "{http://www.w3.org/2005/Atom}"
 FORMAT = "gazette_feeds"
 ITEM = "feed_url string, pos long, title string, article_url string, published_at string, summary string, categories array<string>"
+_ITEM_NAMES = ["feed_url", "pos", "title", "article_url", "published_at", "summary", "categories"]
+_ITEM_TYPES = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string())]
+#: Characters of titles and summaries, and 64 an item, that one batch of items holds; a feed's own text is in memory besides.
+BATCH_CHARS = 4 << 20
 
 
 def items(xml: str | None) -> Iterator[tuple[int, str, str, str, str, list[str]]]:
@@ -41,19 +45,31 @@ def items(xml: str | None) -> Iterator[tuple[int, str, str, str, str, list[str]]
             yield pos, title, link.get("href") or "" if link is not None else "", published or updated, summary, [c.get("term") or "" for c in x.findall(f"{ATOM}category")]
 
 
-def _parsed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        for url, xml in zip(frame.feed_url, frame.xml, strict=True):
-            # One feed at a time: its items are all that is held.
-            rows = [(url, *item) for item in items(xml)]
-            if rows:
-                yield pd.DataFrame(rows, columns=["feed_url", "pos", "title", "article_url", "published_at", "summary", "categories"])
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ITEM_TYPES, strict=True)], _ITEM_NAMES)
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The items of feeds, gathered to batches of some ``BATCH_CHARS`` of their text: many feeds have an item or two each."""
+    rows: list[tuple] = []
+    held = 0
+    for batch in batches:
+        for url, xml in zip(batch.column("feed_url"), batch.column("xml"), strict=True):
+            url = url.as_py()
+            for item in items(xml.as_py()):
+                rows.append((url, *item))
+                held += 64 + len(item[1]) + len(item[4])
+                if held >= BATCH_CHARS:
+                    yield _batch(rows)
+                    rows, held = [], 0
+    if rows:
+        yield _batch(rows)
 
 
 def feed_items(feeds: DataFrame, start: str, end: str) -> DataFrame:
     """Items of stored RSS and Atom documents (feed_url, xml) within a range of days, each URL once (its first in order of feeds and
     places). Items without a link or a date, and feeds that are no well-formed XML, have none; all references of XML are decoded."""
-    raw = feeds.select("feed_url", "xml").mapInPandas(_parsed, ITEM)
+    raw = feeds.select("feed_url", "xml").mapInArrow(_parsed, ITEM)
     categories = F.filter(F.transform("categories", text.clean), lambda c: c != "")
     rows = raw.select("feed_url", "pos", categories.alias("categories"), text.clean(F.col("title")).alias("title"), "article_url", dates.parse(F.col("published_at")).alias("published_ts"), text.clean(F.col("summary")).alias("summary"))
     rows = rows.where(F.col("published_ts").between(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp") + F.expr("interval 1 day") - F.expr("interval 1 second"))).where("article_url <> ''")
