@@ -15,7 +15,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK_BYTES = 8 << 20
-_SEGMENT = 1 << 20
+#: Bytes that are hashed at once: a worker keeps two tables of so many powers, 8 bytes each.
+_SEGMENT = 1 << 18
+#: The limit where a chunk of its own has no use beyond that its rows are handled: what a worker once held it keeps.
+ROW_BYTES = 1 << 19
 U64 = np.uint64
 
 #: ``[^\x20\x09-\x0D]+`` on bytes: white space separates, all else is part of a word.

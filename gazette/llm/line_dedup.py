@@ -48,7 +48,7 @@ from .shared import components, drop, fresh, table
 
 MIN_WORDS, FULL_WORDS, MANY_DOCS = 3, 8, 5
 #: Bytes of text that are parsed at once; the parse takes about thirty times that.
-CHUNK = 2 << 20
+CHUNK = K.ROW_BYTES
 #: Leading tokens of a leaf; tokens from and to which a line has a leaf; share of equal positions; seeds of the first turn and of one at most.
 LEADING, TREE_FROM, TREE_TO, SIMILAR, SEEDS, MOST_SEEDS = 3, 8, 32, 0.75, 8, 32
 #: One in how many sentences ends a piece; words beyond which a sentence is cut at anchors, and one in how many words is one.
@@ -69,7 +69,7 @@ _UNITS = pa.schema([("doc", pa.int64()), ("key", pa.int64()), ("weight", pa.int3
 
 def _runs(hashes: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int) -> np.ndarray:
     """Fingerprints of runs of words [start, end)."""
-    up, down = K._powers(max(1 << 20, len(hashes)))
+    up, down = K._powers(max(K._SEGMENT, len(hashes)))
     with np.errstate(over="ignore"):
         total = np.concatenate([np.zeros(1, K.U64), np.cumsum(hashes * up[: len(hashes)], dtype=K.U64)])
         return K.mix((total[end] - total[start]) * down[start] + (end - start).astype(K.U64) * K.U64(2 * salt + 1))

@@ -54,7 +54,7 @@ def _held(tokens: np.ndarray) -> int:
 def _members(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in K.chunks(batch):
+            for part in K.chunks(batch, limit=K.ROW_BYTES):
                 sets = K.shingle_sets(part, width=width)
                 columns = [[len(s) for s in sets], [_held(s) for s in sets], [K.set_id(s) if len(s) else None for s in sets], [K.set_mark(s) if len(s) else None for s in sets]]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), *(pa.array(c, pa.int64()) for c in columns)], schema=_MEMBER)
@@ -169,7 +169,7 @@ def _sets(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in K.chunks(batch):
+            for part in K.chunks(batch, limit=K.ROW_BYTES):
                 wanted = zip(part.column("cls").to_pylist(), part.column("mark").to_pylist(), K.shingle_sets(part, width=width), strict=True)
                 rows = [(c, len(s), s.tobytes()) for c, m, s in wanted if len(s) and K.set_id(s) == c and K.set_mark(s) == m]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(schema.types)], schema=schema)

@@ -86,7 +86,7 @@ class Model:
         out = []
         seen = np.zeros(1 << 16, dtype=bool)
         seen[self.tokens & 0xFFFF] = True
-        for part in K.chunks(batch):
+        for part in K.chunks(batch, limit=K.ROW_BYTES):
             total = np.full(part.num_rows, self.intercept)
             if len(self.tokens):
                 value, row = _features(part)
@@ -115,7 +115,7 @@ def _sample(docs: DataFrame, labels: DataFrame, id_column: str, text_column: str
     def run(batches):
         schema = pa.schema([("toxic", pa.int32()), ("tokens", pa.binary()), ("marks", pa.int32())])
         for batch in batches:
-            for part in K.chunks(batch):
+            for part in K.chunks(batch, limit=K.ROW_BYTES):
                 value, row = _features(part.select(["text"]))
                 cut = np.searchsorted(row[order := np.argsort(row, kind="stable")], np.arange(part.num_rows + 1))
                 value = value[order]
