@@ -1,16 +1,17 @@
 """Line deduplication with a log-template tree.
 
 Each line is parsed to a fixed depth: its token count, then its ``LEADING`` first tokens, in which tokens with a digit or of an
-address or path are variable fields already. That is its leaf. Within a leaf, lines that agree with one of the leaf's seeds in at
-least ``SIMILAR`` of their positions are one template; the positions in which they vary become wildcards, whatever stands there.
+address or path are variable fields already. That is its leaf. Within a leaf, lines that agree with one of the leaf's seeds in all
+but one in ``VARYING`` of their positions, and all but ``WILDCARDS``, are one template; the positions in which they vary become
+wildcards, whatever stands there: of a paragraph, few words. ``tree`` says from and to which token count lines have a leaf; the query
+gives one to every line that counts.
 Lines that agree with no seed are templates of their own. The seeds of a turn are the lines of the smallest fingerprint in each of
 ``SEEDS`` slots (twice as many in the next turn, up to ``MOST_SEEDS``); what joined none takes part in the next turn, until nothing is
-left: however many templates a leaf has, all are learnt. Two lines that agree have one of ``len / 4 + 1`` blocks of positions in common,
+left: however many templates a leaf has, all are learnt. Two lines that agree have one block of positions in common, of one more blocks
+than positions may vary,
 so lines that share no block with another one leave before each turn. A seed is one row, so a leaf that holds a third of all lines is
 a skewed join, which Spark splits, and never gathered.
 
-Lines of more than ``TREE_TO`` tokens are paragraphs and no log lines: a template would take words along that stand nowhere else.
-
 Passages recur inside lines, too, so lines are cut into pieces, at the ends of about one sentence in ``STOPS`` and, in sentences of
 more than ``ANCHORED`` words, behind one word in ``ANCHOR``, both chosen by the fingerprint of the word before the cut: the same words
 in any surroundings give the same cuts. A piece of fewer than ``full_words`` words joins its neighbours: runs are the shortest ones of
@@ -49,8 +50,10 @@ from .shared import components, drop, fresh, table
 MIN_WORDS, FULL_WORDS, MANY_DOCS = 3, 8, 5
 #: Bytes of text that are parsed at once; the parse takes about thirty times that.
 CHUNK = K.ROW_BYTES
-#: Leading tokens of a leaf; tokens from and to which a line has a leaf; share of equal positions; seeds of the first turn and of one at most.
-LEADING, TREE_FROM, TREE_TO, SIMILAR, SEEDS, MOST_SEEDS = 3, 8, 32, 0.75, 8, 32
+#: Leading tokens of a leaf; one in how many positions may vary, and how many at most; seeds of the first turn and of one at most.
+LEADING, VARYING, WILDCARDS, SEEDS, MOST_SEEDS = 3, 4, 8, 8, 32
+#: Tokens from and to which a line has a leaf, where the caller doesn't say; and those of every line.
+TREE, EVERY_LINE = (8, 32), (0, None)
 #: One in how many sentences ends a piece; words beyond which a sentence is cut at anchors, and one in how many words is one.
 STOPS, ANCHORED, ANCHOR = 2, 16, 8
 #: A run of which more than 1 / VARIABLE_PART is variable (a row of numbers) is compared as it is.
@@ -75,6 +78,11 @@ def _runs(hashes: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int) ->
         return K.mix((total[end] - total[start]) * down[start] + (end - start).astype(K.U64) * K.U64(2 * salt + 1))
 
 
+def _varying(size: int) -> int:
+    """In how many positions two lines of one template may differ."""
+    return min(size // VARYING, WILDCARDS)
+
+
 def _starts(ends: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], ends[:-1]]) if len(ends) else ends
 
@@ -82,7 +90,7 @@ def _starts(ends: np.ndarray) -> np.ndarray:
 class Parsed:
     """The lines of a chunk of texts, their pieces, and runs of these, as ranges of words with their fingerprints."""
 
-    def __init__(self, batch: pa.RecordBatch, column: str = "text", min_words: int = MIN_WORDS, full_words: int = FULL_WORDS):
+    def __init__(self, batch: pa.RecordBatch, column: str = "text", min_words: int = MIN_WORDS, full_words: int = FULL_WORDS, tree: tuple[int, int | None] = TREE):
         self.min_words, self.full_words = min_words, full_words
         self.data, self.offsets = K.column_bytes(batch.column(batch.schema.get_field_index(column)))
         low = K.LOWER[self.data]
@@ -136,7 +144,7 @@ class Parsed:
         self.line_key, mostly = prints(self.line_start, self.line_end)
         self.run_key, _ = prints(self.piece_start[self.run_first], self.piece_end[self.run_last])
         size = self.line_end - self.line_start
-        self.has_leaf = (size >= TREE_FROM) & (size <= TREE_TO) & ~mostly
+        self.has_leaf = (size >= max(tree[0], min_words)) & (size <= (size if tree[1] is None else tree[1])) & ~mostly
         lead = _runs(hashes, self.line_start, np.minimum(self.line_start + LEADING, self.line_end), 7) if n else np.zeros(0, K.U64)
         with np.errstate(over="ignore"):
             self.leaf = K.mix(lead + size.astype(K.U64)).view(np.int64)
@@ -207,7 +215,7 @@ class Parsed:
         return text[~gone].tobytes(), int(out.sum() + part.sum()), words
 
 
-def units(texts: DataFrame, min_words: int = MIN_WORDS, full_words: int = FULL_WORDS) -> DataFrame:
+def units(texts: DataFrame, min_words: int = MIN_WORDS, full_words: int = FULL_WORDS, tree: tuple[int, int | None] = TREE) -> DataFrame:
     """doc, key, weight, total, short, leaf, tokens: lines and runs of each row of (doc, text).
 
     weight: words of the piece that a run begins with; total: their sum over the row. leaf and tokens (16 bits each): of lines.
@@ -216,7 +224,7 @@ def units(texts: DataFrame, min_words: int = MIN_WORDS, full_words: int = FULL_W
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in K.chunks(batch, limit=CHUNK):
-                yield Parsed(part, "text", min_words, full_words).units(part.column("doc"))
+                yield Parsed(part, "text", min_words, full_words, tree).units(part.column("doc"))
 
     return texts.mapInArrow(run, "doc long, key long, weight int, total int, short boolean, leaf long, tokens binary")
 
@@ -232,12 +240,12 @@ def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys, rows = [], []
                 for s in seeds[i].as_py():
                     tokens = np.frombuffer(s["tokens"], dtype=np.uint16)
-                    if not any((r == tokens).mean() >= SIMILAR for r in rows):
+                    if not any((r != tokens).sum() <= _varying(len(tokens)) for r in rows):
                         keys.append(s["key"])
                         rows.append(tokens)
                 known[leaf] = keys, np.stack(rows)
             keys, rows = known[leaf]
-            near = np.flatnonzero((rows == np.frombuffer(lines[i].as_buffer(), dtype=np.uint16)).mean(axis=1) >= SIMILAR)
+            near = np.flatnonzero((rows != np.frombuffer(lines[i].as_buffer(), dtype=np.uint16)).sum(axis=1) <= _varying(rows.shape[1]))
             out.append(keys[near[0]] if len(near) else None)
         yield pa.RecordBatch.from_arrays([batch.column("leaf"), batch.column("key"), lines, pa.array(out, pa.int64())], ["leaf", "key", "tokens", "seed"])
 
@@ -251,7 +259,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for n in np.unique(size).tolist():
             own = np.flatnonzero(size == n)
             tokens = np.frombuffer(b"".join(lines[i] for i in own), dtype=np.uint16).reshape(len(own), n).astype(K.U64)
-            for number, places in enumerate(np.array_split(np.arange(min(LEADING, n), n), int(n * (1 - SIMILAR)) + 1)):
+            for number, places in enumerate(np.array_split(np.arange(min(LEADING, n), n), _varying(n) + 1)):
                 with np.errstate(over="ignore"):
                     block = K.mix(leaf[own] + K.U64(number))
                     for place in places:
@@ -313,15 +321,15 @@ def _release(spark) -> None:
     spark._jvm.System.gc()
 
 
-def recurring(texts: DataFrame, min_words: int = MIN_WORDS, full_words: int = FULL_WORDS, many_docs: int = MANY_DOCS) -> DataFrame:
+def recurring(texts: DataFrame, min_words: int = MIN_WORDS, full_words: int = FULL_WORDS, many_docs: int = MANY_DOCS, tree: tuple[int, int | None] = TREE) -> DataFrame:
     """(doc, dropped): the fingerprints of the lines and runs that each document of (doc, text) is to lose."""
     spark = texts.sparkSession
     groups = copy_groups(texts)
     _release(spark)
-    found = table(units(texts, min_words, full_words), "units")
-    lines = table(found.where("leaf is not null").select("doc", "key", "leaf", "tokens"), "lines")
+    found = table(units(texts, min_words, full_words, tree), "units")
+    lines = table(found.where("leaf is not null").select("doc", "key", "short", "leaf", "tokens"), "lines")
     learnt = learn_templates(lines.select("leaf", "key", "tokens"))
-    wild = lines.join(_sized(learnt), "key").select("doc", "key", "template", F.lit(0).alias("weight"), F.lit(0).alias("total"), F.lit(False).alias("short"))
+    wild = lines.join(_sized(learnt), "key").select("doc", "key", "template", F.lit(0).alias("weight"), F.lit(0).alias("total"), "short")
     own = found.select("doc", "key", F.col("key").alias("template"), "weight", "total", "short")
 
     def shared(rows: DataFrame) -> DataFrame:
@@ -337,13 +345,13 @@ def recurring(texts: DataFrame, min_words: int = MIN_WORDS, full_words: int = FU
     return placed.join(first, "template").where("copies <> first").groupBy("doc").agg(F.collect_set("key").alias("dropped"))
 
 
-def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_words: int = MIN_WORDS, full_words: int = FULL_WORDS, many_docs: int = MANY_DOCS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_words: int = MIN_WORDS, full_words: int = FULL_WORDS, many_docs: int = MANY_DOCS, tree: tuple[int, int | None] = TREE) -> DataFrame:
     """The rows with recurring lines and passages dropped from ``text_column``, and n_dropped, n_dropped_words added."""
     texts = docs.select(F.col(id_column).cast("long").alias("doc"), F.col(text_column).alias("text")).where("doc is not null")
     docs = docs.drop("n_dropped", "n_dropped_words")
     columns = docs.columns
     place, of, gone = columns.index(text_column), fresh(columns, "of"), fresh(columns, "gone")
-    drops = recurring(texts, min_words, full_words, many_docs).toDF(of, gone)
+    drops = recurring(texts, min_words, full_words, many_docs, tree).toDF(of, gone)
     schema = docs.withColumns({"n_dropped": F.lit(0).cast("long"), "n_dropped_words": F.lit(0).cast("long")}).schema
     joined = docs.join(drops, F.col(id_column).cast("long") == F.col(of), "left").select(*columns, gone)
 
@@ -371,4 +379,4 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 def query(spark, sf_dir: str) -> DataFrame:
     """op7: every whole text of ``documents``, without the lines and passages that recur across documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return dedup_lines(docs.select("doc_id", "text"))
+    return dedup_lines(docs.select("doc_id", "text"), tree=EVERY_LINE)

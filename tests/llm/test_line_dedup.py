@@ -248,3 +248,23 @@ def test_names_repeats_and_nothing(spark, odd, nothing):  # noqa: F811
     whole = {r["doc_id"]: r for r in line_dedup.dedup_lines(odd[1]).where("n_dropped = 0").collect()}
     assert all(whole[i]["text"] == t for i, t in odd[0] if i in whole and i is not None)
     assert line_dedup.dedup_lines(df.withColumn("text", F.lit(None).cast("string"))).where("text is not null").count() == 0
+
+
+def test_every_line_meets_the_tree(spark, tmp_path):
+    """The query's templates have lines of any length: paragraphs that differ in up to eight places, and short lines that five documents hold."""
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(rng.choice(list("abcdefghijklm"), 6))
+    paragraph = [word() for _ in range(60)]
+
+    def edited(places):
+        return " ".join(word() if i in places else w for i, w in enumerate(paragraph))
+
+    few, many = [set(range(4, 60, 7))] * 3, [set(range(4, 60, 5))] * 2
+    texts = [" ".join(paragraph), *(edited(x) for x in few), *(edited(x) for x in many), *(f"it was seen by {word()}" for _ in range(6)), *(f"it is held by {word()}" for _ in range(4))]
+    own = [" ".join(word() for _ in range(20)) for _ in texts]
+    rows = [(i, f"{a}\n{b}") for i, (a, b) in enumerate(zip(own, texts, strict=True))]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.query(spark, str(tmp_path)).collect()}
+    kept = {i for i, t in got.items() if t == rows[i][1]}
+    assert kept >= {0, 4, 5, 6, 12, 13, 14, 15} and not kept & {1, 2, 3, 7, 8, 9, 10, 11}
+    assert all(got[i] == own[i] for i in got if i not in kept)
