@@ -127,28 +127,41 @@ def shingles(words: np.ndarray, first: np.ndarray, width: int = 5) -> tuple[np.n
     return mix(out), at
 
 
-def shingle_sets(batch: pa.RecordBatch, column: str = "text", width: int = 5) -> list[np.ndarray]:
-    """The sorted distinct shingles of each text of a batch: A-Z lower-cased, words parted by ASCII white space."""
+def flat_sets(batch: pa.RecordBatch, column: str = "text", width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, first of each text and the total): the sorted distinct shingles of each text of a batch, one text after the other.
+
+    A-Z are lower-cased, words parted by ASCII white space.
+    """
     data, offsets = column_bytes(batch.column(batch.schema.get_field_index(column)))
     data = LOWER[data]
     starts, ends, first = word_spans(data, offsets, SPACE_SEPARATED)
     runs, at = shingles(word_hashes(data, starts, ends), first, width)
-    sets = []
-    for i in range(batch.num_rows):
-        own = np.sort(runs[at[i] : at[i + 1]])
-        sets.append(own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) > 1 else own)
-    return sets
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        runs[a:b].sort()
+    new = np.ones(len(runs) + 1, dtype=bool)
+    new[1:-1] = runs[1:] != runs[:-1]
+    new[at] = True
+    return runs[new[:-1]], np.concatenate([[0], np.cumsum(new[:-1])])[at]
 
 
-def set_id(tokens: np.ndarray) -> int:
-    """A 64-bit id (signed) of a set, the same for equal sets."""
+def shingle_sets(batch: pa.RecordBatch, column: str = "text", width: int = 5) -> list[np.ndarray]:
+    """The sets of ``flat_sets``, an array each."""
+    tokens, at = flat_sets(batch, column, width)
+    return [tokens[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def _set_sums(values: np.ndarray, at: np.ndarray, step: np.uint64) -> np.ndarray:
     with np.errstate(over="ignore"):
-        total = mix(tokens ^ U64(_ODD)).sum(dtype=U64) + U64(len(tokens)) * _STEP[0]
-        return int(mix(np.array([total]))[0].astype(np.int64))
+        total = np.concatenate([np.zeros(1, U64), np.cumsum(values, dtype=U64)])
+        return mix(total[at[1:]] - total[at[:-1]] + np.diff(at).astype(U64) * step).view(np.int64)
+
+
+def set_ids(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A 64-bit id (signed) of each set of ``flat_sets``, the same for equal sets."""
+    return _set_sums(mix(tokens ^ U64(_ODD)), at, _STEP[0])
 
 
-def set_mark(tokens: np.ndarray) -> int:
-    """A second id of a set, independent of ``set_id``: the two make 128 bits."""
+def set_marks(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Second ids of sets, independent of ``set_ids``: the two make 128 bits."""
     with np.errstate(over="ignore"):
-        total = mix(tokens * _STEP[1] + _STEP[2]).sum(dtype=U64) + U64(len(tokens)) * _STEP[3]
-        return int(mix(np.array([total]))[0].astype(np.int64))
+        return _set_sums(mix(tokens * _STEP[1] + _STEP[2]), at, _STEP[3])

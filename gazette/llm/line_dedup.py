@@ -40,6 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,6 +59,9 @@ TREE, EVERY_LINE = (8, 32), (0, None)
 STOPS, ANCHORED, ANCHOR = 2, 16, 8
 #: A run of which more than 1 / VARIABLE_PART is variable (a row of numbers) is compared as it is.
 VARIABLE_PART = 4
+#: Lines and runs that a worker gathers before it deals them out to blocks, those that one block should hold, and bytes of text that
+#: have about one of them (results depend on none of these).
+DEAL, BLOCK_UNITS, UNIT_BYTES = 500_000, 250_000, 48
 #: Rows of 16 bytes that may be broadcast (checked before); beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
 
@@ -67,7 +71,8 @@ _VARIABLE[[ord(c) for c in "@/_="]] = 1
 _STOP = np.zeros(256, dtype=bool)
 _STOP[[ord(c) for c in ".!?"]] = True
 _FIELD = K.U64(0x5EED)
-_UNITS = pa.schema([("doc", pa.int64()), ("key", pa.int64()), ("weight", pa.int32()), ("total", pa.int32()), ("short", pa.bool_()), ("leaf", pa.int64()), ("tokens", pa.binary())])
+_UNITS = pa.schema([("doc", pa.int64()), ("key", pa.int64()), ("short", pa.bool_()), ("leaf", pa.int64()), ("tokens", pa.binary())])
+_DEALT = pa.schema([*_UNITS, ("block", pa.int32()), ("payload", pa.binary())])
 
 
 def _runs(hashes: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int) -> np.ndarray:
@@ -126,12 +131,11 @@ class Parsed:
         short = np.flatnonzero((self.piece_end - self.piece_start < full_words) & (last[self.piece_end - 1] if n else False))
         before = np.searchsorted(self.piece_start, self.piece_end[short] - full_words, side="right") - 1
         a, b = np.concatenate([pieces, before]), np.concatenate([after, short])
-        weight = np.concatenate([self.piece_end - self.piece_start, np.zeros(len(short), np.int64)])
         inside = (a >= 0) & (b < len(pieces))
-        a, b, weight = a[inside], b[inside], weight[inside]
+        a, b = a[inside], b[inside]
         inside = self.piece_row[a] == self.piece_row[b]
         order = np.argsort(a[inside], kind="stable")
-        self.run_first, self.run_last, self.run_weight = a[inside][order], b[inside][order], weight[inside][order]
+        self.run_first, self.run_last = a[inside][order], b[inside][order]
         self.run_row = self.piece_row[self.run_first]
 
         def prints(start, end):
@@ -155,78 +159,114 @@ class Parsed:
         keep = np.flatnonzero(size >= self.min_words)
         row = np.concatenate([self.line_row[keep], self.run_row])
         key = np.concatenate([self.line_key[keep], self.run_key])
-        weight = np.concatenate([np.zeros(len(keep), np.int64), self.run_weight])
         line = np.concatenate([keep, np.full(len(self.run_row), -1)])
         short = np.concatenate([size[keep] < self.full_words, np.zeros(len(self.run_row), bool)])
         order = np.lexsort((-line, key, row))
-        row, key, weight, line, short = row[order], key[order], weight[order], line[order], short[order]
+        row, key, line, short = row[order], key[order], line[order], short[order]
         new = np.ones(len(row), dtype=bool)
         new[1:] = (row[1:] != row[:-1]) | (key[1:] != key[:-1])
         at = np.flatnonzero(new)
-        weight = np.add.reduceat(weight, at) if len(at) else weight
         row, key, line, short = row[at], key[at], line[at], short[at]
-        total = np.bincount(row, weights=weight, minlength=len(doc)).astype(np.int32)[row]
         leafy = (line >= 0) & self.has_leaf[line] if len(self.has_leaf) else np.zeros(len(line), bool)
         bounds = np.concatenate([self.line_start, self.line_end[-1:]]).astype(np.int32) * 2
         values = pa.Array.from_buffers(pa.binary(), max(0, len(bounds) - 1), [None, pa.py_buffer(bounds), pa.py_buffer((self.tokens >> K.U64(48)).astype(np.uint16))])
         chosen = pa.array(np.where(leafy, line, 0), mask=~leafy)
-        return pa.RecordBatch.from_arrays([doc.take(pa.array(row)), pa.array(key), pa.array(weight.astype(np.int32)), pa.array(total), pa.array(short), pa.array(self.leaf).take(chosen), values.take(chosen)], schema=_UNITS)
-
-    def without(self, row: int, dropped: np.ndarray) -> tuple[bytes, int, int]:
-        """(text, lines and pieces dropped, words dropped) of one row without the lines and runs in ``dropped``."""
-        a, b = np.searchsorted(self.line_row, [row, row + 1])
-        text = self.data[self.offsets[row] : self.offsets[row + 1]]
-        size = self.line_end[a:b] - self.line_start[a:b]
-        out = np.isin(self.line_key[a:b], dropped) & (size >= self.min_words)
-        p, q = np.searchsorted(self.piece_row, [row, row + 1])
-        piece_size = self.piece_end[p:q] - self.piece_start[p:q]
-        line = self.piece_line[p:q] - a
-        u, v = np.searchsorted(self.run_row, [row, row + 1])
-        met = u + np.flatnonzero(np.isin(self.run_key[u:v], dropped))
-        edge = np.zeros(q - p + 1, dtype=np.int64)
-        np.add.at(edge, self.run_first[met] - p, 1)
-        np.add.at(edge, self.run_last[met] + 1 - p, -1)
-        covered = np.cumsum(edge[:-1]) > 0
+        return pa.RecordBatch.from_arrays([doc.take(pa.array(row)), pa.array(key), pa.array(short), pa.array(self.leaf).take(chosen), values.take(chosen)], schema=_UNITS)
+
+    def without(self, dropped: pa.ListArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """(texts, lines and pieces dropped, words dropped) of the rows without the lines and runs that ``dropped`` has for each."""
+        rows, (lines, pieces) = len(dropped), (len(self.line_end), len(self.piece_end))
+        mark = K.mix(np.arange(1, rows + 1, dtype=K.U64))
+        values = dropped.flatten().to_numpy().view(K.U64) ^ np.repeat(mark, np.diff(dropped.offsets.to_numpy()))
+        size = self.line_end - self.line_start
+        out = np.isin(self.line_key.view(K.U64) ^ mark[self.line_row], values) & (size >= self.min_words)
+        met = np.isin(self.run_key.view(K.U64) ^ mark[self.run_row], values)
+        edge = np.bincount(self.run_first[met], minlength=pieces + 1) - np.bincount(self.run_last[met] + 1, minlength=pieces + 1)
+        covered = np.cumsum(edge[:pieces]) > 0
         # A line of which all pieces are in such runs goes as a line.
-        out |= np.bincount(line[~covered], minlength=b - a) == 0
-        part = covered & ~out[line]
-        words = int(size[out].sum() + piece_size[part].sum())
-        if not words:
-            return text.tobytes(), 0, 0
-        gone = np.zeros(len(text), dtype=bool)
-        base = self.offsets[row]
-        feeds = np.flatnonzero(text == 0x0A)
-        for k in np.flatnonzero(out):
-            s, e = self.starts[self.line_start[a + k]] - base, self.ends[self.line_end[a + k] - 1] - base
-            # The line from its first byte to its line feed; the last one takes the feed before it.
-            before, after = np.searchsorted(feeds, s), np.searchsorted(feeds, e)
-            s = feeds[before - 1] + 1 if before else 0
-            e = feeds[after] + 1 if after < len(feeds) else len(text)
-            if e == len(text) and before and text[-1] != 0x0A:
-                s -= 1
-            gone[s:e] = True
-        for k in np.flatnonzero(part):
-            s, e = self.starts[self.piece_start[p + k]] - base, self.ends[self.piece_end[p + k] - 1] - base
-            if k + 1 < len(part) and line[k + 1] == line[k]:
-                e = self.starts[self.piece_start[p + k + 1]] - base
-            elif k and line[k - 1] == line[k]:
-                s = self.ends[self.piece_end[p + k - 1] - 1] - base
-            gone[s:e] = True
-        return text[~gone].tobytes(), int(out.sum() + part.sum()), words
-
-
-def units(texts: DataFrame, min_words: int = MIN_WORDS, full_words: int = FULL_WORDS, tree: tuple[int, int | None] = TREE) -> DataFrame:
-    """doc, key, weight, total, short, leaf, tokens: lines and runs of each row of (doc, text).
-
-    weight: words of the piece that a run begins with; total: their sum over the row. leaf and tokens (16 bits each): of lines.
+        out |= np.bincount(self.piece_line[~covered], minlength=lines) == 0
+        part = covered & ~out[self.piece_line]
+        words = np.bincount(self.line_row[out], size[out], rows) + np.bincount(self.piece_row[part], (self.piece_end - self.piece_start)[part], rows)
+        number = np.bincount(self.line_row[out], minlength=rows) + np.bincount(self.piece_row[part], minlength=rows)
+
+        # Lines from their first byte to their line feed; a text's last one takes the feed before it.
+        low, high = self.offsets[self.line_row[out]], self.offsets[self.line_row[out] + 1]
+        feeds = np.concatenate([[-1], np.flatnonzero(self.data == 0x0A), [len(self.data)]])
+        at = np.searchsorted(feeds, self.starts[self.line_start[out]])
+        first, inner = np.maximum(feeds[at - 1] + 1, low), feeds[at - 1] >= low
+        end = np.minimum(feeds[np.searchsorted(feeds, self.ends[self.line_end[out] - 1])] + 1, high)
+        first -= (end == high) & inner & (self.data[np.maximum(high, 1) - 1] != 0x0A)
+        # Pieces up to the next one of their line, the last one from the piece before it on.
+        k = np.flatnonzero(part)
+        s, e = self.starts[self.piece_start[k]], self.ends[self.piece_end[k] - 1]
+        same = np.zeros(pieces + 1, dtype=bool)
+        same[1:pieces] = self.piece_line[1:] == self.piece_line[:-1]
+        after, before = same[k + 1], same[k] & ~same[k + 1]
+        e[after] = self.starts[self.piece_start[k[after] + 1]]
+        s[before] = self.ends[self.piece_end[k[before] - 1] - 1]
+        edge = np.bincount(np.concatenate([first, s]), minlength=len(self.data) + 1) - np.bincount(np.concatenate([end, e]), minlength=len(self.data) + 1)
+        kept = np.cumsum(edge[:-1]) == 0
+        offsets = np.concatenate([[0], np.cumsum(kept)])[self.offsets]
+        texts = pa.Array.from_buffers(pa.large_string(), rows, [None, pa.py_buffer(offsets), pa.py_buffer(self.data[kept])])
+        return texts, number, words.astype(np.int64)
+
+
+def _deal(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], blocks: int) -> Iterator[pa.RecordBatch]:
+    """Rows (doc, key, short) of what several documents of these parts hold, and a payload for each block of fingerprints: every one
+    once, with a document, whether it is short (1) and whether several documents hold it (2)."""
+    doc, key, short = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(key.view(K.U64))
+    doc, key, short = doc[order], key[order], short[order]
+    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    low = np.minimum.reduceat(doc, at)
+    several = low != np.maximum.reduceat(doc, at)
+    here = np.flatnonzero(np.repeat(several, np.diff(np.append(at, len(key)))))
+    one, flags = key[at], (several * 2 + short[at]).astype(np.uint8)
+    block = ((one.view(K.U64) >> K.U64(32)) * K.U64(blocks)) >> K.U64(32)
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(block)]])
+    payload = [one[a:b].tobytes() + low[a:b].tobytes() + flags[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    given, none = pa.nulls(len(here)), pa.nulls(len(payload))
+    for columns in ([doc[here], key[here], short[here], given, given, given, given], [none, none, none, none, none, block[cuts[:-1]], payload]):
+        yield pa.RecordBatch.from_arrays([pa.array(c).cast(f.type) for c, f in zip(columns, _DEALT, strict=True)], schema=_DEALT)
+
+
+def _recurs(dealt: pa.Table) -> pa.Table:
+    """(doc, key, short) of what recurs in a block, without the rows that ``_deal`` gave already."""
+    raw = [v.as_buffer() for chunk in dealt.column("payload").chunks for v in chunk]
+    sizes = [len(r) // 17 for r in raw]
+    key, doc = (np.concatenate([np.frombuffer(r, dtype=np.int64, count=n, offset=k * n) for r, n in zip(raw, sizes, strict=True)]) for k in (0, 8))
+    flags = np.concatenate([np.frombuffer(r, dtype=np.uint8, offset=16 * n) for r, n in zip(raw, sizes, strict=True)])
+    order = np.argsort(key)
+    key, doc, flags = key[order], doc[order], flags[order]
+    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    met = (np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at)) | (np.maximum.reduceat(flags, at) > 1)
+    rows = np.repeat(met, np.diff(np.append(at, len(key)))) & (flags < 2)
+    return pa.table({"doc": doc[rows], "key": key[rows], "short": flags[rows] == 1})
+
+
+def units(texts: DataFrame, min_words: int = MIN_WORDS, full_words: int = FULL_WORDS, tree: tuple[int, int | None] = TREE, blocks: int = 1) -> DataFrame:
+    """The lines and runs of (doc, text), in rows of three kinds.
+
+    doc, key, short, leaf, tokens (16 bits each): lines that have a leaf. doc, key, short: lines and runs that a worker met in several
+    documents. block, payload: all lines and runs, packed by ``_deal``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
         for batch in batches:
             for part in K.chunks(batch, limit=CHUNK):
-                yield Parsed(part, "text", min_words, full_words, tree).units(part.column("doc"))
+                own = Parsed(part, "text", min_words, full_words, tree).units(part.column("doc"))
+                lines = own.filter(own.column("leaf").is_valid())
+                yield pa.RecordBatch.from_arrays([*lines.columns, pa.nulls(lines.num_rows, pa.int32()), pa.nulls(lines.num_rows, pa.binary())], schema=_DEALT)
+                parts.append(tuple(own.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "key", "short")))
+                held += own.num_rows
+                if held > DEAL:
+                    yield from _deal(parts, blocks)
+                    parts, held = [], 0
+        if held:
+            yield from _deal(parts, blocks)
 
-    return texts.mapInArrow(run, "doc long, key long, weight int, total int, short boolean, leaf long, tokens binary")
+    return texts.mapInArrow(run, "doc long, key long, short boolean, leaf long, tokens binary, block int, payload binary")
 
 
 def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,18 +366,18 @@ def recurring(texts: DataFrame, min_words: int = MIN_WORDS, full_words: int = FU
     spark = texts.sparkSession
     groups = copy_groups(texts)
     _release(spark)
-    found = table(units(texts, min_words, full_words, tree), "units")
-    lines = table(found.where("leaf is not null").select("doc", "key", "short", "leaf", "tokens"), "lines")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    found = table(units(texts, min_words, full_words, tree, max(1, -(-size // (UNIT_BYTES * BLOCK_UNITS)))), "units")
+    lines = found.where("leaf is not null").select("doc", "key", "short", "leaf", "tokens")
     learnt = learn_templates(lines.select("leaf", "key", "tokens"))
-    wild = lines.join(_sized(learnt), "key").select("doc", "key", "template", F.lit(0).alias("weight"), F.lit(0).alias("total"), "short")
-    own = found.select("doc", "key", F.col("key").alias("template"), "weight", "total", "short")
-
-    def shared(rows: DataFrame) -> DataFrame:
-        several = rows.groupBy("template").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low <> high").select("template")
-        return rows.join(several, "template")
-
-    met = table(shared(own).union(shared(wild)), "recurring")
-    drop(found, lines, learnt)
+    wild = lines.join(_sized(learnt), "key").select("doc", "key", "template", "short")
+    several = wild.groupBy("template").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low <> high").select("template")
+    wild = wild.join(several, "template").select("doc", "key", "template", "short")
+    own = found.where("block is not null").select("block", "payload").groupBy("block").applyInArrow(_recurs, "doc long, key long, short boolean")
+    own = own.union(found.where("block is null and leaf is null").select("doc", "key", "short")).select("doc", "key", F.col("key").alias("template"), "short")
+    met = table(own.union(wild), "recurring")
+    _release(spark)
+    drop(found, learnt)
     placed = met.join(groups, F.col("doc") == F.col("node"), "left").select("doc", "key", "template", "short", F.coalesce("component", "doc").alias("copies"))
     holders = placed.groupBy("template").agg(F.min("copies").alias("first"), F.max("copies").alias("last"), F.bool_and("short").alias("short")).where("first <> last")
     many = placed.where("short").select("template", "copies").distinct().groupBy("template").agg(F.count("*").alias("docs")).where(F.col("docs") >= many_docs).select("template")
@@ -358,18 +398,13 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in K.chunks(batch, text_column, CHUNK):
-                dropped = part.column(len(columns))
-                hit = np.flatnonzero(~np.asarray(dropped.is_null()))
+                hit = part.column(len(columns)).is_valid().to_numpy(zero_copy_only=False)
                 lines, words = np.zeros(part.num_rows, np.int64), np.zeros(part.num_rows, np.int64)
                 text = part.column(place)
-                if len(hit):
-                    parsed = Parsed(part.take(pa.array(hit)), text_column, min_words, full_words)
-                    values = text.to_pylist()
-                    for k, i in enumerate(hit):
-                        new, lines[i], words[i] = parsed.without(k, dropped[i].values.to_numpy())
-                        if words[i]:
-                            values[i] = new.decode()
-                    text = pa.array(values, text.type)
+                if hit.any():
+                    own = part.filter(pa.array(hit))
+                    new, lines[hit], words[hit] = Parsed(own, text_column, min_words, full_words).without(own.column(len(columns)))
+                    text = pc.replace_with_mask(text, pa.array(words > 0), new.filter(pa.array(words[hit] > 0)).cast(text.type))
                 arrays = [text if j == place else part.column(j) for j in range(len(columns))]
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array(lines), pa.array(words)], [*columns, "n_dropped", "n_dropped_words"])
 

@@ -47,17 +47,18 @@ TILE_ROWS = 1_000
 _MEMBER = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("held", pa.int64()), ("cls", pa.int64()), ("mark", pa.int64())])
 
 
-def _held(tokens: np.ndarray) -> int:
-    return len(tokens) if UNIVERSE == 256 else int(np.searchsorted(tokens, K.U64(UNIVERSE << 56)))
+def _held(tokens: np.ndarray) -> np.ndarray:
+    return np.ones(len(tokens), dtype=bool) if UNIVERSE == 256 else tokens < K.U64(UNIVERSE << 56)
 
 
 def _members(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in K.chunks(batch, limit=K.ROW_BYTES):
-                sets = K.shingle_sets(part, width=width)
-                columns = [[len(s) for s in sets], [_held(s) for s in sets], [K.set_id(s) if len(s) else None for s in sets], [K.set_mark(s) if len(s) else None for s in sets]]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), *(pa.array(c, pa.int64()) for c in columns)], schema=_MEMBER)
+                tokens, at = K.flat_sets(part, width=width)
+                n, held = np.diff(at), np.diff(np.concatenate([[0], np.cumsum(_held(tokens))])[at])
+                ids = (pa.array(f(tokens, at), mask=n == 0) for f in (K.set_ids, K.set_marks))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), pa.array(n), pa.array(held), *ids], schema=_MEMBER)
 
     return run
 
@@ -70,15 +71,16 @@ def _tiles(blocks: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in K.chunks(batch):
-                sets = {K.set_id(s): s for s in K.shingle_sets(part, width=width) if len(s)}
-                if not sets:
+                tokens, at = K.flat_sets(part, width=width)
+                ids, rows, n = K.set_ids(tokens, at), np.zeros(part.num_rows, dtype=bool), np.diff(at)
+                rows[np.unique(ids, return_index=True)[1]] = True
+                rows &= n > 0
+                chosen = np.repeat(rows, n) & _held(tokens)
+                if not chosen.any():
                     continue
-                ids = np.fromiter(sets, dtype=np.int64, count=len(sets))
-                held = [s[: _held(s)] for s in sets.values()]
-                tokens = np.concatenate(held)
-                if not len(tokens):
-                    continue
-                owner = np.repeat(np.arange(len(ids), dtype=np.int32), [len(s) for s in held])
+                # Owners of 16 bits are sorted by radix.
+                owner = np.repeat((np.cumsum(rows) - 1).astype(np.uint16 if len(rows) <= 1 << 16 else np.int32), n)[chosen]
+                ids, tokens = ids[rows], tokens[chosen]
                 order = np.argsort(tokens)
                 tokens, owner = tokens[order], owner[order]
                 new = np.concatenate([[True], tokens[1:] != tokens[:-1]])
@@ -89,8 +91,9 @@ def _tiles(blocks: int, width: int):
                 out_block, out = [], []
                 for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                     s, o, low = several[a:b], owner[a:b], (tokens[a:b] & K.U64(0xFFFFFFFF)).astype(np.uint32)
-                    own, counts = np.unique(o[~s], return_counts=True)
-                    rest, met = np.unique(o[s], return_counts=True)
+                    counts, met = np.bincount(o[~s], minlength=len(ids)), np.bincount(o[s], minlength=len(ids))
+                    own, rest = np.flatnonzero(counts), np.flatnonzero(met)
+                    counts, met = counts[own], met[rest]
                     singles = low[~s][np.argsort(o[~s], kind="stable")]
                     head = np.array([len(own), len(rest), len(singles)], dtype=np.uint32)
                     parts = [head, ids[own], counts.astype(np.uint32), ids[rest], met.astype(np.uint32), singles, low[s & new[a:b]]]
@@ -119,13 +122,11 @@ def _block_counts(tiles: pa.Table) -> tuple[np.ndarray, np.ndarray]:
             sums.append(parts[3].astype(np.int64))
             shared.append(np.frombuffer(raw, dtype=np.uint32, offset=at))
     token, owner, several = np.concatenate(tokens), np.concatenate(owners), np.unique(np.concatenate(shared))
-    order = np.lexsort((owner, token))
+    order = np.argsort(token)
     token, owner = token[order], owner[order]
     if len(token):
-        fresh = np.concatenate([[True], (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])])
-        first = np.concatenate([[True], token[1:] != token[:-1]])
-        group = np.cumsum(first) - 1
-        met = (np.bincount(group, weights=fresh) > 1)[group]
+        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        met = np.repeat(np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first), np.diff(np.append(first, len(token))))
         if len(several):
             met |= several[np.minimum(np.searchsorted(several, token), len(several) - 1)] == token
         classes.append(owner[met])
@@ -170,8 +171,10 @@ def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in K.chunks(batch, limit=K.ROW_BYTES):
-                wanted = zip(part.column("cls").to_pylist(), part.column("mark").to_pylist(), K.shingle_sets(part, width=width), strict=True)
-                rows = [(c, len(s), s.tobytes()) for c, m, s in wanted if len(s) and K.set_id(s) == c and K.set_mark(s) == m]
+                tokens, at = K.flat_sets(part, width=width)
+                cls, mark = part.column("cls").to_numpy(), part.column("mark").to_numpy()
+                wanted = np.flatnonzero((np.diff(at) > 0) & (K.set_ids(tokens, at) == cls) & (K.set_marks(tokens, at) == mark))
+                rows = [(int(cls[i]), int(at[i + 1] - at[i]), tokens[at[i] : at[i + 1]].tobytes()) for i in wanted]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(schema.types)], schema=schema)
 
     return run
