@@ -293,18 +293,23 @@ def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, block): fingerprints of each line's blocks of positions behind its leading tokens, one more than positions may differ."""
     for batch in batches:
-        lines = batch.column("tokens").to_pylist()
-        size = np.array([len(x) // 2 for x in lines], dtype=np.int64)
-        leaf, key = (batch.column(c).to_numpy().view(K.U64) for c in ("leaf", "key"))
-        for n in np.unique(size).tolist():
-            own = np.flatnonzero(size == n)
-            tokens = np.frombuffer(b"".join(lines[i] for i in own), dtype=np.uint16).reshape(len(own), n).astype(K.U64)
-            for number, places in enumerate(np.array_split(np.arange(min(LEADING, n), n), _varying(n) + 1)):
-                with np.errstate(over="ignore"):
-                    block = K.mix(leaf[own] + K.U64(number))
-                    for place in places:
-                        block = K.mix(block + tokens[:, place])
-                yield pa.RecordBatch.from_arrays([pa.array(key[own].view(np.int64)), pa.array(block.view(np.int64))], ["key", "block"])
+        for part in (batch.slice(at, 500) for at in range(0, batch.num_rows, 500)):
+            lines = part.column("tokens").to_pylist()
+            tokens, size = np.frombuffer(b"".join(lines), dtype=np.uint16), np.array([len(x) // 2 for x in lines], dtype=np.int64)
+            leaf, key = (part.column(c).to_numpy() for c in ("leaf", "key"))
+            first, lead = np.cumsum(size) - size, np.minimum(size, LEADING)
+            blocks = np.minimum(size // VARYING, WILDCARDS) + 1
+            line = np.repeat(np.arange(len(lines)), blocks)
+            number = np.arange(len(line)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+            # The first blocks have one position more where they do not come out even.
+            least, more = np.divmod(size - lead, blocks)
+            start = (first + lead)[line] + number * least[line] + np.minimum(number, more[line])
+            end = start + least[line] + (number < more[line])
+            place = np.arange(len(tokens)) - np.repeat(first, size)
+            with np.errstate(over="ignore"):
+                total = np.concatenate([np.zeros(1, K.U64), np.cumsum(K.mix(tokens + (place.astype(K.U64) << K.U64(16))), dtype=K.U64)])
+                block = K.mix(total[end] - total[start] + K.mix(leaf.view(K.U64)[line] + number.astype(K.U64)))
+            yield pa.RecordBatch.from_arrays([pa.array(key[line]), pa.array(block.view(np.int64))], ["key", "block"])
 
 
 def _with_partner(lines: DataFrame) -> DataFrame:
@@ -318,8 +323,9 @@ def _with_partner(lines: DataFrame) -> DataFrame:
 def learn_templates(lines: DataFrame) -> DataFrame:
     """(key, template) of the lines that share a template with another line. lines: leaf, key, tokens, repeated or not."""
     crowded = lines.groupBy("leaf").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("leaf")
-    once = table(lines.join(crowded, "leaf").groupBy("leaf", "key").agg(F.first("tokens").alias("tokens")), "leaves")
-    rest, found, written, seeds_now = _with_partner(once), None, [once], SEEDS
+    crowded = table(crowded, "crowded")
+    once = table(lines.join(_sized(crowded), "leaf").groupBy("leaf", "key").agg(F.first("tokens").alias("tokens")), "leaves")
+    rest, found, written, seeds_now = _with_partner(once), None, [crowded, once], SEEDS
     while True:
         written.append(rest)
         slots = rest.groupBy("leaf", F.pmod("key", F.lit(seeds_now)).alias("slot")).agg(F.min(F.struct("key", "tokens")).alias("s"))

@@ -34,7 +34,9 @@ from .shared import components, drop, table
 #: Entries of the incidence matrix that one column block should hold, and the share (in 256ths) of the fingerprints tiled
 #: (bounds hold for any share; a smaller one shuffles less and prunes less).
 BLOCK_ENTRIES = 2_000_000
-UNIVERSE = 256
+UNIVERSE = 96
+#: N-grams of sets that a worker deals out at once, and that one of their blocks should hold.
+ENTRIES = 500_000
 #: Rows of members that one range of classes should hold, and the ranges there are at least.
 RANGE_ROWS = 1_000_000
 MIN_RANGES = 64
@@ -180,14 +182,76 @@ def _sets(width: int):
     return run
 
 
-def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("token", pa.int64()), ("node", pa.int64()), ("n", pa.int64())])
-    for batch in batches:
-        for at in range(0, batch.num_rows, 200):
-            part = batch.slice(at, 200)
-            tokens = [np.frombuffer(v.as_buffer(), dtype=np.int64) for v in part.column("tokens")]
-            sizes = [len(t) for t in tokens]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.repeat(part.column("node").to_numpy(), sizes)), pa.array(np.repeat(part.column("n").to_numpy(), sizes))], schema=schema)
+def _entries(blocks: int):
+    """Rows (block, payload): the n-grams of sets, dealt out by range; 20 bytes each with the set's node and size."""
+    schema = pa.schema([("block", pa.int32()), ("payload", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.cumsum(batch.column("n").to_numpy())
+            at = 0
+            while at < batch.num_rows:
+                end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + ENTRIES, side="right")))
+                part, at = batch.slice(at, end - at), end
+                tokens = np.concatenate([np.frombuffer(v.as_buffer(), dtype=np.int64) for v in part.column("tokens")])
+                node, n = part.column("node").to_numpy(), part.column("n").to_numpy()
+                order = np.argsort(tokens.view(K.U64))
+                tokens, row = tokens[order], np.repeat(np.arange(len(n)), n)[order]
+                block = ((tokens.view(K.U64) >> K.U64(32)) * K.U64(blocks)) >> K.U64(32)
+                cuts = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(block)]])
+                payload = [_packed(node[row[a:b]], tokens[a:b], n[row[a:b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(block[cuts[:-1]].astype(np.int32)), pa.array(payload, pa.binary())], schema=schema)
+
+    return run
+
+
+def _packed(node: np.ndarray, token: np.ndarray, *counts: np.ndarray) -> bytes:
+    return b"".join([node.tobytes(), token.tobytes(), *(c.astype(np.uint32).tobytes() for c in counts)])
+
+
+def _unpacked(packed: pa.Table, counts: int) -> list[np.ndarray]:
+    """node, token and the counts of all payloads of a table."""
+    raw = [v.as_buffer() for chunk in packed.column("payload").chunks for v in chunk]
+    sizes = [len(r) // (16 + 4 * counts) for r in raw]
+    kinds = [(np.int64, 0), (np.int64, 8), *((np.uint32, 16 + 4 * i) for i in range(counts))]
+    return [np.concatenate([np.frombuffer(r, dtype=kind, count=m, offset=at * m) for r, m in zip(raw, sizes, strict=True)]) for kind, at in kinds]
+
+
+def _spread(ranges: int):
+    """Rows (part, payload) of one block of n-grams: those of several sets with the number of these, by ranges of nodes."""
+
+    def run(dealt: pa.Table) -> pa.Table:
+        node, token, n = _unpacked(dealt, 1)
+        order = np.argsort(token)
+        node, token, n = node[order], token[order], n[order]
+        cuts = np.append(np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])), len(token))
+        df = np.repeat(np.diff(cuts), np.diff(cuts))
+        part = ((node.view(K.U64) >> K.U64(32)) * K.U64(ranges)) >> K.U64(32)
+        order = np.argsort(part, kind="stable")
+        order = order[df[order] > 1]
+        node, token, n, df, part = (x[order] for x in (node, token, n, df, part))
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]]) if len(part) else np.zeros(1, np.int64)
+        rows = [(int(part[a]), _packed(node[a:b], token[a:b], n[a:b], df[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "payload": pa.array([r[1] for r in rows], pa.binary())})
+
+    return run
+
+
+def _prefixes(percent: int):
+    """(node, n, most, token, df): the prefixes of one range of nodes."""
+
+    def run(packed: pa.Table) -> pa.Table:
+        node, token, n, df = _unpacked(packed, 2)
+        order = np.lexsort((token, df, node))
+        node, token, n, df = (x[order].astype(np.int64) for x in (node, token, n, df))
+        cuts = np.append(np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])), len(node))
+        met = np.repeat(np.diff(cuts), np.diff(cuts))
+        pos = np.arange(len(node)) - np.repeat(cuts[:-1], np.diff(cuts))
+        keep = pos < met - (n * percent + 99) // 100 + 1
+        most = (met - pos) * (100 + percent) // percent - n
+        return pa.table({"node": node[keep], "n": n[keep], "most": most[keep], "token": token[keep], "df": df[keep]})
+
+    return run
 
 
 def _overlaps(percent: int):
@@ -243,19 +307,17 @@ def linked_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     wanted = F.broadcast(close) if asked <= BROADCAST_ROWS else close
     own = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("h") == F.col("rep_h")))
     sets = table(own.select("cls", "mark", "text").mapInArrow(_sets(width), "node long, n long, tokens binary"), "sets")
-    if sets.count() > asked:  # repeated rows
+    count, entries = sets.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if count > asked:  # repeated rows
         repeated, sets = sets, table(sets.dropDuplicates(["node"]), "sets")
         drop(repeated)
 
     # Posting lists of the prefix: a document's n-grams from the rarest on, those that it alone holds first of all; one more than
     # a partner may lack. If this n-gram is the first one that a pair shares, it shares at most what follows on either side, so
     # the partner has ``most`` n-grams at most.
-    entries = sets.select("node", "n", "tokens").mapInArrow(_entries, "token long, node long, n long")
-    spread = entries.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    held = entries.join(spread, "token").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
-    held = held.withColumn("keep", F.expr(f"size(t) - (n * {percent} + 99) div 100 + 1")).where("keep > 0")
-    kept = held.select("node", "n", F.size("t").alias("met"), F.posexplode(F.expr("slice(t, 1, int(keep))")).alias("pos", "t"))
-    kept = table(kept.select("node", "n", F.expr(f"(met - pos) * {100 + percent} div {percent} - n").alias("most"), "t.token", "t.df"), "prefixes")
+    dealt = sets.select("node", "n", "tokens").mapInArrow(_entries(max(1, -(-entries // ENTRIES))), "block int, payload binary")
+    spread = dealt.groupBy("block").applyInArrow(_spread(ranges), "part int, payload binary")
+    kept = table(spread.groupBy("part").applyInArrow(_prefixes(percent), "node long, n long, most long, token long, df long"), "prefixes")
     # Of lists with the same classes the first one in that order is enough.
     lists = kept.groupBy("token").agg(F.count("*").alias("k"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sign"), F.min("node").alias("low"), F.first("df").alias("df")).where("k > 1")
     lists = lists.groupBy("k", "sign", "low").agg(F.min(F.struct("df", "token")).alias("first")).select("first.token")

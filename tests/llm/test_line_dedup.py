@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -268,3 +269,24 @@ def test_every_line_meets_the_tree(spark, tmp_path):
     kept = {i for i, t in got.items() if t == rows[i][1]}
     assert kept >= {0, 4, 5, 6, 12, 13, 14, 15} and not kept & {1, 2, 3, 7, 8, 9, 10, 11}
     assert all(got[i] == own[i] for i in got if i not in kept)
+
+
+@pytest.mark.parametrize("workers, blocks", [(1, 1), (5, 3), (40, 7)])
+def test_what_recurs_is_found_in_payloads(workers, blocks):
+    """Lines and runs leave a worker packed, each once; what it met in several documents is a row at once, the rest where a block shows it."""
+    rng = np.random.default_rng(workers)
+    keys = rng.integers(-(1 << 63), (1 << 63) - 1, 300)
+    doc, key = rng.integers(0, 90, 900), keys[np.minimum(rng.geometric(0.01, 900), 300) - 1]
+    short = key % 2 == 0
+    dealt = [b for i in range(workers) for b in line_dedup._deal([(doc[i::workers], key[i::workers], short[i::workers])], blocks)]
+    dealt = pa.Table.from_batches(dealt)
+    packed = dealt.filter(dealt.column("block").is_valid())
+    got = dealt.filter(dealt.column("block").is_null()).select(["doc", "key", "short"]).to_pylist()
+    for b in range(blocks):
+        if (own := packed.filter(pc.equal(packed.column("block"), b))).num_rows:
+            got += line_dedup._recurs(own).to_pylist()
+    holders = defaultdict(set)
+    for d, k in zip(doc.tolist(), key.tolist(), strict=True):
+        holders[k].add(d)
+    assert packed.num_rows <= workers * blocks
+    assert {(r["doc"], r["key"], r["short"]) for r in got} == {(d, k, k % 2 == 0) for k, ds in holders.items() if len(ds) > 1 for d in ds}
