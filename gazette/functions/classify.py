@@ -24,7 +24,7 @@ def first_match(cases: list[tuple[Column, object]], default: object) -> Column:
 
 def nps_dimension(c: Column, low: Column | None = None) -> Column:
     """The first dimension one of whose keywords is a substring. low: the text in lower case, if it is there already."""
-    low = F.lower(F.coalesce(c, F.lit(""))) if low is None else low
+    low = text.lower(F.coalesce(c, F.lit(""))) if low is None else low
     return first_match([(terms.contains_any(low, words), name) for name, words in terms.NPS_DIMENSION_RULES], None)
 
 
@@ -49,7 +49,7 @@ def applies_hard_filter(reason: Column, platform_signal: Column, mode: str) -> C
 
 def question_ids(c: Column, allowed: Column, low: Column | None = None) -> Column:
     """Question ids hinted at by substrings, restricted to the allowed ones, in the order of the hints."""
-    low = F.lower(F.coalesce(c, F.lit(""))) if low is None else low
+    low = text.lower(F.coalesce(c, F.lit(""))) if low is None else low
     hits = [F.when(terms.contains_any(low, words), F.array(*map(F.lit, ids))).otherwise(F.array().cast("array<string>")) for ids, words in terms.QUESTION_HINTS]
     found = F.array_distinct(F.concat(*hits))
     loyal = next(words for ids, words in terms.QUESTION_HINTS if ids == ["B5_16"])

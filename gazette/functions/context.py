@@ -100,7 +100,7 @@ def hard_filter_wording(reason: Column, market: str, consumers: str) -> Column:
 
 def platform_level(c: Column) -> Column:
     """Plain substrings of news about a whole platform."""
-    return terms.contains_any(F.lower(c), L.PLATFORM_LEVEL)
+    return terms.contains_any(text.lower(c), L.PLATFORM_LEVEL)
 
 
 def direct_impact(c: Column) -> Column:
@@ -122,7 +122,7 @@ EXCLUSIONS_LAST = [("b2b_or_corporate_only", ["b2b", "corporate", "partnership",
 
 def exclusion_category(c: Column, reason: Column, confidence: Column) -> Column:
     """Why a decision let an article go. confidence: high, medium or low."""
-    low = F.lower(F.concat(c, F.lit(" "), text.clean(reason)))
+    low = text.lower(F.concat(c, F.lit(" "), text.clean(reason)))
     cases = [(terms.contains_any(low, words), name) for name, words in EXCLUSIONS]
     cases.append((confidence == "low", "low_confidence_or_weak_link"))
     return first_match(cases + [(terms.contains_any(low, words), name) for name, words in EXCLUSIONS_LAST], "weak_nps_link")
@@ -139,7 +139,7 @@ def shop_strength(c: Column, italian: bool = False) -> Column:
 
 
 def shop_skip_reason(c: Column, italian: bool = False) -> Column:
-    low = F.lower(c)
+    low = text.lower(c)
     return first_match(
         [
             (c == "", "instagram_commerce_context_missing"),
@@ -181,11 +181,11 @@ def broad_entry_reason(c: Column, label: Column, temu: list[str], video: list[st
 
 
 def looks_like_promo(c: Column) -> Column:
-    return terms.matches_any(F.lower(c), [t.lower() for t in L.PROMO_SIGNALS])
+    return terms.matches_any(text.lower(c), [t.lower() for t in L.PROMO_SIGNALS])
 
 
 def looks_like_report(c: Column) -> Column:
-    return terms.matches_any(F.lower(c), [t.lower() for t in L.REPORT_SIGNALS])
+    return terms.matches_any(text.lower(c), [t.lower() for t in L.REPORT_SIGNALS])
 
 
 # --- trends ---
@@ -254,7 +254,7 @@ def with_trend(df: DataFrame, c: Column, is_report: Column, given: dict[str, Col
     own = {n: F.col(f"industry_trend_{n}").cast("string") if f"industry_trend_{n}" in df.columns else blank for n in names}
     given = {n: (given or {}).get(n, blank) for n in names}
     # Inferred: the first group of terms in the text; reports without one are ``other``. Each is computed once a row.
-    rows = text.let(text.let(df, "_low", F.lower(c)), "_report", is_report)
+    rows = text.let(text.let(df, "_low", text.lower(c)), "_report", is_report)
     rows = text.let(rows, "_found", F.when(F.col("_low") == "", "").otherwise(trend_category(F.col("_low"))))
     rows = text.let(rows, "_category", F.when((F.col("_found") == "") & (F.col("_low") != "") & F.col("_report"), "other").otherwise(F.col("_found")))
     found = F.col("_category") != ""

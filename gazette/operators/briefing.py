@@ -56,7 +56,7 @@ def column(df: DataFrame, name: str) -> Column:
 
 
 def joined(df: DataFrame, names: tuple[str, ...] | list[str]) -> Column:
-    return F.lower(F.concat_ws(" ", *(column(df, n) for n in names)))
+    return text.lower(F.concat_ws(" ", *(column(df, n) for n in names)))
 
 
 def cell(c: Column, limit: int) -> Column:
@@ -70,7 +70,7 @@ def news_type(df: DataFrame) -> Column:
 
 
 def metric(dimensions: Column) -> Column:
-    low = F.lower(F.coalesce(dimensions, F.lit("")))
+    low = text.lower(F.coalesce(dimensions, F.lit("")))
     return first_match([(terms.contains_any(low, words), name) for name, words in METRICS], "Trust")
 
 

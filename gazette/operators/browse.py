@@ -35,7 +35,7 @@ def browse(articles: DataFrame, keyword: str = "", platform: str = "", star: str
     """
     rows = articles
     if keyword:
-        hay = F.lower(F.concat_ws(" ", "title", "summary", "platform", "source_site"))
+        hay = text.lower(F.concat_ws(" ", "title", "summary", "platform", "source_site"))
         rows = rows.where(hay.contains(keyword.lower()))
     url = urls.canonical(F.col("article_url"))
     key = F.when(url != "", F.concat(F.lit("u:"), url)).otherwise(F.concat_ws("\x1f", F.lit("t"), F.col("platform"), F.left("published_at", F.lit(10)), text.title_key(F.col("title"))))

@@ -21,7 +21,7 @@ def dimensions(c: Column, lookup: dict[str, list[str]], focus: Column | None = N
 def keyword_filter(rows: DataFrame, c: Column, lookup: dict[str, list[str]], questions: dict[str, list[str]]) -> DataFrame:
     """Keeps rows with a dimension and a question id of one of their dimensions. No indicators at all keep everything."""
     columns = rows.columns
-    rows = text.let(text.let(rows, "_hay", c), "_low", F.lower(F.coalesce("_hay", F.lit(""))))
+    rows = text.let(text.let(rows, "_hay", c), "_low", text.lower(F.coalesce("_hay", F.lit(""))))
     c = F.col("_hay")
     out = text.let(rows, "dimensions", dimensions(c, lookup, low=F.col("_low")))
     ids = F.create_map(*(x for d, q in questions.items() for x in (F.lit(d), F.array(*map(F.lit, q))))) if questions else None
