@@ -28,8 +28,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines and sentences that recur across documents go from all but the first one; n_chars follows the text."""
-    out = line_dedup.dedup_lines(docs.select(*COLUMNS))
+    """Lines and sentences that recur across documents go from all but the first one; n_chars follows the text.
+
+    Every line of three words or more meets the template tree, as in op7's query, whatever its length.
+    """
+    out = line_dedup.dedup_lines(docs.select(*COLUMNS), tree=line_dedup.EVERY_LINE)
     return out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 

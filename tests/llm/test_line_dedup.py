@@ -290,3 +290,46 @@ def test_what_recurs_is_found_in_payloads(workers, blocks):
         holders[k].add(d)
     assert packed.num_rows <= workers * blocks
     assert {(r["doc"], r["key"], r["short"]) for r in got} == {(d, k, k % 2 == 0) for k, ds in holders.items() if len(ds) > 1 for d in ds}
+
+
+def every_line(lines):
+    """As ``tree``, for lines of any length: at most one in four of their positions and eight in all may vary."""
+    leaves = defaultdict(dict)
+    for u, words in lines.items():
+        masked = tuple("<*>" if FIELD.search(w) else w for w in words)
+        if 4 * masked.count("<*>") <= len(words):
+            leaves[len(words), masked[:3]][line_print(" ".join(words))] = masked
+    found = {}
+    for leaf, rest in leaves.items():
+        varying, number = min(leaf[0] // 4, 8), 8
+        agree = lambda a, b: sum(x != y for x, y in zip(a, b, strict=True)) <= varying  # noqa: E731, B023
+        while len(rest) > 1:
+            blocks = {k: {(j, tuple(masked[i] for i in places)) for j, places in enumerate(np.array_split(np.arange(min(3, leaf[0]), leaf[0]), varying + 1))} for k, masked in rest.items()}
+            held = Counter(x for own in blocks.values() for x in own)
+            rest = {k: v for k, v in rest.items() if any(held[x] > 1 for x in blocks[k])}
+            slots, seeds, joined = {}, [], defaultdict(list)
+            for k in sorted(rest):
+                slots.setdefault(k % number, k)
+            number = min(2 * number, 32)
+            for k in sorted(slots.values()):
+                if not any(agree(rest[k], rest[s]) for s in seeds):
+                    seeds.append(k)
+            for k in rest:
+                if near := [s for s in seeds if agree(rest[k], rest[s])]:
+                    joined[near[0]].append(k)
+            found.update({rest[k]: (leaf, s) for s, ks in joined.items() if len(ks) > 1 for k in ks})
+            gone = {k for ks in joined.values() for k in ks}
+            rest = {k: v for k, v in rest.items() if k not in gone}
+    return found
+
+
+def test_pipeline_stage_of_every_line(spark, docs, monkeypatch):  # noqa: F811
+    """The pipeline's stage drops what op7 drops: lines of under 8 and over 32 tokens meet the tree, too."""
+    import corpus_pipeline as pipe
+
+    monkeypatch.setitem(globals(), "tree", every_line)
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    got = {r["doc_id"]: WORD.findall(lower(r["text"] or "")) for r in pipe.drop_lines(spark, docs, SF).collect()}
+    assert got == brute(rows)
+    monkeypatch.undo()
+    assert sum(map(len, got.values())) < sum(map(len, brute(rows).values()))
